@@ -46,3 +46,14 @@ def rank_in_crc(col: str):
 
 def crc32_u32(ids) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+#: A table is broadcast only if its counted size is below this; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(df: DataFrame, arrays: tuple[str, ...] = (), row_bytes: int = 48, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a written table), marked for broadcast if its rows and the elements of its `arrays`, counted here, are below limit."""
+    elements = sum((F.coalesce(F.sum(F.size(a)), F.lit(0)) for a in arrays), F.lit(0))
+    n, m = df.agg(F.count("*"), elements).first()
+    return F.broadcast(df) if n * row_bytes + m * 16 <= limit else df

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,13 +142,13 @@ def id_counts(tokens: DataFrame, vocab: int) -> np.ndarray:
 def write_blocks(docs: DataFrame, tokenizer: str, end: int = 0, vocab: int = 1 << 16, block: int = BLOCK) -> tuple[DataFrame, np.ndarray]:
     """docs (doc_id, text) as a table of coded blocks in ascending doc_id order, and the code lengths of its ids.
 
-    The texts are dealt by ranges of doc_id and tokenised once; the ids are kept in the shared folder for both the count
-    and the coding. vocab is at most 65,536 here: ids are kept as 16-bit integers until they are coded.
+    The texts are tokenised once, where they are read; the ids are kept in the shared folder for both the count and the
+    coding, and only they are dealt by ranges of doc_id. vocab is at most 65,536 here: ids are kept as 16-bit integers
+    until they are coded.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id")
-    tokens = written(token_column(ranged, tokenizer, end=end), "ids", compression="zstd")
+    tokens = written(token_column(docs, tokenizer, end=end), "ids", compression="zstd")
     lengths = code_lengths(id_counts(tokens, vocab))
     book = spark.sparkContext.broadcast(lengths)  # vocab bytes
 
@@ -175,9 +176,6 @@ def write_blocks(docs: DataFrame, tokenizer: str, end: int = 0, vocab: int = 1 <
         if names:
             yield flush()
 
-    from pyspark import TaskContext
-
-    # dealt by doc_id again: sampled from the written keys, the ranges of rows are the same order that the reader sees
     ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"), "n_tokens")
     return written(ordered.mapInArrow(run, BLOCK_SCHEMA), "huffman-blocks", compression="none"), lengths
 

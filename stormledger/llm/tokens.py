@@ -1,13 +1,15 @@
 """Token ids by the tokenizers library, for whole columns.
 
 Both pre-tokenizers used here never join characters across a run of blanks, so a text's ids are the ids of its
-chunks (a run of blanks with the word after it) one after another. Each distinct chunk goes through the library's
-normalizer and each distinct pre-token through its BPE model once per worker, which skips the alignments that a full
-encode keeps; tests hold the result against encoding whole texts.
+chunks (a space with what follows up to the next one) one after another. Arrow cuts a batch of texts at spaces and finds
+its distinct chunks; each of them goes through the library's normalizer and each distinct pre-token through its BPE
+model once per worker. A text with two spaces in a row, or one at its end, is cut by CHUNK instead (blanks of a run stay
+together there). Tests hold the result against encoding whole texts.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -15,12 +17,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-WORD = re.compile(r"[^ \t\n\r]+")
+#: What the pre-tokenizers take as white space (a fixed value).
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: How byte-level BPE cuts a text where its file names no pattern (a fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct chunks that a worker remembers (some 200 bytes each); past it the memory starts afresh.
@@ -34,24 +38,13 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
-class _Index(dict):
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk):
-        at = self[chunk] = len(self)
-        self.new.append(chunk)
-        return at
-
-
 class ChunkEncoder:
     """ids of texts; blanks=False for a tokenizer that drops white space."""
 
     def __init__(self, path: str, blanks: bool = True, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.find, self.cache = Tokenizer.from_file(path), (CHUNK if blanks else WORD).findall, cache
+        self.tokenizer, self.blanks, self.cache = Tokenizer.from_file(path), blanks, cache
         spec = json.loads(self.tokenizer.to_str())
         steps = (pre := spec["pre_tokenizer"]).get("pretokenizers", [pre])
         own = next((x["pattern"]["Regex"] for x in steps if x["type"] == "Split"), None)
@@ -61,7 +54,7 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self):
-        self.index, self.starts, self.sizes, self.flat, self.pieces = _Index(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), {}
+        self.index, self.starts, self.sizes, self.flat, self.pieces = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), {}
 
     def _ids(self, chunk: str) -> list[int]:
         if "<" in chunk and any(x in chunk for x in self.special):
@@ -77,45 +70,58 @@ class ChunkEncoder:
             out += ids
         return out
 
-    def _learn(self):
-        if not (new := self.index.new):
-            return
-        got = list(map(self._ids, new))
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-        self.index.new = []
-
-    def encode(self, texts: list[str | None], end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        """Where the ids of each chunk are kept; new chunks are encoded."""
+        index = self.index
+        at = list(map(index.get, chunks))
+        if None in at:
+            new = list(dict.fromkeys(c for c, x in zip(chunks, at, strict=True) if x is None))
+            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            got = list(map(self._ids, new))
+            at = [index[c] if x is None else x for c, x in zip(chunks, at, strict=True)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        return np.array(at, np.int64)
+
+    def encode(self, texts, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has; end is appended to each text unless None."""
         if len(self.index) > self.cache:
             self._clear()
-        chunks, counts = [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                found = self.find(text)
-                counts[k] = len(found)
-                chunks += found
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        self._learn()
+        gc.disable()  # nothing here makes cycles, and the memory of chunks is long to walk
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " ")) if self.blanks else pa.array([False]).take(pa.array(np.zeros(len(texts), np.int64)))
+        odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(pc.if_else(odd, "", texts) if len(odd_at) else texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        at = self._places([" " + w for w in words] if self.blanks else words)[coded.indices.to_numpy()]
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        if self.blanks and len(texts):  # the first chunk of a text has no space before it
+            firsts = bounds[:-1]
+            at[firsts] = self._places(lists.flatten().take(pa.array(firsts)).to_pylist())
+        for k in reversed(odd_at.tolist()):
+            own = self._places(CHUNK.findall(texts[k].as_py()))
+            at = np.concatenate([at[: bounds[k]], own, at[bounds[k + 1] :]])
+            bounds[k + 1 :] += len(own) - (bounds[k + 1] - bounds[k])
         sizes = self.sizes[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(total[-1])]
-        bounds = total[np.concatenate([[0], np.cumsum(counts)])]
+        bounds = total[bounds]
         n = np.diff(bounds)
         if end is not None:
             ids, n = np.insert(ids, bounds[1:], np.uint32(end)), n + 1
+        gc.enable()
         return ids, n
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
     """The batch in parts whose texts have about limit bytes, so that what is derived from them stays bounded."""
     sizes = np.zeros(batch.num_rows, np.int64)
     col = batch.column(batch.schema.get_field_index(column))
     if batch.num_rows:
-        import pyarrow.compute as pc
-
         sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
@@ -137,7 +143,7 @@ def token_column(docs, path: str, blanks: bool = True, end: int = 0, width: int
         encoder = ChunkEncoder(path, blanks)
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, n = encoder.encode(batch.column(1).to_pylist(), end)
+                ids, n = encoder.encode(batch.column(1), end)
                 bounds = np.concatenate([[0], np.cumsum(n)]) * width
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), binary_array(ids.astype(kind).tobytes(), bounds)], names=["doc_id", "n_tokens", "ids"])
 
