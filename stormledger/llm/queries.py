@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, huffman_ids, line_dedup, packing, simhash
+from . import host_rules, huffman_ids, line_dedup, packing, quality_gam, simhash, toxicity_cnn
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.read_blocks(blocks, lengths, digest=True)
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.lines_query(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(table(spark, sf_dir, "documents")).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -37,5 +45,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_huffman_ids, op6_line_dedup, op7_host_rules, op9_simhash_near_dedup, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op3_huffman_ids, op5_quality_gam, op6_line_dedup, op7_host_rules, op8_toxicity_cnn, op9_simhash_near_dedup, op10_pattern_packing)}
 ORACLES = {"op6_line_dedup": line_dedup.ORACLE, "op7_host_rules": host_rules.ORACLE}
