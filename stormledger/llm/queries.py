@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, huffman_ids, line_dedup, packing, quality_gam, simhash, toxicity_cnn
+from . import host_rules, html_extract, huffman_ids, line_dedup, packing, quality_gam, simhash, toxicity_cnn
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, lengths = huffman_ids.write_blocks(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return huffman_ids.read_blocks(blocks, lengths, digest=True)
@@ -45,5 +49,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_huffman_ids, op5_quality_gam, op6_line_dedup, op7_host_rules, op8_toxicity_cnn, op9_simhash_near_dedup, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op2_site_style_tree, op3_huffman_ids, op5_quality_gam, op6_line_dedup, op7_host_rules, op8_toxicity_cnn, op9_simhash_near_dedup, op10_pattern_packing)}
 ORACLES = {"op6_line_dedup": line_dedup.ORACLE, "op7_host_rules": host_rules.ORACLE}
