@@ -36,10 +36,10 @@ def tidy(line: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
 
 
-def lines_of(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """doc_id, line_no, h, g (the line's key), n (words) and halves (hashes, null for a short line) of each line with min_words or more."""
+def lines_of(docs: DataFrame, near_words: int) -> DataFrame:
+    """doc_id, line_no, h, g (the line's key), n (words) and halves (hashes, null for a short line) of each line."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", tidy(F.col("line")).alias("line"))
-    lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)).where(F.col("n") >= min_words)
+    lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1))
 
     def half(kind: int, k: str) -> Column:  # the first or last k words
         return F.expr(f"xxhash64({kind}, {k}, substring_index(line, ' ', cast({'-' * kind}({k}) as int)))")
@@ -48,8 +48,9 @@ def lines_of(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), "n", F.when(F.col("n") >= near_words, halves).alias("halves"))
 
 
-def without(words: str, pos: str) -> Column:
-    return F.expr(f"array_join(concat(slice({words}, 1, {pos} - 1), slice({words}, {pos} + 1, size({words}))), ' ')")
+def without(line: str, n: str, pos: str) -> Column:
+    """The line of n words without its pos-th word."""
+    return F.expr(f"trim(concat(substring_index({line}, ' ', {pos} - 1), ' ', substring_index({line}, ' ', {pos} - {n})))")
 
 
 def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
@@ -64,15 +65,14 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     texts = texts.select("x.h", "x.g", "x.prefix", "x.suffix", F.struct("doc_id", F.col("x.line_no").alias("line_no")).alias("ord"), tidy(F.expr("try_element_at(parts, x.line_no + 1)")).alias("line"))
     # of repeated doc_ids only the row that has the line counts
     texts = texts.where((F.xxhash64("line") == F.col("h")) & (F.xxhash64("line", F.lit(1)) == F.col("g"))).dropDuplicates(["h", "g"])
-    lines = written(texts.withColumn("words", F.split("line", " ")).drop("line"), "line-candidates")
-
-    n = F.size("words")
-    first_pos = F.when(F.col("suffix"), 1).otherwise(F.expr("(size(words) - 1) div 2 + 1"))
-    last_pos = F.when(F.col("prefix"), n).otherwise(n - F.expr("(size(words) - 1) div 2")).cast("int")
-    positions = F.concat(F.array(F.lit(0)), F.sequence(first_pos.cast("int"), last_pos))
-    variants = lines.select("h", "g", "ord", "words", F.explode(positions).alias("pos"))
-    key = F.when(F.col("pos") == 0, F.array_join("words", " ")).otherwise(without("words", "pos"))
-    variants = variants.select("h", "g", "ord", "pos", F.xxhash64(key).alias("key"))
+    lines = written(texts.withColumn("n", F.size(F.split("line", " "))), "line-candidates")
+
+    first_pos = F.when(F.col("suffix"), 1).otherwise(F.expr("(n - 1) div 2 + 1"))
+    last_pos = F.when(F.col("prefix"), F.col("n")).otherwise(F.expr("n - (n - 1) div 2"))
+    positions = F.concat(F.array(F.lit(0)), F.sequence(first_pos.cast("int"), last_pos.cast("int")))
+    variants = lines.select("h", "g", "ord", "line", "n", F.explode(positions).alias("pos"))
+    key = F.when(F.col("pos") == 0, F.col("line")).otherwise(without("line", "n", "pos"))
+    variants = written(variants.select("h", "g", "ord", "pos", F.xxhash64(key).alias("key")), "line-variants")
     me = F.struct("ord", "h", "g", "pos")
     by_pos = variants.groupBy("key", "pos").agg(F.min(me).alias("least"), F.count("*").alias("m"))
     whole = F.col("pos") == 0
@@ -82,15 +82,15 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     longer = by_key.where("whole is not null and deleted is not null").select("whole.h", "whole.g", "whole.ord", "deleted.pos", F.col("deleted").alias("least"), F.lit("inserted").alias("kind"))
     pairs = replaced.unionByName(shorter).unionByName(longer).where("least.ord < ord").select("h", "g", "pos", "kind", F.col("least.h").alias("h2"), F.col("least.g").alias("g2")).distinct()
 
-    own, other = lines.select("h", "g", F.col("words").alias("a")), lines.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("words").alias("b"))
-    same = F.when(F.col("kind") == "replaced", (F.size("a") == F.size("b")) & (without("a", "pos") == without("b", "pos")))
-    same = same.when(F.col("kind") == "deleted", without("a", "pos") == F.array_join("b", " ")).otherwise(F.array_join("a", " ") == without("b", "pos"))
+    own, other = (lines.select(F.col("h").alias(f"h{k}"), F.col("g").alias(f"g{k}"), F.col("line").alias(a), F.col("n").alias(f"n_{a}")) for k, a in (("", "a"), (2, "b")))
+    same = F.when(F.col("kind") == "replaced", (F.col("n_a") == F.col("n_b")) & (without("a", "n_a", "pos") == without("b", "n_b", "pos")))
+    same = same.when(F.col("kind") == "deleted", without("a", "n_a", "pos") == F.col("b")).otherwise(F.col("a") == without("b", "n_b", "pos"))
     return pairs.join(own, ["h", "g"]).join(other, ["h2", "g2"]).where(same).select("h", "g").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) with the text of the lines that stay, n_lines and n_dropped (both null for a null text)."""
-    lines = written(lines_of(docs, min_words, near_words), "lines")
+    lines = written(lines_of(docs, near_words), "lines").where(F.col("n") >= min_words)
     firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
     distinct = written(firsts, "lines-distinct")
     near = near_lines(distinct.drop("times", "n"), docs).withColumn("near", F.lit(True))
