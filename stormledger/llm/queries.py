@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, html_extract, huffman_ids, line_dedup, packing, quality_gam, simhash, toxicity_cnn
+from . import host_rules, html_extract, huffman_ids, line_dedup, packing, piece_samples, progressive_jpeg, quality_gam, simhash, toxicity_cnn
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_piece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_samples.samples(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -24,6 +28,10 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.read_blocks(blocks, lengths, digest=True)
 
 
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.features(progressive_jpeg.media(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +57,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_site_style_tree, op3_huffman_ids, op5_quality_gam, op6_line_dedup, op7_host_rules, op8_toxicity_cnn, op9_simhash_near_dedup, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_piece_samples, op2_site_style_tree, op3_huffman_ids, op4_progressive_jpeg, op5_quality_gam, op6_line_dedup, op7_host_rules, op8_toxicity_cnn, op9_simhash_near_dedup, op10_pattern_packing)}
 ORACLES = {"op6_line_dedup": line_dedup.ORACLE, "op7_host_rules": host_rules.ORACLE}
