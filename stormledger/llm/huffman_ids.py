@@ -20,7 +20,7 @@ from .common import crc32_u32, written
 from .tokens import token_column
 
 #: Longest code in bits; ids in a block, unless a document alone has more; ids between two checkpoints.
-MAX_BITS, BLOCK, EVERY = 20, 1 << 18, 512
+MAX_BITS, BLOCK, EVERY = 17, 1 << 18, 512
 BLOCK_SCHEMA = "shard int, first long, doc_ids array<long>, sizes array<long>, n_ids long, checkpoints array<long>, payload binary"
 
 
@@ -67,7 +67,7 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     """For each window of as many bits as the longest code: id << 5 | length."""
     bits = int(lengths.max(initial=1))
-    out = np.zeros(1 << bits, np.int64)
+    out = np.zeros(1 << bits, np.uint32)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     spans = 1 << (bits - lengths[order].astype(np.int64))
@@ -110,7 +110,7 @@ def decode_blocks(payloads: list[bytes], n_ids: list[int], checkpoints: list[np.
         if not (k := int(alive[step])):
             break
         p = at[:k]
-        got = table[(windows[p >> 5] >> (top - (p & 31)).astype(np.uint64)) & mask]
+        got = table[((windows[p >> 5] >> (top - (p & 31)).view(np.uint64)) & mask).view(np.int64)]
         out[step, :k] = got >> 5
         p += got & 31
     back = np.empty_like(order)
@@ -128,7 +128,10 @@ def id_counts(tokens: DataFrame, vocab: int) -> np.ndarray:
     def run(batches):
         counts = np.zeros(vocab, np.int64)
         for batch in batches:
-            counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=vocab)
+            col = batch.column(0)
+            ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+            if len(col):
+                counts += np.bincount(np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2"), minlength=vocab)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["id", "n"])
 
