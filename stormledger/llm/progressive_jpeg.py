@@ -107,13 +107,12 @@ def pack(values: np.ndarray, lens: np.ndarray, interval: np.ndarray, n: int) ->
     code = values.astype(U)
     first = np.where(over, code >> np.maximum(-room, 0).astype(U), code << np.maximum(room, 0).astype(U))
     word = at >> 6
-    order = slice(None)
     for part in (slice(0, len(word) - n), slice(len(word) - n, None)):  # both in order of place
         if len(w := word[part]):
             cuts = np.flatnonzero(np.diff(w, prepend=-1))
             words[w[cuts]] |= np.bitwise_or.reduceat(first[part], cuts)
-    np.bitwise_or.at(words, word[over] + 1, code[over] << (64 + room[over]).astype(U))
-    return words.astype(">u8").view(np.uint8)[: int(sizes.sum())][order], sizes
+    words[word[over] + 1] |= code[over] << (64 + room[over]).astype(U)  # no two items go on into one word
+    return words.astype(">u8").view(np.uint8)[: int(sizes.sum())], sizes
 
 
 def ac_first_items(t: np.ndarray, codes, lengths):
@@ -552,7 +551,7 @@ def media(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 19):
                 texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
                 filled = [payload_of(x) for x in texts]
                 cells = [batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(list(map(len, filled)), pa.int64()), pa.array(store(filled), pa.binary())]
@@ -568,7 +567,7 @@ def features(stored: DataFrame, tensors: bool = False) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "media", 2 << 20):
+            for batch in slices(whole, "media", 1 << 19):
                 ids, n_bytes, sizes, files = (c.to_pylist() for c in batch.columns)
                 coefs, images = decode_coefficients(files)
                 rgb = rgb_tensors(coefs, images)
