@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_u32, written
-from .tokens import encoder_of, slices
+from .tokens import ChunkEncoder, slices
 
 CAPACITY = 2048
 #: Patterns that are tried for each first length, and steps of the least-squares fit.
@@ -32,9 +32,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     """docs (doc_id, text) as token pieces of at most capacity ids (blank-free tokenizer); with_ids keeps the ids."""
 
     def run(batches):
-        encoder = encoder_of(tokenizer, False)
+        encoder = ChunkEncoder(tokenizer, blanks=False)  # of this task: what it remembers goes with it
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 ids, n = encoder.encode(batch.column(1), end)
                 per = -(-n // capacity)
                 doc = np.repeat(np.arange(len(n)), per)

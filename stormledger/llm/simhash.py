@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: in
                 hashes = shingle_hashes(x.as_py(), words, seed)
                 got += hashes
                 counts.append(len(hashes))
-                if len(got) > 1 << 20:
+                if len(got) > 1 << 18:
                     flush()
             flush()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(fps).view(np.int64))], names=[*batch.schema.names[:-1], "fp"])

@@ -156,13 +156,16 @@ class ChunkEncoder:
                 at[newlines] = self._places(["\n"])
                 firsts = np.concatenate([firsts, newlines + 1])
             at[firsts] = self._places(words.take(pa.array(firsts)).to_pylist())
+        del lists, words, coded, found, codes
         for k in reversed(list(odd_at)):
             own = self._places(CHUNK.findall(texts[k].as_py()))
             at = np.concatenate([at[: bounds[k]], own, at[bounds[k + 1] :]])
             bounds[k + 1 :] += len(own) - (bounds[k + 1] - bounds[k])
         sizes = self.sizes[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(total[-1])]
+        place = np.repeat((self.starts[at] - total[:-1]).astype(np.int32), sizes)  # a batch and the memory are far below 2**31 ids
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.flat[place]
         bounds = total[bounds]
         n = np.diff(bounds)
         if end is not None:
