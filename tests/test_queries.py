@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(repr(tuple(None if pd.isna(x) else round(x, 5) if isinstance(x, float) else x for x in r)) for r in df.astype(object).itertuples(index=False))
+    return sorted(repr(tuple(None if pd.isna(x) else round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r)) for r in df.astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
