@@ -136,7 +136,7 @@ class ChunkEncoder:
         gc.disable()  # nothing here makes cycles, and the memory of chunks is long to walk
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
         if self.blanks:
-            odd = pc.or_(pc.match_substring_regex(texts, f"[ \n] |[ \n]\n|{NEWLINE}"), pc.match_substring_regex(texts, "[ \n]$"))
+            odd = pc.or_(pc.match_substring_regex(texts, f"[ \n] |[ \n]\n|\n[{BLANK}]|{NEWLINE}"), pc.match_substring_regex(texts, "[ \n]$"))
             odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
             texts_left = pc.replace_substring(pc.if_else(odd, "", texts) if len(odd_at) else texts, "\n", f" {NEWLINE} ")
         else:

@@ -29,6 +29,12 @@ def test_chunks_are_whole_encodes(texts):
         assert n.sum() == len(ids)
 
 
+def test_blanks_after_a_line_end():
+    texts = ["\n\xa0", "a\n\xa0", "a\n\xa0\xa0b", "\xa0\n b", "a\xa0\nb", "a\t\nb", "\n\tb", "a \xa0\xa0b", "a\x0b\nb\n\x0b"]
+    ids, _ = ENCODERS[BYTE][0].encode(texts)
+    assert ids.tolist() == [i for t in texts for i in ids_of(BYTE, t)]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
