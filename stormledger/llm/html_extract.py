@@ -6,9 +6,15 @@ with the presentation styles (sequences of child elements) and the texts that it
     (1 - GAMMA^l) * entropy of its l presentation styles + GAMMA^l * importance of the texts below,
 
 both to base m, the number of pages that have the node. The importance of a text seen on n of m pages is 1 - log n / log m,
-averaged over occurrences; that of a branch is the average of its texts by length. Branches below LOW are cut out of
-every page, unless they stand directly in the article. Elements whose tag or class names what they are (NOISE) have no
-importance anywhere. With fewer than MIN_PAGES pages a node's importance is not judged by numbers.
+averaged over occurrences; that of a branch is the average of its texts by length. A branch is cut if it and all below
+it are under LOW. Never cut by numbers are html, body, an article or main and what holds one, and in an article elements
+without a class and branches of which VARIED of the text or more is on one page only (else a host's many copies speak for
+its unique pages); nor any in an article that would lose over half of its text, or on a page that would lose all.
+
+Elements whose tag or class names what they are (NOISE) have no importance anywhere. Names never cut html or body. An
+article or main and what holds one is not cut by a word about a state (has-sidebar, comments-open), nor as a form or
+header, and outside an article by no word at all if the page has no other article. With fewer than MIN_PAGES pages a
+node's importance is not judged by numbers.
 
 What remains is the text of the article elements, or of the body if there are none: character references are decoded,
 white space inside a block becomes one space, blocks are joined by a line's end.
@@ -30,13 +36,16 @@ from pyspark.sql import functions as F
 
 from .common import sized, written
 
-GAMMA, LOW, MIN_PAGES = 0.9, 0.3, 8
+GAMMA, LOW, MIN_PAGES, VARIED = 0.9, 0.3, 8, 0.02
 #: Elements that are never the article's text, and words that say so in a class, id or role (fixed values).
 NOISE_TAGS = frozenset("nav footer aside form script style noscript iframe button select option input textarea label svg canvas template dialog object embed audio video head title menu".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar side-bar widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies discussion disqus respond related recommended share sharing social newsletter subscribe subscription login signup search pagination pager toolbar masthead topbar skip hidden".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Beside a noise word these tell a state of the element, not what it is; the tags may stand round a whole page.
+STATES = frozenset("has have with no not without open opened closed enabled disabled on off".split())
+ROUND = frozenset(("form", "header"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A new one of these ends an open paragraph; list items, cells and the like end one of their own kind.
@@ -48,16 +57,18 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "sig", "path", "noise", "parts", "main")
+    __slots__ = ("tag", "sig", "path", "noise", "named", "parts", "main", "inner", "holds")
 
-    def __init__(self, tag: str, sig: str, path: int, noise: bool, main: bool):
-        self.tag, self.sig, self.path, self.noise, self.main = tag, sig, path, noise, main
+    def __init__(self, tag: str, sig: str, path: int, noise: bool, named: bool, main: bool, inner: bool):
+        # noise by the tag or a word, named by a word that tells no state; main: is or is in one; inner: is below an article; holds: is or has an article or main below
+        self.tag, self.sig, self.path, self.noise, self.named, self.main, self.inner = tag, sig, path, noise, named, main, inner
+        self.holds = tag in MAIN
         self.parts: list[Node | str] = []
 
 
 def parse(page: str) -> Node:
     """The element tree; unknown ends are ignored, and what is left open ends with its parent."""
-    root = Node("", "", 0, False, False)
+    root = Node("", "", 0, False, False, False, False)
     stack, at = [root], 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -95,8 +106,14 @@ def parse(page: str) -> Node:
         if m[5] and (named := NAMES.findall(m[5])):
             words = [w for _, v in named for w in re.split(r"[\s\"']+", v.lower()) if w]
             sig = tag + "." + ".".join(sorted(re.sub(r"\d+", "0", w) for w in words))
-        noise = tag in NOISE_TAGS or (tag == "header" and not up.main) or any(w in NOISE_WORDS or any(x in NOISE_WORDS for x in re.split(r"[-_:]", w)) for w in words)
-        node = Node(tag, sig, xxhash.xxh64_intdigest(f"{up.path}/{sig}") >> 1, noise, up.main or tag in MAIN)
+        said = [w for w in words if w in NOISE_WORDS or any(x in NOISE_WORDS for x in re.split(r"[-_:]", w))]
+        noise = tag in NOISE_TAGS or (tag == "header" and not up.main) or bool(said)
+        named = any(STATES.isdisjoint(re.split(r"[-_:]", w)) for w in said)
+        node = Node(tag, sig, xxhash.xxh64_intdigest(f"{up.path}/{sig}") >> 1, noise, named, up.main or tag in MAIN, up.inner or up.tag == "article")
+        for x in reversed(stack) if tag in MAIN else ():
+            if x.holds:
+                break
+            x.holds = True
         up.parts.append(node)
         if tag not in VOID and not m[5].endswith("/"):
             stack.append(node)
@@ -128,58 +145,98 @@ def tree_rows(page: str) -> tuple[set, Counter, set]:
     return styles, texts, above
 
 
+def noisy(root: Node, low: frozenset[int]) -> set[int]:
+    """Identities of the elements that numbers cut: they and all below them are in low; ~path stands for a varied one, low outside articles only."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.parts if not isinstance(x, str)]
+    out: set[int] = set()
+    for node in reversed(order):
+        if not node.holds and (node.path in low or (not node.main and ~node.path in low)) and all(isinstance(x, str) or x.noise or id(x) in out for x in node.parts):
+            out.add(id(node))
+    return out
+
+
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     """The blocks of the page's article; low: paths of the branches to cut."""
     if not page:
         return ""
     root = parse(page)
-
-    def cut(node: Node, up: Node) -> bool:
-        return node.noise or (node.path in low and node.tag not in MAIN and not (up.main and node.sig == node.tag))
-
-    def articles(node: Node) -> list[Node]:
-        found, stack = [], [node]
+    numbers = noisy(root, low) if low else frozenset()
+
+    def by_name(node: Node, any_word: bool) -> bool:
+        if node.tag in ("html", "body"):
+            return False
+        if not node.holds:
+            return node.noise
+        if node.tag in NOISE_TAGS and node.tag not in ROUND:
+            return True
+        return node.named and (node.inner or not any_word)
+
+    def articles(any_word: bool) -> list[Node]:
+        found, stack = [], [root]
         while stack:
             n = stack.pop()
             for x in reversed(n.parts):
-                if not isinstance(x, str) and not cut(x, n):
+                if not isinstance(x, str) and x.holds and not by_name(x, any_word):
                     stack.append(x)
             if n.tag in MAIN:
                 found.append(n)
         return found
 
-    tops = articles(root)
+    tops, any_word = articles(False), False
+    if not tops and root.holds:
+        tops, any_word = articles(True), True
     if any(n.tag == "article" for n in tops):
         tops = [n for n in tops if n.tag == "article"]
-    seen, blocks, line = set(), [], []
 
-    def end():
-        if text := plain("".join(line)):
-            blocks.append(text)
-        line.clear()
-
-    for top in tops or [root]:
-        if id(top) in seen:  # stands inside one that is done
-            continue
-        end()
-        stack: list = [top]
-        while stack:
-            x = stack.pop()
-            if x is None:
-                end()
-            elif isinstance(x, str):
-                line.append(x)
-            else:
-                seen.add(id(x))
-                if x.tag == "br":
-                    line.append(" ")
-                block = x.tag in BLOCKS
-                if block:
+    def text_of(tops: list[Node], numbers) -> tuple[str, bool]:
+        seen, blocks, line, hit = set(), [], [], False
+
+        def end():
+            if text := plain("".join(line)):
+                blocks.append(text)
+            line.clear()
+
+        for top in tops:
+            if id(top) in seen:  # stands inside one that is done
+                continue
+            end()
+            stack: list = [top]
+            while stack:
+                x = stack.pop()
+                if x is None:
                     end()
-                    stack.append(None)
-                stack += [y for y in reversed(x.parts) if isinstance(y, str) or not cut(y, x)]
-    end()
-    return "\n".join(blocks)
+                elif isinstance(x, str):
+                    line.append(x)
+                else:
+                    seen.add(id(x))
+                    if x.tag == "br":
+                        line.append(" ")
+                    block = x.tag in BLOCKS
+                    if block:
+                        end()
+                        stack.append(None)
+                    for y in reversed(x.parts):
+                        if isinstance(y, str):
+                            stack.append(y)
+                        elif by_name(y, any_word):
+                            continue
+                        elif id(y) in numbers and y.tag not in ("html", "body") and not (x.main and y.sig == y.tag):
+                            hit = True
+                        else:
+                            stack.append(y)
+        end()
+        return "\n".join(blocks), hit
+
+    text, hit = text_of(tops or [root], numbers)
+    if hit:
+        whole = text_of(tops or [root], frozenset())[0]
+        if not text or (tops and 2 * len(text) < len(whole)):
+            return whole
+    return text
 
 
 def host_of(url: str = "url"):
@@ -188,7 +245,7 @@ def host_of(url: str = "url"):
 
 
 def style_tree(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, path, pages and importance of the nodes of the hosts' merged trees; pages (url, html)."""
+    """host, path, pages, importance and own (share of text that is on one page only) of the nodes of the hosts' merged trees; pages (url, html)."""
     chosen = pages.select(host_of().alias("host"), "html").where("host is not null and html is not null")
 
     def run(batches):
@@ -211,21 +268,22 @@ def style_tree(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -
     log_m = F.log(F.col("pages"))
     presentation = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), (log_m - F.col("nlogn") / F.col("pages")) / log_m)).otherwise(1.0)
     nodes = styles.select("host", "path", "pages", "l", presentation.alias("presentation"))
-    texts = rows.where("kind = 1").groupBy("host", "path").agg(F.sum("n").alias("times"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.col("n") * F.col("length")).alias("chars"))
+    texts = rows.where("kind = 1").groupBy("host", "path").agg(F.sum("n").alias("times"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.col("n") * F.col("length")).alias("chars"), F.sum(F.when(F.col("n") == 1, F.col("length")).otherwise(0)).alias("own"))
     texts = texts.join(nodes.select("host", "path", "pages"), ["host", "path"])
     content = F.when(F.col("pages") > 1, 1 - F.least(F.lit(1.0), F.col("nlogn") / F.col("times") / log_m)).otherwise(1.0)
-    leaves = texts.select("host", "path", "chars", content.alias("content"))
+    leaves = texts.select("host", "path", "chars", "own", content.alias("content"))
     above = rows.where("kind = 2").select("host", "path", F.col("x").alias("node"))
-    below = leaves.join(above, ["host", "path"]).groupBy("host", "node").agg((F.sum(F.col("content") * F.col("chars")) / F.sum("chars")).alias("content"))
+    below = leaves.join(above, ["host", "path"]).groupBy("host", "node").agg((F.sum(F.col("content") * F.col("chars")) / F.sum("chars")).alias("content"), (F.sum("own") / F.sum("chars")).alias("own"))
     tree = nodes.join(below.withColumnRenamed("node", "path"), ["host", "path"], "left")
     gamma = F.pow(F.lit(GAMMA), F.col("l"))
     importance = (1 - gamma) * F.col("presentation") + gamma * F.coalesce("content", F.lit(0.0))
-    return tree.select("host", "path", "pages", F.when(F.col("pages") >= min_pages, importance).otherwise(1.0).alias("importance"))
+    return tree.select("host", "path", "pages", F.when(F.col("pages") >= min_pages, importance).otherwise(1.0).alias("importance"), F.coalesce("own", F.lit(0.0)).alias("own"))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), low: float = LOW) -> DataFrame:
     """keep and `text`, the main text, of each row of pages (url, html)."""
-    cut = written(style_tree(pages).where(F.col("importance") < low).groupBy("host").agg(F.collect_list("path").alias("__low")).withColumnRenamed("host", "__host"), "style-cuts")
+    path = F.when(F.col("own") < VARIED, F.col("path")).otherwise(F.bitwise_not("path"))
+    cut = written(style_tree(pages).where(F.col("importance") < low).groupBy("host").agg(F.collect_list(path).alias("__low")).withColumnRenamed("host", "__host"), "style-cuts")
     chosen = pages.select(*keep, host_of().alias("__of"), F.col("html").alias("__html"))
     joined = chosen.join(sized(cut, ("__low",)), F.col("__of") == F.col("__host"), "left").drop("__of", "__host")  # else AQE splits a hot host
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields[:-2])

@@ -42,3 +42,30 @@ def test_query_has_the_articles(spark, sf):
         want = [" ".join(unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner[1] if inner else "")]
         have = re.sub(r"\s", "", r.text)
         assert have == re.sub(r"\s", "", "".join(want)) and r.n_chars == len(r.text)
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in extract(df).collect()}
+
+
+def test_a_host_that_is_mostly_copies_keeps_its_articles(spark):
+    body = ["a copied story of some length"] * 80 + [f"unique story {i} {i * i} of some length" for i in range(20)]
+    for before, after in (("<article>", "</article>"), ("<div id=wrap><article><div class=content>", "</div></article></div>"), ("<main><div class=content>", "</div></main>"), ("<div class=content>", "</div>")):
+        got = texts_of(spark, [f"<html><body><div class=top>Always the same</div>{before}<p>{x}</p>{after}</body></html>" for x in body])
+        assert len(got) == 100 and all(x in got[i] for i, x in enumerate(body)), before
+
+
+def test_long_menus_go_without_the_article(spark):
+    menu = "<div class=top><a>" + "the same long list of places " * 60 + "</a></div>"
+    for before, after in (("<article>", "</article>"), ("<div class=content>", "</div>")):
+        got = texts_of(spark, [f"<html><body><div id=wrap>{menu}{before}<p>the story of page {i} {i * i}</p><div class=box>The same box</div>{after}</div></body></html>" for i in range(40)])
+        assert got == {i: f"the story of page {i} {i * i}" for i in range(40)}
+
+
+def test_names_of_states_and_wrappers_keep_the_article():
+    assert main_text("<body class='has-sidebar'><article class='post comments-open'>a<div class=comments><article>c</article></div></article><div class=sidebar>s</div>") == "a"
+    assert main_text("<body class=modal>a") == "a"
+    assert main_text("<form id=f><main class=no-sidebar><article>a</article></main></form><div class=related><article>r</article></div>") == "a"
+    assert main_text("<div class=widget><article class=promo>a<div class=ad>x</div></article></div>") == "a"
+    assert main_text("<aside><article>r</article></aside><p>a") == "a"
