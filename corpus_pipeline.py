@@ -31,10 +31,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; of rows that repeat it, one."""
-    groups = simhash.near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).join(groups, F.col("doc_id") == F.col("__id"), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of similar texts (0.8 of their shingles of five words) the document with the smallest doc_id; of rows that repeat it, one."""
+    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.struct(*simhash.text_keys()).alias("node"))
+    groups = keyed.join(simhash.similar_texts(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("doc_id"))
+    return docs.join(groups.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

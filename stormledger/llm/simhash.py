@@ -6,6 +6,11 @@ of at most TILE classes, and each pair of a group's tiles is compared by numpy e
 population counts differ beyond the radius. A group larger than a tile is dealt over the tasks by its pairs of tiles, so
 no task holds more than two tiles of it. A task returns a forest of the links that it finds, not all of them.
 
+At a shingle Jaccard of 0.8 two fingerprints differ in about ten bits, for which exact bands would be too narrow. So
+similar_texts() adds keys of BANDS bands of ROWS minima of the hashed shingles (a pair at 0.8 shares one with probability
+0.9996, at 0.9 all but surely). Each text meets the two ends of its bucket in one of ORDERS orders, so a large bucket costs
+two pairs a text, and every candidate is checked on its shingles.
+
 Nulls: a null or blank text has fingerprint zero, a class like any other. A null doc_id is ignored when the smallest
 doc_id of a component is taken. Repeated rows are members each. An empty table gives an empty result.
 """
@@ -24,6 +29,8 @@ from .common import written
 from .components import components
 
 WORDS, SEED, RADIUS, TILE = 3, 42, 2, 2048
+SIMILAR_WORDS, SIMILARITY, BANDS, ROWS, ORDERS = 5, 0.8, 20, 5, 4
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -192,3 +199,81 @@ def near_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), radius: in
     named = joined.select("fp", "root").join(firsts, "root").select("fp", "component_id")
     # AQE splits a hot class
     return rows.join(named, "fp").select(*keep, "fp", "component_id")
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band from the least products of the hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * FACTORS).min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * FACTORS[0]
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def text_keys():
+    """A 128-bit key of a text as columns h and g; a null text has one too."""
+    return [F.xxhash64("text", F.lit(k)).alias(name) for k, name in ((3, "h"), (4, "g"))]
+
+
+def similar_texts(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """(node, root) of each distinct text of docs (text) with a similar one: keys (h, g), root being the least of its group.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles is at least `similarity`; blank texts are all alike.
+    """
+    chosen = docs.select(*text_keys(), "text")
+
+    def sketch(batches):
+        for batch in batches:
+            fps, sizes, keys, got, counts = [], [], [], [], []
+
+            def flush():
+                if counts:
+                    fps.append(majority(np.concatenate(got), np.array(counts, np.int64)))
+                got.clear()
+                counts.clear()
+
+            held = 0
+            for x in batch.column(2):
+                hashes = np.array(shingle_hashes(x.as_py(), words, seed), np.uint64)
+                got.append(hashes)
+                counts.append(len(hashes))
+                sizes.append(len(np.unique(hashes)))
+                keys.append(band_keys(hashes))
+                held += len(hashes)
+                if held > 1 << 18:
+                    flush()
+                    held = 0
+            flush()
+            none = np.zeros(0, np.int64)
+            bands_ = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([none, *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([none.view(np.uint64), *fps]).view(np.int64)), pa.array(sizes, pa.int32()), bands_], names=["h", "g", "fp", "size", "bands"])
+
+    rows = chosen.mapInArrow(sketch, "h long, g long, fp long, size int, bands array<long>")
+    nodes = written(rows.groupBy("h", "g").agg(*(F.any_value(c).alias(c) for c in ("fp", "size", "bands"))).select(F.struct("h", "g").alias("node"), "fp", "size", "bands"), "texts")
+    me = F.struct("node", "size").alias("x")
+    keyed = nodes.select(me, F.posexplode("bands").alias("band", "key"))
+    keyed = keyed.withColumn("y", F.struct(F.xxhash64("x.node", F.col("band") % ORDERS).alias("order"), "x"))
+    buckets = keyed.groupBy("key").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count("*").alias("n")).where("n > 1").select("key", F.explode(F.array("low.x", "high.x")).alias("z"))
+    pairs = keyed.join(buckets, "key").select("x", "z")
+    classes = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("z"), F.count("*").alias("n")), "classes")
+    pairs = pairs.unionByName(nodes.select("fp", me).join(classes.where("n > 1").select("fp", "z"), "fp").select("x", "z"))
+    linked = links(classes.select("fp"), radius).join(classes.select(F.col("fp").alias("a"), F.col("z").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), "z"), "b")
+    pairs = pairs.unionByName(linked.select("x", "z")).where((F.col("x.node") != F.col("z.node")) & (F.least("x.size", "z.size") >= F.greatest("x.size", "z.size") * similarity))
+    pairs = written(pairs.select(F.greatest("x.node", "z.node").alias("a"), F.least("x.node", "z.node").alias("b")).distinct(), "candidates")
+
+    def shingles(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(np.array(shingle_hashes(x.as_py(), words, seed), np.uint64)).view(np.int64) for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["h", "g", "shingles"])
+
+    wanted = pairs.select(F.col("a.h").alias("h"), F.col("a.g").alias("g")).unionByName(pairs.select("b.h", "b.g")).distinct()
+    sets = chosen.join(wanted, ["h", "g"], "left_semi").select("h", "g", "text").mapInArrow(shingles, "h long, g long, shingles array<long>")
+    sets = written(sets.groupBy("h", "g").agg(F.any_value("shingles").alias("shingles")).select(F.struct("h", "g").alias("node"), "shingles"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("common"), (F.size("s") + F.size("t")).alias("total"))
+    return components(both.where(F.col("common") >= (F.col("total") - F.col("common")) * similarity).select("a", "b"))

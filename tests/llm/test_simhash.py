@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from helpers import none_of, odd_documents
 from stormledger.llm import simhash
 from stormledger.llm.components import components
@@ -84,3 +85,41 @@ def test_odd_rows(spark):
     assert by[2] == by[3] == by[7] == (0, 2)
     assert by[1] == by[5] and by[1][1] == 1
     assert simhash.near_groups(none_of(odd_documents(spark))).collect() == []
+
+
+def sets_of(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def jaccard(a, b):
+    a, b = sets_of(a), sets_of(b)
+    return len(a & b) / len(a | b)
+
+
+def test_planted_copies_from_0_8_on(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in range(40):  # a text, and copies that are more and more changed
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        texts.append(" ".join(words))
+        for changed in (1, 2, 3, 4, 8, 12):
+            copy = list(words)
+            for at in np.linspace(10, 190, changed).astype(int):
+                copy[at] = f"new{n}-{changed}"
+            texts.append(" ".join(copy))
+    near = [(i, k) for i in range(len(texts)) for k in range(i) if i // 7 == k // 7 and jaccard(texts[i], texts[k]) >= 0.8]
+    want = brute_links(len(texts), near)
+    assert sum(0.8 <= jaccard(texts[7 * n], texts[7 * n + 4]) < 0.95 for n in range(40)) == 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()}
+    assert kept == set(want.values())
+    assert corpus_pipeline.near_copies(spark, none_of(df), "").collect() == []
+
+
+def brute_links(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    return dict(enumerate(root))
