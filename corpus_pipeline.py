@@ -31,10 +31,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts (0.8 of their shingles of five words) the document with the smallest doc_id; of rows that repeat it, one."""
-    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.struct(*simhash.text_keys()).alias("node"))
-    groups = keyed.join(simhash.similar_texts(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(groups.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of similar texts (0.8 of their shingles of five words) one row: the smallest doc_id, and of different texts under it or none the least by hash.
+
+    A row without a doc_id comes last; it stays unless its text is similar to that of another row. Of rows that repeat one, one stays.
+    """
+    h, g = simhash.text_keys()
+    keyed = docs.select("doc_id", F.struct(h, g).alias("node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
+    groups = keyed.join(simhash.similar_texts(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(first.alias("x"))
+    chosen = groups.select(F.col("x.doc_id").alias("__id"), F.col("x.node.h").alias("__h"), F.col("x.node.g").alias("__g"))
+    rows = docs.withColumns({"__h2": h, "__g2": g})
+    same = (F.col("__h2") == F.col("__h")) & (F.col("__g2") == F.col("__g")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__h2", "__g2"]).select(*docs.columns)
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The unit of an edit is a word and the edit bound is one: two lines of NEAR_WORDS words or more are near duplicates if one
 word inserted, deleted or replaced makes them equal. Lines of MIN_WORDS words or more are duplicates if they are equal.
-A line goes if an earlier one, by (doc_id, number of the line), is its duplicate or near duplicate, kept or not; shorter
+A line goes if an earlier one, by (doc_id, hash of the text, number of the line), is its duplicate or near duplicate, kept or not; shorter
 lines always stay. White space at a line's ends and the length of its runs make no difference.
 
 1. Each line gets a 128-bit key, and a long one the hashes of its first and last halves. Equal lines become one row.
@@ -12,8 +12,8 @@ lines always stay. White space at a line's ends and the length of its runs make
    need only the earliest of a key, so a key with very many lines costs a partial minimum, not its pairs.
 4. The pairs found are verified on their words; then the lines that go are cut out of their documents.
 
-Nulls: a null text stays null; a null doc_id comes before all others. Empty texts stay. Repeated rows with one doc_id tie
-with one another and keep or lose the same lines. An empty table gives an empty result. Other columns stay as they are.
+Nulls: a null text stays null; a null doc_id comes before all others. Empty texts stay. Different texts under one doc_id,
+or under none, are rows of their own. Repeated rows of one doc_id and text tie and keep or lose the same lines. An empty table gives an empty result. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -36,16 +36,21 @@ def tidy(line: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
 
 
+def text_key() -> Column:
+    """With doc_id the key of a row."""
+    return F.xxhash64("text", F.lit(2))
+
+
 def lines_of(docs: DataFrame, near_words: int) -> DataFrame:
-    """doc_id, line_no, h, g (the line's key), n (words) and halves (hashes, null for a short line) of each line."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", tidy(F.col("line")).alias("line"))
+    """doc_id, k (the text's key), line_no, h, g (the line's key), n (words) and halves (hashes, null for a short line) of each line."""
+    lines = docs.select("doc_id", text_key().alias("k"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "k", "line_no", tidy(F.col("line")).alias("line"))
     lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1))
 
     def half(kind: int, k: str) -> Column:  # the first or last k words
         return F.expr(f"xxhash64({kind}, {k}, substring_index(line, ' ', cast({'-' * kind}({k}) as int)))")
 
     halves = F.array(*[half(kind, k) for kind in (0, 1) for k in ("n div 2", "(n - 1) div 2")])
-    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), "n", F.when(F.col("n") >= near_words, halves).alias("halves"))
+    return lines.select("doc_id", "k", "line_no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), "n", F.when(F.col("n") >= near_words, halves).alias("halves"))
 
 
 def without(line: str, n: str, pos: str) -> Column:
@@ -59,11 +64,12 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     shared = keyed.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
     found = keyed.join(shared, "half", "left_semi").groupBy("h", "g").agg(F.max(~F.col("suffix")).alias("prefix"), F.max("suffix").alias("suffix"))
     found = found.join(distinct.select("h", "g", "first"), ["h", "g"])
-    places = written(found.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line_no", "h", "g", "prefix", "suffix")).alias("lines")), "line-places")
-    texts = docs.select("doc_id", "text").join(sized(places, ("lines",)), F.col("text").isNotNull() & docs["doc_id"].eqNullSafe(places["doc_id"])).drop(docs["doc_id"])
-    texts = texts.withColumn("parts", F.split("text", "\n")).select("doc_id", "parts", F.explode("lines").alias("x"))
-    texts = texts.select("x.h", "x.g", "x.prefix", "x.suffix", F.struct("doc_id", F.col("x.line_no").alias("line_no")).alias("ord"), tidy(F.expr("try_element_at(parts, x.line_no + 1)")).alias("line"))
-    # of repeated doc_ids only the row that has the line counts
+    places = written(found.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.k").alias("k")).agg(F.collect_list(F.struct("first.line_no", "h", "g", "prefix", "suffix")).alias("lines")), "line-places")
+    keyed = docs.select(F.col("doc_id").alias("__id"), text_key().alias("__k"), "text").where("text is not null")
+    texts = keyed.join(sized(places, ("lines",)), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__k") == F.col("k")))
+    texts = texts.withColumn("parts", F.split("text", "\n")).select("doc_id", "k", "parts", F.explode("lines").alias("x"))
+    texts = texts.select("x.h", "x.g", "x.prefix", "x.suffix", F.struct("doc_id", "k", F.col("x.line_no").alias("line_no")).alias("ord"), tidy(F.expr("try_element_at(parts, x.line_no + 1)")).alias("line"))
+    # of repeated rows one counts
     texts = texts.where((F.xxhash64("line") == F.col("h")) & (F.xxhash64("line", F.lit(1)) == F.col("g"))).dropDuplicates(["h", "g"])
     lines = written(texts.withColumn("n", F.size(F.split("line", " "))), "line-candidates")
 
@@ -91,13 +97,13 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) with the text of the lines that stay, n_lines and n_dropped (both null for a null text)."""
     lines = written(lines_of(docs, near_words), "lines").where(F.col("n") >= min_words)
-    firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
+    firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "k", "line_no")).alias("first"), F.count("*").alias("times"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
     distinct = written(firsts, "lines-distinct")
     near = near_lines(distinct.drop("times", "n"), docs).withColumn("near", F.lit(True))
     repeated = distinct.select("h", "g", "first", "times").join(near, ["h", "g"], "left").where("times > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    goes = lines.select("doc_id", "line_no", "h", "g").join(repeated, ["h", "g"]).where(F.col("near") | (F.struct("doc_id", "line_no") > F.col("first")))
-    cut = written(goes.groupBy("doc_id").agg(F.collect_set("line_no").alias("cut")), "lines-cut")  # no more than a document's lines
-    joined = docs.join(sized(cut, ("cut",)).withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    goes = lines.select("doc_id", "k", "line_no", "h", "g").join(repeated, ["h", "g"]).where(F.col("near") | (F.struct("doc_id", "k", "line_no") > F.col("first")))
+    cut = written(goes.groupBy("doc_id", "k").agg(F.collect_set("line_no").alias("cut")), "lines-cut")  # no more than a document's lines
+    joined = docs.join(sized(cut, ("cut",)).withColumnsRenamed({"doc_id": "__id", "k": "__k"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__k")), "left").drop("__id", "__k")
     parts = F.split("text", "\n")
     kept = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n"))
     return joined.withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(parts))).withColumn("n_dropped", F.when(F.col("text").isNotNull(), F.greatest(F.coalesce(F.size("cut"), F.lit(0)), F.lit(0)))).withColumn("text", kept).drop("cut")

@@ -74,3 +74,16 @@ def test_counts_of_a_text():
     assert host_rules.text_counts("a b c a b c\n#x\n\n#x ") == (8, 11, 2, 0, 6)
     assert host_rules.text_counts("x y\nx y\n \n") == (4, 4, 0, 1, 0)
     assert host_rules.text_counts(None) == (0, 0, 0, 0, 0)
+
+
+def test_different_texts_under_one_id_or_none(spark):
+    common = "the very same words stand here"
+    rows = [(i, f"{common}\nfirst own line of {n}\n{common}\nsecond own line of {n}") for n, i in enumerate((7, 7, 7, None, None, None))]
+    df = spark.createDataFrame([*rows, rows[0], rows[3]], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()]
+    assert len(got) == 8
+    for n, (i, _) in enumerate(rows):
+        mine = [t for k, t in got if k == i and f"first own line of {n}" in t]
+        assert len(mine) == (2 if n in (0, 3) else 1) and len(set(mine)) == 1
+        assert mine[0].replace(common + "\n", "") == f"first own line of {n}\nsecond own line of {n}"
+    assert sum(t.count(common) for _, t in set(got)) == 1

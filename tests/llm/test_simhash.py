@@ -123,3 +123,11 @@ def brute_links(n, pairs):
         x, y = sorted((root[a], root[b]))
         root = [x if r == y else r for r in root]
     return dict(enumerate(root))
+
+
+def test_rows_with_one_id_or_none_stay_unless_they_are_copies(spark):
+    own = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    rows = [(1, own[0]), (1, own[1]), (1, own[1]), (None, own[2]), (None, own[3]), (None, own[3]), (None, own[0] + " more"), (2, own[4]), (3, own[4] + " more"), (None, own[5] + " more"), (None, own[5])]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    fixed = [(1, own[0]), (1, own[1]), (None, own[2]), (None, own[3]), (2, own[4])]
+    assert len(got) == 6 and set(fixed) < set(got) and (set(got) - set(fixed)).pop() in rows[-2:]
