@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import checkpointed
+
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, every: int = 3) -> DataFrame:
     """rows with `split`: in each stratum, ordered by the key's SHA-256, every third row is test."""
@@ -57,28 +59,26 @@ def bootstrap_ci(values: DataFrame, group: str, value: str, resamples: int = 500
     return means.groupBy(group).agg(F.max("rows").alias("n"), (F.max("total") / F.max("rows")).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
-def greedy_dedupe(pairs: DataFrame, events: DataFrame, roots: DataFrame) -> DataFrame:
+def greedy_dedupe(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """event_id and anchor: events scanned from the latest on, each attached to the first anchor that a pair links it to, else an anchor itself.
 
-    pairs: (event_id_a, event_id_b); roots: (node, root) of their connected components. Only events with a pair are
-    grouped, by component; the scan inside a component is sequential by definition.
+    pairs: (event_id_a, event_id_b). The scan's outcome is found in rounds: an undecided event without an undecided partner
+    before it is an anchor, its later partners are none. A round is joins of written tables; no component is one group.
     """
-    order = events.select("event_id", F.unix_micros("ts").alias("us"))
-    both = pairs.select(F.col("event_id_a").alias("event_id"), F.col("event_id_b").alias("other")).unionByName(pairs.select(F.col("event_id_b").alias("event_id"), F.col("event_id_a").alias("other")))
-    linked = both.groupBy("event_id").agg(F.collect_list("other").alias("others")).join(order, "event_id").join(roots.select(F.col("node").alias("event_id"), "root"), "event_id")
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "event_id"], ascending=[False, True])
-        anchors: dict[int, int] = {}
-        found = {}
-        for e, others in zip(pdf["event_id"].tolist(), pdf["others"].tolist(), strict=True):
-            at = min((anchors[o] for o in others if o in anchors), default=None)
-            if at is None:
-                anchors[e] = len(anchors)
-                found[e] = e
-            else:
-                found[e] = next(a for a, k in anchors.items() if k == at)
-        return pd.DataFrame({"event_id": list(found), "anchor": list(found.values())})
-
-    attached = linked.select("root", "event_id", "us", "others").groupBy("root").applyInPandas(scan, "event_id long, anchor long")
+    order = events.select("event_id", F.struct((-F.unix_micros("ts")).alias("us"), "event_id").alias("key"))
+    ends = [order.select(F.col("event_id").alias(f"event_id_{x}"), F.col("key").alias(x)) for x in "ab"]
+    both = pairs.select("event_id_a", "event_id_b").join(ends[0], "event_id_a").join(ends[1], "event_id_b")
+    links = checkpointed(both.select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier")).distinct())
+    left, open_ = links, checkpointed(links.select(F.col("later").alias("key")).unionByName(links.select(F.col("earlier").alias("key"))).distinct())
+    anchors = None
+    while anchors is None or open_.limit(1).count():
+        new = checkpointed(open_.join(left.select(F.col("later").alias("key")), "key", "left_anti"))
+        anchors = new if anchors is None else checkpointed(anchors.unionByName(new))
+        near = left.join(new.withColumnRenamed("key", "earlier"), "earlier", "left_semi").select(F.col("later").alias("key"))
+        gone = checkpointed(new.unionByName(near).distinct())
+        open_ = checkpointed(open_.join(gone, "key", "left_anti"))
+        left = checkpointed(left.join(gone.withColumnRenamed("key", "later"), "later", "left_anti").join(gone.withColumnRenamed("key", "earlier"), "earlier", "left_anti"))
+    first = links.join(anchors.withColumnRenamed("key", "earlier"), "earlier", "left_semi").groupBy("later").agg(F.min("earlier").alias("first"))
+    # an anchor has no anchor before it, so it has no row in first
+    attached = first.select(F.col("later.event_id").alias("event_id"), F.col("first.event_id").alias("anchor"))
     return events.select("event_id").join(attached, "event_id", "left").withColumn("anchor", F.coalesce("anchor", "event_id"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from stormledger.functions import columns as C
 from stormledger.operators import evaluation, joins, ledger
-from stormledger.operators.components import pair_components
 from stormledger.sources.hazard import GRID, HAZARD, hazard_events, population_grid, table
 from stormledger.streaming.lifecycle import stream_lifecycle as stream
 
@@ -65,7 +64,7 @@ def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy proximity dedupe: anchors of all events that are no wildfires."""
     h = hazard_events(spark, sf_dir).where("type <> 'Wildfire'")
     pairs = joins.near_pairs(h)
-    return evaluation.greedy_dedupe(pairs, h, pair_components(pairs, "event_id_a", "event_id_b"))
+    return evaluation.greedy_dedupe(pairs, h)
 
 
 STABLE = "CASE WHEN origin IN ('gdacs', 'cems') THEN origin || ':' || upper(left(type, 2)) || ':' || source_id ELSE 'event:' || upper(left(type, 2)) || ':' || left(sha1(origin || '|' || source_id), 16) END"

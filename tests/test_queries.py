@@ -51,3 +51,23 @@ def test_the_rest_imports_without_the_optional_part():
         for n in names:
             if n.endswith(".py") and "/llm" not in root:
                 assert "stormledger.llm" not in open(os.path.join(root, n)).read()
+
+
+def test_greedy_dedupe_has_no_group_of_a_component(spark):
+    import random
+
+    from stormledger.operators.evaluation import greedy_dedupe
+
+    rng = random.Random(4)
+    when = {i: rng.randrange(40) for i in range(120)}
+    linked = {(i, i + 1) for i in range(119)} | {tuple(sorted(rng.sample(range(120), 2))) for _ in range(60)}  # one component
+    events = spark.createDataFrame(list(when.items()), "event_id long, at long").selectExpr("event_id", "timestamp_seconds(at) AS ts")
+    df = greedy_dedupe(spark.createDataFrame(sorted(linked), "event_id_a long, event_id_b long"), events)
+    anchors, want = [], {}
+    for e in sorted(when, key=lambda e: (-when[e], e)):
+        at = next((a for a in anchors if (min(a, e), max(a, e)) in linked), None)
+        if at is None:
+            anchors.append(e)
+        want[e] = e if at is None else at
+    assert {r.event_id: r.anchor for r in df.collect()} == want
+    assert "InPandas" not in df._jdf.queryExecution().toString()
