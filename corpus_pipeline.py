@@ -51,7 +51,7 @@ def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", quality), ("toxicity", toxicity), ("line dedup", lines), ("simhash near-dedup", near_copies), ("best-fit packing", packing_)]
-#: The classifiers are not SQL; tests hold the stages against brute force.
+#: The classifiers are not SQL; of the stages tests hold near copies against brute force.
 ORACLE_SQL = None
 
 

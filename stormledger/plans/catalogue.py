@@ -177,7 +177,7 @@ def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CELLS + "SELECT type, count(*) AS cells, sum(people)::BIGINT AS people FROM touched GROUP BY type")
 def zonal_by_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """People inside the union of each hazard's footprints: distinct cells, then sums."""
+    """People inside the union of each hazard's footprints: distinct cells of half-degree squares, then sums (F8, F10; no ray casting, D16)."""
     return touched(spark, sf_dir).groupBy("type", "row", "col").agg(F.first("people").alias("people")).groupBy("type").agg(F.count("*").alias("cells"), F.sum("people").alias("people"))
 
 
@@ -190,7 +190,7 @@ def zonal_population_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(HAZARD + ", " + GRID + """SELECT event_id, row, col, people, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, cell DESC) AS rank, count(*) OVER (PARTITION BY event_id) AS n
   FROM (SELECT event_id, row, col, people, row * 1000 + col AS cell, round(people - 10 * (abs(lat_c - lat) + abs(lon_c - lon)), 6) AS score FROM hazard, grid WHERE alert = 'Red' AND type = 'Storm' AND abs(lat_c - lat) <= 1.5 AND abs(lon_c - lon) <= 1.5)) WHERE rank <= floor(n * 0.2)""")
 def topk_cells_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best fifth of each storm's cells by score."""
+    """The best fifth of each storm's cells by score (G5; people less distance, not F33's Gaussian sum)."""
     storms = hazard_events(spark, sf_dir).where("alert = 'Red' and type = 'Storm'").select("event_id", "lat", "lon")
     cells = joins.cells_within(storms, population_grid(spark), 1.5)
     scored = cells.withColumn("cell", F.col("row") * 1000 + F.col("col")).withColumn("score", F.round(F.col("people") - 10 * (F.abs(F.col("lat_c") - F.col("lat")) + F.abs(F.col("lon_c") - F.col("lon"))), 6))
