@@ -8,15 +8,22 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fold of a labelled row: the remainder of crc32(doc_id as text) by FOLDS; HELD_OUT is never learned from.
 FOLDS, HELD_OUT = 3, 1
 
 
+#: Tables written in this process that release() removes.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -27,10 +34,21 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df as a table in the shared folder, read again: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes the tables that written() left in the shared folder, once the results that read them are stored; their number."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    n = len(WRITTEN)
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +62,21 @@ def rank_in_crc(col: str):
     return F.xxhash64(F.col(col), F.lit("sample"))
 
 
+def with_fields(fields, ddl: str) -> StructType:
+    """A schema: these fields, whatever their names, then those of ddl."""
+    return StructType([*fields, *StructType.fromDDL(ddl).fields])
+
+
+def packed_rows(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns of docs and `__row` with all columns, so that no other name of docs meets one of an operator."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The columns that packed_rows() put away."""
+    return df.select("__row.*")
+
+
 def crc32_u32(ids) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -52,8 +85,8 @@ def crc32_u32(ids) -> int:
 BROADCAST_BYTES = 16 << 20
 
 
-def sized(df: DataFrame, arrays: tuple[str, ...] = (), row_bytes: int = 48, limit: int = BROADCAST_BYTES) -> DataFrame:
+def sized(df: DataFrame, arrays: tuple[str, ...] = (), row_bytes: int = 48, element_bytes: int = 16, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df (a written table), marked for broadcast if its rows and the elements of its `arrays`, counted here, are below limit."""
     elements = sum((F.coalesce(F.sum(F.size(a)), F.lit(0)) for a in arrays), F.lit(0))
     n, m = df.agg(F.count("*"), elements).first()
-    return F.broadcast(df) if n * row_bytes + m * 16 <= limit else df
+    return F.broadcast(df) if n * row_bytes + m * element_bytes <= limit else df

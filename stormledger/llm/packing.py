@@ -21,8 +21,8 @@ from .common import crc32_u32, written
 from .tokens import encoder_of, slices
 
 CAPACITY = 2048
-#: Patterns that are tried for each first length, and steps of the least-squares fit.
-PER_LENGTH, STEPS = 6, 300
+#: Patterns that are tried for each first length, steps of a least-squares fit, and fits at most, each of what the last one left.
+PER_LENGTH, STEPS, REFITS = 6, 300, 6
 #: Buckets of doc_id in which ranks are counted, at least.
 BUCKETS = 64
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -143,15 +143,22 @@ def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Contents of sequences and how many have them; together they hold exactly hist."""
     left, out = hist.copy(), []
-    if pats := patterns(hist):
-        x = fit(pats, hist)
+    for _ in range(REFITS):
+        pats = patterns(left)
+        if not pats:
+            break
+        x, found = fit(pats, left), False
         for k in np.argsort(-x, kind="stable").tolist():
             lengths, times = np.unique(pats[k], return_counts=True)
-            if (r := min(int(x[k]), int((left[lengths] // times).min()))) > 0:
+            # the first time rounded down; what is left is fitted again and rounded to the nearest
+            r = min(int(x[k] + (0.5 if out else 0)), int((left[lengths] // times).min()))
+            if r > 0:
                 left[lengths] -= r * times
                 out.append((pats[k], r))
-    packed, plain = out + best_fit(left), best_fit(hist)
-    return min(packed, plain, key=lambda p: sum(m for _, m in p))
+                found = True
+        if not found:
+            break
+    return out + best_fit(left)
 
 
 def segments(planned: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
