@@ -2,16 +2,18 @@
 
 A text's lattice has an edge for each piece of the model at each place; a piece's probability follows Zipf's law by its
 rank in the model (the file has ranks only, and nothing is trained), a character without a piece becomes its bytes. No
-piece goes across a space, so the lattice is a chain of the lattices of chunks (a space with what follows), which are
-built once for each distinct chunk of a batch: edges by rolling hashes of substrings, then backward sums, so that every
+piece goes from a character into a space, so the lattice is a chain of the lattices of chunks (a run of spaces with what
+follows), which are built once for each distinct chunk of a batch: edges by rolling hashes of substrings, then backward sums, so that every
 edge has its probability given where it starts.
 
 The search is over sets of segmentations. The first set holds all, with a Gumbel number as the perturbed maximum; its
 best member is drawn edge by edge. What is left of a set after a member is taken is split by the first edge that differs,
 and each part draws its own perturbed maximum below its set's. The part with the largest is next, until k members are
-out. A set whose share of its member's is below 2**-53, that is lost in double precision, is not split further. All draws
-are hashes of the row key, the member's number and the place, whatever batch a row is in. log_inclusion is the logarithm
-of the chance that a segmentation's perturbed score is over the first one not emitted.
+out. Parts whose share of their member's set is below exp(LOST) stay one set, split in the same way if it is ever the
+largest. All draws are hashes of the row key, the member's number and the place, whatever batch a row is in.
+log_inclusion is the logarithm of the chance that a segmentation's perturbed score is over the first one not emitted.
+
+The model writes a space as U+2581, so a text that has that character is decoded with a space for it, as by the library.
 
 Nulls: a null or empty text has the empty segmentation alone. A null doc_id is a key like any other. Repeated rows give
 repeated samples. A text with fewer than k segmentations has fewer rows. An empty table gives an empty result.
@@ -78,9 +80,10 @@ class Model:
                 self.bytes[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
-                if SPACE not in piece[1:]:
-                    pieces.append(piece)
-                    ids.append(i)
+                if SPACE in piece.lstrip(SPACE):
+                    raise ValueError(f"piece {piece!r} goes across a space")
+                pieces.append(piece)
+                ids.append(i)
         self.longest = max(map(len, pieces))
         order = np.argsort(ids)
         rank = np.empty(len(ids))
@@ -215,7 +218,7 @@ def below(phi: np.ndarray, u: np.ndarray, top: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(phi), -np.inf, -np.logaddexp(-top, -phi + np.log(-np.log(u))))
 
 
-def top_k(lattice: Lattice, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, k: int):
+def top_k(lattice: Lattice, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, k: int, lost: float = LOST):
     """Per member that is emitted: document, number, log-probability, perturbed score, log inclusion, and its edges.
 
     words: chunk numbers of all documents one after another, counts of them by document.
@@ -229,41 +232,75 @@ def top_k(lattice: Lattice, words: np.ndarray, counts: np.ndarray, keys: np.ndar
     paths = [{d: (edges[a:b], word_of[a:b]) for d, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))}]
     top = -np.log(-np.log(uniform(keys, 1)))
     x_none = np.zeros(0)
-    out, cand = [], {"doc": [], "g": [], "member": [], "at": [], "phi": []}
+    out, cand = [], {"doc": [], "g": [], "member": [], "at": [], "phi": [], "tail": []}
+
+    def add(which, g, member, at, phi, tail):
+        for name, x in (("doc", which), ("g", g), ("member", np.full(len(which), member)), ("at", at), ("phi", phi), ("tail", np.full(len(which), tail))):
+            cand[name].append(x)
 
     def emit(member, which, edges, sizes, score, skip):
         """Add members and the parts of their sets, from step skip on."""
         lp = lattice.logp[edges]
         begins = (np.cumsum(sizes) - sizes).tolist()
-        totals, heads_ = np.zeros(len(which)), []
+        totals, heads_, tails = np.zeros(len(which)), [], []
         for j, (a, n) in enumerate(zip(begins, sizes.tolist())):  # each on its own: the same in every batch
             if n:
                 x = np.cumsum(lp[a : a + n])
                 totals[j] = x[-1]
-                heads_.append(np.append(0.0, x[:-1])[: int(np.searchsorted(-x, -LOST)) + 1])
+                heads_.append(np.append(0.0, x[:-1])[: int(np.searchsorted(-x, -lost)) + 1])
+                t = max(len(heads_[-1]), int(skip[j]))
+                if t < n and x[-1] < x[t - 1]:
+                    tails.append((j, t, x[t - 1], x[t - 1] + np.log1p(-np.exp(x[-1] - x[t - 1]))))
             else:
                 heads_.append(x_none)
         doc = np.repeat(np.arange(len(which)), lengths := np.fromiter(map(len, heads_), np.int64, len(heads_)))
         step = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         prefix, at = np.concatenate([x_none, *heads_]), np.array(begins, np.int64)[doc] + step
-        some = np.flatnonzero((prefix > LOST) & (lp[at] < 0) & (step >= skip[doc]))
+        some = np.flatnonzero((lp[at] < 0) & (step >= skip[doc]))
         phi = prefix[some] + np.log1p(-lattice.p[edges[at[some]]])
         g = below(phi, uniform(keys[which][doc[some]], np.full(len(some), 7 + member), step[some]), score[doc[some]])
-        for name, x in (("doc", which[doc[some]]), ("g", g), ("member", np.full(len(some), member)), ("at", step[some]), ("phi", prefix[some])):
-            cand[name].append(x)
+        add(which[doc[some]], g, member, step[some], prefix[some], False)
+        if tails:
+            j, t, before, phi = (np.array(x) for x in zip(*tails))
+            add(which[j], below(phi, uniform(keys[which][j], np.full(len(j), 11 + member), t), score[j]), member, t, before, True)
         out.append((which, np.full(len(which), member), totals, score))
 
+    def split_tail(c, d, m, t, before, top):
+        """The parts of a late set by the step of the first edge that differs, as below its member; one of them has the set's maximum."""
+        path = paths[m][d][0][t:]
+        x = before + np.cumsum(lattice.logp[path])
+        parts = max(int(np.searchsorted(before - x, -lost)), 1)
+        prefix = np.append(before, x[:-1])[:parts]
+        steps = np.flatnonzero(lattice.logp[path[:parts]] < 0)
+        late = bool(parts < len(path) and x[-1] < x[parts - 1])
+        phi = prefix[steps] + np.log1p(-lattice.p[path[steps]])
+        if late:
+            phi = np.append(phi, x[parts - 1] + np.log1p(-np.exp(x[-1] - x[parts - 1])))
+        share = np.cumsum(np.exp(phi - phi.max()))
+        u = uniform(keys[d : d + 1].repeat(len(phi)), np.full(len(phi), 13 + m), t + np.append(steps, [parts] * late))
+        new = below(phi, u, np.full(len(phi), top))
+        new[np.searchsorted(share, uniform(keys[d : d + 1], 17 + m, t)[0] * share[-1])] = top
+        add(np.full(len(steps), d), new[: len(steps)], m, t + steps, prefix[steps], False)
+        if late:
+            add(np.array([d]), new[-1:], m, np.array([t + parts]), x[parts - 1 : parts], True)
+
     emit(0, np.arange(docs), edges, np.diff(ends), top, np.zeros(docs, np.int64))
     taken: dict = {}
     for member in range(1, k + 1):
-        doc, g, of, at, phi = (np.concatenate(cand[x]) for x in ("doc", "g", "member", "at", "phi"))
-        cand = {"doc": [doc], "g": [g], "member": [of], "at": [at], "phi": [phi]}
-        largest = np.full(docs, -np.inf)
-        np.maximum.at(largest, doc, g)
-        some = np.flatnonzero((g == largest[doc]) & (g > -np.inf))[::-1]
-        place_of = np.full(docs, -1)
-        place_of[doc[some]] = some
-        best = place_of[place_of >= 0]
+        while True:
+            doc, g, of, at, phi, tail = (np.concatenate(x) for x in cand.values())
+            cand.update((name, [x]) for name, x in zip(cand, (doc, g, of, at, phi, tail)))
+            largest = np.full(docs, -np.inf)
+            np.maximum.at(largest, doc, g)
+            some = np.flatnonzero((g == largest[doc]) & (g > -np.inf))[::-1]
+            place_of = np.full(docs, -1)
+            place_of[doc[some]] = some
+            best = place_of[place_of >= 0]
+            if member == k or not tail[best].any():
+                break
+            for c in best[tail[best]].tolist():
+                split_tail(c, int(doc[c]), int(of[c]), int(at[c]), float(phi[c]), float(g[c]))
+            cand["g"] = [np.where(np.isin(np.arange(len(g)), best[tail[best]]), -np.inf, g), *cand["g"][1:]]
         if member == k:
             break
         starts, who, heads, new_words, rests = [], [], [], [], []
@@ -336,16 +373,31 @@ def decode(model: Model, ids) -> bytes:
     return b"".join(itemgetter(*ids)(model.bytes) if len(ids) > 1 else [model.bytes[i] for i in ids])[1:]
 
 
-def sample_texts(model: Model, texts: pa.Array, keys: np.ndarray, k: int):
+def with_runs(chunks: list[str], codes: np.ndarray, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The same chunks, but empty words (further spaces) belong to the chunk of the word that follows in their text."""
+    if not (empty := codes == (chunks.index("") if "" in chunks else -1)).any():
+        return [SPACE + w for w in chunks], codes, counts
+    last = np.zeros(len(codes), bool)
+    last[(np.cumsum(counts) - 1)[counts > 0]] = True
+    stays = np.flatnonzero(~empty | last)
+    runs = np.diff(stays, prepend=-1)  # a run of one is the word's own space
+    keys = runs * len(chunks) + codes[stays]
+    distinct, new = np.unique(keys, return_inverse=True)
+    per = np.bincount(np.repeat(np.arange(len(counts)), counts)[stays], minlength=len(counts))
+    return [SPACE * (x // len(chunks)) + chunks[x % len(chunks)] for x in distinct.tolist()], new, per
+
+
+def sample_texts(model: Model, texts: pa.Array, keys: np.ndarray, k: int, lost: float = LOST):
     """top_k of each text; edges are given as ids."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
-    lattice = Lattice(model, [SPACE + w for w in coded.dictionary.to_pylist()])
     words, counts = coded.indices.to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
     words, counts = words[np.repeat(~empty, counts)], np.where(empty, 0, counts)
-    for d, member, logprob, score, inclusion, path in top_k(lattice, words, counts, keys, k):
+    chunks, words, counts = with_runs(coded.dictionary.to_pylist(), words, counts)
+    lattice = Lattice(model, chunks)
+    for d, member, logprob, score, inclusion, path in top_k(lattice, words, counts, keys, k, lost):
         yield d, member, logprob, score, inclusion, ids_of_edges(model, lattice.what[path])
 
 

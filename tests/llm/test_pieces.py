@@ -3,8 +3,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import sentencepiece
 
 from helpers import ODD, none_of, odd_documents
@@ -31,20 +32,22 @@ def segmentations(chunk):
     return dict(cut(chunk))
 
 
-def draws(text, n, k):
+def draws(text, n, k, lost=ps.LOST):
     keys = ps.mix(np.arange(n).astype(np.uint64))
     out = {}
-    for d, member, logprob, score, inclusion, ids in ps.sample_texts(MODEL, pa.array([text] * n), keys, k):
+    for d, member, logprob, score, inclusion, ids in ps.sample_texts(MODEL, pa.array([text] * n), keys, k, lost):
         out.setdefault(d, []).append((member, logprob, score, inclusion, tuple(ids.tolist())))
     return out
 
 
-def test_first_draws_follow_the_lattice_and_no_sample_repeats():
-    text = "ab abc"
-    one, two = segmentations(ps.SPACE + "ab"), segmentations(ps.SPACE + "abc")
+@pytest.mark.parametrize("lost, gap", [(ps.LOST, " "), (-0.5, " "), (-2.0, " "), (ps.LOST, "  ")])
+def test_first_draws_follow_the_lattice_and_no_sample_repeats(lost, gap):
+    """Also with parts kept as one set from early on, and with pieces that are runs of spaces."""
+    text = f"ab{gap}abc"
+    one, two = segmentations(ps.SPACE + "ab"), segmentations(gap.replace(" ", ps.SPACE) + "abc")
     both = {a + b: p + q for a, p in one.items() for b, q in two.items()}
     total = math.log(sum(math.exp(p) for p in both.values()))
-    got = draws(text, 4000, 4)
+    got = draws(text, 4000, 4, lost)
     first, second = Counter(), Counter()
     for rows in got.values():
         assert [r[0] for r in rows] == [0, 1, 2, 3] and len({r[4] for r in rows}) == 4
@@ -81,7 +84,18 @@ def test_decoding_and_odd_rows(spark):
         assert r.decoded_crc32 == zlib.crc32(text.encode()) and sp.decode(r.ids) == text
         assert r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
     per = Counter(r.doc_id for r in rows)
-    assert all(per[i] == (n if not by[i] or not by[i].strip() else n * ps.K) for i, n in texts.items())
+    every = {None: 1, "": 1, " \t\n": 2}  # the two spaces at its start may be one piece
+    assert all(per[i] == n * every.get(by[i], ps.K) for i, n in texts.items())
     assert ps.samples(none_of(df), PATH).collect() == []
     again = ps.samples(df.repartition(3), PATH, with_ids=True).collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
+
+
+def test_runs_of_spaces_are_pieces():
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for text in ("   a", "a     b  c ", "  ", "a  "):
+        rows = draws(text, 300, 3)
+        ids = [i for r in rows.values() for x in r for i in x[4]]
+        assert any(set(sp.id_to_piece(i)) == {ps.SPACE} and len(sp.id_to_piece(i)) > 1 for i in ids), text
+        assert all(ps.decode(MODEL, list(x[4])).decode() == text for r in rows.values() for x in r)
+        assert abs(np.mean([sum(math.exp(r[1] - r[3]) for r in x) for x in rows.values()]) - 1) < 0.15
