@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 The unit of an edit is a word and the edit bound is one: two lines of NEAR_WORDS words or more are near duplicates if one
-word inserted, deleted or replaced makes them equal. Lines of MIN_WORDS words or more are duplicates if they are equal.
-A line goes if an earlier one, by (doc_id, hash of the text, number of the line), is its duplicate or near duplicate, kept or not; shorter
-lines always stay. White space at a line's ends and the length of its runs make no difference.
+word inserted, deleted or replaced makes them equal (with six words that is still a similarity over 0.8; in a shorter line
+one other word is another line). Lines with a word are duplicates if they are equal. A line goes if an earlier one, by
+(doc_id, hash of the text, number of the line), is its duplicate or near duplicate, kept or not. White space at a line's ends and the length of its runs make no difference.
 
 1. Each line gets a 128-bit key, and a long one the hashes of its first and last halves. Equal lines become one row.
 2. Lines within the bound share the first or the last half, so only lines with a shared half go on, with their texts.
@@ -13,7 +13,8 @@ lines always stay. White space at a line's ends and the length of its runs make
 4. The pairs found are verified on their words; then the lines that go are cut out of their documents.
 
 Nulls: a null text stays null; a null doc_id comes before all others. Empty texts stay. Different texts under one doc_id,
-or under none, are rows of their own. Repeated rows of one doc_id and text tie and keep or lose the same lines. An empty table gives an empty result. Other columns stay as they are.
+or under none, are rows of their own. Repeated rows of one doc_id and text tie and keep or lose the same lines. An empty
+table gives an empty result. Other columns stay as they are, but for one named n_lines or n_dropped, which gives way.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import sized, written
 
-MIN_WORDS, NEAR_WORDS = 3, 8
+MIN_WORDS, NEAR_WORDS = 1, 6
+#: A line that more than one in HOT of all lines equal is joined by broadcast (there are HOT such at most), the rest by shuffle.
+HOT = 4096
 #: White space inside a line besides the space (a fixed value).
 OTHER_BLANKS = "\t\v\f\r"
 
@@ -66,7 +69,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     found = found.join(distinct.select("h", "g", "first"), ["h", "g"])
     places = written(found.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.k").alias("k")).agg(F.collect_list(F.struct("first.line_no", "h", "g", "prefix", "suffix")).alias("lines")), "line-places")
     keyed = docs.select(F.col("doc_id").alias("__id"), text_key().alias("__k"), "text").where("text is not null")
-    texts = keyed.join(sized(places, ("lines",)), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__k") == F.col("k")))
+    texts = keyed.join(sized(places, ("lines",), element_bytes=64), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__k") == F.col("k")))
     texts = texts.withColumn("parts", F.split("text", "\n")).select("doc_id", "k", "parts", F.explode("lines").alias("x"))
     texts = texts.select("x.h", "x.g", "x.prefix", "x.suffix", F.struct("doc_id", "k", F.col("x.line_no").alias("line_no")).alias("ord"), tidy(F.expr("try_element_at(parts, x.line_no + 1)")).alias("line"))
     # of repeated rows one counts
@@ -100,13 +103,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "k", "line_no")).alias("first"), F.count("*").alias("times"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
     distinct = written(firsts, "lines-distinct")
     near = near_lines(distinct.drop("times", "n"), docs).withColumn("near", F.lit(True))
-    repeated = distinct.select("h", "g", "first", "times").join(near, ["h", "g"], "left").where("times > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    goes = lines.select("doc_id", "k", "line_no", "h", "g").join(repeated, ["h", "g"]).where(F.col("near") | (F.struct("doc_id", "k", "line_no") > F.col("first")))
+    repeated = distinct.select("h", "g", "first", "times").join(near, ["h", "g"], "left").where("times > 1 or near").select("h", "g", "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
+    many = distinct.agg(F.sum("times")).first()[0] or 0
+    repeated = written(repeated.withColumn("hot", F.col("times") > many / HOT), "lines-repeated").drop("times")
+    places = lines.select("doc_id", "k", "line_no", "h", "g")
+    hot, rest = repeated.where("hot").drop("hot"), repeated.where("not hot").drop("hot")
+    goes = places.join(F.broadcast(hot), ["h", "g"]).unionByName(places.join(F.broadcast(hot.select("h", "g")), ["h", "g"], "left_anti").join(rest, ["h", "g"]))  # HOT rows at most
+    goes = goes.where(F.col("near") | (F.struct("doc_id", "k", "line_no") > F.col("first")))
     cut = written(goes.groupBy("doc_id", "k").agg(F.collect_set("line_no").alias("cut")), "lines-cut")  # no more than a document's lines
-    joined = docs.join(sized(cut, ("cut",)).withColumnsRenamed({"doc_id": "__id", "k": "__k"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__k")), "left").drop("__id", "__k")
-    parts = F.split("text", "\n")
-    kept = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n"))
-    return joined.withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(parts))).withColumn("n_dropped", F.when(F.col("text").isNotNull(), F.greatest(F.coalesce(F.size("cut"), F.lit(0)), F.lit(0)))).withColumn("text", kept).drop("cut")
+    right = sized(cut, ("cut",)).alias("r")
+    left = docs.drop("n_lines", "n_dropped").alias("l")
+    joined = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("l.text", F.lit(2)) == F.col("r.k")), "left")
+    text, parts, gone = F.col("l.text"), F.split("l.text", "\n"), F.col("r.cut")
+    kept = F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    counts = F.when(text.isNotNull(), F.size(parts)).alias("n_lines"), F.when(text.isNotNull(), F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0))).alias("n_dropped")
+    return joined.select(*[kept.alias(c) if c == "text" else F.col(f"l.`{c}`") for c in left.columns], *counts)
 
 
 def lines_query(docs: DataFrame) -> DataFrame:
@@ -117,12 +128,12 @@ ORACLE = """
 WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, no, raw, trim(regexp_replace(raw, '[ \\t\\x0B\\f\\r]+', ' ', 'g')) AS line, doc_id * 1000000 + no AS ord FROM s),
 w AS (SELECT *, CASE WHEN line = '' THEN 0 ELSE len(string_split(line, ' ')) END AS n FROM l),
-d AS (SELECT line, min(ord) AS ord, any_value(n) AS n, string_split(line, ' ') AS w FROM w WHERE n >= 3 GROUP BY line),
-v AS (SELECT line, ord, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS k FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 8)),
+d AS (SELECT line, min(ord) AS ord, any_value(n) AS n, string_split(line, ' ') AS w FROM w WHERE n >= 1 GROUP BY line),
+v AS (SELECT line, ord, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS k FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 6)),
 r AS (SELECT line FROM (SELECT line, ord, min(ord) OVER (PARTITION BY k, i) AS least FROM v) WHERE least < ord),
-x AS (SELECT v.line AS longer, d.line AS shorter, v.ord AS o1, d.ord AS o2 FROM v JOIN d ON v.k = d.line WHERE d.n >= 8),
+x AS (SELECT v.line AS longer, d.line AS shorter, v.ord AS o1, d.ord AS o2 FROM v JOIN d ON v.k = d.line WHERE d.n >= 6),
 near AS (SELECT line FROM r UNION SELECT longer FROM x WHERE o2 < o1 UNION SELECT shorter FROM x WHERE o1 < o2),
-j AS (SELECT w.doc_id, w.no, w.raw, w.n >= 3 AND (w.line IN (SELECT line FROM near) OR w.ord > d.ord) AS goes FROM w LEFT JOIN d USING (line)),
+j AS (SELECT w.doc_id, w.no, w.raw, w.n >= 1 AND (w.line IN (SELECT line FROM near) OR w.ord > d.ord) AS goes FROM w LEFT JOIN d USING (line)),
 a AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY no) FILTER (WHERE NOT coalesce(goes, false)) AS text, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(goes, false)) AS n_dropped FROM j GROUP BY doc_id)
 SELECT documents.doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(a.text, '') END AS text, a.n_lines, a.n_dropped
 FROM documents LEFT JOIN a USING (doc_id)

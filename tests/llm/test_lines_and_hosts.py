@@ -33,7 +33,8 @@ def brute(docs):
         kept = []
         for line in (text or "").split("\n"):
             n, plain = len(line.split()), " ".join(line.split())
-            goes = n >= 3 and any(plain == s or (n >= 8 and len(s.split()) >= 8 and distance_within_one(plain, s)) for s in seen)
+            near = line_dedup.NEAR_WORDS
+            goes = n >= line_dedup.MIN_WORDS and any(plain == s or (n >= near and len(s.split()) >= near and distance_within_one(plain, s)) for s in seen)
             seen.append(plain)
             if not goes:
                 kept.append(line)
