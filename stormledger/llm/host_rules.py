@@ -1,5 +1,9 @@
 """Quality rules with host-level verdicts: failures by host, shrunk by an empirical beta prior, joined back to documents.
 
+A host's rate has a beta posterior. The host is rejected if the rate is, with some 95 % (LEVEL, by the normal
+approximation), over TIMES the mean of all hosts or over MAX_RATE. So a host with few documents needs nearly all of them to fail, and among hosts that are all
+alike none is rejected, whatever their common rate up to MAX_RATE.
+
 Nulls: a null text has no words and fails the base rule; documents without a host form one host of their own, which gets
 no verdict (they stand by their own rule). Repeated rows count each. An empty table gives an empty result.
 """
@@ -13,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, with_fields, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A host is rejected if its shrunk failure rate is over this.
-MAX_RATE = 0.5
+#: A host is rejected if the lower end of its failure rate (LEVEL deviations under the posterior mean) is over TIMES the mean of the hosts, or over MAX_RATE.
+TIMES, MAX_RATE, LEVEL = 2.0, 0.5, 1.645
+#: Tasks that a host's documents are dealt to where verdicts are too many to broadcast.
+SALTS = 64
 #: White space of words (a fixed value), and what counts as a symbol.
 BLANKS, SYMBOLS = " \t\n\v\f\r", b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -48,7 +54,7 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
 def with_counts(docs: DataFrame, host: str, keep: list[str]) -> DataFrame:
     """keep, `host` and COUNTS of each row; the texts are read once and go no further."""
     chosen = docs.select(*keep, F.col(host).cast("string").alias("__host"), F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    fields = with_fields(chosen.schema.fields[:-1], ", ".join(f"{c} long" for c in COUNTS))
 
     def run(batches):
         for batch in batches:
@@ -56,11 +62,11 @@ def with_counts(docs: DataFrame, host: str, keep: list[str]) -> DataFrame:
             cells = [pa.array([g[k] for g in got], pa.int64()) for k in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cells], names=[*batch.schema.names[:-1], *COUNTS])
 
-    return chosen.mapInArrow(run, fields + "".join(f", {c} long" for c in COUNTS))
+    return chosen.mapInArrow(run, fields)
 
 
 def host_rates(counted: DataFrame) -> DataFrame:
-    """Per host: n, failures and the failure rate shrunk to the mean of all hosts.
+    """Per host: n, failures, the failure rate shrunk to the mean of all hosts, its lower end and the limit for that.
 
     The beta prior has the mean m and variance v of the host rates (method of moments, hosts weigh alike, both over hosts
     with a name); its strength is m(1-m)/v - 1, held between 1 and 1000.
@@ -70,17 +76,29 @@ def host_rates(counted: DataFrame) -> DataFrame:
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
     strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(1000.0))
     prior = prior.select("m", strength.alias("strength"))
-    return hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", (F.col("host_failures") + F.col("strength") * F.col("m")) / (F.col("host_docs") + F.col("strength"))).drop("m", "strength")  # one row
+    shrunk = (F.col("host_failures") + F.col("strength") * F.col("m")) / (F.col("host_docs") + F.col("strength"))
+    low = F.col("host_rate") - LEVEL * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_docs") + F.col("strength") + 1))
+    rated = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", shrunk).withColumn("host_low", low)  # one row
+    return rated.withColumn("host_limit", F.least(TIMES * F.col("m"), F.lit(MAX_RATE))).drop("m", "strength")
 
 
-def host_rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_id",), max_rate: float = MAX_RATE) -> DataFrame:
-    """keep, COUNTS, base_failed, host_rate (null without a host) and kept of each row of docs (text, host)."""
-    counted = with_counts(docs, host, list(keep))
+def host_rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, COUNTS, base_failed, host_rate (null without a host) and kept of each row of docs (text, host); kept columns named like these give way."""
+    counted = with_counts(docs, host, [c for c in keep if c not in (*COUNTS, "base_failed", "host_rate", "kept")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counted = written(counted.withColumn("base_failed", failed), "host-counts")
-    verdicts = host_rates(counted).select("__host", "host_rate")
-    joined = counted.join(verdicts, "__host", "left")  # AQE splits a hot host's partition
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.coalesce(F.col("host_rate"), F.lit(0.0)) > max_rate)).drop("__host")
+    verdicts = written(host_rates(counted).select("__host", "host_rate", (F.col("host_low") > F.col("host_limit")).alias("__bad")), "host-verdicts")
+    return joined_back(counted, verdicts).withColumn("kept", ~F.col("base_failed") & ~F.coalesce("__bad", F.lit(False))).drop("__host", "__bad")
+
+
+def joined_back(counted: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Verdicts at the documents: broadcast while their counted size allows it; beyond that a host is dealt to SALTS tasks, so that a hot one is no single task."""
+    small = sized(verdicts, row_bytes=96)
+    if small is not verdicts:
+        return counted.join(small, "__host", "left")
+    salted = counted.withColumn("__salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), F.lit(SALTS)))
+    spread = verdicts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(spread, ["__host", "__salt"], "left").drop("__salt")
 
 
 ORACLE = """
@@ -100,8 +118,9 @@ c AS (
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS BIGINT)) AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
 b AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM h),
-a AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS k FROM b)
+a AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS k FROM b),
+v AS (SELECT source, (bad + k * m) / (n + k) AS r, n + k + 1 AS s, least(2.0 * m, 0.5) AS top FROM h CROSS JOIN a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce((bad + k * m) / (n + k), 0.0) > 0.5 AS kept
-FROM f LEFT JOIN h USING (source) CROSS JOIN a
+       NOT base_failed AND NOT coalesce(r - 1.645 * sqrt(r * (1 - r) / s) > top, false) AS kept
+FROM f LEFT JOIN v USING (source)
 """
