@@ -7,7 +7,7 @@ score is the sum of a text's bins, taken by vectorised additions, through the lo
 
 Learned from at most SAMPLE labelled rows outside the held-out fold, in a fixed pseudo-random order. Nulls: a null text
 is an empty one; null labels are not learned from; without labels every score is 0.5. Repeated rows are scored each, and
-repeated labels count each. An empty table gives an empty result.
+repeated labels count once. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, rank_in_crc, written
+from .common import held_out, rank_in_crc, with_fields, written
 from .host_rules import text_counts
 
 FEATURES = ("words", "word_length", "symbols", "upper", "distinct", "repeated", "dup_lines", "ended_lines", "line_words", "digits", "other_chars", "longest", "top_word", "bars", "stops")
+OUTPUTS = ("held_out", "score", "predicted")
 SAMPLE, BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, RIDGE = 20_000, 32, 8, 8, 120, 40, 0.15, 1.0
 
 
@@ -48,16 +49,16 @@ def text_features(text: str | None) -> list[float]:
 
 
 def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and `features` of each row of docs (text)."""
-    chosen = docs.select(*keep, F.col("text").alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[:-1])
+    """keep and `features` of each row of docs (text); a kept column of that name gives way to it."""
+    chosen = docs.select(*(c for c in keep if c != "features"), F.col("text").alias("__text"))
+    fields = with_fields(chosen.schema.fields[:-1], "features array<double>")
 
     def run(batches):
         for batch in batches:
             got = [text_features(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "features"])
 
-    return chosen.mapInArrow(run, f"{fields}features array<double>")
+    return chosen.mapInArrow(run, fields)
 
 
 def tree_1d(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
@@ -149,19 +150,23 @@ def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
 
 
 def fit(features: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE) -> Gam:
-    """features (doc_id, features) and labels (doc_id, label): at most `rows` labels and their features reach the driver."""
-    sample = F.broadcast(labelled_sample(labels, label, rows))
-    got = features.select("doc_id", "features").join(sample, F.col("doc_id") == F.col("id")).select("doc_id", "y", "features").limit(4 * rows).collect()
+    """features (doc_id, features) and labels (doc_id, label): at most `rows` labels and their features reach the driver.
+
+    Of different texts under one doc_id the one with the least features is learned from, once for each of its labels.
+    """
+    sample = F.broadcast(labelled_sample(labels, label, rows))  # `rows` rows of two numbers
+    got = features.select("doc_id", "features").join(sample, F.col("doc_id") == F.col("id")).groupBy("doc_id", "y").agg(F.min("features").alias("features")).collect()
     got.sort()
     return Gam(np.array([r.features for r in got], float), np.array([r.y for r in got], float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, held_out, score and predicted of each row of docs (doc_id, text)."""
+    """keep, held_out, score and predicted of each row of docs (doc_id, text); kept columns named like these or `features` give way."""
+    keep = [c for c in dict.fromkeys(keep) if c not in ("features", *OUTPUTS)]
     features = written(with_features(docs, tuple(dict.fromkeys(("doc_id", *keep)))), "features")
     model = docs.sparkSession.sparkContext.broadcast(fit(features, labels))  # a few tables of BINS numbers
     kept = features.select(*keep, held_out().alias("held_out"), "features")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
+    fields = with_fields(kept.schema.fields[:-1], "score double, predicted int")
 
     def run(batches):
         for batch in batches:
@@ -169,4 +174,4 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
             score = model.value.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
 
-    return kept.mapInArrow(run, f"{fields}score double, predicted int")
+    return kept.mapInArrow(run, fields)
