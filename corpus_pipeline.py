@@ -10,24 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.llm import line_dedup, packing, quality_gam, simhash, toxicity_cnn
-from stormledger.llm.common import table, written
+from stormledger.llm.common import packed_rows, table, unpacked, written
 from stormledger.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as label 1."""
-    return quality_gam.scored(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    rows = packed_rows(docs, "doc_id", "text")
+    return unpacked(quality_gam.scored(rows, table(spark, sf_dir, "labels"), keep=("__row",)).where("predicted = 1"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold of their language."""
-    return toxicity_cnn.scored(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where(~F.col("flagged")).select(*docs.columns)
+    rows = packed_rows(docs, "doc_id", "text", "lang")
+    return unpacked(toxicity_cnn.scored(rows, table(spark, sf_dir, "labels"), keep=("__row",)).where(~F.col("flagged")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; a document of which no line with words is left goes."""
-    left = line_dedup.dedup_lines(docs).where((F.coalesce("n_dropped", F.lit(0)) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.select(*docs.columns)
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    left = line_dedup.dedup_lines(docs.withColumnsRenamed(names)).where((F.coalesce("n_dropped", F.lit(0)) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumnsRenamed({v: k for k, v in names.items()} | {"n_lines": "__l", "n_dropped": "__d"}).drop("__l", "__d")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
