@@ -1,22 +1,29 @@
 """Main text of web pages by a site style tree.
 
 The element trees of a host's pages are merged: a node of the site's tree is the path of tags and classes from the root,
-with the presentation styles (sequences of child elements) and the texts that its pages have there. Its importance is
+with the presentation styles (sequences of child elements) and the features that its pages have there: the words of a
+short text, a longer text as a whole. A feature seen on n of the m pages that have the node has entropy log n / log m
+(m taken as BASE at least, so a few pages prove little). A node's importance is
 
-    (1 - GAMMA^l) * entropy of its l presentation styles + GAMMA^l * importance of the texts below,
+    (1 - GAMMA^l) * entropy of its l presentation styles + GAMMA^l * importance of what is below,
 
-both to base m, the number of pages that have the node. The importance of a text seen on n of m pages is 1 - log n / log m,
-averaged over occurrences; that of a branch is the average of its texts by length. A branch is cut if it and all below
-it are under LOW. Never cut by numbers are html, body, an article or main and what holds one, and in an article elements
-without a class and branches of which VARIED of the text or more is on one page only (else a host's many copies speak for
-its unique pages); nor any in an article that would lose over half of its text, or on a page that would lose all.
+where the nodes below count by their own importance (presentation and features) and length; words in links count LINK.
+A node's worth is that importance of what is below times its length, summed over the host's pages.
 
-Elements whose tag or class names what they are (NOISE) have no importance anywhere. Names never cut html or body. An
-article or main and what holds one is not cut by a word about a state (has-sidebar, comments-open), nor as a form or
-header, and outside an article by no word at all if the page has no other article. With fewer than MIN_PAGES pages a
-node's importance is not judged by numbers.
+Two rules cut branches. From the root down, a box (div, list, section ...) with less than SIDE of the worth of its
+worthiest sibling is cut, if that one has DOMINANT of the worth of all; this ends at a node of whose worth HOLDER or
+more is text and paragraphs, not boxes: the main content. And a branch is cut if it and all below it are less important
+than LOW. Not cut by that are html, body, the worthiest of siblings above the main content, an article or main and what
+holds one, in an article elements without a class, and in it and the main content branches of which VARIED of the text or
+more is on one page only (else a host's many copies speak for its unique pages); nor any in an article that would lose over half of its
+text, or on a page that would lose all.
 
-What remains is the text of the article elements, or of the body if there are none: character references are decoded,
+With names (the default) elements whose tag or class names what they are (NOISE) have no importance anywhere. Names
+never cut html or body. An article or main and what holds one is not cut by a word about a state (has-sidebar,
+comments-open), nor as a form or header, and outside an article by no word at all if the page has no other article; no
+number cuts what holds an article. Without names only the tree decides.
+
+What remains is the text of the article elements (with names), or of the body if there are none: character references are decoded,
 white space inside a block becomes one space, blocks are joined by a line's end.
 
 Nulls: a null html gives an empty text; a page without a url belongs to no host and is cut by names alone. Repeated rows
@@ -34,9 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import sized, with_fields, written
 
-GAMMA, LOW, MIN_PAGES, VARIED = 0.9, 0.3, 8, 0.02
+GAMMA, LOW, BASE, VARIED = 0.9, 0.3, 8, 0.02
+SIDE, DOMINANT, HOLDER = 0.2, 0.5, 0.5
+#: Words of a text that is told apart by its words, and the weight of words in links (a quarter, so weights are whole numbers).
+SHORT, LINK = 24, 4
+#: Elements without visible text, and those that are boxes of a page's layout (fixed values).
+UNSEEN = frozenset("script style noscript template head title svg canvas iframe object embed audio video".split())
+BOXES = frozenset("html body div section nav footer aside header form main article ul ol dl table center fieldset dialog menu".split())
 #: Elements that are never the article's text, and words that say so in a class, id or role (fixed values).
 NOISE_TAGS = frozenset("nav footer aside form script style noscript iframe button select option input textarea label svg canvas template dialog object embed audio video head title menu".split())
 NOISE_WORDS = frozenset(
@@ -57,18 +70,18 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "sig", "path", "noise", "named", "parts", "main", "inner", "holds")
+    __slots__ = ("tag", "sig", "path", "noise", "named", "parts", "main", "inner", "holds", "link")
 
-    def __init__(self, tag: str, sig: str, path: int, noise: bool, named: bool, main: bool, inner: bool):
-        # noise by the tag or a word, named by a word that tells no state; main: is or is in one; inner: is below an article; holds: is or has an article or main below
+    def __init__(self, tag: str, sig: str, path: int, noise: bool, named: bool, main: bool, inner: bool, link: bool):
+        # link: is or is in one; noise by the tag or a word, named by a word that tells no state; main: is or is in one; inner: is below an article; holds: is or has an article or main below
         self.tag, self.sig, self.path, self.noise, self.named, self.main, self.inner = tag, sig, path, noise, named, main, inner
-        self.holds = tag in MAIN
+        self.holds, self.link = main and tag in MAIN, link
         self.parts: list[Node | str] = []
 
 
-def parse(page: str) -> Node:
-    """The element tree; unknown ends are ignored, and what is left open ends with its parent."""
-    root = Node("", "", 0, False, False, False, False)
+def parse(page: str, names: bool = True) -> Node:
+    """The element tree; unknown ends are ignored, and what is left open ends with its parent. Without names no tag or word tells noise or an article."""
+    root = Node("", "", 0, False, False, False, False, False)
     stack, at = [root], 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -106,11 +119,11 @@ def parse(page: str) -> Node:
         if m[5] and (named := NAMES.findall(m[5])):
             words = [w for _, v in named for w in re.split(r"[\s\"']+", v.lower()) if w]
             sig = tag + "." + ".".join(sorted(re.sub(r"\d+", "0", w) for w in words))
-        said = [w for w in words if w in NOISE_WORDS or any(x in NOISE_WORDS for x in re.split(r"[-_:]", w))]
-        noise = tag in NOISE_TAGS or (tag == "header" and not up.main) or bool(said)
+        said = [w for w in words if names and (w in NOISE_WORDS or any(x in NOISE_WORDS for x in re.split(r"[-_:]", w)))]
+        noise = tag in UNSEEN or (names and (tag in NOISE_TAGS or (tag == "header" and not up.main))) or bool(said)
         named = any(STATES.isdisjoint(re.split(r"[-_:]", w)) for w in said)
-        node = Node(tag, sig, xxhash.xxh64_intdigest(f"{up.path}/{sig}") >> 1, noise, named, up.main or tag in MAIN, up.inner or up.tag == "article")
-        for x in reversed(stack) if tag in MAIN else ():
+        node = Node(tag, sig, xxhash.xxh64_intdigest(f"{up.path}/{sig}") >> 1, noise, named, names and (up.main or tag in MAIN), names and (up.inner or up.tag == "article"), up.link or tag == "a")
+        for x in reversed(stack) if node.holds else ():
             if x.holds:
                 break
             x.holds = True
@@ -126,27 +139,36 @@ def plain(text: str) -> str:
     return SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-def tree_rows(page: str) -> tuple[set, Counter, set]:
-    """Of one page: (path, style) of its elements, length by (path, text hash), and (path with text, path above or same)."""
+def feature(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def tree_rows(page: str, names: bool = True) -> tuple[set, Counter, set]:
+    """Of one page: (path, style, parent, box) of its elements, weight by (path, feature), and (path, path above or same).
+
+    Left out is what has no visible text or is noise by name. A weight is LINK a character, one in links.
+    """
     styles, texts, above = set(), Counter(), set()
-    stack = [(parse(page), ())]
+    stack = [(parse(page, names), ())]
     while stack:
         node, up = stack.pop()
         own = [x for x in node.parts if isinstance(x, str)]
-        inner = [x for x in node.parts if not isinstance(x, str)]
+        inner = [x for x in node.parts if not isinstance(x, str) and (x.holds or not x.noise)]
         here = (*up, node.path) if node.tag else up
         if node.tag:
             sigs = [x.sig for k, x in enumerate(inner) if not k or inner[k - 1].sig != x.sig]
-            styles.add((node.path, xxhash.xxh64_intdigest(" ".join(sigs)) >> 1))
+            styles.add((node.path, feature(" ".join(sigs)), up[-1] if up else 0, node.tag in BOXES))
+            above.update((node.path, x) for x in here)
             if own and (text := plain(" ".join(own))):
-                texts[node.path, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1] += len(text)
-                above.update((node.path, x) for x in here)
+                words, weight = text.split(" "), 1 if node.link else LINK
+                for x in words if len(words) <= SHORT else (text,):
+                    texts[node.path, feature(x)] += weight * len(x)
         stack += [(x, here) for x in inner]
     return styles, texts, above
 
 
-def noisy(root: Node, low: frozenset[int]) -> set[int]:
-    """Identities of the elements that numbers cut: they and all below them are in low; ~path stands for a varied one, low outside articles only."""
+def noisy(root: Node, low: frozenset[int], side: frozenset[int]) -> set[int]:
+    """Identities of the elements that numbers cut: those in side, and those that are in low with all below; ~path stands for a varied one, low outside articles only."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -154,24 +176,28 @@ def noisy(root: Node, low: frozenset[int]) -> set[int]:
         stack += [x for x in node.parts if not isinstance(x, str)]
     out: set[int] = set()
     for node in reversed(order):
-        if not node.holds and (node.path in low or (not node.main and ~node.path in low)) and all(isinstance(x, str) or x.noise or id(x) in out for x in node.parts):
+        if node.holds:
+            continue
+        if node.path in side and not node.main:
+            out.add(id(node))
+        elif (node.path in low or (not node.main and ~node.path in low)) and all(isinstance(x, str) or x.noise or id(x) in out for x in node.parts):
             out.add(id(node))
     return out
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of the page's article; low: paths of the branches to cut."""
+def main_text(page: str | None, low: frozenset[int] = frozenset(), side: frozenset[int] = frozenset(), names: bool = True) -> str:
+    """The blocks of the page's article; low and side: paths of the branches to cut."""
     if not page:
         return ""
-    root = parse(page)
-    numbers = noisy(root, low) if low else frozenset()
+    root = parse(page, names)
+    numbers = noisy(root, low, side) if low or side else frozenset()
 
     def by_name(node: Node, any_word: bool) -> bool:
         if node.tag in ("html", "body"):
             return False
         if not node.holds:
             return node.noise
-        if node.tag in NOISE_TAGS and node.tag not in ROUND:
+        if node.tag in UNSEEN | NOISE_TAGS and node.tag not in ROUND:
             return True
         return node.named and (node.inner or not any_word)
 
@@ -244,57 +270,72 @@ def host_of(url: str = "url"):
     return F.when(host != "", host)
 
 
-def style_tree(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, path, pages, importance and own (share of text that is on one page only) of the nodes of the hosts' merged trees; pages (url, html)."""
+def style_tree(pages: DataFrame, names: bool = True) -> DataFrame:
+    """host, path, pages, importance, own (share of the text that is on one page only), side and lead of the nodes of the hosts' merged trees; pages (url, html).
+
+    side: a box that falls behind its worthiest sibling above the main content; lead: that sibling, and what is varied in it.
+    """
     chosen = pages.select(host_of().alias("host"), "html").where("host is not null and html is not null")
 
     def run(batches):
         for batch in batches:  # summed for a batch before it is dealt out
             counts: Counter = Counter()
             for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                styles, texts, above = tree_rows(page)
-                counts.update((host, 0, path, x, 0) for path, x in styles)
-                for (path, x), length in texts.items():
-                    counts[host, 1, path, x, length] += 1
-                counts.update((host, 2, path, x, 0) for path, x in above)
-            cells = list(zip(*counts, strict=True)) if counts else [[]] * 5
-            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cells, types)), pa.array(list(counts.values()), pa.int64())], names=["host", "kind", "path", "x", "length", "n"])
-
-    rows = chosen.mapInArrow(run, "host string, kind int, path long, x long, length long, n long")
-    # a node, and a text of one length, of a host is a partial sum however many pages have it
-    rows = written(rows.groupBy("host", "kind", "path", "x").agg(F.sum("n").alias("n"), F.max("length").alias("length")), "style-rows")
-    styles = rows.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    log_m = F.log(F.col("pages"))
-    presentation = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), (log_m - F.col("nlogn") / F.col("pages")) / log_m)).otherwise(1.0)
-    nodes = styles.select("host", "path", "pages", "l", presentation.alias("presentation"))
-    texts = rows.where("kind = 1").groupBy("host", "path").agg(F.sum("n").alias("times"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.col("n") * F.col("length")).alias("chars"), F.sum(F.when(F.col("n") == 1, F.col("length")).otherwise(0)).alias("own"))
-    texts = texts.join(nodes.select("host", "path", "pages"), ["host", "path"])
-    content = F.when(F.col("pages") > 1, 1 - F.least(F.lit(1.0), F.col("nlogn") / F.col("times") / log_m)).otherwise(1.0)
-    leaves = texts.select("host", "path", "chars", "own", content.alias("content"))
-    above = rows.where("kind = 2").select("host", "path", F.col("x").alias("node"))
-    below = leaves.join(above, ["host", "path"]).groupBy("host", "node").agg((F.sum(F.col("content") * F.col("chars")) / F.sum("chars")).alias("content"), (F.sum("own") / F.sum("chars")).alias("own"))
-    tree = nodes.join(below.withColumnRenamed("node", "path"), ["host", "path"], "left")
-    gamma = F.pow(F.lit(GAMMA), F.col("l"))
-    importance = (1 - gamma) * F.col("presentation") + gamma * F.coalesce("content", F.lit(0.0))
-    return tree.select("host", "path", "pages", F.when(F.col("pages") >= min_pages, importance).otherwise(1.0).alias("importance"), F.coalesce("own", F.lit(0.0)).alias("own"))
-
-
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), low: float = LOW) -> DataFrame:
-    """keep and `text`, the main text, of each row of pages (url, html)."""
+                styles, texts, above = tree_rows(page, names)
+                counts.update((host, 0, path, x, int(box), up) for path, x, up, box in styles)
+                for (path, x), weight in texts.items():
+                    counts[host, 1, path, x, weight, 0] += 1
+                counts.update((host, 2, path, x, 0, 0) for path, x in above)
+            cells = list(zip(*counts, strict=True)) if counts else [[]] * 6
+            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cells, types)), pa.array(list(counts.values()), pa.int64())], names=["host", "kind", "path", "x", "weight", "up", "n"])
+
+    rows = chosen.mapInArrow(run, "host string, kind int, path long, x long, weight long, up long, n long")
+    # a node, and a feature of a node, is a partial sum however many pages of the host have it
+    rows = written(rows.groupBy("host", "kind", "path", "x").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("weight"), F.max("weight").alias("box"), F.max("up").alias("up")), "style-rows")
+    here, clip = ["host", "path"], lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    styles = rows.where("kind = 0").groupBy(*here).agg(F.sum("n").alias("pages"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.max("up").alias("up"), (F.max("box") > 0).alias("box"))
+    log_m = F.log(F.greatest("pages", F.lit(BASE)))
+    nodes = styles.select(*here, "pages", "up", "box", F.pow(F.lit(GAMMA), F.col("l")).alias("gamma"), clip((F.log("pages") - F.col("nlogn") / F.col("pages")) / log_m).alias("presentation"))
+    nodes = written(nodes, "style-nodes")  # one row a node of a site, not a page
+    texts = rows.where("kind = 1").join(nodes.select(*here, "pages", "gamma", "presentation"), here)
+    news = clip(1 - F.log("n") / log_m)
+    leaves = texts.groupBy(*here).agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * news).alias("news"), F.sum(F.when(F.col("n") == 1, F.col("weight")).otherwise(0)).alias("own"), F.any_value("gamma").alias("gamma"), F.any_value("presentation").alias("presentation"))
+    worth = (1 - F.col("gamma")) * F.col("presentation") * F.col("weight") + F.col("gamma") * F.col("news")
+    leaves = leaves.select(*here, "weight", "own", worth.alias("worth"))
+    above = rows.where("kind = 2").select(*here, F.col("x").alias("node"))
+    below = leaves.join(above, here).groupBy("host", F.col("node").alias("path")).agg(*(F.sum(c).alias(c) for c in ("weight", "own", "worth")))
+    tree = nodes.join(below, here, "left").join(leaves.select(*here, F.col("worth").alias("text")), here, "left").fillna(0, ["weight", "own", "worth", "text"])
+    tree = written(tree, "style-tree")
+    family = tree.groupBy("host", "up").agg(F.max("worth").alias("top"), F.sum("worth").alias("all"), F.sum(F.when(F.col("box"), 0.0).otherwise(F.col("worth"))).alias("plain"))
+    held = tree.join(family.select("host", F.col("up").alias("path"), "plain"), here, "left")
+    holders = held.where(F.col("text") + F.coalesce("plain", F.lit(0.0)) >= HOLDER * F.col("worth")).select("host", F.col("path").alias("node"))
+    inside = above.where("path <> node").join(holders, ["host", "node"]).select(*here).distinct().withColumn("inside", F.lit(True))
+    judged = tree.join(family, ["host", "up"]).join(inside, here, "left").withColumn("outside", F.col("inside").isNull() & (F.col("top") >= DOMINANT * F.col("all")) & (F.col("top") > 0))
+    importance = (1 - F.col("gamma")) * F.col("presentation") + F.col("gamma") * F.when(F.col("weight") > 0, F.col("worth") / F.col("weight")).otherwise(0.0)
+    own = F.when(F.col("weight") > 0, F.col("own") / F.col("weight")).otherwise(0.0)
+    return judged.select(*here, "pages", importance.alias("importance"), own.alias("own"), (F.col("outside") & F.col("box") & (F.col("worth") < SIDE * F.col("top"))).alias("side"), ((F.col("outside") & (F.col("worth") == F.col("top"))) | (F.col("inside").isNotNull() & (own >= VARIED))).alias("lead"))
+
+
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), names: bool = True) -> DataFrame:
+    """keep and `text`, the main text, of each row of pages (url, html); a kept column named text gives way."""
     path = F.when(F.col("own") < VARIED, F.col("path")).otherwise(F.bitwise_not("path"))
-    cut = written(style_tree(pages).where(F.col("importance") < low).groupBy("host").agg(F.collect_list(path).alias("__low")).withColumnRenamed("host", "__host"), "style-cuts")
-    chosen = pages.select(*keep, host_of().alias("__of"), F.col("html").alias("__html"))
-    joined = chosen.join(sized(cut, ("__low",)), F.col("__of") == F.col("__host"), "left").drop("__of", "__host")  # else AQE splits a hot host
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields[:-2])
+    low = (F.col("importance") < LOW) & ~F.col("lead")
+    cut = style_tree(pages, names).where(low | F.col("side")).groupBy("host").agg(F.collect_list(F.when(low & ~F.col("side"), path)).alias("__low"), F.collect_list(F.when(F.col("side"), F.col("path"))).alias("__side"))
+    cut = written(cut.withColumnRenamed("host", "__host"), "style-cuts")
+    chosen = pages.select(*(c for c in keep if c != "text"), host_of().alias("__of"), F.col("html").alias("__html"))
+    joined = chosen.join(sized(cut, ("__low", "__side")), F.col("__of") == F.col("__host"), "left").drop("__of", "__host")  # else AQE splits a hot host
+    fields = with_fields(joined.schema.fields[:-3], "text string")
 
     def run(batches):
         for batch in batches:
             sets: dict = {}
             out = []
-            for page, paths in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                key = tuple(paths or ())
-                out.append(main_text(page.as_py(), sets.setdefault(key, frozenset(key))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*batch.schema.names[:-2], "text"])
-
-    return joined.mapInArrow(run, f"{fields}text string")
+            for page, *paths in zip(*(batch.column(batch.num_columns - k) for k in (3, 2, 1)), strict=True):
+                key = tuple(tuple(x.as_py() or ()) for x in paths)
+                if key not in sets:
+                    sets[key] = tuple(map(frozenset, key))
+                out.append(main_text(page.as_py(), *sets[key], names))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], names=[*batch.schema.names[:-3], "text"])
+
+    return joined.mapInArrow(run, fields)

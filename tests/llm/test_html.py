@@ -1,9 +1,11 @@
 import re
 from html import unescape
 
+import pytest
 from helpers import none_of
 from stormledger.llm.html_extract import extract, main_text, style_tree
 from stormledger.llm.queries import op2_site_style_tree
+from pyspark.sql import functions as F
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class=x>
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="ad">Buy</div><div id="cookie-notice">We use</div>
@@ -44,6 +46,26 @@ def test_query_has_the_articles(spark, sf):
         assert have == re.sub(r"\s", "", "".join(want)) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("size, least", [("sf0.001", 0.9), ("sf0.01", 0.99)])
+def test_the_tree_alone_finds_the_articles(spark, size, least):
+    """No article tag and no word of a tag or class: only importance decides, on hosts of one page (sf0.001, a short one may have no worthiest box) and of a few."""
+    pages = spark.read.parquet(f"/root/testdata/{size}/pages.parquet")
+    bare = pages.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>")))
+    want = {r.page_id: r.text for r in extract(pages).collect()}
+    got = {r.page_id: r.text for r in extract(bare, names=False).collect()}
+    assert all(want[k] in got[k] for k in want)
+    assert sum(got[k] == want[k] for k in want) >= least * len(want)
+
+
+def test_boxes_of_a_page(spark):
+    """A small host, boxes with words that stay the same and boxes with words that change; an own box in the main content stays."""
+    page = "<html><body><div class=a><a>Home {0}</a><a>News</a></div><div class=w><div class=t><h1>Title {0}</h1><div class=lead>In short {1}</div><p>The long story of {0} and {1} goes on with {2}</p><p>and on {0}{2}</p></div><div class=r>See {1}</div></div><div class=f>by {0}</div></body></html>"
+    df = spark.createDataFrame([(i, f"http://h{i % 4}.org/{i}", page.format(*(f"word{i * 37 + k}" for k in range(3)))) for i in range(12)], "page_id long, url string, html string")
+    for r in extract(df, names=False).collect():
+        x = [f"word{r.page_id * 37 + k}" for k in range(3)]
+        assert r.text == f"Title {x[0]}\nIn short {x[1]}\nThe long story of {x[0]} and {x[1]} goes on with {x[2]}\nand on {x[0]}{x[2]}"
+
+
 def texts_of(spark, pages):
     df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     return {r.page_id: r.text for r in extract(df).collect()}
