@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_rules, html_extract, huffman_ids, line_dedup, packing, piece_samples, progressive_jpeg, quality_gam, simhash, toxicity_cnn
-from .common import table
+from .common import table, written
 
 
 def tokenizer(name: str) -> str:
@@ -16,44 +16,55 @@ def tokenizer(name: str) -> str:
 
 
 def op1_piece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sampled segmentations of each text, with scores and digests of the ids and of the decoded text."""
     return piece_samples.samples(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of each text, read back from the blocks of the coded files."""
     blocks, lengths = huffman_ids.write_blocks(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return huffman_ids.read_blocks(blocks, lengths, digest=True)
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progressive_jpeg.features(progressive_jpeg.media(table(spark, sf_dir, "documents")))
+    """Files are written as a table and decoded from it; the result has the tensors, so they are stored with it."""
+    stored = written(progressive_jpeg.media(table(spark, sf_dir, "documents")), "media")
+    return progressive_jpeg.features(stored, tensors=True)
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of each text."""
     return quality_gam.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without lines that an earlier one has."""
     return line_dedup.lines_query(table(spark, sf_dir, "documents"))
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each text, its own rule and the verdict with that of its source."""
     return host_rules.host_rules(table(spark, sf_dir, "documents")).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of each text, and its flag by the threshold of its language."""
     return toxicity_cnn.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each text and the least doc_id of its group."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each text's token pieces in sequences."""
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
