@@ -95,7 +95,7 @@ class Gam:
     def __init__(self, x: np.ndarray, y: np.ndarray):
         n = len(y)
         self.base = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))) if n else 0.0
-        x = x.reshape(n, -1)
+        x = x.reshape(n, -1) if n else np.zeros((0, 0))
         features = x.shape[1] if n else 0
         quantiles = lambda k: [np.unique(np.quantile(x[:, f], np.linspace(0, 1, k + 1)[1:-1])) for f in range(features)]
         self.cuts, self.pair_cuts = quantiles(BINS), quantiles(PAIR_BINS)
