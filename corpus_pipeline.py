@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; a document of which no line with words is left goes."""
     names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     left = line_dedup.dedup_lines(docs.withColumnsRenamed(names)).where((F.coalesce("n_dropped", F.lit(0)) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumnsRenamed({v: k for k, v in names.items()} | {"n_lines": "__l", "n_dropped": "__d"}).drop("__l", "__d")
+    return left.drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in names.items()})
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
     groups = keyed.join(simhash.similar_texts(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(first.alias("x"))
     chosen = groups.select(F.col("x.doc_id").alias("__id"), F.col("x.node.h").alias("__h"), F.col("x.node.g").alias("__g"))
-    rows = docs.withColumns({"__h2": h, "__g2": g})
+    rows = packed_rows(docs, "doc_id", "text").withColumns({"__h2": h, "__g2": g})
     same = (F.col("__h2") == F.col("__h")) & (F.col("__g2") == F.col("__g")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__h2", "__g2"]).select(*docs.columns)
+    return unpacked(rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__h2", "__g2"]))
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
