@@ -20,8 +20,8 @@ def priority(alert: Column) -> Column:
 
 
 def alert_rank(alert: Column) -> Column:
-    """0 for none, then green, orange, red."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, ALERTS)), alert), F.lit(0))
+    """0 for none, then green, orange, red, in any case."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, ALERTS)), F.initcap(F.trim(alert))), F.lit(0))
 
 
 def valid_point(lat: Column, lon: Column) -> Column:

@@ -2,61 +2,101 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import checkpointed
 
 
-def stratified_split(rows: DataFrame, key: str, stratum: str, every: int = 3) -> DataFrame:
-    """rows with `split`: in each stratum, ordered by the key's SHA-256, every third row is test."""
-    order = Window.partitionBy(stratum).orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    return rows.withColumn("split", F.when(F.row_number().over(order) % every == 0, "test").otherwise("train"))
+#: Ranges of values or hashes that a group is dealt to, so that no group is one task.
+RANGES = 256
 
 
-def pareto_front(configs: DataFrame, key: str, low: str, high: str) -> DataFrame:
-    """Configurations that none beats in both `low` (the smaller the better) and `high`: ordered by low, the running best of high decides.
+def stratified_split(rows: DataFrame, key: str, stratum: str, every: int = 3, salt: str = "split-v1") -> DataFrame:
+    """rows with `split`: in each stratum, ordered by the salted SHA-256 of the key, every third row is test. Repeated keys tie and follow each other.
 
-    configs holds aggregated configurations, a few thousand at most.
+    The first byte of the hash deals a stratum to RANGES parts; a row's rank is that in its part after the counts of the parts before.
     """
-    by_low = configs.groupBy(low).agg(F.max(high).alias("best_here"))
-    seen = Window.orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
-    best = by_low.withColumn("best_before", F.max("best_here").over(seen))
-    return configs.join(best, low).where((F.col(high) == F.col("best_here")) & (F.col("best_before").isNull() | (F.col(high) > F.col("best_before")))).select(key, low, high)
+    hashed = rows.withColumn("__h", F.sha2(F.concat(F.lit(f"{salt}|"), F.col(key).cast("string")), 256)).withColumn("__part", F.substring("__h", 1, 2))
+    counts = hashed.groupBy(stratum, "__part").agg(F.count("*").alias("n"))  # RANGES rows a stratum
+    before = counts.select(F.col(stratum).alias("__stratum"), F.col("__part").alias("__of"), (F.sum("n").over(Window.partitionBy(stratum).orderBy("__part")) - F.col("n")).alias("__before"))
+    ranked = hashed.withColumn("__rank", F.row_number().over(Window.partitionBy(stratum, "__part").orderBy("__h", key)))
+    joined = ranked.join(before, F.col(stratum).eqNullSafe(F.col("__stratum")) & F.col("__part").eqNullSafe(F.col("__of")))
+    return joined.withColumn("split", F.when((F.col("__before") + F.col("__rank")) % every == 0, "test").otherwise("train")).drop("__h", "__part", "__rank", "__before", "__stratum", "__of")
 
 
-def top_cells(scores: DataFrame, group: str, cell: str, score: str, share: float) -> DataFrame:
-    """Of each group's cells the best share of them by score, ties to the greater cell."""
-    w = Window.partitionBy(group)
-    ranked = scores.withColumn("rank", F.row_number().over(w.orderBy(F.desc(score), F.desc(cell)))).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("rank") <= F.floor(F.col("n") * share)).drop("n")
+def pareto_front(configs: DataFrame, key: str, low: str, high: str, eps: float = 1e-12) -> DataFrame:
+    """Configurations that none beats in both `low` (the smaller the better) and `high`, differences up to eps being none, with `gap`, the distance to the ideal point.
 
-
-def bootstrap_ci(values: DataFrame, group: str, value: str, resamples: int = 5000, seed: int = 20) -> DataFrame:
-    """Mean and 95 % interval of the mean of each group by seeded Poisson resampling.
-
-    Each row weighs in every resample by a Poisson number drawn from its batch; sums of resamples are partial sums, so a
-    group of any size is never in one task.
+    Ordered by low, the running best of high decides: first over RANGES ranges of low, then inside each range. The ideal
+    point has the least low and the best high of the front, both scaled to the front's spread. Nulls are never on the front.
     """
-
-    def partial(batches):
-        for k, pdf in enumerate(batches):
-            for name, part in pdf.groupby(group, dropna=False):
-                x = part[value].to_numpy(float)
-                x = x[~np.isnan(x)]
-                rng = np.random.default_rng([seed, len(x), int(abs(x.sum()) * 1000) % 2**32])
-                n, s = np.zeros(resamples), np.zeros(resamples)
-                for a in range(0, len(x), 2000):
-                    w = rng.poisson(1.0, (resamples, len(x[a : a + 2000])))
-                    n += w.sum(1)
-                    s += w @ x[a : a + 2000]
-                yield pd.DataFrame({group: [name] * resamples, "b": np.arange(resamples), "w": n, "s": s, "rows": len(x), "total": x.sum()})
-
-    parts = values.select(group, F.col(value).cast("double").alias(value)).mapInPandas(partial, f"{group} string, b int, w double, s double, rows long, total double")
-    means = parts.groupBy(group, "b").agg((F.sum("s") / F.sum("w")).alias("m"), F.sum("rows").alias("rows"), F.sum("total").alias("total"))
-    return means.groupBy(group).agg(F.max("rows").alias("n"), (F.max("total") / F.max("rows")).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    clean = configs.where(F.col(low).isNotNull() & F.col(high).isNotNull())
+    span = clean.agg(F.min(low).alias("lo"), F.max(low).alias("hi"))  # one row
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(low) - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
+    dealt = clean.crossJoin(F.broadcast(span)).withColumn("__part", part).drop("lo", "hi")
+    parts = dealt.groupBy("__part").agg(F.max(high).alias("m"))  # RANGES rows
+    earlier = parts.select("__part", F.max("m").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    left = dealt.join(F.broadcast(earlier), "__part").where(F.col("__before").isNull() | (F.col(high) > F.col("__before") + eps))
+    here = Window.partitionBy("__part").orderBy(low)
+    best = F.max(high).over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    lower = left.groupBy("__part", low).agg(F.max(high).alias("__m"))
+    lower = lower.select("__part", low, F.max("__m").over(here.rowsBetween(Window.unboundedPreceding, -1)).alias("__in"))
+    front = left.withColumn("__best", best).join(lower, ["__part", low]).where((F.col(high) >= F.col("__best") - eps) & (F.col("__in").isNull() | (F.col(high) > F.col("__in") + eps)))
+    ends = front.agg(F.min(low).alias("a"), F.max(low).alias("b"), F.min(high).alias("c"), F.max(high).alias("d"))  # one row
+    away = lambda x, at, span: F.when(span > eps, (x - at) / span).otherwise(0.0)
+    gap = F.sqrt(F.pow(away(F.col(low), F.col("a"), F.col("b") - F.col("a")), 2) + F.pow(away(F.col(high), F.col("d"), F.col("d") - F.col("c")), 2))
+    return front.crossJoin(F.broadcast(ends)).select(key, low, high, gap.alias("gap"))
+
+
+def exact_quantiles(values: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """group, n and for each name the exact quantile, linear between the two ranks beside it; nulls and NaN do not count.
+
+    The value range of a group is cut into RANGES; counts tell which ranges hold the wanted ranks, and only their rows are
+    ordered, each range apart. So no aggregate keeps a group's values.
+    """
+    v = values.select(group, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    ends = v.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    # groups are few beside their rows: one row each, joined by shuffle or broadcast as its size allows
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
+    dealt = v.join(ends.drop("n"), group).withColumn("part", part.cast("int")).drop("lo", "hi")
+    counts = dealt.groupBy(group, "part").agg(F.count("*").alias("m"))
+    counts = counts.withColumn("before", F.sum("m").over(Window.partitionBy(group).orderBy("part")) - F.col("m"))
+    ranks = ends.select(group, "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for name, q in shares.items()])).alias("x"))
+    wanted = ranks.select(group, F.col("x.name").alias("name"), F.col("x.at").alias("at"), F.explode(F.array_distinct(F.array(F.floor("x.at"), F.ceil("x.at")))).alias("rank"))
+    held = wanted.join(counts, group).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m"))).select(group, "part", "before", "name", "at", "rank")
+    rows = dealt.join(held.select(group, "part", "before").distinct(), [group, "part"])
+    ordered = rows.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy(group, "part").orderBy("v")) - 1)
+    got = held.join(ordered.select(group, "rank", "v"), [group, "rank"])
+    # the upper of the two ranks counts by the part of a step beyond the lower
+    weight = F.when(F.col("rank") == F.floor("at"), 1 - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
+    sums = got.groupBy(group).agg(*[F.sum(F.when(F.col("name") == name, weight * F.col("v"))).alias(name) for name in shares])
+    return ends.select(group, "n").join(sums, group)
+
+
+def top_cells(scores: DataFrame, group: str, cell: str, score: str, k: int) -> DataFrame:
+    """The k best cells of each group by score with their `rank`, ties to the greater cell; a group limit, so only k a task go to the shuffle. Null scores are masked."""
+    ranked = scores.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.desc(cell))))
+    return ranked.where(F.col("rank") <= k)
+
+
+def paired_bootstrap(pairs: DataFrame, group: str, key: str, a: str, b: str, resamples: int = 5000, seed: int = 20260914) -> DataFrame:
+    """group, n, the median of the differences a - b and the 2.5 % and 97.5 % quantiles of that median over resamples with replacement.
+
+    A draw is a hash of seed, resample and place, so it does not depend on partitions. Pairs are numbered by key in each
+    group; rows without both values do not count. Resamples are made in one table of (group, resample, draw), dealt by both.
+    """
+    d = pairs.select(group, key, (F.col(a) - F.col(b)).alias("d")).where("d is not null and not isnan(d)")
+    d = d.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1)
+    sizes = d.groupBy(group).agg(F.count("*").alias("n"))
+    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    i = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "b", "j"), 256), 1, 12), 16, 10).cast("long") % F.col("n")
+    drawn = draws.withColumn("i", i).join(d.select(group, "i", "d"), [group, "i"])
+    # a resample is as large as its group of paired experiments
+    medians = drawn.groupBy(group, "n", "b").agg(F.percentile("d", 0.5).alias("m"))
+    ci = exact_quantiles(medians, group, "m", {"low": 0.025, "high": 0.975}).drop("n")
+    own = exact_quantiles(d, group, "d", {"median": 0.5})
+    return own.join(ci, group)
 
 
 def greedy_dedupe(pairs: DataFrame, events: DataFrame) -> DataFrame:

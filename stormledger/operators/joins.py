@@ -2,40 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormledger.functions.columns import haversine_km
 
 
+def places(df: DataFrame, max_km: float, max_us: int) -> DataFrame:
+    """df (lat, lon, us) with `band`, `slot` and `cell`: a latitude band of the distance, a time slot of the gap, and the place on the band's circle."""
+    band = F.floor(F.col("lat") / (max_km / 111.0))
+    return df.withColumn("band", band).withColumn("slot", F.floor(F.col("us") / max_us)).withColumn("cell", circle_cell(F.col("lon"), F.col("band"), max_km))
+
+
+def circle_cells(band: Column, max_km: float) -> Column:
+    """How many cells a band's circle has, each at least max_km wide anywhere in the band and the two beside it."""
+    width = max_km / 111.0
+    highest = F.greatest(F.abs(band - 1), F.abs(band + 2)) * width
+    return F.when(highest >= 89.0, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * 111.0 * F.cos(F.radians(highest)) / (1.05 * max_km)))).cast("long")
+
+
+def circle_cell(lon: Column, band: Column, max_km: float) -> Column:
+    return F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * circle_cells(band, max_km))
+
+
+def around(placed: DataFrame, max_km: float, steps: list[tuple[int, int]]) -> DataFrame:
+    """Each row of placed once for each cell that a near row may be in; steps: (slot, band) from its own. `step` is 0 for its own slot and band.
+
+    On a band's circle the three cells about its longitude count, across the date line too.
+    """
+    moved = placed.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(d).alias("slot"), F.lit(b).alias("band")) for d, b in steps])))
+    moved = moved.withColumn("step", F.abs(F.col("__s.slot")) + F.abs(F.col("__s.band"))).withColumn("slot", F.col("slot") + F.col("__s.slot")).withColumn("band", F.col("band") + F.col("__s.band")).drop("__s")
+    at = circle_cell(F.col("lon"), F.col("band"), max_km)
+    beside = F.array_distinct(F.array(*[F.pmod(at + k, circle_cells(F.col("band"), max_km)) for k in (-1, 0, 1)]))
+    return moved.withColumn("cell", F.explode(beside))
+
+
 def near_pairs(events: DataFrame, max_km: float = 80.0, max_days: float = 5.0) -> DataFrame:
     """Pairs (id_a < id_b) of events of one type within max_km and max_days.
 
-    Events are dealt by type, a latitude band of the distance and a time slot of the gap; one side looks into the three
-    neighbouring bands and slots, so each pair meets exactly once and no type is one group. Longitude is left to the
-    distance, which also holds across the date line.
+    Events are dealt by type, latitude band, time slot and longitude cell. One side looks into its own and the four
+    (slot, band) neighbours that come after it, so each pair meets exactly once, and candidates grow with local density.
+    Events without a place or time have no pair.
     """
-    band, slot = max_km / 111.0, max_days * 86400
-    e = events.select("event_id", "type", "lat", "lon", F.unix_micros("ts").alias("us"))
-    e = e.withColumn("band", F.floor(F.col("lat") / band)).withColumn("slot", F.floor(F.col("us") / 1e6 / slot))
-    here = e.select(*[F.col(c).alias(f"{c}_a") for c in e.columns])
-    around = e.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).withColumn("slot", F.explode(F.array(*[F.col("slot") + k for k in (-1, 0, 1)])))
-    there = around.select(*[F.col(c).alias(f"{c}_b") for c in around.columns])
-    keys = (F.col("type_a") == F.col("type_b")) & (F.col("band_a") == F.col("band_b")) & (F.col("slot_a") == F.col("slot_b"))
+    gap = int(max_days * 86_400_000_000)
+    e = places(events.select("event_id", "type", "lat", "lon", F.unix_micros("ts").alias("us")).where("lat is not null and lon is not null"), max_km, gap)
+    there = around(e, max_km, [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)])
+    keys = ["type", "slot", "band", "cell"]
+    a, b = (df.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in ("event_id", "lat", "lon", "us", *(("step",) if x == "b" else ()))]) for df, x in ((e, "a"), (there, "b")))
     km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    pairs = here.join(there, keys & (F.col("event_id_a") < F.col("event_id_b")) & (F.abs(F.col("us_a") - F.col("us_b")) <= int(slot * 1e6)))
-    return pairs.withColumn("km", km).where(F.col("km") < max_km).select("event_id_a", "event_id_b", F.col("type_a").alias("type"), "km")
+    once = (F.col("step_b") > 0) | (F.col("event_id_a") < F.col("event_id_b"))
+    pairs = a.join(b, keys).where(once & (F.abs(F.col("us_a") - F.col("us_b")) <= gap)).withColumn("km", km).where(F.col("km") < max_km)
+    return pairs.select(F.least("event_id_a", "event_id_b").alias("event_id_a"), F.greatest("event_id_a", "event_id_b").alias("event_id_b"), "type", "km")
 
 
 def embargoed(train: DataFrame, held: DataFrame, max_km: float, max_hours: float) -> DataFrame:
-    """train without the events that a held one is near in both time and space."""
-    band, slot = max_km / 111.0, max_hours * 3600
-    keys = lambda df: df.withColumn("band", F.floor(F.col("lat") / band)).withColumn("slot", F.floor(F.unix_seconds("ts") / slot))
-    h = keys(held).select(F.col("lat").alias("hlat"), F.col("lon").alias("hlon"), F.col("ts").alias("hts"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("hband"), "slot")
-    h = h.select("hlat", "hlon", "hts", "hband", F.explode(F.array(*[F.col("slot") + k for k in (-1, 0, 1)])).alias("hslot"))
-    t = keys(train)
-    near = (F.col("band") == F.col("hband")) & (F.col("slot") == F.col("hslot")) & (F.abs(F.unix_micros("ts") - F.unix_micros("hts")) <= int(slot * 1e6)) & (haversine_km(F.col("lat"), F.col("lon"), F.col("hlat"), F.col("hlon")) <= max_km)
-    return t.join(h, near, "left_anti").drop("band", "slot")
+    """train without the events that a held one is near in both time and space; an event without a place or time stays."""
+    gap = int(max_hours * 3_600_000_000)
+    at = lambda df: places(df.withColumn("us", F.unix_micros("ts")), max_km, gap)
+    h = around(at(held.select("lat", "lon", "ts")), max_km, [(d, b) for d in (-1, 0, 1) for b in (-1, 0, 1)])
+    h = h.select(*[F.col(c).alias(f"h{c}") for c in ("lat", "lon", "us", "band", "slot", "cell")])
+    near = (F.col("band") == F.col("hband")) & (F.col("slot") == F.col("hslot")) & (F.col("cell") == F.col("hcell"))
+    near = near & (F.abs(F.col("us") - F.col("hus")) <= gap) & (haversine_km(F.col("lat"), F.col("lon"), F.col("hlat"), F.col("hlon")) <= max_km)
+    return at(train).join(h, near, "left_anti").drop("us", "band", "slot", "cell")
 
 
 def cells_within(events: DataFrame, grid: DataFrame, half: float, step: float = 0.5) -> DataFrame:
@@ -53,7 +81,8 @@ def cells_within(events: DataFrame, grid: DataFrame, half: float, step: float =
 def diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key and change (added, removed, changed) of the rows that differ, nulls being equal."""
     row = F.struct(*columns)
-    both = before.select(key, row.alias("old")).join(after.select(key, row.alias("new")), key, "full_outer")
+    old, new = (df.select(F.struct(key).alias("__key"), row.alias(n)) for df, n in ((before, "old"), (after, "new")))  # a struct, so null keys meet
+    both = old.join(new, "__key", "full_outer").withColumn(key, F.col(f"__key.{key}"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.select(key, change.alias("change")).where("change is not null")
 
@@ -68,15 +97,35 @@ def reuse(before: DataFrame, after: DataFrame, key: str, same: list[str], kept:
     return joined.select(*after.columns, "reused")
 
 
+def beside_in_time(left: DataFrame, right: DataFrame, by: str, width_us: int) -> DataFrame:
+    """left (by, us, ...) with `before` and `after`, structs (us, rid) of the rows of right (by, us, rid) next to it in time, at most width_us away or null.
+
+    right has one row a (by, us). Both sides go into one table, dealt by key and time slot and read in order of time: the
+    cost follows the rows, not the pairs in a slot. The last and first row of a slot are carried over to its neighbours.
+    """
+    slot = F.floor(F.col("us") / width_us).alias("slot")
+    found = F.struct("us", "rid")
+    r = right.select(by, "us", slot, "rid")
+    both = left.withColumn("slot", slot).withColumn("rid", F.lit(None).cast(right.schema["rid"].dataType)).withColumn("__left", F.lit(True)).unionByName(r.withColumn("__left", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(by, "slot").orderBy("us")
+    here = F.when(~F.col("__left"), found)
+    both = both.withColumn("before", F.last(here, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first(here, True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("__left")
+    ends = r.groupBy(by, "slot").agg(F.max(found).alias("hi"), F.min(found).alias("lo"))  # a row a slot
+    shifted = lambda k, c, name: ends.select(by, (F.col("slot") + k).alias("slot"), F.col(c).alias(name))
+    both = both.join(shifted(1, "hi", "__b"), [by, "slot"], "left").join(shifted(-1, "lo", "__a"), [by, "slot"], "left")
+    before, after = F.coalesce("before", "__b"), F.coalesce("after", "__a")
+    near = lambda x: F.when(F.abs(x["us"] - F.col("us")) <= width_us, x)
+    return both.select(*left.columns, near(before).alias("before"), near(after).alias("after"))
+
+
 def nearest_in_time(left: DataFrame, right: DataFrame, by: str, window_hours: float) -> DataFrame:
     """Each row of left (id, by, ts) with the row of right (rid, by, rts) nearest in time within the window; ties go to the smaller rid.
 
-    Both are dealt by the key and a time slot as wide as the window; a row of left looks into three slots.
+    Rows without a key or time have no match.
     """
-    width = int(window_hours * 3600)
-    l = left.withColumn("slot", F.explode(F.array(*[F.floor(F.unix_seconds("ts") / width) + k for k in (-1, 0, 1)])))  # noqa: E741
-    r = right.withColumn("slot", F.floor(F.unix_seconds("rts") / width))
-    gap = F.abs(F.unix_micros("ts") - F.unix_micros("rts"))
-    found = l.join(r, [by, "slot"]).withColumn("gap_us", gap).where(F.col("gap_us") <= width * 1_000_000)
-    best = found.groupBy("id").agg(F.min(F.struct("gap_us", "rid")).alias("best"))
-    return left.join(best, "id", "left").select(*left.columns, F.col("best.rid").alias("rid"), (F.col("best.gap_us") / 1e6).alias("gap_s"))
+    width = int(window_hours * 3_600_000_000)
+    r = right.where(F.col("rts").isNotNull()).groupBy(by, F.unix_micros("rts").alias("us")).agg(F.min("rid").alias("rid"))
+    found = beside_in_time(left.withColumn("us", F.unix_micros("ts")), r, by, width)
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("us") - F.col(f"{c}.us")).alias("gap_us"), F.col(f"{c}.rid").alias("rid")))
+    best = found.withColumn("best", F.least(gap("before"), gap("after")))
+    return best.select(*left.columns, F.col("best.rid").alias("rid"), (F.col("best.gap_us") / 1e6).alias("gap_s"))

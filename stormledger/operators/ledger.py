@@ -8,11 +8,30 @@ from pyspark.sql import functions as F
 from stormledger.functions.columns import ALERTS, alert_rank
 
 
-def stable_id(events: DataFrame) -> Column:
-    """origin:CODE:source id for the origins with ids of their own, else a digest of the event's members."""
-    code = F.upper(F.substring("type", 1, 2))
-    digest = F.substring(F.sha1(F.concat_ws("|", "origin", "source_id")), 1, 16)
-    return F.when(F.col("origin").isin("gdacs", "cems"), F.concat_ws(":", "origin", code, "source_id")).otherwise(F.concat_ws(":", F.lit("event"), code, digest))
+#: Short codes of types in identities (fixed values); another type is its own name in capitals.
+TYPE_CODES = {"Flood": "FL", "Storm": "TC", "Wildfire": "WF", "Drought": "DR"}
+#: Origins whose ids identify an event, the first one that has any (fixed values).
+ORIGINS = ("gdacs", "cems", "eonet")
+
+
+def type_code(kind: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for p in TYPE_CODES.items() for x in p])[kind], F.upper(F.coalesce(kind, F.lit("EV"))))
+
+
+def stable_id(kind: Column, members: Column, own_id: Column) -> Column:
+    """origin:CODE:source id by the first of ORIGINS with a member, its least source id; else a digest of all members, or of the event's id.
+
+    members: array of structs (origin, source_id).
+    """
+
+    def least(origin: str) -> Column:
+        return F.array_min(F.transform(F.filter(members, lambda m: F.lower(m["origin"]) == origin), lambda m: m["source_id"]))
+
+    code = type_code(kind)
+    out = F.coalesce(*[F.concat(F.lit(f"{origin}:"), code, F.lit(":"), least(origin)) for origin in ORIGINS])
+    joined = F.array_join(F.array_sort(F.transform(members, lambda m: F.concat_ws(":", m["origin"], m["source_id"]))), "|")
+    seed = F.coalesce(F.nullif(joined, F.lit("")), own_id, F.lit("unknown"))
+    return F.coalesce(out, F.concat(F.lit("event:"), code, F.lit(":"), F.substring(F.sha1(seed), 1, 16)))
 
 
 def daily(events: DataFrame, key: str = "stable_id") -> DataFrame:

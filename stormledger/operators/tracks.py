@@ -6,22 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormledger.functions.columns import EARTH_KM, haversine_km
-from stormledger.operators.joins import cells_within
+from stormledger.operators.joins import beside_in_time, cells_within
 
 
 def previous_cycle(left: DataFrame, right: DataFrame, by: str, least_hours: int, most_hours: int) -> DataFrame:
-    """Each row of left (id, by, ts) with the latest row of right (rid, by, rts) that is least_hours to most_hours before it; ties go to the greater rid.
-
-    Both are dealt by the key and a slot as wide as the longest lag, so a row of left looks into its own slot and the one before.
-    """
-    width = most_hours * 3600
-    slot = F.floor(F.unix_seconds("ts") / width)
-    l = left.withColumn("slot", F.explode(F.array(slot - 1, slot)))  # noqa: E741
-    r = right.withColumn("slot", F.floor(F.unix_seconds("rts") / width))
-    lag = F.unix_micros("ts") - F.unix_micros("rts")
-    found = l.join(r, [by, "slot"]).where(lag.between(least_hours * 3_600_000_000, most_hours * 3_600_000_000))
-    best = found.groupBy("id").agg(F.max(F.struct(F.col("rts"), F.col("rid"))).alias("best"))
-    return left.join(best, "id", "left").select(*left.columns, F.col("best.rid").alias("rid"), F.col("best.rts").alias("rts"))
+    """Each row of left (id, by, ts) with the latest row of right (rid, by, rts) that is least_hours to most_hours before it; ties go to the greater rid."""
+    width = (most_hours - least_hours) * 3_600_000_000
+    r = right.where(F.col("rts").isNotNull()).groupBy(by, F.unix_micros("rts").alias("us")).agg(F.max("rid").alias("rid"))
+    found = beside_in_time(left.withColumn("us", F.unix_micros("ts") - least_hours * 3_600_000_000), r, by, width)
+    return found.select(*left.columns, F.col("before.rid").alias("rid"), F.timestamp_micros("before.us").alias("rts"))
 
 
 def nearest_cell(points: DataFrame, key: str, grid: DataFrame, half: float, max_km: float) -> DataFrame:
@@ -31,17 +24,24 @@ def nearest_cell(points: DataFrame, key: str, grid: DataFrame, half: float, max_
     return points.join(best, key, "left").select(key, "x.row", "x.col", "x.km")
 
 
+def step_of(lat: Column, lon: Column, u: Column, v: Column, seconds: float) -> tuple[Column, Column]:
+    """Where a wind of u and v m/s takes a point: the cosine of the latitude is 0.05 at least, longitudes wrap at 180, latitudes end at 89.9."""
+    cos = F.greatest(F.lit(0.05), F.abs(F.cos(F.radians(lat))))
+    x = lon + F.degrees(u * seconds / (EARTH_KM * 1000 * cos))
+    wrapped = F.when(x > 180, x - 360).when(x < -180, x + 360).otherwise(x)
+    return F.greatest(F.lit(-89.9), F.least(F.lit(89.9), lat + F.degrees(v * seconds / (EARTH_KM * 1000)))), wrapped
+
+
 def advected(seeds: DataFrame, wind: DataFrame, leads: int, hours: float, step: float = 0.5, south: float = -22.0, west: float = -1.0) -> DataFrame:
-    """seeds (lat, lon and others) moved for `leads` steps by the wind (row, col, u, v in km/h) of the cell that they are in.
+    """seeds (lat, lon and others) moved for `leads` steps by the wind (lead, row, col, u, v in m/s) of the cell that they are in.
 
     A step depends on the one before, so each lead is an equi-join on the cell; without a wind a seed holds its position.
     """
     at = seeds
-    for _ in range(leads):
+    for lead in range(leads):
         here = at.withColumn("row", F.floor((F.col("lat") - south) / step).cast("int")).withColumn("col", F.floor((F.col("lon") - west) / step).cast("int"))
-        moved = here.join(wind, ["row", "col"], "left")
-        lat = F.col("lat") + F.coalesce("v", F.lit(0.0)) * hours / 111.0
-        lon = F.col("lon") + F.coalesce("u", F.lit(0.0)) * hours / (111.0 * F.cos(F.radians("lat")))
+        moved = here.join(wind.where(F.col("lead") == lead).drop("lead"), ["row", "col"], "left")
+        lat, lon = step_of(F.col("lat"), F.col("lon"), F.coalesce("u", F.lit(0.0)), F.coalesce("v", F.lit(0.0)), hours * 3600)
         at = moved.select(*[c for c in seeds.columns if c not in ("lat", "lon")], lat.alias("lat"), lon.alias("lon"))
     return at
 

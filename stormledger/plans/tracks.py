@@ -28,15 +28,18 @@ def nearest_valid_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.nearest_cell(points, "event_id", population_grid(spark).where("people >= 80"), 2.0, 200.0)
 
 
-STEP = "SELECT event_id, lat + coalesce(v, 0) * 3 / 111.0 AS lat, lon + coalesce(u, 0) * 3 / (111.0 * cos(radians(lat))) AS lon FROM {t} LEFT JOIN wind w ON w.row = CAST(floor((lat + 22.0) / 0.5) AS INT) AND w.col = CAST(floor((lon + 1.0) / 0.5) AS INT)"
+DEG = "180.0 / pi()"
+STEP = f"""SELECT event_id, greatest(-89.9, least(89.9, lat + coalesce(v, 0) * 10800 / 6371000.0 * {DEG})) AS lat, CASE WHEN x > 180 THEN x - 360 WHEN x < -180 THEN x + 360 ELSE x END AS lon
+  FROM (SELECT *, lon + coalesce(u, 0) * 10800 / (6371000.0 * greatest(0.05, abs(cos(radians(lat))))) * {DEG} AS x FROM {{t}} LEFT JOIN wind w ON w.lead = {{k}} AND w.row = CAST(floor((lat + 22.0) / 0.5) AS INT) AND w.col = CAST(floor((lon + 1.0) / 0.5) AS INT))"""
 
 
-@query(HAZARD + ", " + GRID + ", wind AS (SELECT row, col, ((row * 7 + col * 3) % 11 - 5) * 4.0 AS u, ((row * 5 + col * 2) % 9 - 4) * 4.0 AS v FROM grid WHERE people % 10 <> 0), s0 AS (SELECT event_id, lat, lon FROM hazard WHERE type = 'Wildfire'), " + ", ".join(f"s{k} AS ({STEP.format(t=f's{k - 1}')})" for k in range(1, 5)) + " SELECT event_id, round(lat, 5) AS lat, round(lon, 5) AS lon FROM s4")
+@query(HAZARD + ", " + GRID + ", wind AS (SELECT lead, row, col, ((row * 7 + col * 3 + lead) % 11 - 5) * 4.0 AS u, ((row * 5 + col * 2 + lead) % 9 - 4) * 4.0 AS v FROM grid, range(4) t(lead) WHERE people % 10 <> 0), s0 AS (SELECT event_id, lat, CASE WHEN event_id % 50 = 0 THEN 179.99 ELSE lon END AS lon FROM hazard WHERE type = 'Wildfire'), " + ", ".join(f"s{k} AS ({STEP.format(t=f's{k - 1}', k=k - 1)})" for k in range(1, 5)) + " SELECT event_id, round(lat, 5) AS lat, round(lon, 5) AS lon FROM s4")
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the wind takes each fire in four leads of three hours; without a wind it stays."""
-    row, col = F.col("row"), F.col("col")
-    wind = population_grid(spark).where("people % 10 <> 0").select("row", "col", (((row * 7 + col * 3) % 11 - 5) * 4.0).alias("u"), (((row * 5 + col * 2) % 9 - 4) * 4.0).alias("v"))
-    seeds = hazard_events(spark, sf_dir).where("type = 'Wildfire'").select("event_id", "lat", "lon")
+    """Where each lead's wind takes each fire in four steps of three hours; without a wind it stays."""
+    row, col, lead = F.col("row"), F.col("col"), F.col("lead")
+    grid = population_grid(spark).where("people % 10 <> 0").withColumn("lead", F.explode(F.array(*map(F.lit, range(4)))))
+    wind = grid.select("lead", "row", "col", (((row * 7 + col * 3 + lead) % 11 - 5) * 4.0).alias("u"), (((row * 5 + col * 2 + lead) % 9 - 4) * 4.0).alias("v"))
+    seeds = hazard_events(spark, sf_dir).where("type = 'Wildfire'").select("event_id", "lat", F.when(F.col("event_id") % 50 == 0, 179.99).otherwise(F.col("lon")).alias("lon"))
     return tracks.advected(seeds, wind, 4, 3.0).select("event_id", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
 
