@@ -1,3 +1,3 @@
 """Part of stormledger: natural-hazard event analytics on Spark."""
 
-from . import catalogue, tracks  # noqa: F401  (tracks adds its queries to the catalogue's)
+from . import catalogue, feeds, tracks  # noqa: F401  (the others add their queries to the catalogue's)
