@@ -33,7 +33,7 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files are written as a table and decoded from it; the result has the tensors, so they are stored with it."""
-    stored = written(progressive_jpeg.media(table(spark, sf_dir, "documents")), "media")
+    stored = written(progressive_jpeg.media(table(spark, sf_dir, "documents")), "media", compression="zstd")  # file headers are alike
     return progressive_jpeg.features(stored, tensors=True)
 
 
