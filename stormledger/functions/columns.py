@@ -57,6 +57,6 @@ def rounded_people(n: Column) -> Column:
 
 
 def lifecycle(first_seen: Column, last_seen: Column, start: Column, end: Column, complete: Column) -> Column:
-    """New, Ongoing, Resolved or both in a period; nothing is resolved without full coverage."""
-    new, over = first_seen >= start, complete & (last_seen < end)
-    return F.when(new & over, "New & Resolved").when(new, "New").when(over, "Resolved").otherwise("Ongoing")
+    """New, ongoing, resolved or both in a period; nothing is resolved without full coverage, nor what was last seen before the period."""
+    new, over = first_seen.between(start, end), complete & (last_seen >= start) & (last_seen < end)
+    return F.when(new & over, "New & resolved this period").when(over, "Resolved this period").when(new, "New this period").otherwise("Ongoing")

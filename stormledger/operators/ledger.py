@@ -65,3 +65,18 @@ def fingerprint(rows: DataFrame, columns: list[str], groups: list[str]) -> DataF
     """An order-insensitive fingerprint of each group: count, and the sum and exclusive-or of row digests, both partial aggregates."""
     digest = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256), 1, 15), 16, 10).cast("long")
     return rows.select(*groups, digest.alias("d")).groupBy(*groups).agg(F.count("*").alias("n"), F.sum(F.col("d").cast("decimal(38,0)")).cast("string").alias("digest_sum"), F.bit_xor("d").alias("digest_xor"))
+
+
+def period_events(observations: DataFrame, key: list[str]) -> DataFrame:
+    """One row a key of observations (day, ts, event_id, title, alert, metric, x): days, the last title that is not empty, alert maximum, first and last day, maps of the greatest and the latest value of each metric.
+
+    Metrics are in long form, so each is a partial maximum; a key with no value of any metric has null maps.
+    """
+    at = F.struct(F.unix_micros("ts"), F.col("event_id"))
+    said = F.when(F.coalesce("title", F.lit("")) != "", F.col("title"))
+    whole = observations.groupBy(*key).agg(
+        F.countDistinct("day").alias("days"), F.max_by(said, F.when(said.isNotNull(), at)).alias("title"), F.count("*").alias("n"), F.max(alert_rank(F.col("alert"))).alias("alert_rank"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
+    )
+    metrics = observations.where("x is not null and not isnan(x)").groupBy(*key, "metric").agg(F.max("x").alias("top"), F.max_by("x", at).alias("latest"))
+    maps = metrics.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("metric", "top"))).alias("metrics_max"), F.map_from_entries(F.collect_list(F.struct("metric", "latest"))).alias("metrics_latest"))
+    return whole.join(maps, key, "left")

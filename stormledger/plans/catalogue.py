@@ -121,7 +121,7 @@ def coverage_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(ledger.coverage(hazard_events(spark, sf_dir), "2023-12-28", "2024-02-03"), "day")
 
 
-@query(HAZARD + """SELECT user_id, CASE WHEN f >= DATE '2024-01-08' AND l < DATE '2024-01-14' AND whole THEN 'New & Resolved' WHEN f >= DATE '2024-01-08' THEN 'New' WHEN l < DATE '2024-01-14' AND whole THEN 'Resolved' ELSE 'Ongoing' END AS label
+@query(HAZARD + """SELECT user_id, CASE WHEN f >= DATE '2024-01-08' AND l < DATE '2024-01-14' AND whole THEN 'New & resolved this period' WHEN l < DATE '2024-01-14' AND whole THEN 'Resolved this period' WHEN f >= DATE '2024-01-08' THEN 'New this period' ELSE 'Ongoing' END AS label
   FROM (SELECT user_id, min(day) AS f, max(day) AS l, user_id % 3 <> 0 AS whole FROM hazard WHERE type = 'Flood' GROUP BY user_id HAVING max(day) >= DATE '2024-01-08' AND min(day) <= DATE '2024-01-14')""")
 def lifecycle_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifecycle labels of sources in a week; a source's own runs stand for its coverage, and without a full one nothing is resolved (H2)."""
