@@ -1,3 +1,3 @@
 """Part of stormledger: natural-hazard event analytics on Spark."""
 
-from . import catalogue, feeds, policies, tracks  # noqa: F401  (the others add their queries to the catalogue's)
+from . import catalogue, feeds, policies, shapes, tracks  # noqa: F401  (the others add their queries to the catalogue's)
