@@ -67,14 +67,10 @@ def with_fields(fields, ddl: str) -> StructType:
     return StructType([*fields, *StructType.fromDDL(ddl).fields])
 
 
-def packed_rows(docs: DataFrame, *needed: str) -> DataFrame:
-    """The needed columns of docs and `__row` with all columns, so that no other name of docs meets one of an operator."""
-    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-
-
-def unpacked(df: DataFrame) -> DataFrame:
-    """The columns that packed_rows() put away."""
-    return df.select("__row.*")
+def renamed(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with names for all but the needed columns that no operator uses, and the names to give back."""
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in needed}
+    return docs.withColumnsRenamed(names), {new: old for old, new in names.items()}
 
 
 def crc32_u32(ids) -> int:

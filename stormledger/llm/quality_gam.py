@@ -50,13 +50,16 @@ def text_features(text: str | None) -> list[float]:
 
 def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and `features` of each row of docs (text); a kept column of that name gives way to it."""
-    chosen = docs.select(*(c for c in keep if c != "features"), F.col("text").alias("__text"))
-    fields = with_fields(chosen.schema.fields[:-1], "features array<double>")
+    keep = [c for c in keep if c != "features"]
+    own = "text" in keep  # then it goes to the worker once
+    chosen = docs.select(*keep) if own else docs.select(*keep, F.col("text").alias("__text"))
+    fields = with_fields(chosen.schema.fields[: len(keep)], "features array<double>")
+    at = keep.index("text") if own else len(keep)
 
     def run(batches):
         for batch in batches:
-            got = [text_features(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "features"])
+            got = [text_features(x.as_py()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got, pa.list_(pa.float64()))], names=[*keep, "features"])
 
     return chosen.mapInArrow(run, fields)
 
