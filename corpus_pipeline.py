@@ -10,27 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.llm import line_dedup, packing, quality_gam, simhash, toxicity_cnn
-from stormledger.llm.common import packed_rows, table, unpacked, written
+from stormledger.llm.common import renamed, table, written
 from stormledger.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as label 1."""
-    rows = packed_rows(docs, "doc_id", "text")
-    return unpacked(quality_gam.scored(rows, table(spark, sf_dir, "labels"), keep=("__row",)).where("predicted = 1"))
+    rows, names = renamed(docs, "doc_id", "text")
+    return quality_gam.scored(rows, table(spark, sf_dir, "labels"), keep=tuple(rows.columns)).where("predicted = 1").select(*rows.columns).withColumnsRenamed(names)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold of their language."""
-    rows = packed_rows(docs, "doc_id", "text", "lang")
-    return unpacked(toxicity_cnn.scored(rows, table(spark, sf_dir, "labels"), keep=("__row",)).where(~F.col("flagged")))
+    rows, names = renamed(docs, "doc_id", "text", "lang")
+    return toxicity_cnn.scored(rows, table(spark, sf_dir, "labels"), keep=tuple(rows.columns)).where(~F.col("flagged")).select(*rows.columns).withColumnsRenamed(names)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; a document of which no line with words is left goes."""
-    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    left = line_dedup.dedup_lines(docs.withColumnsRenamed(names)).where((F.coalesce("n_dropped", F.lit(0)) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in names.items()})
+    rows, names = renamed(docs, "doc_id", "text")
+    left = line_dedup.dedup_lines(rows).where((F.coalesce("n_dropped", F.lit(0)) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*rows.columns).withColumnsRenamed(names)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
     groups = keyed.join(simhash.similar_texts(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(first.alias("x"))
     chosen = groups.select(F.col("x.doc_id").alias("__id"), F.col("x.node.h").alias("__h"), F.col("x.node.g").alias("__g"))
-    rows = packed_rows(docs, "doc_id", "text").withColumns({"__h2": h, "__g2": g})
+    rows, names = renamed(docs, "doc_id", "text")
+    rows = rows.withColumns({"__h2": h, "__g2": g})
     same = (F.col("__h2") == F.col("__h")) & (F.col("__g2") == F.col("__g")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return unpacked(rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__h2", "__g2"]))
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__h2", "__g2"]).drop("__h2", "__g2").withColumnsRenamed(names)
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
