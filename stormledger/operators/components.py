@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stormledger.sources.storage import shared_folder
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the folder of spark.checkpoint.dir, which driver and executors share; a folder of its own only where that is unset."""
+    """df in the folder of spark.checkpoint.dir, which driver and executors share."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

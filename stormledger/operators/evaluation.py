@@ -32,20 +32,20 @@ def pareto_front(configs: DataFrame, key: str, low: str, high: str, eps: float =
     point has the least low and the best high of the front, both scaled to the front's spread. Nulls are never on the front.
     """
     clean = configs.where(F.col(low).isNotNull() & F.col(high).isNotNull())
-    span = clean.agg(F.min(low).alias("lo"), F.max(low).alias("hi"))  # one row
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(low) - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
-    dealt = clean.crossJoin(F.broadcast(span)).withColumn("__part", part).drop("lo", "hi")
-    parts = dealt.groupBy("__part").agg(F.max(high).alias("m"))  # RANGES rows
-    earlier = parts.select("__part", F.max("m").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    span = clean.agg(F.min(low).alias("__lo"), F.max(low).alias("__hi"))  # one row
+    part = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col(low) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
+    dealt = clean.crossJoin(F.broadcast(span)).withColumn("__part", part).drop("__lo", "__hi")
+    parts = dealt.groupBy("__part").agg(F.max(high).alias("__max"))  # RANGES rows
+    earlier = parts.select("__part", F.max("__max").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     left = dealt.join(F.broadcast(earlier), "__part").where(F.col("__before").isNull() | (F.col(high) > F.col("__before") + eps))
     here = Window.partitionBy("__part").orderBy(low)
     best = F.max(high).over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     lower = left.groupBy("__part", low).agg(F.max(high).alias("__m"))
     lower = lower.select("__part", low, F.max("__m").over(here.rowsBetween(Window.unboundedPreceding, -1)).alias("__in"))
     front = left.withColumn("__best", best).join(lower, ["__part", low]).where((F.col(high) >= F.col("__best") - eps) & (F.col("__in").isNull() | (F.col(high) > F.col("__in") + eps)))
-    ends = front.agg(F.min(low).alias("a"), F.max(low).alias("b"), F.min(high).alias("c"), F.max(high).alias("d"))  # one row
+    ends = front.agg(F.min(low).alias("__a"), F.max(low).alias("__b"), F.min(high).alias("__c"), F.max(high).alias("__d"))  # one row
     away = lambda x, at, span: F.when(span > eps, (x - at) / span).otherwise(0.0)
-    gap = F.sqrt(F.pow(away(F.col(low), F.col("a"), F.col("b") - F.col("a")), 2) + F.pow(away(F.col(high), F.col("d"), F.col("d") - F.col("c")), 2))
+    gap = F.sqrt(F.pow(away(F.col(low), F.col("__a"), F.col("__b") - F.col("__a")), 2) + F.pow(away(F.col(high), F.col("__d"), F.col("__d") - F.col("__c")), 2))
     return front.crossJoin(F.broadcast(ends)).select(key, low, high, gap.alias("gap"))
 
 

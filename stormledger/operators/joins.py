@@ -124,7 +124,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, by: str, window_hours: fl
     Rows without a key or time have no match.
     """
     width = int(window_hours * 3_600_000_000)
-    r = right.where(F.col("rts").isNotNull()).groupBy(by, F.unix_micros("rts").alias("us")).agg(F.min("rid").alias("rid"))
+    r = right.where(F.col("rts").isNotNull() & F.col(by).isNotNull()).groupBy(by, F.unix_micros("rts").alias("us")).agg(F.min("rid").alias("rid"))
     found = beside_in_time(left.withColumn("us", F.unix_micros("ts")), r, by, width)
     gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("us") - F.col(f"{c}.us")).alias("gap_us"), F.col(f"{c}.rid").alias("rid")))
     best = found.withColumn("best", F.least(gap("before"), gap("after")))

@@ -10,9 +10,9 @@ from stormledger.operators.joins import beside_in_time, cells_within
 
 
 def previous_cycle(left: DataFrame, right: DataFrame, by: str, least_hours: int, most_hours: int) -> DataFrame:
-    """Each row of left (id, by, ts) with the latest row of right (rid, by, rts) that is least_hours to most_hours before it; ties go to the greater rid."""
+    """Each row of left (id, by, ts) with the latest row of right (rid, by, rts) that is least_hours to most_hours before it; ties go to the greater rid. Rows without a key or time have no match."""
     width = (most_hours - least_hours) * 3_600_000_000
-    r = right.where(F.col("rts").isNotNull()).groupBy(by, F.unix_micros("rts").alias("us")).agg(F.max("rid").alias("rid"))
+    r = right.where(F.col("rts").isNotNull() & F.col(by).isNotNull()).groupBy(by, F.unix_micros("rts").alias("us")).agg(F.max("rid").alias("rid"))
     found = beside_in_time(left.withColumn("us", F.unix_micros("ts") - least_hours * 3_600_000_000), r, by, width)
     return found.select(*left.columns, F.col("before.rid").alias("rid"), F.timestamp_micros("before.us").alias("rts"))
 

@@ -61,7 +61,7 @@ def write_snapshot(rows: DataFrame, folder: str, generated_at: str) -> None:
 def write_products(rows: DataFrame, key: str, doc: str, folder: str) -> None:
     """A document a key, as text under its safe name; keys written before and absent now are stale and go."""
     named = rows.select(safe_name(F.col(key)).alias("name"), F.col(doc).alias("value"))
-    named.write.mode("overwrite").partitionBy("name").text(folder)
+    named.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("name").text(folder)
 
 
 def stabilised(old: DataFrame, new: DataFrame, key: str, volatile: str = "generated_at") -> DataFrame:

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormledger.sources.storage import shared_folder
+
 
 def stream_lifecycle(spark: SparkSession, folder: str, pattern: str, key: str = "user_id") -> DataFrame:
     """first_seen, last_seen and observations of each key of the folder's event files with a name like pattern, from all micro-batches so far.
 
     A batch's rows go to a folder with its number and are overwritten if it runs again, so a restart counts nothing twice.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
 
     def keep(batch: DataFrame, number: int) -> None:
