@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_u32, written
-from .tokens import encoder_of, slices
+from .common import crc32_u32, give_back, written
+from .tokens import CACHE, encoder_of, slices
 
 CAPACITY = 2048
 #: Patterns that are tried for each first length, steps of a least-squares fit, and fits at most, each of what the last one left.
@@ -32,7 +32,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     """docs (doc_id, text) as token pieces of at most capacity ids (blank-free tokenizer); with_ids keeps the ids."""
 
     def run(batches):
-        encoder = encoder_of(tokenizer, False)
+        encoder = encoder_of(tokenizer, False, CACHE // 2)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 ids, n = encoder.encode(batch.column(1), end)
@@ -48,6 +48,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
                 if with_ids:
                     cells, names = [*cells, pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cells, names=names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE + ", ids array<long>" * with_ids)
 

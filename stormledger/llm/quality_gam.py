@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, rank_in_crc, with_fields, written
+from .common import give_back, held_out, rank_in_crc, with_fields, written
 from .host_rules import text_counts
 
 FEATURES = ("words", "word_length", "symbols", "upper", "distinct", "repeated", "dup_lines", "ended_lines", "line_words", "digits", "other_chars", "longest", "top_word", "bars", "stops")
@@ -60,6 +60,7 @@ def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
         for batch in batches:
             got = [text_features(x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got, pa.list_(pa.float64()))], names=[*keep, "features"])
+        give_back()
 
     return chosen.mapInArrow(run, fields)
 

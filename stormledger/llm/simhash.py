@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 from .components import components
 
 WORDS, SEED, RADIUS, TILE = 3, 42, 2, 2048
@@ -250,6 +250,7 @@ def similar_texts(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
             none = np.zeros(0, np.int64)
             bands_ = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([none, *keys])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([none.view(np.uint64), *fps]).view(np.int64)), pa.array(sizes, pa.int32()), bands_], names=["h", "g", "fp", "size", "bands"])
+        give_back()
 
     rows = chosen.mapInArrow(sketch, "h long, g long, fp long, size int, bands array<long>")
     nodes = written(rows.groupBy("h", "g").agg(*(F.any_value(c).alias(c) for c in ("fp", "size", "bands"))).select(F.struct("h", "g").alias("node"), "fp", "size", "bands"), "texts")
@@ -270,6 +271,7 @@ def similar_texts(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
                 part = batch.slice(at, 256)
                 sets = [np.unique(np.array(shingle_hashes(x.as_py(), words, seed), np.uint64)).view(np.int64) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["h", "g", "shingles"])
+        give_back()
 
     wanted = pairs.select(F.col("a.h").alias("h"), F.col("a.g").alias("g")).unionByName(pairs.select("b.h", "b.g")).distinct()
     sets = chosen.join(wanted, ["h", "g"], "left_semi").select("h", "g", "text").mapInArrow(shingles, "h long, g long, shingles array<long>")

@@ -175,9 +175,9 @@ class ChunkEncoder:
 
 
 @cache
-def encoder_of(path: str, blanks: bool) -> ChunkEncoder:
+def encoder_of(path: str, blanks: bool, limit: int = CACHE) -> ChunkEncoder:
     """One encoder for all tasks of a Python worker."""
-    return ChunkEncoder(path, blanks)
+    return ChunkEncoder(path, blanks, limit)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
