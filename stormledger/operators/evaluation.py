@@ -49,29 +49,39 @@ def pareto_front(configs: DataFrame, key: str, low: str, high: str, eps: float =
     return front.crossJoin(F.broadcast(ends)).select(key, low, high, gap.alias("gap"))
 
 
-def exact_quantiles(values: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """group, n and for each name the exact quantile, linear between the two ranks beside it; nulls and NaN do not count.
+def exact_quantiles(values: DataFrame, group: str, value: str, shares: dict[str, float], levels: int = 2) -> DataFrame:
+    """group, n and for each name the exact quantile, linear between the two ranks beside it; nulls, NaN and rows without a group do not count.
 
-    The value range of a group is cut into RANGES; counts tell which ranges hold the wanted ranks, and only their rows are
-    ordered, each range apart. So no aggregate keeps a group's values.
+    Equal values are one row with a count. A group's span is cut into RANGES; counts tell which ranges hold the wanted
+    ranks, and only their rows go on, cut again over the span that they really have. What is left is ordered, each range
+    apart. So no aggregate keeps a group's values, and neither ties nor a few far values leave them in one range. What one
+    level leaves for the next is written, as the plan would double with each.
     """
-    v = values.select(group, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    ends = v.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    # groups are few beside their rows: one row each, joined by shuffle or broadcast as its size allows
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
-    dealt = v.join(ends.drop("n"), group).withColumn("part", part.cast("int")).drop("lo", "hi")
-    counts = dealt.groupBy(group, "part").agg(F.count("*").alias("m"))
-    counts = counts.withColumn("before", F.sum("m").over(Window.partitionBy(group).orderBy("part")) - F.col("m"))
-    ranks = ends.select(group, "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for name, q in shares.items()])).alias("x"))
-    wanted = ranks.select(group, F.col("x.name").alias("name"), F.col("x.at").alias("at"), F.explode(F.array_distinct(F.array(F.floor("x.at"), F.ceil("x.at")))).alias("rank"))
-    held = wanted.join(counts, group).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m"))).select(group, "part", "before", "name", "at", "rank")
-    rows = dealt.join(held.select(group, "part", "before").distinct(), [group, "part"])
-    ordered = rows.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy(group, "part").orderBy("v")) - 1)
-    got = held.join(ordered.select(group, "rank", "v"), [group, "rank"])
+    v = values.select(group, F.col(value).cast("double").alias("v")).where(f"{group} is not null and v is not null and not isnan(v)")
+    rows = checkpointed(v.groupBy(group, "v").agg(F.count("*").alias("c")))
+    sizes = rows.groupBy(group).agg(F.sum("c").alias("n"))
+    names = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for name, q in shares.items()])
+    ranks = sizes.select(group, F.explode(names).alias("x")).select(group, "x.name", "x.at")
+    wanted = ranks.select(group, "name", "at", F.lit(0).cast("long").alias("before"), F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    keys = [group]
+    for level in range(levels):
+        part = f"part{level}"
+        span = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        cut = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0))
+        dealt = rows.join(span, keys).withColumn(part, cut.cast("int")).drop("lo", "hi")
+        counts = dealt.groupBy(*keys, part).agg(F.sum("c").alias("m"))  # RANGES rows a key
+        counts = counts.withColumn("inner", F.sum("m").over(Window.partitionBy(*keys).orderBy(part)) - F.col("m"))
+        held = wanted.join(counts, keys).withColumn("before", F.col("before") + F.col("inner"))
+        wanted = checkpointed(held.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m"))).drop("inner", "m"))
+        keys = [*keys, part]
+        rows = dealt.join(wanted.select(*keys).distinct(), keys, "left_semi")
+        rows = checkpointed(rows) if level < levels - 1 else rows
+    upto = rows.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("v")))
+    got = wanted.join(upto, keys).where((F.col("rank") >= F.col("before") + F.col("upto") - F.col("c")) & (F.col("rank") < F.col("before") + F.col("upto")))
     # the upper of the two ranks counts by the part of a step beyond the lower
     weight = F.when(F.col("rank") == F.floor("at"), 1 - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
     sums = got.groupBy(group).agg(*[F.sum(F.when(F.col("name") == name, weight * F.col("v"))).alias(name) for name in shares])
-    return ends.select(group, "n").join(sums, group)
+    return sizes.join(sums, group)
 
 
 def top_cells(scores: DataFrame, group: str, cell: str, score: str, k: int) -> DataFrame:
