@@ -150,6 +150,17 @@ def payload_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.payload_facts(raw(spark, sf_dir, WALK), "event_id")
 
 
+EPISODE = """CASE event_id % 5 WHEN 0 THEN '{"episodes":[{"episodeid":1,"Ha":"9,999","fromdate":"2024-01-01"},{"episodeid":"2","burned-area":"' || event_id || '","severitytext":"5 ha","fromdate":"02 Jan 2024","todate":"2024-01-09T00:00:00"}]}'
+  WHEN 1 THEN '{"title":"Fire of 1,' || (100 + event_id % 800) || ' ha","startdate":"03/01/2024","Duration (days)":"7"}' WHEN 2 THEN '{"episode":2,"ha":-4,"name":"none","enddate":"soon"}' WHEN 3 THEN NULL ELSE '{"a":[{"hectares":"' || event_id || '"},{"episode_id":2}]}' END"""
+
+
+@query(HAZARD + """, k AS (SELECT event_id, event_id % 5 AS k FROM hazard) SELECT event_id, CASE k WHEN 0 THEN event_id WHEN 1 THEN 1000 + 100 + event_id % 800 END::DOUBLE AS burned_area_ha, CASE k WHEN 0 THEN 'burned-area' WHEN 1 THEN 'title' END AS area_field,
+  CASE k WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2024-01-03' END AS start_date, CASE k WHEN 0 THEN '2024-01-09' END AS last_detection, CASE k WHEN 0 THEN 7 WHEN 1 THEN 7 END AS duration_days, CASE k WHEN 0 THEN 'derived' WHEN 1 THEN 'Duration (days)' END AS duration_field FROM k""")
+def episode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area, dates and duration of the second episode in nested payloads."""
+    return payloads.payload_episodes(raw(spark, sf_dir, EPISODE).withColumn("n", F.lit(2)), "event_id", "n")
+
+
 @query(HAZARD + """, a AS (SELECT event_id, radians(lat) AS p, radians(20.0) AS q, radians(35.0 - lon) AS d, value, event_id % 40 AS z FROM hazard), b AS (SELECT *, (degrees(atan2(sin(d) * cos(q), cos(p) * sin(q) - sin(p) * cos(q) * cos(d))) + 360) % 360 AS bearing FROM a)
 SELECT event_id, round(bearing, 6) AS bearing, round(abs((bearing - 10 + 180 + 360) % 360 - 180), 6) AS turn, round(sqrt(value * value + z * z), 6) AS speed, round(CASE WHEN z <> 0 THEN value / z END, 6) AS ratio FROM b""")
 def bearings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,15 @@ def refresh_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.scope(*found_changes(spark, sf_dir), share=0.25, least=12)
 
 
+@query(SNAP + """, w AS (SELECT coalesce(a.id, b.id) AS id FROM a FULL JOIN b USING (id) WHERE a.id IS NULL OR b.id IS NULL OR (a.origin, coalesce(a.alert, ''), a.ts, a.lat, a.lon, coalesce(a.burned_area_ha, -1)) IS DISTINCT FROM (b.origin, coalesce(b.alert, ''), b.ts, b.lat, b.lon, coalesce(b.burned_area_ha, -1)))
+SELECT count(*) AS broad, (SELECT count(*) FROM d) AS semantic FROM w""")
+def content_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events changed in any field, and in one that counts."""
+    s = [snapshot(spark, sf_dir, d) for d in ("2024-01-10", "2024-01-11")]
+    n = [refresh.changed(*map(of, s)).agg(F.count("*").alias(name)) for name, of in (("broad", lambda x: refresh.broad(x, ("title",))), ("semantic", refresh.semantic))]
+    return n[0].crossJoin(n[1])  # one row each
+
+
 @query(SNAP + "SELECT a.id, CASE WHEN d.id IS NULL THEN b.burned_area_ha ELSE a.burned_area_ha END AS burned_area_ha, d.id IS NOT NULL AS fresh FROM a LEFT JOIN b USING (id) LEFT JOIN d ON d.id = a.id")
 def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot in which unchanged events are the previous ones and only changed ones are processed again."""
@@ -185,6 +194,17 @@ def period_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.period_events(e, ["user_id", "type"])
 
 
+@query(HAZARD + """, c AS (SELECT DISTINCT date_trunc('hour', ts) AS cycle, event_id % 1000 AS rid FROM hazard WHERE event_id % 4 = 0), e AS (SELECT id, date_trunc('hour', ts) AS frozen FROM hazard WHERE event_id % 3 = 0), x AS (SELECT e.id, min(c.rid) AS rid FROM e JOIN c ON c.cycle = e.frozen GROUP BY e.id),
+n AS (SELECT e.id, min(struct_pack(gap := abs(epoch_us(c.cycle) - epoch_us(e.frozen)), rid := c.rid)) AS n FROM e JOIN c ON abs(epoch_us(c.cycle) - epoch_us(e.frozen)) <= 43200000000 GROUP BY e.id) SELECT e.id, coalesce(x.rid, n.n.rid) AS rid, CASE WHEN x.rid IS NOT NULL THEN 'frozen' WHEN n.n IS NOT NULL THEN 'nearest' END AS match FROM e LEFT JOIN x USING (id) LEFT JOIN n USING (id)""")
+def frozen_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cycle that was frozen for an event, else the nearest within 12 hours."""
+    h, hour = hazard_events(spark, sf_dir), F.date_trunc("hour", "ts")
+    c = h.where("event_id % 4 = 0").select(F.lit("all").alias("k"), hour.alias("rts"), (F.col("event_id") % 1000).alias("rid"))
+    e = h.where("event_id % 3 = 0").select("id", F.lit("all").alias("k"), hour.alias("ts"))
+    got = joins.nearest_in_time(e, c, "k", 12)
+    return got.select("id", "rid", F.when(F.col("gap_s") == 0, "frozen").when(F.col("gap_s").isNotNull(), "nearest").alias("match"))
+
+
 @query(PERIOD + "SELECT user_id, type, days, title, n, r AS alert_rank, key AS metric, m[key] AS people, CASE WHEN m[key] IS NULL THEN '—' WHEN m[key] = 0 THEN '0 people' WHEN m[key] < 1000 THEN '<1,000 people' ELSE '≈' || format('{:,}', CAST(round_even(m[key] / 1000, 0) AS BIGINT) * 1000) || ' people' END AS shown FROM s")
 def event_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary rows of a period's events: days, last title, alert, preferred population and how it is printed."""

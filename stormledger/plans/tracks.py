@@ -20,12 +20,12 @@ def asof_previous_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(HAZARD + ", " + GRID + f""", a AS (SELECT event_id, lat, lon FROM hazard WHERE alert = 'Red' AND type = 'Drought'), b AS (SELECT row, col, lat_c AS lat, lon_c AS lon FROM grid WHERE people >= 80),
-n AS (SELECT event_id, arg_min(struct_pack(row := row, col := col, km := km), struct_pack(km := km, row := row, col := col)) AS x FROM (SELECT event_id, row, col, round({KM.format(a='a', b='b')}, 6) AS km FROM a, b WHERE abs(a.lat - b.lat) <= 2 AND abs(a.lon - b.lon) <= 2) WHERE km <= 200 GROUP BY event_id)
+n AS (SELECT event_id, arg_min(struct_pack(row := row, col := col, km := km), struct_pack(km := km, row := row, col := col)) AS x FROM (SELECT event_id, row, col, round({KM.format(a='a', b='b')}, 6) AS km FROM a, b WHERE abs(a.lat - b.lat) <= 5 AND abs(a.lon - b.lon) <= 5) WHERE km <= 500 GROUP BY event_id)
 SELECT event_id, x.row AS row, x.col AS col, x.km AS km FROM a LEFT JOIN n USING (event_id)""")
 def nearest_valid_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest populated cell of each drought within 200 km."""
+    """The nearest populated cell of each drought within 500 km."""
     points = hazard_events(spark, sf_dir).where("alert = 'Red' and type = 'Drought'").select("event_id", "lat", "lon")
-    return tracks.nearest_cell(points, "event_id", population_grid(spark).where("people >= 80"), 2.0, 200.0)
+    return tracks.nearest_cell(points, "event_id", population_grid(spark).where("people >= 80"), 5.0, 500.0)
 
 
 DEG = "180.0 / pi()"
@@ -45,13 +45,14 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(HAZARD + """, r AS (SELECT event_id, radians(lat) AS p, radians(lon - 30.0) AS d, radians(10.0) AS p0 FROM hazard), c AS (SELECT *, acos(least(1.0, greatest(-1.0, sin(p0) * sin(p) + cos(p0) * cos(p) * cos(d)))) AS c FROM r),
 k AS (SELECT *, CASE WHEN sin(c) = 0 THEN 1.0 ELSE c / sin(c) END * 6371.0 AS k FROM c), xy AS (SELECT event_id, k * cos(p) * sin(d) AS x, k * (cos(p0) * sin(p) - sin(p0) * cos(p) * cos(d)) AS y FROM k)
-SELECT event_id, round(x, 4) AS x, round(y, 4) AS y, round(x * cos(radians(90.0)) - y * sin(radians(90.0)), 4) AS left_x, round(x * sin(radians(90.0)) + y * cos(radians(90.0)), 4) AS left_y FROM xy""")
+SELECT event_id, round(x, 4) AS x, round(y, 4) AS y, round(x * cos(radians(90.0)) - y * sin(radians(90.0)), 4) AS left_x, round(x * sin(radians(90.0)) + y * cos(radians(90.0)), 4) AS left_y,
+  round(x * cos(radians(-90.0)) - y * sin(radians(-90.0)), 4) AS right_x, round(x * sin(radians(-90.0)) + y * cos(radians(-90.0)), 4) AS right_y, round(x * cos(radians(180.0)) - y * sin(radians(180.0)), 4) AS back_x, round(x * sin(radians(180.0)) + y * cos(radians(180.0)), 4) AS back_y FROM xy""")
 def local_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in kilometres around a centre, and turned by a right angle as a control."""
+    """Events in kilometres around a centre, and turned to its sides and back as controls."""
     x, y = tracks.local_xy(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(30.0))
     at = hazard_events(spark, sf_dir).select("event_id", x.alias("x"), y.alias("y"))
-    tx, ty = tracks.turned(F.col("x"), F.col("y"), 90.0)
-    return at.select("event_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round(tx, 4).alias("left_x"), F.round(ty, 4).alias("left_y"))
+    turns = [F.round(c, 4).alias(f"{name}_{axis}") for name, degrees in (("left", 90.0), ("right", -90.0), ("back", 180.0)) for axis, c in zip("xy", tracks.turned(F.col("x"), F.col("y"), degrees))]
+    return at.select("event_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), *turns)
 
 
 @query("""SELECT p_partkey, round(abs(x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2 + x3 * y4 - x4 * y3 + x4 * y1 - x1 * y4) / 2, 6) AS area FROM (SELECT p_partkey, -p_size * 1.0 AS x1, -1.0 AS y1, p_size * 2.0 AS x2, -p_size * 0.5 AS y2, p_size * 1.5 AS x3, p_partkey % 7 + 1.0 AS y3, -0.5 AS x4, p_size * 1.0 AS y4 FROM part)""")
