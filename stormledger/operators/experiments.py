@@ -15,11 +15,11 @@ from stormledger.operators.evaluation import exact_quantiles
 def skill(cells: DataFrame, event: str, configs: dict[str, Column], share: float = 0.8) -> DataFrame:
     """event, config, enrichment, precision, recall and csi of each configuration's cells against the event's high ones.
 
-    cells (event, value, area, control): high is what reaches the event's quantile of `share`; control cells give the
+    cells (event, value, area, control): high is what reaches the event's quantile of `share`, to nine digits; control cells give the
     background mean. configs: which cells a configuration predicts. One pass of partial sums for all configurations.
     """
     top = exact_quantiles(cells, event, "value", {"threshold": share}).select(event, "threshold")
-    c = cells.join(top, event).withColumn("high", F.col("value") >= F.col("threshold"))
+    c = cells.join(top, event).withColumn("high", F.round("value", 9) >= F.round("threshold", 9))
     area = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("area"))), F.lit(0.0))
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("config"), inside.alias("inside")) for name, inside in configs.items()]))
     c = c.select("*", rows.alias("x")).select("*", "x.config", "x.inside")
@@ -79,12 +79,12 @@ def holdout(events: DataFrame, region: str, least: int = 2, keep: int = 2, salt:
 def forward_window(events: DataFrame, cycles: DataFrame, horizon: int, slack_hours: float = 3.1, step: int = 3) -> DataFrame:
     """Of each event (id, ts) the forecast cycle (cycle, leads) whose start lead is nearest to it and has every lead of the horizon: by offset, then the newest.
 
-    cycles are dealt by day; a cycle reaches as far as its last lead, so an event looks into the days that this covers.
+    cycles are dealt by day; a cycle reaches as far as its last lead, so an event looks into the days that this covers, and the next one.
     """
     longest = cycles.agg(F.max(F.array_max("leads")).alias("m")).first().m or 0  # one number
     days = int(longest // 24) + 1
     c = cycles.select("cycle", "leads", F.to_date("cycle").alias("day"))
-    e = events.withColumn("day", F.explode(F.array(*[F.date_sub(F.to_date("ts"), k) for k in range(days + 1)])))
+    e = events.withColumn("day", F.explode(F.array(*[F.date_sub(F.to_date("ts"), k) for k in range(-1, days + 1)])))
     x = e.join(c, "day").withColumn("ahead", (F.unix_seconds("ts") - F.unix_seconds("cycle")) / 3600.0).where(F.col("ahead") >= -slack_hours)
     starts = F.transform("leads", lambda h: F.struct(F.abs(h - F.col("ahead")).alias("offset"), h.alias("lead")))
     x = x.withColumn("start", F.array_min(starts)).where(F.col("start.offset") <= slack_hours)

@@ -10,7 +10,7 @@ from stormledger.plans.catalogue import PAIRS, query
 from stormledger.sources.hazard import HAZARD, hazard_events, table
 
 CELLS = "cells AS (SELECT l_suppkey AS event, CAST(l_quantity + l_linenumber * 0.01 AS DOUBLE) AS value, CAST(l_extendedprice AS DOUBLE) AS area, l_tax < 0.04 AS control, l_linenumber AS line FROM lineitem)"
-SKILL = f"""WITH {CELLS}, t AS (SELECT event, quantile_cont(value, 0.8) AS threshold FROM cells GROUP BY event), x AS (SELECT cells.*, value >= threshold AS high, 'c' || k AS config, line <= k AS inside FROM cells JOIN t USING (event), range(1, 6) r(k)),
+SKILL = f"""WITH {CELLS}, t AS (SELECT event, quantile_cont(value, 0.8) AS threshold FROM cells GROUP BY event), x AS (SELECT cells.*, round(value, 9) >= round(threshold, 9) AS high, 'c' || k AS config, line <= k AS inside FROM cells JOIN t USING (event), range(1, 6) r(k)),
 s AS (SELECT event, config, coalesce(sum(area) FILTER (WHERE inside AND high), 0) AS b, coalesce(sum(area) FILTER (WHERE inside), 0) AS p, coalesce(sum(area) FILTER (WHERE high), 0) AS h, avg(value) FILTER (WHERE inside) AS m, avg(value) FILTER (WHERE control) AS bg FROM x GROUP BY event, config),
 k AS (SELECT event, config, round(m / nullif(bg, 0), 6) AS enrichment, round(b / nullif(p, 0), 6) AS "precision", round(b / nullif(h, 0), 6) AS recall, round(b / nullif(p + h - b, 0), 6) AS csi, round(p, 2) AS area FROM s) """
 

@@ -22,7 +22,7 @@ EONET = f"""CASE WHEN event_id % 17 = 3 THEN '{{"events":[{{"id":' ELSE '{{"even
   || ',"link":"http://l/' || event_id || '","categories":[{{"id":"' || CASE type WHEN 'Storm' THEN 'severeStorms' WHEN 'Flood' THEN 'floods' WHEN 'Drought' THEN 'drought' WHEN 'Heat' THEN 'tempExtremes' ELSE 'wildfires' END || '"}},{{"id":"floods"}}],"sources":[{{"url":null}}'
   || CASE WHEN event_id % 3 = 1 THEN ',{{"url":"http://s/' || event_id || '"}}' ELSE '' END || '],"geometry":[{{"date":"2024-01-01T00:00:00Z","type":"Point","coordinates":[0,0]}},{{"date":"' || {WHEN} || '",' || {PLACE} || '}}]}}]}}' END"""
 #: The centre of a geometry object g in DuckDB: a point's numbers, else the mean of the numbers at even and odd places.
-CENTRE = """CASE WHEN g->>'$.type' = 'Point' THEN CAST(g->>'$.coordinates[{k}]' AS DOUBLE) ELSE list_avg(list_transform(regexp_extract_all(g->>'$.coordinates', '\\[([-0-9.]+),([-0-9.]+)', {n}), lambda x: CAST(x AS DOUBLE))) END"""
+CENTRE = """CASE WHEN g->>'$.type' = 'Point' THEN CAST(g->>'$.coordinates[{k}]' AS DOUBLE) ELSE list_avg(list_transform(regexp_extract_all(g->>'$.coordinates', '\\[([-+0-9.eE]+),([-+0-9.eE]+)', {n}), lambda x: CAST(x AS DOUBLE))) END"""
 LON, LAT = CENTRE.format(k=0, n=1), CENTRE.format(k=1, n=2)
 
 

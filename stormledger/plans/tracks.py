@@ -45,13 +45,13 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(HAZARD + """, r AS (SELECT event_id, radians(lat) AS p, radians(lon - 30.0) AS d, radians(10.0) AS p0 FROM hazard), c AS (SELECT *, acos(least(1.0, greatest(-1.0, sin(p0) * sin(p) + cos(p0) * cos(p) * cos(d)))) AS c FROM r),
 k AS (SELECT *, CASE WHEN sin(c) = 0 THEN 1.0 ELSE c / sin(c) END * 6371.0 AS k FROM c), xy AS (SELECT event_id, k * cos(p) * sin(d) AS x, k * (cos(p0) * sin(p) - sin(p0) * cos(p) * cos(d)) AS y FROM k)
-SELECT event_id, round(x, 4) AS x, round(y, 4) AS y, round(x * cos(radians(90.0)) - y * sin(radians(90.0)), 4) AS left_x, round(x * sin(radians(90.0)) + y * cos(radians(90.0)), 4) AS left_y,
-  round(x * cos(radians(-90.0)) - y * sin(radians(-90.0)), 4) AS right_x, round(x * sin(radians(-90.0)) + y * cos(radians(-90.0)), 4) AS right_y, round(x * cos(radians(180.0)) - y * sin(radians(180.0)), 4) AS back_x, round(x * sin(radians(180.0)) + y * cos(radians(180.0)), 4) AS back_y FROM xy""")
+SELECT event_id, round(x, 4) AS x, round(y, 4) AS y, round(x * cos(radians(90.0)) - y * sin(radians(90.0)), 4) + 0.0 AS left_x, round(x * sin(radians(90.0)) + y * cos(radians(90.0)), 4) + 0.0 AS left_y,
+  round(x * cos(radians(-90.0)) - y * sin(radians(-90.0)), 4) + 0.0 AS right_x, round(x * sin(radians(-90.0)) + y * cos(radians(-90.0)), 4) + 0.0 AS right_y, round(x * cos(radians(180.0)) - y * sin(radians(180.0)), 4) + 0.0 AS back_x, round(x * sin(radians(180.0)) + y * cos(radians(180.0)), 4) + 0.0 AS back_y FROM xy""")
 def local_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in kilometres around a centre, and turned to its sides and back as controls."""
     x, y = tracks.local_xy(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(30.0))
     at = hazard_events(spark, sf_dir).select("event_id", x.alias("x"), y.alias("y"))
-    turns = [F.round(c, 4).alias(f"{name}_{axis}") for name, degrees in (("left", 90.0), ("right", -90.0), ("back", 180.0)) for axis, c in zip("xy", tracks.turned(F.col("x"), F.col("y"), degrees))]
+    turns = [(F.round(c, 4) + 0.0).alias(f"{name}_{axis}") for name, degrees in (("left", 90.0), ("right", -90.0), ("back", 180.0)) for axis, c in zip("xy", tracks.turned(F.col("x"), F.col("y"), degrees))]
     return at.select("event_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), *turns)
 
 
