@@ -23,6 +23,8 @@ from .tokens import CACHE, encoder_of, slices
 CAPACITY = 2048
 #: Patterns that are tried for each first length, steps of a least-squares fit, and fits at most, each of what the last one left.
 PER_LENGTH, STEPS, REFITS = 6, 300, 6
+#: Parts of the fitted counts that are tried.
+SCALES = (1.0, 0.75, 0.5, 0.25, 0.0)
 #: Buckets of doc_id in which ranks are counted, at least.
 BUCKETS = 64
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,7 +36,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     def run(batches):
         encoder = encoder_of(tokenizer, False, CACHE // 2)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 ids, n = encoder.encode(batch.column(1), end)
                 per = -(-n // capacity)
                 doc = np.repeat(np.arange(len(n)), per)
@@ -142,17 +144,34 @@ def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Contents of sequences and how many have them; together they hold exactly hist."""
+    """Contents of sequences and how many have them; together they hold exactly hist.
+
+    Fitted counts are rounded down at each of SCALES in turn, until a plan has no more sequences than the tokens need; of
+    plans that all have more the smallest stays. At the last scale, 0, all pieces are residuals: that matters to tables of
+    a few dozen pieces, where one pattern too many costs a sequence.
+    """
+    capacity = len(hist) - 1
+    least, best = -(-int((hist * np.arange(capacity + 1)).sum()) // capacity), None
+    for scale in SCALES:
+        found = planned(hist, scale)
+        if best is None or sum(m for _, m in found) < sum(m for _, m in best):
+            best = found
+        if sum(m for _, m in best) <= least:
+            break
+    return best
+
+
+def planned(hist: np.ndarray, scale: float) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns by their fitted counts times scale, rounded down; what is left is fitted again, and at the end packed best-fit decreasing."""
     left, out = hist.copy(), []
-    for _ in range(REFITS):
+    for _ in range(REFITS if scale else 0):
         pats = patterns(left)
         if not pats:
             break
-        x, found = fit(pats, left), False
+        x, found = fit(pats, left) * scale, False
         for k in np.argsort(-x, kind="stable").tolist():
             lengths, times = np.unique(pats[k], return_counts=True)
-            # the first time rounded down; what is left is fitted again and rounded to the nearest
-            r = min(int(x[k] + (0.5 if out else 0)), int((left[lengths] // times).min()))
+            r = min(int(x[k]), int((left[lengths] // times).min()))
             if r > 0:
                 left[lengths] -= r * times
                 out.append((pats[k], r))

@@ -32,6 +32,8 @@ NEWLINE = "\ue001"
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct chunks that a worker remembers (some 200 bytes each); past it only the first half stays, where the frequent ones are.
 CACHE = 600_000
+#: Pre-tokens that it remembers where it drops blanks.
+PIECES = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -54,6 +56,7 @@ class ChunkEncoder:
         self.split = regex.compile(own or BYTE_LEVEL).findall
         self.letters = dict(enumerate(byte_letters()))
         self.odd = re.compile(f"[{BLANK}<\ue000]").search
+        self.known = pa.array([], pa.string())  # instead of index where blanks are dropped: a few bytes a chunk
         self.index, self.starts, self.sizes, self.flat = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self._drop_pieces()
 
@@ -63,6 +66,7 @@ class ChunkEncoder:
     def _forget(self):
         half = self.limit // 2
         self.index = dict(islice(self.index.items(), half))
+        self.known = pa.concat_arrays([self.known.slice(0, half)])
         starts, sizes = self.starts[:half], self.sizes[:half]
         self.flat = self.flat[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
         self.starts, self.sizes = np.cumsum(sizes) - sizes, sizes
@@ -103,7 +107,10 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Keep the ids of new chunks."""
-        self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
+        if self.blanks:
+            self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
+        else:
+            self.known = pa.concat_arrays([self.known, pa.array(chunks, pa.string())])
         plain = np.fromiter(map(self._plain, chunks), bool, len(chunks))
         sizes = np.zeros(len(chunks), np.int64)
         parts, cut = np.zeros(0, np.uint32), [c for c, ok in zip(chunks, plain, strict=True) if ok]
@@ -129,9 +136,23 @@ class ChunkEncoder:
             at = [index[c] if x is None else x for c, x in zip(chunks, at, strict=True)]
         return np.array(at, np.int64)
 
+    def _places_of(self, words: pa.Array) -> np.ndarray:
+        """The same for distinct words of an Arrow array, without a Python string for those that are known."""
+        at = pc.index_in(words, value_set=self.known)
+        if at.null_count:
+            gone = pc.is_null(at).to_numpy(zero_copy_only=False)
+            first = len(self.known)
+            self._learn(words.filter(pa.array(gone)).to_pylist())
+            at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at[gone] = np.arange(first, first + int(gone.sum()))
+            if len(self.pieces) > PIECES:
+                self._drop_pieces()
+            return at
+        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+
     def encode(self, texts, end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has; end is appended to each text unless None."""
-        if len(self.index) > self.limit:
+        if max(len(self.index), len(self.known)) > self.limit:
             self._forget()
         gc.disable()  # nothing here makes cycles, and the memory of chunks is long to walk
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
@@ -144,9 +165,12 @@ class ChunkEncoder:
         lists = pc.split_pattern(texts_left, " ")
         words = lists.flatten()
         coded = words.dictionary_encode()
-        found = coded.dictionary.to_pylist()
         codes = coded.indices.to_numpy()
-        at = self._places([" " + w for w in found] if self.blanks else found)[codes]
+        if self.blanks:
+            found = coded.dictionary.to_pylist()
+            at = self._places([" " + w for w in found])[codes]
+        else:
+            found, at = None, self._places_of(coded.dictionary)[codes]
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         if self.blanks and len(texts):  # the first chunk of a text or line has no space before it
