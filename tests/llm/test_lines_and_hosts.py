@@ -88,3 +88,16 @@ def test_different_texts_under_one_id_or_none(spark):
         assert len(mine) == (2 if n in (0, 3) else 1) and len(set(mine)) == 1
         assert mine[0].replace(common + "\n", "") == f"first own line of {n}\nsecond own line of {n}"
     assert sum(t.count(common) for _, t in set(got)) == 1
+
+
+def test_a_host_that_gathers_failures_is_rejected_in_the_real_table(spark):
+    """Three of four failing documents of sf0.01, and every fiftieth other one, come from one host; the rest keeps its sources."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    failed = {r.doc_id for r in host_rules.host_rules(docs).where("base_failed").collect()}
+    moved = [i for i in sorted(failed) if i % 4]
+    rows = docs.toPandas()
+    rows.loc[rows.doc_id.isin(moved) | (rows.doc_id % 50 == 0), "source"] = "bad.example"
+    got = {r.doc_id: r for r in host_rules.host_rules(spark.createDataFrame(rows[["doc_id", "text", "source"]])).collect()}
+    bad = set(rows.doc_id[rows.source == "bad.example"])
+    assert {i for i, r in got.items() if not r.kept and not r.base_failed} == bad - failed and len(bad - failed) > 5
+    assert len({r.host_rate for i, r in got.items() if i in bad}) == 1
