@@ -58,9 +58,10 @@ class ChunkEncoder:
         self.odd = re.compile(f"[{BLANK}<\ue000]").search
         self.known = pa.array([], pa.string())  # instead of index where blanks are dropped: a few bytes a chunk
         self.index, self.starts, self.sizes, self.flat = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self._drop_pieces()
+        self.drop_pieces()
 
-    def _drop_pieces(self):
+    def drop_pieces(self):
+        """Forget pre-tokens; the chunks made of them stay known."""
         self.pieces, self.piece_ids = {}, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def _forget(self):
@@ -70,7 +71,7 @@ class ChunkEncoder:
         starts, sizes = self.starts[:half], self.sizes[:half]
         self.flat = self.flat[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
         self.starts, self.sizes = np.cumsum(sizes) - sizes, sizes
-        self._drop_pieces()
+        self.drop_pieces()
 
     def _plain(self, chunk: str) -> bool:
         """Whether the chunk can be cut together with others: no blank but a leading space, no part of a special token."""
@@ -146,7 +147,7 @@ class ChunkEncoder:
             at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             at[gone] = np.arange(first, first + int(gone.sum()))
             if len(self.pieces) > PIECES:
-                self._drop_pieces()
+                self.drop_pieces()
             return at
         return at.to_numpy(zero_copy_only=False).astype(np.int64)
 
