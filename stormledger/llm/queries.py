@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, html_extract, huffman_ids, line_dedup, mixing, packing, piece_samples, progressive_jpeg, quality_gam, simhash, toxicity_cnn
+from . import host_rules, html_extract, huffman_ids, line_dedup, mixing, packing, piece_samples, progressive_jpeg, quality_gam, simhash, toxicity_cnn, whitening
 from .common import table, written
 
 
@@ -68,10 +68,15 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of each vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each text, with its source's size and target."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_piece_samples, op2_site_style_tree, op3_huffman_ids, op4_progressive_jpeg, op5_quality_gam, op6_line_dedup, op7_host_rules, op8_toxicity_cnn, op9_simhash_near_dedup, op10_pattern_packing, op13_systematic_mix)}
+QUERIES = {f.__name__: f for f in (op1_piece_samples, op2_site_style_tree, op3_huffman_ids, op4_progressive_jpeg, op5_quality_gam, op6_line_dedup, op7_host_rules, op8_toxicity_cnn, op9_simhash_near_dedup, op10_pattern_packing, op12_embedding_whitening, op13_systematic_mix)}
 ORACLES = {"op6_line_dedup": line_dedup.ORACLE, "op7_host_rules": host_rules.ORACLE, "op13_systematic_mix": mixing.ORACLE}
