@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, html_extract, huffman_ids, line_dedup, mixing, packing, piece_samples, progressive_jpeg, quality_gam, simhash, toxicity_cnn, whitening
+from . import host_rules, html_extract, huffman_ids, line_dedup, mixing, packing, periodic_runs, piece_samples, progressive_jpeg, quality_gam, simhash, toxicity_cnn, whitening
 from .common import table, written
 
 
@@ -68,6 +70,25 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the texts, by digest of doc_id, get a periodic end, as the query's contract has it; a text without a doc_id stays."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of periodic runs of each text, the longest of them, and digests of all and of the text without repeated periods."""
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), edit=planted).withColumn("best", periodic_runs.longest())
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    digests = (periodic_runs.runs_digest().alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), *digests)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four leading whitened components of each vector."""
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
@@ -78,5 +99,5 @@ def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_piece_samples, op2_site_style_tree, op3_huffman_ids, op4_progressive_jpeg, op5_quality_gam, op6_line_dedup, op7_host_rules, op8_toxicity_cnn, op9_simhash_near_dedup, op10_pattern_packing, op12_embedding_whitening, op13_systematic_mix)}
+QUERIES = {f.__name__: f for f in (op1_piece_samples, op2_site_style_tree, op3_huffman_ids, op4_progressive_jpeg, op5_quality_gam, op6_line_dedup, op7_host_rules, op8_toxicity_cnn, op9_simhash_near_dedup, op10_pattern_packing, op11_periodic_runs, op12_embedding_whitening, op13_systematic_mix)}
 ORACLES = {"op6_line_dedup": line_dedup.ORACLE, "op7_host_rules": host_rules.ORACLE, "op13_systematic_mix": mixing.ORACLE}
