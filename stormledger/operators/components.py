@@ -1,9 +1,8 @@
-"""Connected components of a pair table by hooking to the least neighbour and jumping; rounds are checkpointed."""
+"""Cutting the lineage of what rounds build up."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stormledger.sources.storage import shared_folder
 
@@ -14,17 +13,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
-
-
-def pair_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) of each node of a pair, root being the least node of its component."""
-    links = checkpointed(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(pairs.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
-    roots = checkpointed(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
-    while True:
-        near = links.join(roots.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        hooked = roots.join(near, "node").select("node", F.least("root", "near").alias("root"))
-        jumped = hooked.join(roots.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"))
-        new = checkpointed(jumped)
-        if not new.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count():
-            return new
-        roots = new

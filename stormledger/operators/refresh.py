@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 #: Parts that a fingerprint's rows are dealt to, so that no task holds all of them.
 PARTS = 4096
+#: Fields that change without a change of content, at any depth (fixed values).
+VOLATILE = (
+    "generated_at", "calculated_at", "checked_at", "fetched_at", "retrieved_at", "last_seen", "updated", "observations",
+    "climate_context", "exposure", "asset_exposure", "footprint", "footprint_qc", "source_metrics", "display_eligible", "display_rule",
+)
 
 
 def semantic(events: DataFrame) -> DataFrame:
@@ -16,12 +21,6 @@ def semantic(events: DataFrame) -> DataFrame:
     return events.select("id", row.alias("row"))
 
 
-def broad(events: DataFrame, volatile: tuple[str, ...]) -> DataFrame:
-    """id and `row`, all fields of a feed but the volatile ones, in order of name, decimals to ten digits: for counting churn, not for what is made again."""
-    fields = [F.round(f.name, 10).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in sorted(events.schema.fields, key=lambda f: f.name) if f.name not in volatile]
-    return events.select("id", F.struct(*fields).alias("row"))
-
-
 def fingerprint(rows: DataFrame, row: str = "row") -> DataFrame:
     """One row: n, and a SHA-256 of the SHA-256 of all rows, whatever their order. Rows are dealt to PARTS by their hash; a part's sorted hashes give its digest."""
     hashed = rows.select(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("h"))

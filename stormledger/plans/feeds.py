@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.functions import parsing as P
-from stormledger.operators import payloads
+from stormledger.operators import documents
 from stormledger.plans.catalogue import query
 from stormledger.sources import feeds
 from stormledger.sources.hazard import HAZARD, hazard_events
@@ -133,9 +133,9 @@ def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hazard_events(spark, sf_dir).select("event_id", P.age_label(at, F.lit("2024-01-20").cast("timestamp")).alias("label"))
 
 
-WALK = """CASE event_id % 6 WHEN 0 THEN '{"datums":[{"datum":[{"datasource":"POP","POPAFFECTED":"1,' || (100 + event_id % 800) || '","SUMPOP5.0":"' || event_id || '"},{"datasource":"other","SUMPOP10":7}]}],"episodeid":' || (event_id % 50) || '}'
+WALK = """CASE event_id % 6 WHEN 0 THEN '{"datums":[{"datum":[{"datasource":"POP","POPAFFECTED":"1,' || (100 + event_id % 800) || '","SUMPOP5.0":"' || event_id || '"},{"datasource":"other","SUMPOP10":7}]}],"run":{"modelname":"","modelrun":2024},"modelname":"WF","modelrun":1,"episodeid":' || (event_id % 50) || '}'
   WHEN 1 THEN '{"scalars":[{"name":"SUMPOP1","value":' || event_id || '},{"name":"sumpop2","value":"x"},{"name":"SUMPOP2.0","amount":"1 234"}],"properties":{"episodes":[{"episodeid":"3"},{"episode_id":' || (event_id % 9) || '},{"episode":"none"}]}}'
-  WHEN 2 THEN '{"channel":{"item":[{"id":"a","actual":"true","current":"false","advisory_datetime":"02 Jan 2024 06:00","pop39":"10"},{"id":"b","actual":"true","current":"true","advisory_datetime":"01 Jan 2024 06:00","pop39":"' || event_id || '","pop74":"20","popstormsurge":""},{"id":"c","actual":"false","current":"true","advisory_datetime":"05 Jan 2024 06:00","pop39":"99"}]}}'
+  WHEN 2 THEN '{"channel":{"item":[{"id":"a","actual":"true","current":"false","advisory_datetime":"02 Jan 2024 06:00","pop39":"10"},{"id":"b","actual":"true","current":"true","advisory_number":7,"wind_speed":"85","advisory_datetime":"01 Jan 2024 06:00","pop39":"' || event_id || '","pop74":"20","popstormsurge":""},{"id":"c","actual":"false","current":"true","advisory_datetime":"05 Jan 2024 06:00","pop39":"99"}]}}'
   WHEN 3 THEN '{"deep":{"er":[[{"SUMPOP0":null},{"SUMPOP0":2.5}]]}}' WHEN 4 THEN NULL ELSE '{"broken":' END"""
 
 
@@ -143,11 +143,13 @@ WALK = """CASE event_id % 6 WHEN 0 THEN '{"datums":[{"datum":[{"datasource":"POP
 SELECT event_id, CASE k WHEN 0 THEN CAST(p->>'$.episodeid' AS BIGINT) WHEN 1 THEN greatest(3, CAST(p->>'$.properties.episodes[1].episode_id' AS BIGINT)) END AS latest_episode,
   CASE k WHEN 0 THEN CAST(replace(p->>'$.datums[0].datum[0].POPAFFECTED', ',', '') AS BIGINT) WHEN 3 THEN 2 END AS population_burned_area, CASE k WHEN 1 THEN CAST(p->>'$.scalars[0].value' AS BIGINT) END AS population_within_1km,
   CASE k WHEN 1 THEN 1234 END AS population_within_2km, CASE k WHEN 0 THEN CAST(p->>'$.datums[0].datum[0].\"SUMPOP5.0\"' AS BIGINT) END AS population_within_5km, CAST(NULL AS BIGINT) AS population_within_10km,
-  CASE k WHEN 2 THEN CAST(p->>'$.channel.item[1].pop39' AS BIGINT) END AS population_wind_39kt, CASE k WHEN 2 THEN 20 END AS population_wind_74kt, CAST(NULL AS BIGINT) AS population_storm_surge, CASE k WHEN 2 THEN 'b' END AS advisory, CASE k WHEN 2 THEN true END AS advisory_current
+  CASE k WHEN 2 THEN CAST(p->>'$.channel.item[1].pop39' AS BIGINT) END AS population_wind_39kt, CASE k WHEN 2 THEN 20 END AS population_wind_74kt, CAST(NULL AS BIGINT) AS population_storm_surge, CASE k WHEN 2 THEN 'b' END AS advisory, CASE k WHEN 2 THEN true END AS advisory_current,
+  CASE k WHEN 0 THEN '1' END AS model_run, CAST(NULL AS VARCHAR) AS model_status, CASE k WHEN 0 THEN 'WF' END AS model_name, CASE k WHEN 2 THEN '7' END AS advisory_number, CASE k WHEN 2 THEN '01 Jan 2024 06:00' END AS advisory_time,
+  CASE k WHEN 2 THEN '85' END AS wind_speed, CAST(NULL AS VARCHAR) AS coordinates, CAST(NULL AS VARCHAR) AS alert_score, CASE k WHEN 2 THEN true END AS advisory_actual
   FROM (SELECT event_id, k, CASE WHEN k < 4 THEN p END AS p FROM r)""")
 def payload_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes, impact numbers and the best advisory of nested payloads."""
-    return payloads.payload_facts(raw(spark, sf_dir, WALK), "event_id")
+    return documents.payload_facts(raw(spark, sf_dir, WALK), "event_id")
 
 
 EPISODE = """CASE event_id % 5 WHEN 0 THEN '{"episodes":[{"episodeid":1,"Ha":"9,999","fromdate":"2024-01-01"},{"episodeid":"2","burned-area":"' || event_id || '","severitytext":"5 ha","fromdate":"02 Jan 2024","todate":"2024-01-09T00:00:00"}]}'
@@ -158,7 +160,7 @@ EPISODE = """CASE event_id % 5 WHEN 0 THEN '{"episodes":[{"episodeid":1,"Ha":"9,
   CASE k WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2024-01-03' END AS start_date, CASE k WHEN 0 THEN '2024-01-09' END AS last_detection, CASE k WHEN 0 THEN 7 WHEN 1 THEN 7 END AS duration_days, CASE k WHEN 0 THEN 'derived' WHEN 1 THEN 'Duration (days)' END AS duration_field FROM k""")
 def episode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area, dates and duration of the second episode in nested payloads."""
-    return payloads.payload_episodes(raw(spark, sf_dir, EPISODE).withColumn("n", F.lit(2)), "event_id", "n")
+    return documents.payload_episodes(raw(spark, sf_dir, EPISODE).withColumn("n", F.lit(2)), "event_id", "n")
 
 
 @query(HAZARD + """, a AS (SELECT event_id, radians(lat) AS p, radians(20.0) AS q, radians(35.0 - lon) AS d, value, event_id % 40 AS z FROM hazard), b AS (SELECT *, (degrees(atan2(sin(d) * cos(q), cos(p) * sin(q) - sin(p) * cos(q) * cos(d))) + 360) % 360 AS bearing FROM a)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stormledger.functions import columns as C
 from stormledger.functions import geometry as G
 from stormledger.functions import parsing as P
-from stormledger.operators import evaluation, experiments, identity, joins, ledger, payloads, policy, refresh, shapes, tracks
+from stormledger.operators import evaluation, experiments, identity, joins, ledger, policy, refresh, shapes, tracks
 from stormledger.sources import feeds, storage
 
 DAY = 86_400
@@ -117,20 +117,6 @@ def test_identities(spark):
     assert one(spark, identity.alias_keys(F.lit("i"), F.lit("Flood"), member(("gdacs", "7"), ("cems", "E"), ("other", "z"), ("gdacs", "7")))) == (["i", "gdacs-FL-7", "cems-E"],)
 
 
-def test_payload_cases(spark):
-    docs = [
-        (1, '{"datums":[{"datum":[{"datasource":"POP","POPAFFECTED":"1,234","SUMPOP5.0":"5,000"},{"datasource":"POP","SUMPOP10":"9000"}]}]}'),
-        (2, '{"scalars":[{"name":"POPAFFECTED","value":"42"},{"name":"SUMPOP5.0","value":101}]}'),
-        (3, '{"channel":{"item":[{"id":"a","actual":"true","current":"false","advisory_datetime":"01 Sep 2026 00:00","pop39":"100"},{"id":"b","actual":"true","current":"true","advisory_datetime":"31 Aug 2026 00:00","pop39":"200","pop74":"20","popstormsurge":"5"}]}}'),
-        (4, None), (5, "[1, 2"), (6, "7"), (7, '{"episodeid": "x", "a": [{"episode": 3}, {"episode_id": "12"}]}'),
-    ]
-    got = {r.id: r for r in payloads.payload_facts(spark.createDataFrame(docs, "id long, payload string"), "id").collect()}
-    assert (got[1].population_burned_area, got[1].population_within_5km, got[1].population_within_10km) == (1234, 5000, 9000)
-    assert (got[2].population_burned_area, got[2].population_within_5km) == (42, 101)
-    assert (got[3].advisory, got[3].population_wind_39kt, got[3].population_wind_74kt, got[3].population_storm_surge, got[3].advisory_current) == ("b", 200, 20, 5, True)
-    assert got[7].latest_episode == 12 and all(v is None for k in (4, 5, 6) for n, v in got[k].asDict().items() if n != "id")
-
-
 def test_text_cases(spark):
     lit = F.lit
     assert one(spark, P.drought_area_km2(lit("Drought impact for 1,412,468 km2")), P.drought_area_km2(lit("1,412,468 km2 of land")), P.drought_area_km2(lit(None).cast("string"))) == (1412468.0, None, None)
