@@ -49,28 +49,44 @@ def box(rings: Column) -> Column:
     return F.struct(F.array_min(of("x")).alias("x0"), F.array_min(of("y")).alias("y0"), F.array_max(of("x")).alias("x1"), F.array_max(of("y")).alias("y1"))
 
 
+def _even_odd(rings: Column, ring_area) -> Column:
+    """Areas of rings, those inside an odd number of others taken off, whichever way they are turned."""
+
+    def part(r: Column, i: Column) -> Column:
+        others = F.filter(rings, lambda _, j: j != i)
+        hole = F.size(F.filter(others, lambda o: covers(F.array(o), F.get(r, F.lit(0))["x"], F.get(r, F.lit(0))["y"]))) % 2 == 1
+        return F.abs(ring_area(edges(r))) * F.when(hole, -1.0).otherwise(1.0)
+
+    # a polygon of one ring needs no tests
+    alone = F.abs(ring_area(edges(F.get(rings, F.lit(0)))))
+    return F.when(rings.isNotNull(), F.when(F.size(rings) == 1, alone).otherwise(total(F.transform(rings, part))))
+
+
 def planar_area(rings: Column) -> Column:
-    """Area in the unit of the coordinates, outer rings anticlockwise and holes clockwise or the other way round."""
-    return F.abs(total(F.transform(sides(rings), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))) / 2
+    """Area in the unit of the coordinates; a ring whose first corner is inside an odd number of others is a hole."""
+    return _even_odd(rings, lambda s: total(F.transform(s, lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))) / 2
 
 
 def area_km2(rings: Column) -> Column:
-    """Area on the sphere of the ellipsoid's area, sides being straight in longitude and the sine of the latitude; rings are turned as in planar_area."""
+    """Area on the sphere of the ellipsoid's area, sides being straight in longitude and the sine of the latitude; holes as in planar_area."""
     sine = lambda p: F.sin(F.radians(p["y"]))
-    part = F.transform(sides(rings), lambda e: F.radians(e["b"]["x"] - e["a"]["x"]) * (sine(e["a"]) + sine(e["b"])) / 2)
-    return F.abs(total(part)) * AUTHALIC_KM**2
+    return _even_odd(rings, lambda s: total(F.transform(s, lambda e: F.radians(e["b"]["x"] - e["a"]["x"]) * (sine(e["a"]) + sine(e["b"])) / 2))) * AUTHALIC_KM**2
 
 
 def distance_km(rings: Column, x: Column, y: Column) -> Column:
-    """0 for a point inside, else the great circle to the nearest point of a side, found in degrees."""
+    """0 for a point inside, else the great circle to the nearest point of a side, found in the plane about the point: longitudes
+    count by the cosine of its latitude, and sides beyond the date line are as near as they are."""
+    scale = F.cos(F.radians(y))
+    # sides are moved by whole turns to within half a turn of the point
+    turn = lambda e: F.round(((e["a"]["x"] + e["b"]["x"]) / 2 - x) / 360) * 360
 
     def to(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        ax, ay = (e["a"]["x"] - turn(e) - x) * scale, e["a"]["y"] - y
+        dx, dy = (e["b"]["x"] - e["a"]["x"]) * scale, e["b"]["y"] - e["a"]["y"]
         square = dx * dx + dy * dy
-        t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / square))).otherwise(0.0)
-        px, py = a["x"] + t * dx, a["y"] + t * dy
-        return F.struct(((px - x) * (px - x) + (py - y) * (py - y)).alias("d2"), px.alias("px"), py.alias("py"))
+        t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / square))).otherwise(0.0)
+        px, py = ax + t * dx, ay + t * dy
+        return F.struct((px * px + py * py).alias("d2"), (e["a"]["x"] + t * (e["b"]["x"] - e["a"]["x"])).alias("px"), (e["a"]["y"] + t * dy).alias("py"))
 
     near = F.array_min(F.transform(sides(rings), to))
     return F.when(covers(rings, x, y), 0.0).otherwise(haversine_km(y, x, near["py"], near["px"]))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
-from stormledger.operators import shapes
+from stormledger.operators import overlay, shapes
 from stormledger.plans.catalogue import KM, query
-from stormledger.sources.hazard import GRID, HAZARD, hazard_events, population_grid
+from stormledger.sources.hazard import GRID, HAZARD, hazard_events, population_grid, table
 
 #: A footprint about an event: five corners, and a square hole in every second one. As (dx, dy) of each ring.
 OUTER = ((-0.713, -0.527), (0.651, -0.619), (0.907, 0.133), (0.117, 0.803), (-0.859, 0.371))
@@ -31,8 +31,10 @@ def foot(p: str) -> str:
 
 COVERS = "len(list_filter(sides, lambda e: (e.a.y > {y}) <> (e.b.y > {y}) AND {x} < (e.b.x - e.a.x) * ({y} - e.a.y) / (e.b.y - e.a.y) + e.a.x)) % 2 = 1"
 AREA = "abs(list_sum(list_transform(sides, lambda e: radians(e.b.x - e.a.x) * (sin(radians(e.a.y)) + sin(radians(e.b.y))) / 2))) * 6371.0071809 * 6371.0071809"
-STEP = "greatest(0.0, least(1.0, (({x} - e.a.x) * (e.b.x - e.a.x) + ({y} - e.a.y) * (e.b.y - e.a.y)) / (pow(e.b.x - e.a.x, 2) + pow(e.b.y - e.a.y, 2))))"
-NEAREST = "list_min(list_transform(list_transform(sides, lambda e: {{'px': e.a.x + " + STEP + " * (e.b.x - e.a.x), 'py': e.a.y + " + STEP + " * (e.b.y - e.a.y)}}), lambda p: {{'d2': pow(p.px - {x}, 2) + pow(p.py - {y}, 2), 'px': p.px, 'py': p.py}}))"
+# the nearest point of a side in the plane about the point (x, y), longitudes by the cosine of y
+COS2 = "pow(cos(radians({y})), 2)"
+STEP = "greatest(0.0, least(1.0, (({x} - e.a.x) * (e.b.x - e.a.x) * " + COS2 + " + ({y} - e.a.y) * (e.b.y - e.a.y)) / (pow(e.b.x - e.a.x, 2) * " + COS2 + " + pow(e.b.y - e.a.y, 2))))"
+NEAREST = "list_min(list_transform(list_transform(sides, lambda e: {{'px': e.a.x + " + STEP + " * (e.b.x - e.a.x), 'py': e.a.y + " + STEP + " * (e.b.y - e.a.y)}}), lambda p: {{'d2': pow(p.px - {x}, 2) * " + COS2 + " + pow(p.py - {y}, 2), 'px': p.px, 'py': p.py}}))"
 HAVERSINE = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(n.py - {y}) / 2), 2) + cos(radians({y})) * cos(radians(n.py)) * pow(sin(radians(n.px - {x}) / 2), 2))))"
 
 
@@ -84,6 +86,49 @@ def zonal_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("event_id").agg(F.count("*").alias("cells"), shapes.valid_sum(F.col("people")).alias("people"))
 
 
+#: Areas of what is covered, by slabs between the heights of corners and crossings, in bands of heights; of s (grp, member, layer, rings).
+SLABS = """, q AS (SELECT grp, member, layer, unnest(list_transform({sides}, lambda e: {'x1': radians(CASE WHEN e.a.y < e.b.y THEN e.a.x ELSE e.b.x END), 'y1': sin(radians(least(e.a.y, e.b.y))), 'x2': radians(CASE WHEN e.a.y < e.b.y THEN e.b.x ELSE e.a.x END), 'y2': sin(radians(greatest(e.a.y, e.b.y)))})) AS e FROM s),
+z AS (SELECT grp, member, layer, e.x1, e.y1, e.x2, e.y2, (e.x2 - e.x1) / (e.y2 - e.y1) AS m, row_number() OVER () AS k FROM q WHERE e.y1 < e.y2),
+bands AS (SELECT *, unnest(range(CAST(floor(y1 * 400) AS BIGINT), CAST(floor(y2 * 400) AS BIGINT) + 1)) AS band FROM z),
+crossing AS (SELECT a.grp, a.band, a.y1 + (b.x1 + (a.y1 - b.y1) * b.m - a.x1) / (a.m - b.m) AS y, greatest(a.y1, b.y1) AS lo, least(a.y2, b.y2) AS hi FROM bands a JOIN bands b ON a.grp = b.grp AND a.band = b.band AND a.k < b.k AND a.m <> b.m AND a.y1 < b.y2 AND b.y1 < a.y2
+  AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)),
+heights AS (SELECT DISTINCT grp, band, y FROM (SELECT grp, band, unnest([y1, y2, band / 400, (band + 1) / 400]) AS y FROM bands UNION ALL SELECT grp, band, y FROM crossing WHERE y > lo AND y < hi) WHERE y >= band / 400 AND y <= (band + 1) / 400),
+strips AS (SELECT grp, band, y AS low, lead(y) OVER (PARTITION BY grp, band ORDER BY y) AS high FROM heights),
+met AS (SELECT b.grp, b.band, low, high, member, layer, k, x1 + ((low + high) / 2 - y1) * m AS x FROM bands b JOIN strips t ON b.grp = t.grp AND b.band = t.band AND (low + high) / 2 > y1 AND (low + high) / 2 < y2),
+turned AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY grp, band, low, layer, member ORDER BY x, k) % 2 = 1 THEN 1 ELSE -1 END AS turn FROM met),
+spans AS (SELECT grp, high - low AS height, lead(x) OVER o - x AS width, sum(CASE WHEN layer = 0 THEN turn ELSE 0 END) OVER o AS d0, sum(CASE WHEN layer = 1 THEN turn ELSE 0 END) OVER o AS d1 FROM turned WINDOW o AS (PARTITION BY grp, band, low ORDER BY x, k ROWS UNBOUNDED PRECEDING)),
+covered AS (SELECT grp, sum(height * width) * 6371.0071809 * 6371.0071809 AS area FROM spans WHERE {covered} GROUP BY grp) """.replace("{sides}", SIDES)
+
+
+@query(foot("alert = 'Red'") + ", s AS (SELECT type AS grp, event_id AS member, 0 AS layer, rings FROM foot)" + SLABS.replace("{covered}", "d0 > 0") + f"SELECT type, count(*) AS footprints, round(sum({AREA}), 2) AS sum_km2, round(any_value(area), 2) AS union_km2 FROM foot JOIN covered ON grp = type GROUP BY type")
+def union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact area of the union of each hazard's polygons, beside the sum of their areas."""
+    f = footprints(spark, sf_dir, RED).select("type", "rings")
+    sums = f.groupBy("type").agg(F.count("*").alias("footprints"), F.round(F.sum(G.area_km2(F.col("rings"))), 2).alias("sum_km2"))
+    return sums.join(overlay.union_area(f, "type"), "type").select("type", "footprints", "sum_km2", F.round("area", 2).alias("union_km2"))
+
+
+#: Countries in five rows of five, their borders slanted: corners of country k as (dx, dy) from its south-west one.
+LAND = ((0.0, 0.0), (13.0, 0.7), (13.0, 10.3), (0.0, 9.6))
+LAND_SQL = "[[" + ", ".join(f"{{'x': -3.0 + 13.0 * (n_nationkey % 5) + {dx}, 'y': -24.0 + 9.6 * (n_nationkey // 5) + 0.7 * (n_nationkey % 5) + {dy}}}" for dx, dy in LAND) + "]]"
+
+
+def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    west, south = -3.0 + 13.0 * (k % 5), -24.0 + 9.6 * F.floor(k / 5) + 0.7 * (k % 5)
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("country"), G.polygon([(west + dx, south + dy) for dx, dy in LAND]).alias("rings"))
+
+
+@query(foot("alert = 'Red' AND type = 'Flood'") + f""", land AS (SELECT n_name AS country, {LAND_SQL} AS rings FROM nation), pair AS (SELECT event_id, country, f.rings AS f, l.rings AS l FROM foot f JOIN land l ON list_max(list_transform(l.rings[1], lambda p: p.x)) >= lon - 2 AND list_min(list_transform(l.rings[1], lambda p: p.x)) <= lon + 2 AND list_max(list_transform(l.rings[1], lambda p: p.y)) >= lat - 2 AND list_min(list_transform(l.rings[1], lambda p: p.y)) <= lat + 2),
+s AS (SELECT event_id || '/' || country AS grp, 0 AS member, 0 AS layer, f AS rings FROM pair UNION ALL SELECT event_id || '/' || country, 0, 1, l FROM pair)""" + SLABS.replace("{covered}", "d0 > 0 AND d1 > 0") + f"SELECT event_id, country, round(area, 3) AS area_km2, round(area / whole, 5) AS share FROM covered JOIN pair ON grp = event_id || '/' || country JOIN (SELECT event_id, {AREA} AS whole FROM foot) USING (event_id) WHERE area > 0")
+def country_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of each flood's footprint that lies in each country."""
+    f = footprints(spark, sf_dir, "alert = 'Red' and type = 'Flood'").select("event_id", "rings")
+    shares = overlay.shared_areas(f, countries(spark, sf_dir), "event_id", "country")
+    whole = f.select("event_id", G.area_km2(F.col("rings")).alias("whole"))
+    return shares.join(whole, "event_id").select("event_id", "country", F.round("area", 3).alias("area_km2"), F.round(F.col("area") / F.col("whole"), 5).alias("share"))
+
+
 #: Three candidate polygons of each flood: where they are beside its event, how large, and what their properties say.
 OFFERS = ((0.0, 0.4, "flood affected area"), (0.9, 1.0, "context boundary"), (0.35, 0.3, "other"))
 OFFER_SQL = " UNION ALL ".join(f"SELECT event_id, lon, lat, {k} AS index, lon + {dx} * (event_id % 7) AS cx, lat AS cy, CAST({s} * (1 + (event_id % 40 = 7)::INT * 30) AS DOUBLE) AS size, '{{\"kind\": \"{t}\"}}' AS props FROM hazard WHERE type = 'Flood' AND event_id % 9 <> 4" for k, (dx, s, t) in enumerate(OFFERS))
