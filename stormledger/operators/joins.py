@@ -66,16 +66,23 @@ def embargoed(train: DataFrame, held: DataFrame, max_km: float, max_hours: float
     return at(train).join(h, near, "left_anti").drop("us", "band", "slot", "cell")
 
 
+def around_the_date_line(lon: Column, west: Column, east: Column) -> Column:
+    """array of a longitude and, where a reach to the west or east of it leaves -180 to 180, the same place a turn away."""
+    others = F.filter(F.array(lon - 360, lon + 360), lambda x: (x + east >= -180) & (x - west <= 180))
+    return F.concat(F.array(lon.cast("double")), others)
+
+
 def cells_within(events: DataFrame, grid: DataFrame, half: float, step: float = 0.5) -> DataFrame:
     """(event, cell) where a cell's centre lies in the square of `half` degrees around the event: candidates by tile, then the test.
 
-    Tiles are as wide as the square, so an event looks into the nine around its own.
+    Tiles are as wide as the square, so an event looks into the nine around its own; one near the date line also looks beyond it.
     """
     tile = 2 * half
+    events = events.withColumn("__lon", F.explode(around_the_date_line(F.col("lon"), F.lit(half), F.lit(half))))
     g = grid.withColumn("ty", F.floor(F.col("lat_c") / tile)).withColumn("tx", F.floor(F.col("lon_c") / tile))
-    e = events.withColumn("ty", F.explode(F.array(*[F.floor(F.col("lat") / tile) + k for k in (-1, 0, 1)]))).withColumn("tx", F.explode(F.array(*[F.floor(F.col("lon") / tile) + k for k in (-1, 0, 1)])))
-    inside = (F.abs(F.col("lat_c") - F.col("lat")) <= half) & (F.abs(F.col("lon_c") - F.col("lon")) <= half)
-    return e.join(g, ["ty", "tx"]).where(inside).drop("ty", "tx")
+    e = events.withColumn("ty", F.explode(F.array(*[F.floor(F.col("lat") / tile) + k for k in (-1, 0, 1)]))).withColumn("tx", F.explode(F.array(*[F.floor(F.col("__lon") / tile) + k for k in (-1, 0, 1)])))
+    inside = (F.abs(F.col("lat_c") - F.col("lat")) <= half) & (F.abs(F.col("lon_c") - F.col("__lon")) <= half)
+    return e.join(g, ["ty", "tx"]).where(inside).drop("ty", "tx", "__lon")
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
+from stormledger.operators.joins import around_the_date_line
 
 #: Words of a feature's properties that speak for it, and for mere context (fixed values); how far a polygon may be from its event, and from where it is very large.
 PREFERRED, CONTEXT = "flood|affected|event polygon|eventpolygon|analysis|aoi", "admin|administrative|country boundary|boundary|context|basin"
@@ -13,7 +14,7 @@ FAR_KM, LARGE_KM2 = 75.0, 300_000.0
 
 
 def cells_in(footprints: DataFrame, grid: DataFrame, rings: str = "rings", tile: float = 2.0, reach_km: float = 0.0) -> DataFrame:
-    """(footprint, cell) for the cells whose centre a footprint covers, or is within reach_km of.
+    """(footprint, cell) for the cells whose centre a footprint covers, or is within reach_km of, across the date line too.
 
     A footprint is dealt to the tiles that its box touches and meets their cells only, so a large one is many tasks' work.
     """
@@ -21,14 +22,17 @@ def cells_in(footprints: DataFrame, grid: DataFrame, rings: str = "rings", tile:
     pad = reach_km / 111.0
     wide = pad / F.greatest(F.lit(0.05), F.cos(F.radians(F.greatest(F.abs(b["y0"]), F.abs(b["y1"])) + pad)))
     span = lambda lo, hi, p: F.explode(F.sequence(F.floor((lo - p) / tile), F.floor((hi + p) / tile)))
-    dealt = footprints.where(F.col(rings).isNotNull()).withColumn("ty", span(b["y0"], b["y1"], pad)).withColumn("tx", span(b["x0"], b["x1"], wide))
+    # cells are met where the footprint is and, where it reaches beyond the date line, a turn away from there
+    turns = F.explode(F.transform(around_the_date_line(b["x0"], wide, b["x1"] - b["x0"] + wide), lambda x: x - b["x0"]))
+    dealt = footprints.where(F.col(rings).isNotNull()).withColumn("__turn", turns)
+    dealt = dealt.withColumn("ty", span(b["y0"], b["y1"], pad)).withColumn("tx", span(b["x0"] + F.col("__turn"), b["x1"] + F.col("__turn"), wide))
     g = grid.withColumn("ty", F.floor(F.col("lat_c") / tile)).withColumn("tx", F.floor(F.col("lon_c") / tile))
-    x, y = F.col("lon_c"), F.col("lat_c")
+    x, y = F.col("lon_c") - F.col("__turn"), F.col("lat_c")
     near = G.covers(F.col(rings), x, y)
     if reach_km:
         near = G.distance_km(F.col(rings), x, y) <= reach_km
     in_box = x.between(b["x0"] - wide, b["x1"] + wide) & y.between(b["y0"] - pad, b["y1"] + pad)  # cheaper than the sides
-    return dealt.join(g, ["ty", "tx"]).where(in_box & near).drop("ty", "tx")
+    return dealt.join(g, ["ty", "tx"]).where(in_box & near).drop("ty", "tx", "__turn")
 
 
 def valid_sum(value: Column, most: float | None = None) -> Column:

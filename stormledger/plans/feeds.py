@@ -61,10 +61,17 @@ def feed_cems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GDACS = f"""'{{"features":[{{"geometry":{{' || {PLACE} || '}},"properties":{{"eventtype":"' || CASE type WHEN 'Storm' THEN 'TC' WHEN 'Flood' THEN 'fl' WHEN 'Drought' THEN 'DR' WHEN 'Heat' THEN 'EQ' ELSE 'WF' END || '","eventid":' || event_id || ',"name":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '"Name ' || event_id || '"' END
   || ',"country":' || CASE WHEN event_id % 5 = 0 THEN '""' ELSE '"Land ' || (event_id % 20) || '"' END || ',"iso3":null,"fromdate":"' || CAST(day AS STRING) || '","todate":"' || {WHEN} || '","lastupdate":' || CASE WHEN event_id % 4 = 1 THEN '"2024-02-01"' ELSE 'null' END
-  || ',"alertlevel":' || CASE WHEN alert IS NULL THEN 'null' ELSE '"' || alert || '"' END || ',"ha":' || CASE event_id % 5 WHEN 0 THEN 'null' WHEN 1 THEN '"900"' ELSE '"' || (5000 + event_id % 9000) || '"' END || ',"severitydata":{{"severitytext":"' || CASE WHEN event_id % 2 = 0 THEN 'Area of 12,' || (100 + event_id % 800) || ' ha burned' ELSE 'Severity text' END || '"}}}}}}]}}'"""
+  || ',"alertlevel":' || CASE WHEN alert IS NULL THEN 'null' ELSE '"' || alert || '"' END || ',"ha":' || CASE event_id % 5 WHEN 0 THEN 'null' WHEN 1 THEN '"900"' WHEN 2 THEN 'null,"burnedArea":' || (6000 + event_id % 9000) WHEN 3 THEN 'null,"BurnedArea":90000,"burnedAreaHa":"' || (7000 + event_id % 9000) || ' ha"' ELSE '"' || (5000 + event_id % 9000) || '"' END || ',"severitydata":{{"severitytext":"' || CASE WHEN event_id % 2 = 0 THEN 'Area of 12,' || (100 + event_id % 800) || ' ha burned' ELSE 'Severity text' END || '"' || CASE event_id % 7 WHEN 0 THEN ',"burnedArea":' || (8000 + event_id % 9000) WHEN 1 THEN ',"note":["about",{{"of":"11,' || (100 + event_id % 800) || ' hectares"}}]' ELSE '' END || '}}}}}}]}}'"""
+def hectares_sql(x: str) -> str:
+    unit = "(?i)([0-9][0-9.,\\s]*)\\s*(?:ha|hectares?)"
+    bare = f"TRY_CAST(replace({x}, ',', '') AS DOUBLE)"
+    return f"CASE WHEN regexp_matches({x}, '{unit}') THEN TRY_CAST(regexp_replace(regexp_extract({x}, '{unit}', 1), '[\\s,]', '', 'g') AS DOUBLE) WHEN {bare} >= 1000 THEN {bare} END"
+
+
+AREA_SQL = "coalesce(" + ", ".join(hectares_sql(f"(q->>'$.{c}')") for c in (*feeds.AREA_FIELDS, *(f"severitydata.{c}" for c in feeds.SEVERITY_FIELDS), "severitydata")) + ")"
 GDACS_SQL = f""", raw AS (SELECT {GDACS} AS payload FROM hazard), e AS (SELECT payload->'$.features[0].geometry' AS g, payload->'$.features[0].properties' AS q FROM raw),
 p AS (SELECT *, {LON} AS lon, {LAT} AS lat, CASE upper(q->>'$.eventtype') WHEN 'FL' THEN 'Flood' WHEN 'TC' THEN 'Storm' WHEN 'WF' THEN 'Wildfire' WHEN 'DR' THEN 'Drought' END AS type FROM e),
-a AS (SELECT *, CASE WHEN type = 'Wildfire' THEN coalesce(CASE WHEN CAST(q->>'$.ha' AS DOUBLE) >= 1000 THEN CAST(q->>'$.ha' AS DOUBLE) END, CAST(replace(nullif(regexp_extract(q->>'$.severitydata.severitytext', '([0-9,]+) ha', 1), ''), ',', '') AS DOUBLE)) END AS area FROM p WHERE type IS NOT NULL AND abs(lat) <= 90 AND abs(lon) <= 180),
+a AS (SELECT *, CASE WHEN type = 'Wildfire' THEN {AREA_SQL} END AS area FROM p WHERE type IS NOT NULL AND abs(lat) <= 90 AND abs(lon) <= 180),
 r AS (SELECT *, coalesce(nullif(q->>'$.country', ''), printf('%.2f°, %.2f°', lat, lon)) AS region, q->>'$.alertlevel' AS level FROM a) """
 
 

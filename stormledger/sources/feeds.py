@@ -14,7 +14,11 @@ from stormledger.functions.columns import priority, valid_point
 FIELDS = "id source_id origin title type region lat lon status priority summary source source_url event_date source_updated_at event_start event_end last_detection burned_area_ha gdacs_id".split()
 EONET = "events array<struct<id string, title string, description string, link string, categories array<struct<id string, title string>>, sources array<struct<url string>>, geometry array<struct<date string, type string, coordinates string>>>>"
 CEMS = "results array<struct<code string, name string, closed boolean, category struct<slug string, name string, title string>, centroid string, countries array<string>, lastUpdate string, eventTime string, activationTime string, gdacsId string>>"
-GDACS = "features array<struct<geometry struct<type string, coordinates string>, properties struct<eventtype string, eventid string, name string, country string, iso3 string, fromdate string, todate string, alertlevel string, lastupdate string, datemodified string, ha string, hectares string, burnedarea string, burned_area string, burnedarea_ha string, area_ha string, severitydata struct<ha string, hectares string, burnedarea string, severitytext string, severity string>>>>"
+GDACS = "features array<struct<geometry struct<type string, coordinates string>, properties string>>"
+GDACS_PROPERTIES = "eventtype string, eventid string, name string, country string, iso3 string, fromdate string, todate string, alertlevel string, lastupdate string, datemodified string, severitydata struct<severitytext string, severity string>"
+#: Fields of a GDACS feature's properties, and of their severity data, that may tell a burned area, in order (fixed values).
+AREA_FIELDS = ("ha", "hectares", "burnedarea", "burnedArea", "burned_area", "burnedarea_ha", "burnedAreaHa", "area_ha")
+SEVERITY_FIELDS = ("ha", "hectares", "burnedarea", "burnedArea", "severitytext", "severity")
 
 
 def landed(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
@@ -71,10 +75,13 @@ def cems(payloads: DataFrame) -> DataFrame:
     ))
 
 
-def burned_area(q: str = "") -> Column:
-    """The first area that the known fields of a GDACS feature's properties give."""
-    own = [F.col(f"{q}{c}") for c in ("ha", "hectares", "burnedarea", "burned_area", "burnedarea_ha", "area_ha")]
-    return F.coalesce(*map(P.hectares, own), *[P.hectares(F.col(f"{q}severitydata.{c}")) for c in ("ha", "hectares", "burnedarea", "severitytext", "severity")])
+def burned_area(properties: Column) -> Column:
+    """The first area that the known fields of a GDACS feature's properties (JSON text) give, else one that the severity data say anywhere."""
+    # maps, since names that differ in case alone are different fields
+    own = F.from_json(properties, "map<string,string>")
+    severity = own["severitydata"]
+    inner = F.from_json(severity, "map<string,string>")
+    return F.coalesce(*[P.hectares(own[c]) for c in AREA_FIELDS], *[P.hectares(inner[c]) for c in SEVERITY_FIELDS], P.hectares(severity))
 
 
 def gdacs(payloads: DataFrame, least_ha: float = 10_000.0, green_only: bool = False) -> DataFrame:
@@ -83,10 +90,10 @@ def gdacs(payloads: DataFrame, least_ha: float = 10_000.0, green_only: bool = Fa
     green_only: only green fires below it go, and orange or red ones stay whatever their area.
     """
     e = items(payloads, GDACS)
-    e = e.select(F.col("properties.*"), P.centre(F.col("geometry.type"), F.col("geometry.coordinates")).alias("p"))
+    e = e.select("properties", F.from_json("properties", GDACS_PROPERTIES).alias("x"), "geometry").select("x.*", "properties", P.centre(F.col("geometry.type"), F.col("geometry.coordinates")).alias("p"))
     e = e.withColumn("type", P.category(F.col("eventtype"), P.GDACS_CATEGORIES)).where(F.col("type").isNotNull() & valid_point(F.col("p.lat"), F.col("p.lon")))
     fire = F.col("type") == "Wildfire"
-    e = e.withColumn("area", F.when(fire, burned_area()))
+    e = e.withColumn("area", F.when(fire, burned_area(F.col("properties"))))
     enough = F.coalesce(F.col("area") >= least_ha, F.lit(False))
     if green_only:
         enough = enough | F.coalesce(F.lower("alertlevel").isin("orange", "red"), F.lit(False))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import json
 import math
 import random
 
@@ -136,6 +137,26 @@ def test_feed_of_a_gdacs_feature(spark):
     assert feeds.eonet(spark.createDataFrame([], "payload string")).collect() == []
 
 
+def test_burned_area_fields(spark):
+    def area(**properties):
+        doc = json.dumps({"features": [{"geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"eventtype": "WF", "eventid": 1, **properties}}]})
+        rows = feeds.gdacs(spark.createDataFrame([(doc,)], "payload string")).collect()
+        return rows[0].burned_area_ha if rows else None
+
+    assert [area(**{f: 20000}) for f in feeds.AREA_FIELDS] == [20000.0] * 8 and [area(severitydata={f: "20,000 ha"}) for f in feeds.SEVERITY_FIELDS] == [20000.0] * 6
+    assert area(ha=900, burnedAreaHa="12000") == 12000.0 and area(severitydata={"other": {"text": "in 15 813 hectares"}}) == 15813.0
+    assert area(BURNEDAREA=20000) is None and area(severitydata={"other": 20000}) is None and area(ha="9000") is None
+
+
+def test_cells_beyond_the_date_line(spark):
+    grid = spark.range(720 * 4).selectExpr("id % 720 * 0.5 - 179.75 AS lon_c", "floor(id / 720) * 0.5 - 0.75 AS lat_c")
+    at = lambda lon: {r.lon_c for r in joins.cells_within(spark.createDataFrame([(lon, 0.0)], "lon double, lat double"), grid, 0.5).collect()}
+    assert at(179.9) == {179.75, -179.75} and at(-179.9) == {179.75, -179.75} and at(0.0) == {0.25, -0.25}
+    foot = lambda x0, x1, reach: {r.lon_c for r in shapes.cells_in(spark.createDataFrame([(square(x0, -1, x1, 1),)], "rings array<array<struct<x double, y double>>>"), grid, reach_km=reach).collect()}
+    assert foot(179.6, 179.9, 60.0) == {179.25, 179.75, -179.75} and foot(179.6, 180.4, 0.0) == {179.75, -179.75} and foot(-180.4, -179.6, 0.0) == {179.75, -179.75}
+    assert foot(1.0, 2.0, 0.0) == {1.25, 1.75}
+
+
 def square(x0, y0, x1, y1):
     return [[{"x": float(x), "y": float(y)} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]]
 
