@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stormledger.functions import columns as C
 from stormledger.operators import evaluation, joins, ledger
 from stormledger.sources.hazard import GRID, HAZARD, hazard_events, population_grid, table
-from stormledger.streaming.lifecycle import stream_lifecycle as stream
+from stormledger.sources.storage import shared_folder
+from stormledger.streaming import lifecycle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -322,10 +325,23 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("text").rlike(SECRETS)).alias("with_secrets"))
 
 
-@query("SELECT user_id, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen, count(*) AS observations FROM events GROUP BY user_id")
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own for one run of a query; a service names one that lasts."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen, count(DISTINCT event_id) AS observations, 1 AS run_count FROM events GROUP BY user_id")
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lifecycle state kept by a stream of event files (M1 to M3)."""
-    return stream(spark, sf_dir, "events.parquet").select("user_id", micros("first_seen"), micros("last_seen"), "observations")
+    """Lifecycle state by key, kept by a stream of event files (M1, M2, M5)."""
+    got = lifecycle.lifecycle(spark, sf_dir, "events.parquet", F.col("user_id"), F.col("event_id"), new_folder(spark))
+    return got.select(F.col("key").alias("user_id"), micros("first_seen"), micros("last_seen"), "observations", F.col("run_count").cast("int").alias("run_count"))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, epoch_us(min(ts)) AS first_run, epoch_us(max(ts)) AS last_run, count(DISTINCT date_trunc('hour', ts)) AS source_runs, 1 AS run_count FROM events GROUP BY CAST(ts AS DATE)")
+def stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day ledger's runs as tumbling state: hourly snapshots are runs, files are deliveries; a day closes behind the watermark (M3, M7)."""
+    got = lifecycle.lifecycle(spark, sf_dir, "events.parquet", F.to_date("ts"), F.date_trunc("hour", "ts"), new_folder(spark), closes=True)
+    return got.select(F.col("key").cast("string").alias("day"), micros("first_seen").alias("first_run"), micros("last_seen").alias("last_run"), F.col("observations").alias("source_runs"), F.col("run_count").cast("int").alias("run_count"))
 
 
 @query(HAZARD + """, p AS (SELECT type, user_id, avg(value) FILTER (WHERE day < DATE '2024-01-15') AS a, avg(value) FILTER (WHERE day >= DATE '2024-01-15') AS b FROM hazard GROUP BY type, user_id),
