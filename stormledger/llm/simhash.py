@@ -8,8 +8,10 @@ no task holds more than two tiles of it. A task returns a forest of the links th
 
 At a shingle Jaccard of 0.8 two fingerprints differ in about ten bits, for which exact bands would be too narrow. So
 similar_texts() adds keys of BANDS bands of ROWS minima of the hashed shingles (a pair at 0.8 shares one with probability
-0.9996, at 0.9 all but surely). Each text meets the two ends of its bucket in one of ORDERS orders, so a large bucket costs
-two pairs a text, and every candidate is checked on its shingles.
+0.9996, at 0.9 all but surely). First each text meets the two ends of its bucket in one of ORDERS orders, two pairs a text, and
+every pair is checked on its shingles. Then, in the buckets that still hold several groups, all texts outside a bucket's largest
+group meet all of its texts, in tiles of some TILE_SHINGLES shingles, by products of their incidence matrices: no link between
+texts with a common key is lost. That costs the square of what a bucket holds outside its largest group.
 
 Nulls: a null or blank text has fingerprint zero, a class like any other. A null doc_id is ignored when the smallest
 doc_id of a component is taken. Repeated rows are members each. An empty table gives an empty result.
@@ -30,6 +32,7 @@ from .components import components
 
 WORDS, SEED, RADIUS, TILE = 3, 42, 2, 2048
 SIMILAR_WORDS, SIMILARITY, BANDS, ROWS, ORDERS = 5, 0.8, 20, 5, 4
+TILE_SHINGLES = 1 << 18
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -273,9 +276,94 @@ def similar_texts(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["h", "g", "shingles"])
         give_back()
 
-    wanted = pairs.select(F.col("a.h").alias("h"), F.col("a.g").alias("g")).unionByName(pairs.select("b.h", "b.g")).distinct()
+    wanted = keyed.join(buckets.select("key").distinct(), "key", "left_semi").select("x.node.h", "x.node.g").unionByName(pairs.select(F.col("a.h").alias("h"), F.col("a.g").alias("g"))).unionByName(pairs.select("b.h", "b.g")).distinct()
     sets = chosen.join(wanted, ["h", "g"], "left_semi").select("h", "g", "text").mapInArrow(shingles, "h long, g long, shingles array<long>")
     sets = written(sets.groupBy("h", "g").agg(F.any_value("shingles").alias("shingles")).select(F.struct("h", "g").alias("node"), "shingles"), "shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("common"), (F.size("s") + F.size("t")).alias("total"))
-    return components(both.where(F.col("common") >= (F.col("total") - F.col("common")) * similarity).select("a", "b"))
+    found = written(both.where(F.col("common") >= (F.col("total") - F.col("common")) * similarity).select("a", "b"), "similar")
+    first = components(found)
+    in_buckets = keyed.join(buckets.select("key").distinct(), "key", "left_semi").select("key", "x.node", "x.size")
+    return components(found.unionByName(across(in_buckets, first, sets, similarity)))
+
+
+def across(in_buckets: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE_SHINGLES) -> DataFrame:
+    """Links (a, b) of similar texts of a bucket that are not yet in one group, as a forest a pair of tiles.
+
+    in_buckets: (key, node, size); groups: (node, root), a node without a row being its own; sets: (node, shingles).
+    """
+    placed = in_buckets.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups"), F.sum("shingles").alias("all"), F.max_by("shingles", F.struct("n", "root")).alias("most")).where("groups > 1")
+    parts = lambda total: F.greatest(F.lit(1), F.ceil(total / tile)).cast("long")
+    mixed = mixed.select("key", F.col("top.root").alias("top"), parts(F.col("all") - F.col("most")).alias("rows"), parts(F.col("all")).alias("columns"))
+    dealt = placed.join(mixed, "key").withColumn("hash", F.xxhash64("node", F.lit("tile")))
+    at = lambda n: F.pmod("hash", n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    one = dealt.where("root <> top").select("key", at(F.col("rows")).alias("i"), every(F.col("columns")).alias("j"), F.lit(0).alias("side"), "node")
+    two = dealt.select("key", at(F.col("columns")).alias("j"), every(F.col("rows")).alias("i"), F.lit(1).alias("side"), "node")
+    tiles = one.unionByName(two).join(sets, "node").select("key", "i", "j", "side", F.col("node.h").alias("h"), F.col("node.g").alias("g"), "shingles")
+
+    def run(batches):
+        now, held = None, ([], [])
+        for batch in batches:
+            keys, sides = list(zip(*(batch.column(k).to_pylist() for k in range(3)))), batch.column(3).to_pylist()
+            nodes = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()))
+            values, ends = batch.column(6).flatten().to_numpy(), np.cumsum(batch.column(6).value_lengths().to_numpy())
+            start = 0
+            for key, side, node, end in zip(keys, sides, nodes, ends.tolist()):
+                if key != now:
+                    yield from as_links(similar_pairs(*held, similarity))
+                    now, held = key, ([], [])
+                held[side].append((node, values[start:end].copy()))
+                start = end
+        yield from as_links(similar_pairs(*held, similarity))
+        give_back()
+
+    # a tile pair is in one task, one after the other
+    rows = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "ah long, ag long, bh long, bg long")
+    return written(rows.select(F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")).alias("a"), F.struct(F.col("bh").alias("h"), F.col("bg").alias("g")).alias("b")).distinct(), "across")
+
+
+def as_links(pairs: list) -> list[pa.RecordBatch]:
+    columns = zip(*[(*a, *b) for a, b in pairs]) if pairs else []
+    return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["ah", "ag", "bh", "bg"])] if pairs else []
+
+
+def similar_pairs(rows: list, columns: list, similarity: float) -> list:
+    """A forest of the pairs of a row and a column (node, its different shingles) that are similar."""
+    if not rows or not columns:
+        return []
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    sizes = np.array([len(s) for _, s in columns])
+    # shingles that rows and columns have in common, numbered; only they count, and some at a time
+    known = np.intersect1d(np.unique(np.concatenate([s for _, s in rows])), np.unique(np.concatenate([s for _, s in columns])))
+    width = max(1, (1 << 22) // (len(rows) + len(columns)))
+    common = np.zeros((len(rows), len(columns)), np.float32)  # exact up to 2^24 shingles
+    for low in range(0, len(known), width):
+        part = known[low : low + width]
+        common += incidence([s for _, s in rows], part) @ incidence([s for _, s in columns], part).T
+    for k, (node, mine) in enumerate(rows):
+        for j in np.flatnonzero(common[k] >= (len(mine) + sizes - common[k]) * similarity).tolist():
+            a, b = root(node), root(columns[j][0])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((node, columns[j][0]))
+    return out
+
+
+def incidence(sets: list, part: np.ndarray) -> np.ndarray:
+    """Which of the sorted shingles `part` each set has."""
+    out = np.zeros((len(sets), len(part)), np.float32)
+    for k, s in enumerate(sets):
+        at = np.searchsorted(part, s)
+        hit = at[at < len(part)][part[at[at < len(part)]] == s[at < len(part)]]
+        out[k, hit] = 1
+    return out

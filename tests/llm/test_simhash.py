@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -117,6 +118,53 @@ def test_planted_copies_from_0_8_on(spark):
     assert corpus_pipeline.near_copies(spark, none_of(df), "").collect() == []
 
 
+def mixed_bucket(seed=11, n=300):
+    """Texts that each differ from one base in three words, under 0.8 similar, and a near twin of each."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    texts = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.choice(200, 3, replace=False):
+            words[at] = f"v{k}-{at}"
+        texts.append(" ".join(words))
+        words[rng.integers(200)] = f"twin{k}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def links_of(texts):
+    sets = [sets_of(t) for t in texts]
+    return [(i, k) for i in range(len(texts)) for k in range(i) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE_SHINGLES, 5000])
+def test_all_links_of_texts_that_share_buckets(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", tile)
+    monkeypatch.setattr(simhash.across, "__defaults__", (tile,))
+    texts = mixed_bucket()
+    pairs = links_of(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    h, g = simhash.text_keys()
+    node = {r.doc_id: (r.h, r.g) for r in df.select("doc_id", h, g).collect()}
+    root = {tuple(r.node): tuple(r.root) for r in simhash.similar_texts(df).collect()}
+    together = sum(root.get(node[a], 0) == root.get(node[b], 1) for a, b in pairs)
+    assert len(pairs) > 500 and together == len(pairs)
+    want = brute_links(len(texts), pairs)
+    assert len(set(want.values())) == len({root.get(x, x) for x in node.values()})  # and nothing else is linked
+
+
+def test_similar_pairs_against_sets():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 60)
+    sets = [(k, np.unique(np.concatenate([rng.choice(base, 50, replace=False), rng.integers(0, 1 << 60, rng.integers(0, 8))]))) for k in range(40)]
+    for n in (1, 12, 40):
+        got = simhash.similar_pairs(sets[:n], sets, 0.8)
+        near = [(i, k) for i in range(n) for k in range(40) if len(set(sets[i][1]) & set(sets[k][1])) >= 0.8 * len(set(sets[i][1]) | set(sets[k][1]))]
+        assert set(got) <= set(near) and set(brute_links(40, got).items()) == set(brute_links(40, near).items())
+    assert simhash.similar_pairs([], sets, 0.8) == simhash.similar_pairs(sets, [], 0.8) == []
+
+
 def brute_links(n, pairs):
     root = list(range(n))
     for a, b in pairs:
