@@ -18,12 +18,13 @@ holds one, in an article elements without a class, and in it and the main conten
 more is on one page only (else a host's many copies speak for its unique pages); nor any in an article that would lose over half of its
 text, or on a page that would lose all.
 
-With names (the default) elements whose tag or class names what they are (NOISE) have no importance anywhere. Names
+Only the tree decides on the pages of a host that has more than one. A page that is its host's only one (or of no host) has
+nothing to be compared with; there, and everywhere with names=True, elements whose tag or class names what they are (NOISE) have no importance. Names
 never cut html or body. An article or main and what holds one is not cut by a word about a state (has-sidebar,
 comments-open), nor as a form or header, and outside an article by no word at all if the page has no other article; no
-number cuts what holds an article. Without names only the tree decides.
+number cuts what holds an article.
 
-What remains is the text of the article elements (with names), or of the body if there are none: character references are decoded,
+What remains is the text of the article elements (by names), or of the body if there are none: character references are decoded,
 white space inside a block becomes one space, blocks are joined by a line's end.
 
 Nulls: a null html gives an empty text; a page without a url belongs to no host and is cut by names alone. Repeated rows
@@ -47,6 +48,8 @@ GAMMA, LOW, BASE, VARIED = 0.9, 0.3, 8, 0.02
 SIDE, DOMINANT, HOLDER = 0.2, 0.5, 0.5
 #: Words of a text that is told apart by its words, and the weight of words in links (a quarter, so weights are whole numbers).
 SHORT, LINK = 24, 4
+#: Hosts whose paths a task remembers at once.
+HOSTS = 256
 #: Elements without visible text, and those that are boxes of a page's layout (fixed values).
 UNSEEN = frozenset("script style noscript template head title svg canvas iframe object embed audio video".split())
 BOXES = frozenset("html body div section nav footer aside header form main article ul ol dl table center fieldset dialog menu".split())
@@ -317,25 +320,32 @@ def style_tree(pages: DataFrame, names: bool = True) -> DataFrame:
     return judged.select(*here, "pages", importance.alias("importance"), own.alias("own"), (F.col("outside") & F.col("box") & (F.col("worth") < SIDE * F.col("top"))).alias("side"), ((F.col("outside") & (F.col("worth") == F.col("top"))) | (F.col("inside").isNotNull() & (own >= VARIED))).alias("lead"))
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), names: bool = True) -> DataFrame:
-    """keep and `text`, the main text, of each row of pages (url, html); a kept column named text gives way."""
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), names: bool | None = None) -> DataFrame:
+    """keep and `text`, the main text, of each row of pages (url, html); a kept column named text gives way.
+
+    names: whether names decide beside the tree; None: the tree alone decides, and names only for a page that is the only one of its host.
+    """
     path = F.when(F.col("own") < VARIED, F.col("path")).otherwise(F.bitwise_not("path"))
     low = (F.col("importance") < LOW) & ~F.col("lead")
-    cut = style_tree(pages, names).where(low | F.col("side")).groupBy("host").agg(F.collect_list(F.when(low & ~F.col("side"), path)).alias("__low"), F.collect_list(F.when(F.col("side"), F.col("path"))).alias("__side"))
-    cut = written(cut.withColumnRenamed("host", "__host"), "style-cuts")
+    cut = style_tree(pages, bool(names)).where(low | F.col("side")).groupBy("host").agg(F.collect_list(F.when(low & ~F.col("side"), path)).alias("__low"), F.collect_list(F.when(F.col("side"), F.col("path"))).alias("__side"))
+    hosts = pages.select(host_of().alias("host")).where("host is not null").groupBy("host").count().where("count > 1").select("host")
+    cut = written(hosts.join(cut, "host", "left" if names is None else "full_outer").withColumnRenamed("host", "__host"), "style-cuts")
     chosen = pages.select(*(c for c in keep if c != "text"), host_of().alias("__of"), F.col("html").alias("__html"))
-    joined = chosen.join(sized(cut, ("__low", "__side")), F.col("__of") == F.col("__host"), "left").drop("__of", "__host")  # else AQE splits a hot host
-    fields = with_fields(joined.schema.fields[:-3], "text string")
+    joined = chosen.join(sized(cut, ("__low", "__side")), F.col("__of") == F.col("__host"), "left").drop("__of")  # else AQE splits a hot host
+    joined = joined.select(*joined.columns[:-3], "__low", "__side", "__host")
+    fields = with_fields(joined.schema.fields[:-4], "text string")
 
     def run(batches):
+        sets: dict = {}  # paths of the task's hosts
         for batch in batches:
-            sets: dict = {}
+            html, lows, sides, hosts = (batch.column(batch.num_columns - k) for k in (4, 3, 2, 1))
             out = []
-            for page, *paths in zip(*(batch.column(batch.num_columns - k) for k in (3, 2, 1)), strict=True):
-                key = tuple(tuple(x.as_py() or ()) for x in paths)
-                if key not in sets:
-                    sets[key] = tuple(map(frozenset, key))
-                out.append(main_text(page.as_py(), *sets[key], names))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], names=[*batch.schema.names[:-3], "text"])
+            for k, host in enumerate(hosts.to_pylist()):
+                if host not in sets:
+                    if len(sets) >= HOSTS:
+                        sets.clear()
+                    sets[host] = tuple(frozenset(x[k].as_py() or ()) for x in (lows, sides))
+                out.append(main_text(html[k].as_py(), *sets[host], host is None if names is None else names))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(out, pa.string())], names=[*batch.schema.names[:-4], "text"])
 
     return joined.mapInArrow(run, fields)

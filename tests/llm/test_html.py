@@ -1,8 +1,10 @@
+import math
 import re
 from html import unescape
 
 import pytest
 from helpers import none_of
+from stormledger.llm import html_extract
 from stormledger.llm.html_extract import extract, main_text, style_tree
 from stormledger.llm.queries import op2_site_style_tree
 from pyspark.sql import functions as F
@@ -91,3 +93,48 @@ def test_names_of_states_and_wrappers_keep_the_article():
     assert main_text("<form id=f><main class=no-sidebar><article>a</article></main></form><div class=related><article>r</article></div>") == "a"
     assert main_text("<div class=widget><article class=promo>a<div class=ad>x</div></article></div>") == "a"
     assert main_text("<aside><article>r</article></aside><p>a") == "a"
+
+
+def plain_tree(pages):
+    """(importance, own) of each path of one host's pages, by the definition, with plain sums over all pages."""
+    rows = [html_extract.tree_rows(p, False) for p in pages]
+    paths = {path for styles, _, _ in rows for path, *_ in styles}
+    m, gamma, presentation, weight, news, own = {}, {}, {}, {}, {}, {}
+    for path in paths:
+        styles = [x for s, _, _ in rows for p, x, *_ in s if p == path]
+        m[path], counts = len(styles), [styles.count(x) for x in set(styles)]
+        base = math.log(max(m[path], html_extract.BASE))
+        gamma[path] = html_extract.GAMMA ** len(counts)
+        presentation[path] = min(1, max(0, -sum(n / m[path] * math.log(n / m[path]) for n in counts) / base))
+        told = [(f, w) for _, texts, _ in rows for (p, f), w in texts.items() if p == path]
+        weight[path] = sum(w for _, w in told)
+        seen = lambda f: sum(g == f for g, _ in told)
+        news[path] = sum(w * min(1, max(0, 1 - math.log(seen(f)) / base)) for f, w in told)
+        own[path] = sum(w for f, w in told if seen(f) == 1)
+    below = {path: {p for _, _, above in rows for p, x in above if x == path} for path in paths}
+    out = {}
+    for path in paths:
+        all_ = sum(weight[p] for p in below[path])
+        worth = sum((1 - gamma[p]) * presentation[p] * weight[p] + gamma[p] * news[p] for p in below[path])
+        out[path] = ((1 - gamma[path]) * presentation[path] + gamma[path] * (worth / all_ if all_ else 0), sum(own[p] for p in below[path]) / all_ if all_ else 0)
+    return out
+
+
+def test_the_tree_against_plain_sums(spark, sf):
+    """Pages of two hosts: importance and own share of every node are those of the definition."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").where("html is not null").orderBy("page_id").limit(10).collect()
+    hosts = {"a.org": [p.html for p in pages[:6]] + [PAGE, PAGE], "b.org": [p.html for p in pages[6:]]}
+    df = spark.createDataFrame([(f"http://{h}/{k}", x) for h, xs in hosts.items() for k, x in enumerate(xs)], "url string, html string")
+    got = {(r.host, r.path): (r.importance, r.own) for r in style_tree(df, names=False).collect()}
+    want = {(h, path): x for h, xs in hosts.items() for path, x in plain_tree(xs).items()}
+    assert set(got) <= set(want) and len(got) > 30
+    for k, (importance, own) in got.items():
+        assert importance == pytest.approx(want[k][0], abs=1e-9) and own == pytest.approx(want[k][1], abs=1e-9)
+
+
+def test_the_query_rests_on_the_tree(spark):
+    """Without cuts nearly every text of the query would be another one, so it is the tree that makes it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    off = {r.page_id: main_text(r.html, names=False) for r in pages.collect()}
+    assert sum(got[k] != off[k] for k in off) >= 0.9 * len(off)
