@@ -56,26 +56,6 @@ def modal_config(folds: DataFrame, config: str, quality: DataFrame, *by: str) ->
     return n.orderBy(F.desc("folds"), *[F.desc_nulls_last(c) for c in by], config).limit(1).select(config, "folds")
 
 
-def holdout(events: DataFrame, region: str, least: int = 2, keep: int = 2, salt: str = "holdout-v1", most: int = 16) -> DataFrame:
-    """The regions of the subset whose events are closest to a third of all: ties to fewer test regions, then by a hash of the names.
-
-    All subsets of up to `most` regions are tried as numbers, each joined with its regions (2**regions rows); more regions are an error.
-    """
-    sizes = events.groupBy(region).agg(F.count("*").alias("n"))
-    names = [r[region] for r in sizes.orderBy(region).limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} regions: join small ones first")
-    total = events.count()
-    bits = events.sparkSession.createDataFrame([(name, k) for k, name in enumerate(names)], f"{region} string, bit int").join(sizes, region)
-    subsets = events.sparkSession.range(1, 1 << len(names)).withColumnRenamed("id", "mask")
-    held = subsets.crossJoin(F.broadcast(bits)).where(F.expr("shiftright(mask, bit) & 1 = 1"))  # at most `most` rows on one side
-    s = held.groupBy("mask").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(region)).alias("regions"))
-    s = s.where((F.size("regions") >= least) & (len(names) - F.size("regions") >= keep) & (F.col("n") < total))
-    target = max(1, round(total / 3))
-    best = s.orderBy(F.abs(F.col("n") - target), F.size("regions"), F.sha2(F.concat(F.lit(f"{salt}|"), F.array_join("regions", "|")), 256)).limit(1)
-    return best.select(F.explode("regions").alias(region), F.col("n").alias("events"))
-
-
 def forward_window(events: DataFrame, cycles: DataFrame, horizon: int, slack_hours: float = 3.1, step: int = 3) -> DataFrame:
     """Of each event (id, ts) the forecast cycle (cycle, leads) whose start lead is nearest to it and has every lead of the horizon: by offset, then the newest.
 

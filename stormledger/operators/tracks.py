@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormledger.functions.columns import EARTH_KM, haversine_km
+from stormledger.operators.components import checkpointed
 from stormledger.operators.joins import beside_in_time, cells_within
 
 
@@ -24,6 +25,35 @@ def nearest_cell(points: DataFrame, key: str, grid: DataFrame, half: float, max_
     return points.join(best, key, "left").select(key, "x.row", "x.col", "x.km")
 
 
+def ring_cells(points: DataFrame, key: str, grid: DataFrame, step: float, south: float, west: float, max_km: float = 500.0, rings: int = 12) -> DataFrame:
+    """key, row, col, km and ring of the nearest valid cell of each point: its own cell if that is valid, else by square rings around it.
+
+    A ring ends the search if the nearest cell found so far is within max_km; a point with none of that kind in `rings` rings has
+    nulls. grid: the valid cells (row, col, lat_c, lon_c), row and col counted from the centre (south, west) in steps; columns wrap around the circle. In a
+    round only the points go on that are still open, to the 8r cells of ring r, joined by equal cell. Ties go to the lesser cell.
+    """
+    around = int(round(360 / step))
+    cells = grid.select(F.pmod("col", F.lit(around)).alias("c"), F.col("row").alias("r"), "row", "col", "lat_c", "lon_c")
+    whole = points.where("lat is not null and lon is not null")
+    at = lambda v, first: F.floor((F.col(v) - first) / step + 0.5).cast("int")
+    open_ = checkpointed(whole.select(key, "lat", "lon", at("lat", south).alias("y"), at("lon", west).alias("x"), F.lit(None).cast("struct<km double, row int, col int>").alias("best")))
+    done = None
+    for ring in range(rings + 1):
+        steps = [(dy, dx) for dy in range(-ring, ring + 1) for dx in range(-ring, ring + 1) if max(abs(dy), abs(dx)) == ring]
+        offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])
+        looked = open_.withColumn("o", F.explode(offsets)).withColumn("r", F.col("y") + F.col("o.dy")).withColumn("c", F.pmod(F.col("x") + F.col("o.dx"), F.lit(around)))
+        km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("lat_c"), F.col("lon_c")), 6)
+        found = looked.join(cells, ["r", "c"]).groupBy(key).agg(F.min(F.struct(km.alias("km"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))).alias("found"))
+        new = checkpointed(open_.join(found, key, "left").withColumn("best", F.least("best", "found")).drop("found"))
+        over = F.col("best").isNotNull() & ((F.col("best.km") <= max_km) | F.lit(ring == 0))
+        ended = new.where(over).select(key, "best", F.lit(ring).alias("ring"))
+        done = ended if done is None else done.unionByName(ended)
+        open_ = new.where(~over)
+        if open_.isEmpty():
+            break
+    return points.select(key).join(done, key, "left").select(key, "best.row", "best.col", "best.km", "ring")
+
+
 def step_of(lat: Column, lon: Column, u: Column, v: Column, seconds: float) -> tuple[Column, Column]:
     """Where a wind of u and v m/s takes a point: the cosine of the latitude is 0.05 at least, longitudes wrap at 180, latitudes end at 89.9."""
     cos = F.greatest(F.lit(0.05), F.abs(F.cos(F.radians(lat))))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormledger.operators import evaluation, experiments, joins
-from stormledger.plans.catalogue import PAIRS, query
+from stormledger.operators import clusters, evaluation, experiments, joins
+from stormledger.plans.catalogue import KM, PAIRS, query
 from stormledger.sources.hazard import HAZARD, hazard_events, table
 
 CELLS = "cells AS (SELECT l_suppkey AS event, CAST(l_quantity + l_linenumber * 0.01 AS DOUBLE) AS value, CAST(l_extendedprice AS DOUBLE) AS area, l_tax < 0.04 AS control, l_linenumber AS line FROM lineitem)"
@@ -78,13 +78,41 @@ def window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(evaluation.exact_quantiles(c, "block", "difference", {"median": 0.5}).select("block", F.round("median", 6).alias("median")), "block")
 
 
-@query("""WITH e AS (SELECT n_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey < 9), s AS (SELECT region, count(*) AS n, row_number() OVER (ORDER BY region) - 1 AS bit FROM e GROUP BY region), t AS (SELECT count(*) AS total, count(DISTINCT region) AS k FROM e),
-m AS (SELECT mask, sum(n) AS n, list(region ORDER BY region) AS regions FROM range(1, 512) r(mask), s WHERE (mask >> bit) & 1 = 1 AND mask < (1 << (SELECT k FROM t)) GROUP BY mask),
-b AS (SELECT regions, n FROM m, t WHERE len(regions) >= 2 AND k - len(regions) >= 2 AND n < total ORDER BY abs(n - greatest(1, round_even(total / 3.0, 0))), len(regions), sha256('holdout-v1|' || array_to_string(regions, '|')) LIMIT 1) SELECT unnest(regions) AS region, CAST(n AS BIGINT) AS events FROM b""")
+@query("""WITH RECURSIVE e AS (SELECT n_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey), s AS (SELECT region, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, region) AS i FROM e GROUP BY region), t AS (SELECT sum(n) AS total, count(*) AS blocks FROM s),
+st(i, n, k, names) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL
+  SELECT i, n, k, arg_min(names, sha256('holdout-v1|' || array_to_string(names, '|'))) FROM (SELECT st.i + 1 AS i, st.n + CASE WHEN v.t THEN s.n ELSE 0 END AS n, st.k + CAST(v.t AS BIGINT) AS k, CASE WHEN v.t THEN list_sort(list_append(st.names, s.region)) ELSE st.names END AS names FROM st JOIN s ON s.i = st.i + 1 CROSS JOIN (VALUES (true), (false)) v(t)) GROUP BY i, n, k),
+b AS (SELECT names, n FROM st, t WHERE i = blocks AND k >= 2 AND blocks - k >= 2 AND n > 0 AND n < total ORDER BY abs(n - greatest(1, round_even(total / 3.0, 0))), k, sha256('holdout-v1|' || array_to_string(names, '|')) LIMIT 1) SELECT unnest(names) AS region, n AS events FROM b""")
 def grouped_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole regions that make the test third of a benchmark."""
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 9").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region"))
-    return experiments.holdout(table(spark, sf_dir, "customer").join(n, "c_nationkey").select("region"), "region")
+    """The whole regions that make the test third of a benchmark, by reachable sums over all of them."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region"))
+    return clusters.holdout(table(spark, sf_dir, "customer").join(n, "c_nationkey").select("region"), "region")
+
+
+DROUGHTS = HAZARD.replace("WITH", "WITH RECURSIVE", 1) + f""", p AS (SELECT event_id, lat, lon FROM hazard WHERE type = 'Drought' AND alert = 'Red'), spots AS (SELECT lat, lon, min(event_id) AS id FROM p GROUP BY lat, lon),
+d(step, a, b, km) AS (SELECT 0, a.id, b.id, {KM.format(a='a', b='b')} FROM spots a JOIN spots b ON a.id < b.id UNION ALL
+  SELECT step + 1, least(x, y), greatest(x, y), max(km) FROM (SELECT d.step, CASE WHEN d.a = m.b THEN m.a ELSE d.a END AS x, CASE WHEN d.b = m.b THEN m.a ELSE d.b END AS y, d.km FROM d CROSS JOIN (SELECT a, b FROM (SELECT * FROM d ORDER BY round(km, 9), sha256(a || '|' || b) LIMIT 1) WHERE km <= 500 + 1e-9) m) WHERE x <> y GROUP BY ALL),
+best AS (SELECT step, arg_min(struct_pack(a := a, b := b, km := km), struct_pack(km := round(km, 9), tie := sha256(a || '|' || b))) AS m FROM d GROUP BY step), up AS (SELECT m.b AS low, m.a AS high FROM best WHERE m.km <= 500 + 1e-9),
+roots(low, high) AS (SELECT id, id FROM spots UNION ALL SELECT r.low, up.high FROM roots r JOIN up ON r.high = up.low), blocks AS (SELECT low AS id, min(high) AS block FROM roots GROUP BY low) """
+
+
+@query(DROUGHTS + "SELECT event_id, block, count(*) OVER (PARTITION BY block) AS events FROM p JOIN spots USING (lat, lon) JOIN blocks USING (id)")
+def spatial_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Droughts in blocks no two of which are over 500 km apart, by complete link."""
+    p = hazard_events(spark, sf_dir).where("type = 'Drought' and alert = 'Red'").select("event_id", "lat", "lon")
+    blocks = clusters.complete_link(p, "event_id", 500.0)
+    return blocks.join(blocks.groupBy("block").agg(F.count("*").alias("events")), "block").select("event_id", "block", "events")
+
+
+LADDER = f"""t AS (SELECT * FROM hazard WHERE type = 'Wildfire' AND alert = 'Red' AND event_id % 10 <> 3), h AS (SELECT * FROM hazard WHERE type = 'Wildfire' AND alert = 'Red' AND event_id % 10 = 3), r(rung, km, hours) AS (VALUES (0, 500, 72), (1, 350, 48), (2, 250, 24), (3, 0, 0)),
+kept AS (SELECT rung, t.event_id FROM t CROSS JOIN r WHERE r.km = 0 OR NOT EXISTS (SELECT 1 FROM h WHERE abs(epoch_us(t.ts) - epoch_us(h.ts)) / 3600000000 <= r.hours AND {KM.format(a='t', b='h')} <= r.km))"""
+
+
+@query(HAZARD + ", " + LADDER + ", n AS (SELECT rung, count(*) AS n FROM kept GROUP BY rung) SELECT event_id, rung FROM kept WHERE rung = (SELECT coalesce(min(rung) FILTER (WHERE n >= {k}), 3) FROM n)".replace("{k}", "200"))
+def embargo_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training fires apart from the held-out ones, by the strongest embargo that leaves 200 of them."""
+    fires = hazard_events(spark, sf_dir).where("type = 'Wildfire' and alert = 'Red'")
+    held = F.col("event_id") % 10 == 3
+    return clusters.relaxed_embargo(fires.where(~held), fires.where(held), enough=200).select("event_id", "rung")
 
 
 CYCLES = "SELECT ts AS cycle, range(0, 12 * (1 + epoch_us(ts) // 43200000000 % 6) + 1, CASE WHEN epoch_us(ts) // 43200000000 % 5 = 0 THEN 6 ELSE 3 END) AS leads FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-28', TIMESTAMP '2024-02-05', INTERVAL 12 HOUR)) AS ts)"

@@ -28,6 +28,15 @@ def nearest_valid_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.nearest_cell(points, "event_id", population_grid(spark).where("people >= 80"), 5.0, 500.0)
 
 
+@query(HAZARD + ", " + GRID + f""", a AS (SELECT event_id, lat, lon, CAST(floor((lat + 21.75) / 0.5 + 0.5) AS INT) AS y, CAST(floor((lon + 0.75) / 0.5 + 0.5) AS INT) AS x FROM hazard WHERE type = 'Drought'), b AS (SELECT row, col, lat_c AS lat, lon_c AS lon FROM grid WHERE people >= 92),
+c AS (SELECT event_id, row, col, greatest(abs(row - y), abs(col - x)) AS ring, round({KM.format(a='a', b='b')}, 6) AS km FROM a JOIN b ON row BETWEEN y - 12 AND y + 12 AND col BETWEEN x - 12 AND x + 12), e AS (SELECT event_id, min(ring) FILTER (WHERE km <= 500 OR ring = 0) AS ring FROM c GROUP BY event_id),
+n AS (SELECT event_id, e.ring, arg_min(struct_pack(row := row, col := col, km := km), struct_pack(km := km, row := row, col := col)) AS x FROM c JOIN e USING (event_id) WHERE c.ring <= e.ring GROUP BY event_id, e.ring) SELECT event_id, n.x.row AS row, n.x.col AS col, n.x.km AS km, ring FROM a LEFT JOIN n USING (event_id)""")
+def nearest_cell_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid cell of each drought: its own, else the nearest one of rings that widen until one is within 500 km."""
+    points = hazard_events(spark, sf_dir).where("type = 'Drought'").select("event_id", "lat", "lon")
+    return tracks.ring_cells(points, "event_id", population_grid(spark).where("people >= 92"), 0.5, -21.75, -0.75)
+
+
 DEG = "180.0 / pi()"
 STEP = f"""SELECT event_id, greatest(-89.9, least(89.9, lat + coalesce(v, 0) * 10800 / 6371000.0 * {DEG})) AS lat, CASE WHEN x > 180 THEN x - 360 WHEN x < -180 THEN x + 360 ELSE x END AS lon
   FROM (SELECT *, lon + coalesce(u, 0) * 10800 / (6371000.0 * greatest(0.05, abs(cos(radians(lat))))) * {DEG} AS x FROM {{t}} LEFT JOIN wind w ON w.lead = {{k}} AND w.row = CAST(floor((lat + 22.0) / 0.5) AS INT) AND w.col = CAST(floor((lon + 1.0) / 0.5) AS INT))"""
