@@ -200,8 +200,8 @@ def latest_complete_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRACK = HAZARD + ", " + GRID + """, n AS (SELECT user_id, event_id, lat, lon, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM hazard WHERE type = 'Storm' AND alert = 'Red'),
-w AS (SELECT a.user_id, a.lon AS ax, a.lat AS ay, b.lon AS bx, b.lat AS ey FROM n a JOIN n b ON b.user_id = a.user_id AND b.i = a.i + 1 AND abs(a.lon - b.lon) <= 4 AND abs(a.lat - b.lat) <= 4),
-x AS (SELECT user_id, row, col, lat_c, lon_c, ax, ay, bx, ey, greatest(0.0, least(1.0, ((lon_c - ax) * (bx - ax) + (lat_c - ay) * (ey - ay)) / nullif(pow(bx - ax, 2) + pow(ey - ay, 2), 0))) AS t FROM w, grid WHERE lat_c BETWEEN least(ay, ey) - 2.3 AND greatest(ay, ey) + 2.3 AND lon_c BETWEEN least(ax, bx) - 2.6 AND greatest(ax, bx) + 2.6),
+w AS (SELECT a.user_id, a.lon AS ax, a.lat AS ay, b.lon AS bx, b.lat AS ey FROM n a JOIN n b ON b.user_id = a.user_id AND b.i = a.i + 1),
+x AS (SELECT user_id, row, col, lat_c, lon_c, ax, ay, bx, ey, greatest(0.0, least(1.0, ((lon_c - ax) * (bx - ax) * pow(cos(radians(lat_c)), 2) + (lat_c - ay) * (ey - ay)) / nullif(pow((bx - ax) * cos(radians(lat_c)), 2) + pow(ey - ay, 2), 0))) AS t FROM w, grid WHERE lat_c BETWEEN least(ay, ey) - 2.3 AND greatest(ay, ey) + 2.3 AND lon_c BETWEEN least(ax, bx) - 2.6 AND greatest(ax, bx) + 2.6),
 y AS (SELECT user_id, row, col, lat_c, lon_c, ax + coalesce(t, 0) * (bx - ax) AS px, ay + coalesce(t, 0) * (ey - ay) AS py FROM x), k AS (SELECT user_id, row, col, min(""" + KM.replace("{b}.lat", "py").replace("{a}.lat", "lat_c").replace("{b}.lon", "px").replace("{a}.lon", "lon_c") + ") AS km FROM y GROUP BY user_id, row, col) "
 
 
@@ -212,7 +212,7 @@ def corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     h = hazard_events(spark, sf_dir).where("type = 'Storm' and alert = 'Red'")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    legs = h.select("user_id", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.lead("lon").over(w).alias("bx"), F.lead("lat").over(w).alias("by")).where("abs(ax - bx) <= 4 and abs(ay - by) <= 4")
+    legs = h.select("user_id", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.lead("lon").over(w).alias("bx"), F.lead("lat").over(w).alias("by")).where("bx is not null")
     legs = legs.withColumn("rings", G.polygon([(F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))]))  # a ring of two points is a line
     near = shapes.cells_in(legs, population_grid(spark), reach_km=200.0)
     cells = near.groupBy("user_id", "row", "col").agg(F.min(G.distance_km(F.col("rings"), F.col("lon_c"), F.col("lat_c"))).alias("km"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
-from stormledger.operators import overlay, shapes
+from stormledger.operators import overlay, rings, shapes
 from stormledger.plans.catalogue import KM, query
 from stormledger.sources.hazard import GRID, HAZARD, hazard_events, population_grid, table
 
@@ -129,6 +131,43 @@ def country_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.join(whole, "event_id").select("event_id", "country", F.round("area", 3).alias("area_km2"), F.round(F.col("area") / F.col("whole"), 5).alias("share"))
 
 
+#: A wavy outline of 60 points about an event, and a star whose sides cross.
+WAVE = "(1 + 0.06 * sin(9 * pi() * k / 30) + 0.004 * sin(44 * pi() * k / 30))"
+WAVY_SQL = f"list_transform(range(60), lambda k: {{'x': lon + size * {WAVE} * cos(pi() * k / 30), 'y': lat + size * {WAVE} * sin(pi() * k / 30)}})"
+STAR = tuple(OUTER[k] for k in (0, 2, 4, 1, 3))
+
+
+def wavy(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    f, turn = footprints(spark, sf_dir, where), lambda k: F.lit(math.pi) * k / 30
+    r = lambda k: F.col("size") * (1 + 0.06 * F.sin(9 * turn(k)) + 0.004 * F.sin(44 * turn(k)))
+    point = lambda k: F.struct((F.col("lon") + r(k) * F.cos(turn(k))).alias("x"), (F.col("lat") + r(k) * F.sin(turn(k))).alias("y"))
+    return f.withColumn("rings", F.array(F.transform(F.sequence(F.lit(0), F.lit(59)), point)))
+
+
+@query((foot("alert = 'Red' AND type = 'Flood'") + f""", ring AS (SELECT event_id, list_append(r, r[1]) AS r, least(0.05, greatest(0.0002, greatest(list_max(list_transform(r, lambda p: p.x)) - list_min(list_transform(r, lambda p: p.x)), list_max(list_transform(r, lambda p: p.y)) - list_min(list_transform(r, lambda p: p.y))) / 600)) AS tol FROM (SELECT event_id, {WAVY_SQL} AS r FROM foot)),
+pt AS (SELECT event_id, tol, k, r[k + 1].x AS x, r[k + 1].y AS y FROM (SELECT event_id, tol, r, unnest(range(61)) AS k FROM ring)),
+seg(event_id, low, high, mid_k) AS (SELECT event_id, CAST(0 AS BIGINT), CAST(60 AS BIGINT), CAST(NULL AS BIGINT) FROM ring UNION ALL
+  SELECT event_id, CASE h WHEN 0 THEN low ELSE mid_k END, CASE h WHEN 0 THEN mid_k ELSE high END, mid_k FROM (SELECT event_id, low, high, arg_max(k, struct_pack(o := off, k := -k)) AS mid_k, max(off) AS far, any_value(tol) AS tol FROM (
+    SELECT p.event_id, s.low, s.high, p.k, p.tol, sqrt(pow(p.x - a.x - t * (b.x - a.x), 2) + pow(p.y - a.y - t * (b.y - a.y), 2)) AS off FROM (SELECT s.*, 1 AS one FROM seg s) s JOIN pt p ON p.event_id = s.event_id AND p.k > s.low AND p.k < s.high JOIN pt a ON a.event_id = s.event_id AND a.k = s.low JOIN pt b ON b.event_id = s.event_id AND b.k = s.high,
+    LATERAL (SELECT coalesce(greatest(0.0, least(1.0, ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / nullif(pow(b.x - a.x, 2) + pow(b.y - a.y, 2), 0))), 0) AS t)) GROUP BY ALL) CROSS JOIN (VALUES (0), (1)) v(h) WHERE far > tol),
+kept AS (SELECT DISTINCT event_id, k FROM (SELECT event_id, unnest([low, high]) AS k FROM seg)) SELECT event_id, round(any_value(tol), 6) AS tolerance, count(*) - 1 AS points, round(sum(x), 4) AS sum_x, round(sum(y), 4) AS sum_y FROM kept JOIN pt USING (event_id, k) WHERE k < 60 GROUP BY event_id""").replace("count(*) - 1 AS points", "count(*) AS points").replace("WITH", "WITH RECURSIVE", 1))
+def simplified_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of floods with the points left out that a display does not show (L3)."""
+    f = wavy(spark, sf_dir, "alert = 'Red' and type = 'Flood'").select("event_id", "rings")
+    line = F.get("rings", F.lit(0))
+    of = lambda c: F.round(G.total(F.transform(line, lambda p: p[c])), 4).alias(f"sum_{c}")
+    return rings.simplified(f, "event_id").select("event_id", F.round("tolerance", 6).alias("tolerance"), F.size(line).cast("long").alias("points"), of("x"), of("y"))
+
+
+@query(foot("alert = 'Red' AND type = 'Storm'") + f", star AS (SELECT event_id, [{ring_sql(STAR)}] AS rings FROM foot), s AS (SELECT event_id AS grp, 0 AS member, 0 AS layer, rings FROM star)" + SLABS.replace("{covered}", "d0 > 0").replace("radians(CASE", "(CASE").replace("sin(radians(least(e.a.y, e.b.y)))", "least(e.a.y, e.b.y)").replace("sin(radians(greatest(e.a.y, e.b.y)))", "greatest(e.a.y, e.b.y)").replace(" * 6371.0071809 * 6371.0071809", "") + "SELECT grp AS event_id, 5 AS parts, 15 AS corners, round(area, 6) AS area FROM covered")
+def repaired_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stars whose sides cross as valid polygons: their five points."""
+    h = footprints(spark, sf_dir, "alert = 'Red' and type = 'Storm'")
+    f = h.select("event_id", G.polygon(ring(STAR, F.col("lon"), F.col("lat"), F.col("size"))).alias("rings"))
+    corners = F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r))
+    return rings.repaired(f, "event_id").groupBy("event_id").agg(F.count("*").cast("int").alias("parts"), F.sum(corners).cast("int").alias("corners"), F.round(F.sum(G.planar_area(F.col("rings"))), 6).alias("area"))
+
+
 #: Three candidate polygons of each flood: where they are beside its event, how large, and what their properties say.
 OFFERS = ((0.0, 0.4, "flood affected area"), (0.9, 1.0, "context boundary"), (0.35, 0.3, "other"))
 OFFER_SQL = " UNION ALL ".join(f"SELECT event_id, lon, lat, {k} AS index, lon + {dx} * (event_id % 7) AS cx, lat AS cy, CAST({s} * (1 + (event_id % 40 = 7)::INT * 30) AS DOUBLE) AS size, '{{\"kind\": \"{t}\"}}' AS props FROM hazard WHERE type = 'Flood' AND event_id % 9 <> 4" for k, (dx, s, t) in enumerate(OFFERS))
