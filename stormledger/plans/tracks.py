@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.operators import tracks
 from stormledger.plans.catalogue import CONFIGS, KM, query, texts
+from stormledger.sources import rasters
 from stormledger.sources.hazard import GRID, HAZARD, hazard_events, population_grid, table
+from stormledger.sources.storage import shared_folder
 
 
 @query(HAZARD + """, p AS (SELECT h.id, h.ts, h.type, g.event_id AS rid, g.ts AS rts FROM hazard h LEFT JOIN hazard g ON g.type = h.type AND g.origin = 'gdacs' AND epoch_us(h.ts) - epoch_us(g.ts) BETWEEN 7200000000 AND 64800000000 WHERE h.origin = 'cems')
@@ -123,3 +127,19 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     s = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
     return s.select("user_id", F.unix_micros("a").alias("first_us"), F.unix_micros("b").alias("last_us"), "n")
+
+
+BOXED = "lat >= -5 and lat <= 9.5 and lon > 10 and lon < 41"
+
+
+@query(HAZARD + """, c AS (SELECT CAST(floor((lat + 22) / 0.5) AS INT) AS row, CAST(floor((lon + 1) / 0.5) AS INT) AS col, max(value) AS value FROM hazard GROUP BY ALL)
+SELECT row // 16 AS band, count(*) AS cells, round(sum(value), 4) AS total, min(row) AS first_row, max(col) AS last_col FROM c WHERE row * 0.5 - 21.75 BETWEEN -5 AND 9.5 AND col * 0.5 - 0.75 > 10 AND col * 0.5 - 0.75 < 41 GROUP BY row // 16""")
+def grid_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a raster written by tiles, and the sums of its cells in a box, of which only the windows that it meets are read."""
+    h = hazard_events(spark, sf_dir)
+    cells = h.select(F.floor((F.col("lat") + 22) / 0.5).cast("int").alias("row"), F.floor((F.col("lon") + 1) / 0.5).cast("int").alias("col"), "value")
+    folder = f"{shared_folder(spark)}/grid-{uuid.uuid4().hex}"
+    layout = rasters.Layout(rows=88, cols=124, step=0.5, south=-21.75, west=-0.75, tile=16, flipped=True, transposed=True, roll=31)
+    rasters.write_grid(cells, folder, layout)
+    box = rasters.read_grid(spark, folder).where(BOXED)
+    return box.groupBy(F.floor(F.col("row") / 16).alias("band")).agg(F.count("*").alias("cells"), F.round(F.sum("value"), 4).alias("total"), F.min("row").alias("first_row"), F.max("col").alias("last_col"))
