@@ -56,6 +56,20 @@ def modal_config(folds: DataFrame, config: str, quality: DataFrame, *by: str) ->
     return n.orderBy(F.desc("folds"), *[F.desc_nulls_last(c) for c in by], config).limit(1).select(config, "folds")
 
 
+def prospective(events: DataFrame, now: Column, least_ha: float, fresh_hours: float, limit: int) -> DataFrame:
+    """The largest fires of events (id, type, lat, lon, burned_area_ha, footprint, qc, last_detection) that are fit for a trial: a ready footprint, QC passed, detected within fresh_hours; ties to the greater id."""
+    fresh = F.unix_micros("last_detection") >= F.unix_micros(now) - int(fresh_hours * 3_600_000_000)
+    fit = (F.col("type") == "Wildfire") & (F.col("burned_area_ha") >= least_ha) & F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("footprint") == "ready") & (F.col("qc") == "pass") & fresh
+    return events.where(fit).orderBy(F.desc("burned_area_ha"), F.desc("id")).limit(limit)
+
+
+def universe_faults(frozen: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """key and fault of what differs between a frozen set of names and the present one: missing or unlisted. No rows: no drift."""
+    a, b = (df.select(key).distinct().withColumn(name, F.lit(True)) for df, name in ((frozen, "a"), (have, "b")))
+    both = a.join(b, key, "full_outer").where("a is null or b is null")
+    return both.select(key, F.when(F.col("b").isNull(), "missing").otherwise("unlisted").alias("fault"))
+
+
 def forward_window(events: DataFrame, cycles: DataFrame, horizon: int, slack_hours: float = 3.1, step: int = 3) -> DataFrame:
     """Of each event (id, ts) the forecast cycle (cycle, leads) whose start lead is nearest to it and has every lead of the horizon: by offset, then the newest.
 

@@ -60,6 +60,42 @@ def scope(found: DataFrame, canonical: DataFrame, share: float, least: int, most
     return one.withColumn("mode", mode).withColumn("reason", why)
 
 
+def latest_cycle(steps: DataFrame, day: str, whole: Column, days: int) -> DataFrame:
+    """day and `cycle`, the latest day up to it, at most `days` back, that is whole; null if there is none."""
+    known = steps.withColumn("__d", F.unix_date(day)).withColumn("__w", F.when(whole, F.col("__d")))
+    # one row a day; each looks back into its own month and the one before, so that no task has all days
+    span = 32 * (days // 32 + 1)
+    ahead = known.where("__w is not null").select(F.explode(F.array(F.floor(F.col("__d") / span), F.floor(F.col("__d") / span) + 1)).alias("__p"), F.col("__w").alias("c"))
+    at = known.select(day, "__d", F.floor(F.col("__d") / span).alias("__p")).join(ahead, "__p", "left")
+    near = F.when((F.col("c") <= F.col("__d")) & (F.col("c") >= F.col("__d") - days), F.col("c"))
+    return at.groupBy(day).agg(F.date_from_unix_date(F.max(near).cast("int")).alias("cycle"))
+
+
+def gate(polls: DataFrame) -> DataFrame:
+    """polls with what is refreshed and why: full, climate, maintenance, any and reason.
+
+    polls: (forced, event_changed, content_changed, previous_at, current_at, prior_cycle, latest_cycle), dates or times. A forced run or a change that counts refreshes all;
+    else a new forecast cycle, or a probe that found none (null), refreshes the climate. Maintenance is once a day, or forced. Changes
+    that don't count are named and refresh nothing.
+    """
+    full = F.col("forced") | F.col("event_changed")
+    due = F.col("current_at").isNotNull() & (F.col("previous_at").isNull() | (F.to_date("current_at") != F.to_date("previous_at")))
+    cycle = ~full & (F.col("latest_cycle").isNull() | ~F.col("latest_cycle").eqNullSafe(F.col("prior_cycle")))
+    why = F.array_compact(F.array(
+        F.when(F.col("forced"), "manual_dispatch"), F.when(F.col("event_changed"), "source_semantics_changed").when(F.col("content_changed"), "source_metadata_churn_suppressed"),
+        F.when(due, "new_utc_day"), F.when(cycle, "ifs_cycle_changed_or_unverified"),
+    ))
+    reason = F.when(F.size(why) > 0, F.array_join(why, ",")).otherwise("no_scientific_input_change")
+    climate, upkeep = full | cycle, F.col("forced") | due
+    return polls.withColumns({"full_refresh": full, "climate_refresh": climate, "maintenance_refresh": upkeep, "any_refresh": full | climate | upkeep, "reason": reason})
+
+
+def outputs(row: DataFrame, folder: str) -> None:
+    """The columns of one row as lines `name=value`, in order, booleans in small letters: what a workflow's next step reads."""
+    lines = F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.lower(F.col(c).cast("string")) if row.schema[c].dataType.typeName() == "boolean" else F.col(c).cast("string"), F.lit(""))) for c in row.columns])
+    row.limit(1).select(F.posexplode(lines).alias("k", "value")).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(folder)
+
+
 def replaced(previous: DataFrame, processed: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """The events of current: processed rows where there are any, else the previous ones; new ones that were not processed are absent from both. `fresh` says which."""
     seeded = previous.join(current.select(key), key, "left_semi").join(processed.select(key), key, "left_anti").withColumn("fresh", F.lit(False))

@@ -112,8 +112,15 @@ def leave_one_out(rows: DataFrame, block: str, value: str) -> DataFrame:
     return b.crossJoin(F.broadcast(total)).select(block, F.col("n").alias("held"), rest.alias("train"), (F.col("s") / F.col("n")).alias("held_mean"), F.when(rest > 0, (F.col("all_s") - F.col("s")) / rest).alias("train_mean"))
 
 
-def parsimonious(configs: DataFrame, key: str, area: str, skill: str, share: float = 0.95) -> DataFrame:
-    """The smallest configuration with at least `share` of the best skill; ties to the greater skill, then the lesser key."""
-    best = configs.agg(F.max(skill).alias("__best"))  # one row
-    good = configs.crossJoin(F.broadcast(best)).where(F.col(skill) >= share * F.col("__best"))
-    return good.orderBy(area, F.desc(skill), key).limit(1).select(key, area, skill)
+def parsimonious(configs: DataFrame, key: str, area: str, skill: str, share: float = 0.95, support: str | None = None, least: float = 0.9) -> DataFrame:
+    """The smallest configuration with at least `share` of the best skill; ties to the greater skill, then the lesser key.
+
+    support: a column of how many events a configuration has; only those with at least `least` of the greatest such number count. Nulls never do.
+    """
+    fit = configs.where(F.col(area).isNotNull() & F.col(skill).isNotNull())
+    if support:
+        most = configs.agg(F.max(support).alias("__most"))  # one row
+        fit = fit.crossJoin(F.broadcast(most)).where(F.col(support) >= F.greatest(F.lit(1), F.ceil(F.col("__most") * least))).drop("__most")
+    best = fit.agg(F.max(skill).alias("__best"))  # one row
+    good = fit.crossJoin(F.broadcast(best)).where(F.col(skill) + 1e-12 >= share * F.col("__best"))
+    return good.orderBy(area, F.desc(skill), key).limit(1).drop("__best")
