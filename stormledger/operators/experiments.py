@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stormledger.functions.columns import saturation_pressure
 from stormledger.functions.parsing import safe_ratio
 from stormledger.operators.evaluation import exact_quantiles
+from stormledger.operators.policy import fire_qc_pass
 
 
 def skill(cells: DataFrame, event: str, configs: dict[str, Column], share: float = 0.8) -> DataFrame:
@@ -56,6 +57,12 @@ def modal_config(folds: DataFrame, config: str, quality: DataFrame, *by: str) ->
     return n.orderBy(F.desc("folds"), *[F.desc_nulls_last(c) for c in by], config).limit(1).select(config, "folds")
 
 
+def candidates(events: DataFrame, key: str, area: str, mapped: str, qc: str, salt: str, limit: int, least_ha: float = 10_000.0) -> DataFrame:
+    """key and h of the fires of a benchmark: type Wildfire, least_ha or more, a mapped footprint and a strict pass of its QC, each once, the first by a salted hash."""
+    fit = (F.col("type") == "Wildfire") & (F.col(area) >= least_ha) & F.col(mapped).isNotNull() & fire_qc_pass(F.col(qc))
+    return events.where(fit).select(key).distinct().withColumn("h", F.sha2(F.concat(F.lit(f"{salt}|"), key), 256)).orderBy("h").limit(limit)
+
+
 def prospective(events: DataFrame, now: Column, least_ha: float, fresh_hours: float, limit: int) -> DataFrame:
     """The largest fires of events (id, type, lat, lon, burned_area_ha, footprint, qc, last_detection) that are fit for a trial: a ready footprint, QC passed, detected within fresh_hours; ties to the greater id."""
     fresh = F.unix_micros("last_detection") >= F.unix_micros(now) - int(fresh_hours * 3_600_000_000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts that a fingerprint's rows are dealt to, so that no task holds all of them.
@@ -60,15 +60,16 @@ def scope(found: DataFrame, canonical: DataFrame, share: float, least: int, most
     return one.withColumn("mode", mode).withColumn("reason", why)
 
 
-def latest_cycle(steps: DataFrame, day: str, whole: Column, days: int) -> DataFrame:
-    """day and `cycle`, the latest day up to it, at most `days` back, that is whole; null if there is none."""
-    known = steps.withColumn("__d", F.unix_date(day)).withColumn("__w", F.when(whole, F.col("__d")))
-    # one row a day; each looks back into its own month and the one before, so that no task has all days
-    span = 32 * (days // 32 + 1)
-    ahead = known.where("__w is not null").select(F.explode(F.array(F.floor(F.col("__d") / span), F.floor(F.col("__d") / span) + 1)).alias("__p"), F.col("__w").alias("c"))
-    at = known.select(day, "__d", F.floor(F.col("__d") / span).alias("__p")).join(ahead, "__p", "left")
-    near = F.when((F.col("c") <= F.col("__d")) & (F.col("c") >= F.col("__d") - days), F.col("c"))
-    return at.groupBy(day).agg(F.date_from_unix_date(F.max(near).cast("int")).alias("cycle"))
+def latest_cycle(steps: DataFrame, day: str, whole: Column, days: int, by: str | None = None) -> DataFrame:
+    """day (and by) and `cycle`, the latest day up to it, at most `days` back, that is whole; null if there is none. steps: a row a day (and by)."""
+    keys = [by] if by else []
+    # an ordered pass in each range of days, into which the whole days just before it are carried
+    span = max(32, days)
+    known = steps.select(*keys, day, F.unix_date(day).alias("__d"), F.when(whole, F.unix_date(day)).alias("__w")).withColumn("__p", F.floor(F.col("__d") / span))
+    carried = known.where("__w is not null").select(*keys, F.lit(None).cast("date").alias(day), "__d", "__w", (F.col("__p") + 1).alias("__p"))
+    w = Window.partitionBy(*keys, "__p").orderBy("__d").rangeBetween(Window.unboundedPreceding, 0)
+    last = known.unionByName(carried).withColumn("__last", F.max("__w").over(w)).where(F.col(day).isNotNull())
+    return last.select(*keys, day, F.when(F.col("__last") >= F.col("__d") - days, F.date_from_unix_date("__last")).alias("cycle"))
 
 
 def gate(polls: DataFrame) -> DataFrame:

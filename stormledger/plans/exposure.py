@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
 from stormledger.functions.columns import haversine_km
-from stormledger.operators import experiments, exposure, joins, policy, refresh, tracks
+from stormledger.operators import documents, episodes, experiments, exposure, joins, policy, refresh, tracks
 from stormledger.plans.catalogue import KM, query
+from stormledger.plans.feeds import WALK
 from stormledger.plans.policies import METHOD
 from stormledger.plans.shapes import AREA, COVERS, HAVERSINE, IN_BOX, LAND_SQL, NEAREST, OUTER, SIDES, SLABS, countries, foot, footprints
 from stormledger.sources.hazard import GRID, HAZARD, hazard_events, population_grid, table
@@ -23,6 +24,23 @@ def fire_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exposure.fire_people(f, "event_id", population_grid(spark))
 
 
+PEOPLE_SQL = foot("alert = 'Red' AND type = 'Wildfire'") + f""", c AS (SELECT event_id, people, lat_c, lon_c, {COVERS.format(x='lon_c', y='lat_c')} AS inside, {NEAREST.format(x='lon_c', y='lat_c')} AS n FROM foot, grid WHERE abs(lat_c - lat) <= 3 AND abs(lon_c - lon) <= 3 AND event_id % 11 <> 0), d AS (SELECT *, CASE WHEN inside THEN 0 ELSE {HAVERSINE.format(x='lon_c', y='lat_c')} END AS km FROM c),
+s AS (SELECT event_id, CAST(coalesce(sum(people) FILTER (WHERE inside), 0) AS DOUBLE) AS direct, CAST(coalesce(sum(people) FILTER (WHERE km <= 5), 0) AS DOUBLE) AS within FROM d GROUP BY event_id),
+x AS (SELECT event_id, direct, within, CAST(CASE event_id % 6 WHEN 0 THEN 1100 + event_id % 800 WHEN 3 THEN 2 END AS DOUBLE) AS told, CAST(CASE event_id % 6 WHEN 0 THEN event_id END AS DOUBLE) AS told5 FROM foot LEFT JOIN s USING (event_id)) """
+
+
+@query(PEOPLE_SQL + """SELECT event_id, coalesce(told, direct) AS population_direct, coalesce(told5, within) AS population_within_5km, CASE WHEN told IS NOT NULL THEN 'GDACS/GWIS:source_reported_current_episode' WHEN direct IS NOT NULL THEN 'footprint:spatial_fallback' END AS direct_from, CASE WHEN told5 IS NOT NULL THEN 'GDACS/GWIS:source_reported_current_episode' WHEN within IS NOT NULL THEN 'footprint:spatial_fallback' END AS within_from FROM x""")
+def source_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People near fires as the source's payload tells them, else as their footprints hold them, each with where it is from (K3, K6, K7)."""
+    f = footprints(spark, sf_dir, "alert = 'Red' and type = 'Wildfire'").withColumn("rings", F.when(F.col("event_id") % 11 != 0, F.col("rings")))
+    derived = exposure.fire_people(f, "event_id", population_grid(spark)).select("event_id", F.col("population_direct").alias("people_inside"), F.col("population_within_5km").alias("people_within_5km"))
+    told = documents.payload_facts(f.select("event_id", F.expr(WALK).alias("payload")), "event_id").select("event_id", "latest_episode", "population_burned_area", "population_within_5km")
+    both = episodes.source_first(derived.join(told, "event_id"), {"population_direct": ("population_burned_area", "people_inside"), "population_within_5km": ("population_within_5km", "people_within_5km")}, "GDACS/GWIS", "latest_episode")
+    of = lambda n: F.when(F.col("provenance")[n].isNotNull(), F.concat_ws(":", F.col("provenance")[n]["source"], F.col("provenance")[n]["method"]))
+    names = ("population_direct", "population_within_5km")
+    return both.select("event_id", *[F.col("metrics")[n].alias(n) for n in names], of(names[0]).alias("direct_from"), of(names[1]).alias("within_from"))
+
+
 ASSETS = foot("alert = 'Red'") + f""", land AS (SELECT n_name AS country, n_nationkey AS k, {SIDES} AS sides FROM (SELECT *, {LAND_SQL} AS rings FROM nation)), of AS (SELECT country, k, row, col FROM land, grid WHERE {COVERS.format(x='lon_c', y='lat_c')}),
 met AS (SELECT event_id, type, row, col, people FROM foot, grid WHERE event_id % 13 <> 0 AND {IN_BOX} AND {COVERS.format(x='lon_c', y='lat_c')}),
 sums AS (SELECT event_id, sum(people * 30) / 100.0 AS land, sum((row * 7 + col * 5) % 50 * 40) / 100.0 AS forest, sum(people * 40) / 100.0 AS crop, CAST(sum(people) AS BIGINT) AS people FROM met GROUP BY event_id),

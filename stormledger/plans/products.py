@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
-from stormledger.operators import evaluation, experiments, policy, shapes
+from stormledger.operators import evaluation, experiments, policy, refresh, shapes
 from stormledger.plans.catalogue import KM, query
 from stormledger.plans.policies import METHOD, WIND
 from stormledger.sources import storage
@@ -166,15 +166,6 @@ def semantics_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("type", "grade").agg(F.count("*").alias("geometries"), F.countDistinct("user_id").alias("events"))
 
 
-@query(HAZARD + """, s AS (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN CAST(event_id AS DOUBLE) END AS native, CASE WHEN event_id % 3 > 0 THEN value END AS spatial FROM hazard)
-SELECT event_id, coalesce(native, spatial) AS value, CASE WHEN native IS NOT NULL THEN 'source' WHEN spatial IS NOT NULL THEN 'spatial_fallback' END AS provenance FROM s""")
-def source_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A metric of the source itself, else the spatial one, with where it comes from (K6, K7)."""
-    n = F.col("event_id")
-    native, spatial = F.when(n % 4 > 0, n.cast("double")), F.when(n % 3 > 0, F.col("value"))
-    return hazard_events(spark, sf_dir).select("event_id", F.coalesce(native, spatial).alias("value"), F.when(native.isNotNull(), "source").when(spatial.isNotNull(), "spatial_fallback").alias("provenance"))
-
-
 @query(HAZARD + """, t AS (SELECT user_id, type, min(day) AS a, max(day) AS b FROM hazard WHERE alert = 'Red' GROUP BY ALL), d AS (SELECT *, CASE WHEN user_id % 4 = 0 THEN 3 END AS said FROM t)
 SELECT user_id, type, CAST(a AS VARCHAR) AS start_date, CAST(b AS VARCHAR) AS last_detection, coalesce(said, date_diff('day', a, b)) AS duration_days, CASE WHEN said IS NULL THEN 'derived' ELSE 'source' END AS origin, a <= DATE '2024-01-15' AND b >= DATE '2024-01-15' AS active FROM d""")
 def episode_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,19 +175,21 @@ def episode_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("user_id", "type", F.col("a").cast("string").alias("start_date"), F.col("b").cast("string").alias("last_detection"), F.coalesce(said, F.datediff("b", "a")).cast("long").alias("duration_days"), F.when(said.isNull(), "derived").otherwise("source").alias("origin"), ((F.col("a") <= day) & (F.col("b") >= day)).alias("active"))
 
 
-@query(HAZARD + "SELECT id, h FROM (SELECT DISTINCT id, sha256('bench-v1|' || id) AS h FROM hazard WHERE type = 'Wildfire' AND burned_area_ha >= 5000 AND event_id % 3 <> 0) ORDER BY h LIMIT 45")
+@query(HAZARD + f"""SELECT id, sha256('bench-v1|' || id) AS h FROM hazard WHERE type = 'Wildfire' AND value * 250 >= 10000 AND event_id % 13 <> 0 AND event_id % 5 > 0 AND event_id % 7 > 0 AND coalesce((50 + event_id % 200) / 100.0 BETWEEN 0.5 AND 2.0, false) ORDER BY h LIMIT 45""")
 def experiment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fires of a benchmark: large, fit, each once, the first 45 by a salted hash."""
-    f = hazard_events(spark, sf_dir).where("type = 'Wildfire' and burned_area_ha >= 5000 and event_id % 3 <> 0").select("id").distinct()
-    return f.withColumn("h", F.sha2(F.concat(F.lit("bench-v1|"), "id"), 256)).orderBy("h").limit(45)
+    """The fires of a benchmark: 10,000 ha or more, a footprint, QC passed, the first 45 by a salted hash."""
+    n = F.col("event_id")
+    h = hazard_events(spark, sf_dir).withColumns({"burned": F.col("value") * 250, "mapped": F.when(n % 13 != 0, F.col("value") * 250 * (50 + n % 200) / 100)})
+    qc = policy.fire_qc(F.col("mapped"), F.col("burned"), F.lit(16), F.when(n % 5 > 0, "GDACS/GWIS"), F.lit("source_reported_current_episode"), F.when(n % 7 > 0, 16))
+    return experiments.candidates(h.withColumn("qc", qc), "id", "burned", "mapped", "qc", "bench-v1", 45)
 
 
-@query(HAZARD + """, c AS (SELECT day, (event_id % 9) * 3 AS step FROM hazard WHERE user_id < 25), n AS (SELECT day, count(DISTINCT step) AS steps FROM c GROUP BY day), b AS (SELECT max(day) AS d FROM n WHERE steps = 9 AND day <= DATE '2024-01-20' AND day >= DATE '2024-01-10') SELECT CAST(d AS VARCHAR) AS cycle, d IS NULL OR d > DATE '2024-01-12' AS refresh FROM b""")
+@query(HAZARD + """, n AS (SELECT type, day, count(DISTINCT event_id % 9) AS steps FROM hazard GROUP BY ALL) SELECT a.type, CAST(a.day AS VARCHAR) AS day, CAST(max(b.day) AS VARCHAR) AS cycle, max(b.day) IS NULL OR max(b.day) <> a.day AS refresh FROM n a LEFT JOIN n b ON b.type = a.type AND b.steps = 9 AND b.day <= a.day AND b.day >= a.day - 10 GROUP BY a.type, a.day""")
 def latest_complete_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest cycle with all its steps within ten days; a probe that finds none asks for a refresh too."""
-    c = hazard_events(spark, sf_dir).where("user_id < 25").groupBy("day").agg(F.countDistinct(F.col("event_id") % 9).alias("steps"))
-    d = c.where("steps = 9 and day between date'2024-01-10' and date'2024-01-20'").agg(F.max("day").alias("d"))
-    return d.select(F.col("d").cast("string").alias("cycle"), (F.col("d").isNull() | (F.col("d") > F.lit("2024-01-12").cast("date"))).alias("refresh"))
+    """Of each model and day the latest cycle with all its steps within ten days; a probe that finds none, or an older one, asks for a refresh."""
+    c = hazard_events(spark, sf_dir).groupBy("type", "day").agg(F.countDistinct(F.col("event_id") % 9).alias("steps"))
+    d = refresh.latest_cycle(c, "day", F.col("steps") == 9, 10, by="type")
+    return d.select("type", F.col("day").cast("string").alias("day"), F.col("cycle").cast("string").alias("cycle"), (F.col("cycle").isNull() | (F.col("cycle") != F.col("day"))).alias("refresh"))
 
 
 TRACK = HAZARD + ", " + GRID + """, n AS (SELECT user_id, event_id, lat, lon, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM hazard WHERE type = 'Storm' AND alert = 'Red'),
@@ -221,14 +214,14 @@ def corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.drop("n").join(matched, "user_id")
 
 
-FOLDS = """WITH c AS (SELECT l_suppkey % 6 AS block, 'c' || l_linenumber AS config, CAST(l_quantity AS DOUBLE) AS csi FROM lineitem WHERE l_linenumber <= 4), f AS (SELECT f.fold, config, quantile_cont(csi, 0.5) AS m FROM c, range(6) f(fold) WHERE block <> f.fold GROUP BY ALL),
+FOLDS = """WITH c AS (SELECT l_suppkey % 6 AS block, 'c' || l_linenumber AS config, CAST(l_quantity AS DOUBLE) AS csi FROM lineitem), f AS (SELECT f.fold, config, quantile_cont(csi, 0.5) AS m FROM c, range(6) f(fold) WHERE block <> f.fold GROUP BY ALL),
 b AS (SELECT fold, first(config ORDER BY m DESC, config) AS config FROM f GROUP BY fold)"""
 
 
 @query(FOLDS + " SELECT b.fold, b.config, round(quantile_cont(csi, 0.5), 6) AS held_median, count(*) AS held FROM b JOIN c ON c.block = b.fold AND c.config = b.config GROUP BY ALL")
 def nested_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In each fold the configuration is chosen on the other blocks and tried on the one held out."""
-    c = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select((F.col("l_suppkey") % 6).cast("long").alias("block"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("config"), F.col("l_quantity").cast("double").alias("csi"))
+    c = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 6).cast("long").alias("block"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("config"), F.col("l_quantity").cast("double").alias("csi"))
     folds = c.withColumn("fold", F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in range(6)]), lambda k: k != F.col("block")))).withColumn("key", F.struct("fold", "config"))
     m = evaluation.exact_quantiles(folds, "key", "csi", {"m": 0.5}).select("key.fold", "key.config", "m")
     chosen = experiments.best_configs(m, "fold", "config", "m")

@@ -6,20 +6,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
+from stormledger.functions.columns import alert_rank
+from stormledger.operators import documents, episodes, experiments
 from stormledger.operators.identity import ordered_distinct
 from stormledger.plans.catalogue import query
+from stormledger.plans.experiments import SKILL, skill_of
 from stormledger.plans.shapes import foot, footprints
 from stormledger.sources.hazard import HAZARD, hazard_events, table
 
-@query(HAZARD + """, m AS (SELECT user_id, type, event_id % 4 AS episode, max(value) AS value FROM hazard GROUP BY ALL), h AS (SELECT user_id, type, max(event_id % 4) FILTER (WHERE alert = 'Red') AS headline, max(event_id % 4) AS newest FROM hazard GROUP BY ALL)
-SELECT h.user_id, h.type, headline, m.value AS aligned, CASE WHEN headline IS NULL THEN 'no_episode' WHEN newest > headline THEN 'newer_episode_pending' ELSE 'current' END AS note FROM h LEFT JOIN m ON m.user_id = h.user_id AND m.type = h.type AND m.episode = h.headline""")
+EPISODES = """CASE event_id % 5 WHEN 0 THEN NULL ELSE '{"episodes":[{"episodeid":1,"ha":"' || (100 + event_id % 50) || '","fromdate":"2024-01-01","todate":"2024-01-03"},{"episodeid":"2","ha":' || (event_id % 70) || ',"fromdate":"2024-01-02"' || CASE WHEN event_id % 3 = 0 THEN ',"days":"5"' ELSE '' END || '}]}' END"""
+
+
+@query(HAZARD + """, h AS (SELECT event_id, CASE WHEN event_id % 7 > 0 THEN 1 + event_id % 3 END AS headline, burned_area_ha AS own, event_id % 5 > 0 AS told FROM hazard WHERE type = 'Wildfire')
+SELECT event_id, headline, round(coalesce(CASE WHEN told AND headline = 1 THEN 100 + event_id % 50 WHEN told AND headline = 2 THEN event_id % 70 END, own), 4) AS burned_area_ha, CASE WHEN told AND headline = 1 THEN '2024-01-01' WHEN told AND headline = 2 THEN '2024-01-02' END AS start_date, CASE WHEN told AND headline = 1 THEN '2024-01-03' END AS last_detection,
+  CASE WHEN told AND headline = 1 THEN 2 WHEN told AND headline = 2 AND event_id % 3 = 0 THEN 5 END AS duration_days, CASE WHEN headline IS NULL THEN 'no_episode' WHEN NOT told OR headline = 3 THEN 'episode_unknown' WHEN headline = 1 THEN 'newer_episode_pending' ELSE 'current' END AS note FROM h""")
 def episode_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headline metrics of the episode that a headline is about, and whether a newer one is pending (K8)."""
-    h = hazard_events(spark, sf_dir).withColumn("episode", F.col("event_id") % 4)
-    m = h.groupBy("user_id", "type", F.col("episode").alias("headline")).agg(F.max("value").alias("aligned"))
-    e = h.groupBy("user_id", "type").agg(F.max(F.when(F.col("alert") == "Red", F.col("episode"))).alias("headline"), F.max("episode").alias("newest"))
-    note = F.when(F.col("headline").isNull(), "no_episode").when(F.col("newest") > F.col("headline"), "newer_episode_pending").otherwise("current")
-    return e.join(m, ["user_id", "type", "headline"], "left").select("user_id", "type", "headline", "aligned", note.alias("note"))
+    """Headline facts of fires taken from the payload of the episode that each headline is about, and whether a newer one is pending (K4, K8)."""
+    n = F.col("event_id")
+    fires = hazard_events(spark, sf_dir).where("type = 'Wildfire'")
+    asked = fires.select("event_id", F.expr(EPISODES).alias("payload")).where("payload is not null").withColumn("episode", F.explode(F.array(F.lit(1), F.lit(2))))
+    asked = asked.withColumn("key", F.struct("event_id", "episode"))
+    told = documents.payload_episodes(asked, "key", "episode").select("key.event_id", "key.episode", *episodes.ALIGNED)
+    heads = fires.select("event_id", F.when(n % 7 > 0, 1 + n % 3).alias("headline"), "burned_area_ha", *[F.lit(None).cast(t).alias(c) for c, t in (("start_date", "string"), ("last_detection", "string"), ("duration_days", "long"))])
+    return episodes.aligned(heads, "event_id", told).withColumn("burned_area_ha", F.round("burned_area_ha", 4))
 
 
 @query(HAZARD + """SELECT event_id, CASE WHEN type = 'Drought' THEN '{"id":"' || id || '","type":"Drought","semantics":"risk","area":' || coalesce(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 'null') || '}' ELSE '{"id":"' || id || '","type":"' || type || '"' || CASE WHEN alert IS NULL THEN '' ELSE ',"context":{"alert":"' || alert || '"}' END || '}' END AS doc FROM hazard""")
@@ -30,20 +39,26 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hazard_events(spark, sf_dir).select("event_id", F.to_json(doc).alias("doc"))
 
 
-@query(HAZARD + ", c AS (SELECT type, alert, count(*) AS n FROM hazard WHERE alert IS NOT NULL GROUP BY ALL) SELECT type, string_agg(alert || '=' || n, ',' ORDER BY alert) AS frequencies FROM c GROUP BY type")
+@query(SKILL + """, f AS (SELECT event % 10 AS fold, config, quantile_cont(csi, 0.5) AS m FROM k GROUP BY ALL), b AS (SELECT event, first(config ORDER BY coalesce(csi, '-inf'::DOUBLE) DESC, config) AS config FROM k GROUP BY event), c AS (SELECT event % 10 AS fold, config, count(*) AS n FROM b GROUP BY ALL)
+SELECT CAST(fold AS BIGINT) AS fold, CAST(sum(n) AS BIGINT) AS n, string_agg(config || '=' || n, ',' ORDER BY config) AS frequencies FROM c GROUP BY fold""")
 def frequency_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each choice was made, as a map: counts first, then a few entries a group."""
-    c = hazard_events(spark, sf_dir).where("alert is not null").groupBy("type", "alert").agg(F.count("*").alias("n"))
-    m = c.groupBy("type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("alert", "n")))).alias("m"))
-    return m.select("type", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("frequencies"))
+    """How often each configuration was the best of an event, by fold."""
+    best = experiments.best_configs(skill_of(spark, sf_dir), "event", "config", "csi").withColumn("fold", (F.col("event") % 10).cast("long"))
+    m = episodes.frequencies(best, "fold", "config")
+    return m.select("fold", "n", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("frequencies"))
+
 
+TIMES = """CASE event_id % 4 WHEN 0 THEN NULL ELSE '{"fromdate":"' || CAST(day AS STRING) || '","todate":"' || CASE WHEN event_id % 5 = 1 THEN 'soon' ELSE CAST(day AS STRING) END || '","ha":1}' END"""
 
-@query(HAZARD + """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(day AS VARCHAR) END AS source_updated_at, CASE WHEN event_id % 4 = 0 THEN CASE WHEN type = 'Wildfire' THEN 'wf-start' END ELSE CAST(day AS VARCHAR) END AS event_start, CASE WHEN event_id % 5 = 0 THEN CASE WHEN type = 'Wildfire' THEN 'wf-last' END ELSE CAST(day AS VARCHAR) END AS last_detection, CAST(day AS VARCHAR) AS operational FROM hazard""")
+
+@query(HAZARD + """SELECT event_id, CASE WHEN event_id % 3 > 0 THEN d END AS source_updated_at, CASE WHEN event_id % 4 = 1 THEN d WHEN type = 'Wildfire' AND event_id % 4 > 0 THEN d END AS event_start, CASE WHEN event_id % 9 = 2 THEN d END AS event_end, CASE WHEN event_id % 6 = 5 THEN d WHEN type = 'Wildfire' AND event_id % 4 > 0 AND event_id % 5 <> 1 THEN d END AS last_detection, d AS operational_event_date FROM (SELECT *, CAST(day AS VARCHAR) AS d FROM hazard)""")
 def temporal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The times of an event, those of a fire's own metrics where the event has none."""
-    n, day, fire = F.col("event_id"), F.col("day").cast("string"), F.col("type") == "Wildfire"
-    own = lambda k, fallback: F.coalesce(F.when(n % k != 0, day), F.when(fire, fallback))
-    return hazard_events(spark, sf_dir).select("event_id", F.when(n % 3 != 0, day).alias("source_updated_at"), own(4, "wf-start").alias("event_start"), own(5, "wf-last").alias("last_detection"), day.alias("operational"))
+    """The times of an event; a fire without its own start or last detection has those that its payload tells."""
+    n, day, none = F.col("event_id"), F.col("day").cast("string"), F.lit(None).cast("string")
+    h = hazard_events(spark, sf_dir)
+    own = F.struct(F.when(n % 3 > 0, day).alias("source_updated_at"), F.when(n % 4 == 1, day).otherwise("").alias("event_start"), F.when(n % 9 == 2, day).alias("event_end"), F.when(n % 6 == 5, day).alias("last_detection"), day.alias("event_date"))
+    told = documents.payload_episodes(h.where("type = 'Wildfire'").select("event_id", F.expr(TIMES).alias("payload"), F.lit(None).cast("long").alias("n")), "event_id", "n").select("event_id", F.struct("start_date", "last_detection").alias("fire"))
+    return h.select("event_id", own.alias("event")).join(told, "event_id", "left").select("event_id", episodes.event_times("event", "fire").alias("x")).select("event_id", "x.*")
 
 
 @query(foot("alert = 'Red'") + "SELECT event_id, len(flatten(rings)) AS points, round(list_sum(list_transform(flatten(rings), lambda p: round(p.x, 1))), 4) AS sum_x, round(list_sum(list_transform(flatten(rings), lambda p: round(p.y, 1))), 4) AS sum_y FROM foot")
@@ -53,14 +68,10 @@ def rounded_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footprints(spark, sf_dir, "alert = 'Red'").select("event_id", F.size(p).cast("long").alias("points"), *[F.round(G.total(F.transform(p, get)), 4).alias(name) for name, get in (("sum_x", lambda q: q["x"]), ("sum_y", lambda q: q["y"]))])
 
 
-@query("SELECT 'h' || h || '_r' || r || '_' || m || '_' || f AS config, h * r AS size FROM (VALUES (24), (48)) a(h), (VALUES (50), (100)) b(r), (VALUES ('100m'), ('all3')) c(m), (VALUES ('on'), ('off')) d(f)")
+@query("WITH n AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY ALL) SELECT x.a || '_' || y.b AS config, x.a AS status, y.b AS priority, coalesce(n, 0) AS n FROM (SELECT DISTINCT a FROM n) x CROSS JOIN (SELECT DISTINCT b FROM n) y LEFT JOIN n ON n.a = x.a AND n.b = y.b")
 def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All configurations of a search and their ids."""
-    axes = [("h", (24, 48)), ("r", (50, 100)), ("m", ("100m", "all3")), ("f", ("on", "off"))]
-    grid = spark.range(1)
-    for name, values in axes:
-        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return grid.select(F.format_string("h%d_r%d_%s_%s", "h", "r", "m", "f").alias("config"), (F.col("h") * F.col("r")).alias("size"))
+    """All configurations of a search by the values that its axes take, with their ids, and how many trials each has."""
+    return episodes.config_grid(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")), ["status", "priority"])
 
 
 @query(HAZARD + "SELECT id, type, rank FROM (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY ts DESC, event_id) AS rank FROM hazard) WHERE rank <= 12")
@@ -73,17 +84,15 @@ def display_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(HAZARD + ", c AS (SELECT type, CAST(floor(lat * 4) AS BIGINT) AS y, CAST(floor(lon * 4) AS BIGINT) AS x, max(CASE alert WHEN 'Red' THEN 3 WHEN 'Orange' THEN 2 WHEN 'Green' THEN 1 ELSE 0 END) AS confidence, round(max(value), 6) AS frp, epoch_us(max(ts)) AS last FROM hazard GROUP BY ALL) SELECT * FROM c WHERE confidence >= 1")
 def fire_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greatest confidence, power and time of each pixel over a window."""
-    from stormledger.functions.columns import alert_rank
-
     h = hazard_events(spark, sf_dir)
     c = h.groupBy("type", F.floor(F.col("lat") * 4).alias("y"), F.floor(F.col("lon") * 4).alias("x")).agg(F.max(alert_rank(F.col("alert"))).alias("confidence"), F.round(F.max("value"), 6).alias("frp"), F.unix_micros(F.max("ts")).alias("last"))
     return c.where("confidence >= 1")
 
 
-@query("SELECT p_name AS name FROM part ORDER BY (p_name LIKE '%a%') DESC, length(p_name), p_name LIMIT 1")
+@query("SELECT p_brand AS listing, first(p_name ORDER BY upper(p_name) LIKE '%A%' DESC, length(p_name), p_name) AS name FROM part GROUP BY p_brand")
 def file_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a listing the file with the wanted word in its name, else the shortest name."""
-    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).orderBy(F.desc(F.col("name").contains("a")), F.length("name"), "name").limit(1)
+    """Of each listing the file with the wanted word in its name, else the shortest name."""
+    return episodes.best_file(table(spark, sf_dir, "part").select(F.col("p_brand").alias("listing"), F.col("p_name").alias("name")), "listing", "name", "a")
 
 
 @query(HAZARD + ", o AS (SELECT user_id, type, min(event_id) AS i FROM hazard GROUP BY ALL), l AS (SELECT user_id, string_agg(type, ',' ORDER BY i) AS types FROM o GROUP BY user_id) SELECT user_id, types FROM l")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormledger.operators import tracks
+from stormledger.operators import episodes, tracks
 from stormledger.plans.catalogue import CONFIGS, KM, query, texts
 from stormledger.sources import rasters
 from stormledger.sources.hazard import GRID, HAZARD, hazard_events, population_grid, table
@@ -107,10 +107,12 @@ def period_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(d, *d.columns)
 
 
-@query(GRID.replace("grid AS", "WITH grid AS", 1) + "SELECT row // 4 AS block_row, col // 4 AS block_col, sum(people)::BIGINT AS people FROM grid GROUP BY ALL")
+@query(HAZARD + "SELECT type, CAST(floor(floor(lat * 20) / 2) AS BIGINT) AS row, CAST(floor(floor(lon * 20) / 2) AS BIGINT) AS col, CAST(sum(user_id) AS BIGINT) AS people FROM hazard GROUP BY ALL")
 def resample_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of fine cells summed to coarse ones, none lost."""
-    return population_grid(spark).groupBy(F.floor(F.col("row") / 4).alias("block_row"), F.floor(F.col("col") / 4).alias("block_col")).agg(F.sum("people").alias("people"))
+    """Counts of fine cells summed to cells of a tenth of a degree, none lost."""
+    h = hazard_events(spark, sf_dir)
+    fine = h.groupBy("type", F.floor(F.col("lat") * 20).alias("row"), F.floor(F.col("lon") * 20).alias("col")).agg(F.sum("user_id").alias("people"))
+    return episodes.coarser(fine, 2, "people", "type")
 
 
 @query(HAZARD + "SELECT type, count(*) AS contributing, round(sum(top), 4) AS total FROM (SELECT type, user_id, max(value) AS top FROM hazard WHERE value IS NOT NULL GROUP BY ALL) GROUP BY type")
