@@ -24,7 +24,7 @@ CAPACITY = 2048
 #: Patterns that are tried for each first length, steps of a least-squares fit, and fits at most, each of what the last one left.
 PER_LENGTH, STEPS, REFITS = 6, 300, 6
 #: Parts of the fitted counts that are tried.
-SCALES = (1.0, 0.75, 0.5, 0.25, 0.0)
+SCALES = (1.0, 0.75, 0.5, 0.25)
 #: Buckets of doc_id in which ranks are counted, at least.
 BUCKETS = 64
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -148,8 +148,7 @@ def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Contents of sequences and how many have them; together they hold exactly hist.
 
     Fitted counts are rounded down at each of SCALES in turn, until a plan has no more sequences than the tokens need; of
-    plans that all have more the smallest stays. At the last scale, 0, all pieces are residuals: that matters to tables of
-    a few dozen pieces, where one pattern too many costs a sequence.
+    plans that all have more the smallest stays.
     """
     capacity = len(hist) - 1
     least, best = -(-int((hist * np.arange(capacity + 1)).sum()) // capacity), None
@@ -165,7 +164,7 @@ def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 def planned(hist: np.ndarray, scale: float) -> list[tuple[tuple[int, ...], int]]:
     """Patterns by their fitted counts times scale, rounded down; what is left is fitted again, and at the end packed best-fit decreasing."""
     left, out = hist.copy(), []
-    for _ in range(REFITS if scale else 0):
+    for _ in range(REFITS):
         pats = patterns(left)
         if not pats:
             break

@@ -21,10 +21,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, held_out, with_fields
+from .common import give_back, held_out, rank_in_crc, with_fields, written
 from .quality_gam import labelled_sample
 from .tokens import slices
 
@@ -33,6 +33,8 @@ OUTPUTS = ("held_out", "score", "predicted", "threshold", "flagged")
 SAMPLE, STEPS, BATCH, RATE, CUT = 6000, 500, 64, 0.02, 0.7
 #: Longer texts are scored whole like all others, but not learned from (bounds what reaches the driver with SAMPLE).
 LEARN_CHARS = 200_000
+#: Characters of all texts that are learned from together, so that what reaches the driver is bounded however long they are.
+FIT_CHARS = 48_000_000
 #: Rows of the rarer kind at which a language's own threshold weighs as much as the common one, and the range of its own.
 LANGUAGE_ROWS, LANGUAGE_RANGE = 30, (0.5, 0.9)
 #: Stripped from the ends of words.
@@ -214,8 +216,8 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((ends[k] + ends[k + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE) -> Cnn:
-    """At most `rows` labels, and the buckets of their texts of up to LEARN_CHARS characters, reach the driver.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE, chars: int = FIT_CHARS) -> Cnn:
+    """At most `rows` labels, and the buckets of their texts of up to LEARN_CHARS characters, FIT_CHARS together, reach the driver: by a hash of doc_id, as many as fit.
 
     Of different texts under one doc_id the one with the least hash is learned from, once for each of its labels.
     """
@@ -223,6 +225,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     mine = docs.select("doc_id", F.col("lang").cast("string").alias("l"), "text").where(F.length(F.coalesce("text", F.lit(""))) <= LEARN_CHARS)
     least = F.min(F.struct(F.xxhash64("text").alias("h"), "l", "text")).alias("m")
     chosen = mine.join(sample, F.col("doc_id") == F.col("id")).groupBy("doc_id", "y").agg(least).select("doc_id", "y", "m.l", "m.text")
+    chosen = written(chosen, "toxic-sample")
+    # sums over `rows` rows of numbers, not of texts
+    so_far = F.sum("n").over(Window.orderBy(rank_in_crc("doc_id"), "doc_id", "y").rowsBetween(Window.unboundedPreceding, 0))
+    fits = chosen.select("doc_id", "y", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).select("doc_id", "y", so_far.alias("sum")).where(F.col("sum") <= chars).select("doc_id", "y")
+    chosen = chosen.join(F.broadcast(fits), ["doc_id", "y"]).select("doc_id", "y", "l", "text")
 
     def run(batches):
         for whole in batches:

@@ -109,6 +109,17 @@ def test_classifiers_on_odd_rows(spark, sf, scored, cut):
     assert bare == ({0.5} if scored is quality_gam.scored else {0.0})
 
 
+def test_what_is_learned_from_is_bounded(spark, sf, monkeypatch):
+    """All texts together stay within the bound, taken by the hash of doc_id, whatever the rest is."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    seen = []
+    monkeypatch.setattr(toxicity_cnn, "Cnn", lambda texts, y, lang: seen.append((len(texts), sum(map(len, texts)))))
+    for chars in (0, 5000, 60_000, toxicity_cnn.FIT_CHARS):
+        toxicity_cnn.fit(docs, labels, chars=chars)
+    rows, words = zip(*seen)
+    assert rows[0] == 0 < rows[1] < rows[2] <= rows[3] and words[1] < 5000 and words[2] < 60_000
+
+
 def stage(name):
     return dict(corpus_pipeline.STAGES)[name]
 
