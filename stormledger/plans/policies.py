@@ -73,13 +73,18 @@ def wildfire_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(ORACLES["dedupe_greedy"].replace("SELECT f.event_id, e.event_id AS anchor FROM f JOIN e ON e.i = f.j", """, a AS (SELECT h.*, e.event_id AS anchor FROM f JOIN e ON e.i = f.j JOIN hazard h ON h.event_id = f.event_id)
-SELECT anchor, count(*) AS records, max(value) AS top_value, array_to_string(list_distinct(list(origin)).list_sort(), ',') AS origins, max(CASE alert WHEN 'Red' THEN 3 WHEN 'Orange' THEN 2 WHEN 'Green' THEN 1 ELSE 0 END) AS alert_rank FROM a GROUP BY anchor"""))
+SELECT anchor, count(*) AS records, max(value) AS top_value, array_to_string(list_distinct(list(origin)).list_sort(), ',') AS origins, max(CASE alert WHEN 'Red' THEN 3 WHEN 'Orange' THEN 2 WHEN 'Green' THEN 1 ELSE 0 END) AS alert_rank,
+  first(summary ORDER BY length(coalesce(summary, '')) DESC, ts DESC, event_id) AS summary, CASE WHEN bool_or(ts = top AND seen IS NOT NULL) THEN first(seen ORDER BY ts DESC, event_id DESC) FILTER (WHERE seen IS NOT NULL) END AS last_detection
+FROM (SELECT *, CASE WHEN event_id % 4 > 0 THEN repeat('x', CAST(event_id % 13 AS INT)) || event_id % 4 END AS summary, CASE WHEN event_id % 3 > 0 THEN CAST(day AS VARCHAR) END AS seen, max(ts) OVER (PARTITION BY anchor) AS top FROM a) GROUP BY anchor"""))
 def dedupe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups of the greedy scan as one record each: members, greatest values, all origins."""
-    h = hazard_events(spark, sf_dir).where("type <> 'Wildfire'")
+    """The groups of the greedy scan as one record each: members, greatest values, all origins, the longest summary and the anchor's times."""
+    h, n = hazard_events(spark, sf_dir).where("type <> 'Wildfire'"), F.col("event_id")
     anchors = evaluation.greedy_dedupe(joins.near_pairs(h), h)
-    rows = h.join(anchors, "event_id")
-    return rows.groupBy("anchor").agg(F.count("*").alias("records"), F.max("value").alias("top_value"), F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"), F.max(C.alert_rank(F.col("alert"))).alias("alert_rank"))
+    text = F.when(n % 4 > 0, F.concat(F.repeat(F.lit("x"), (n % 13).cast("int")), (n % 4).cast("string")))
+    rows = h.join(anchors, "event_id").withColumns({"summary": text, "last_detection": F.when(n % 3 > 0, F.col("day").cast("string"))})
+    merged = identity.proximity_merged(rows, "anchor", "event_id", "ts", ("last_detection",)).select("anchor", "summary", "last_detection")
+    sums = rows.groupBy("anchor").agg(F.count("*").alias("records"), F.max("value").alias("top_value"), F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"), F.max(C.alert_rank(F.col("alert"))).alias("alert_rank"))
+    return sums.join(merged, "anchor")
 
 
 @query(HAZARD + MEMBERS + f""", k AS (SELECT event_id, unnest(list_distinct(list_filter([id] || list_transform(members, lambda x: CASE WHEN lower(x.origin) = 'gdacs' THEN 'gdacs-' || {CODE} || '-' || x.source_id WHEN lower(x.origin) IN ('eonet', 'cems') THEN lower(x.origin) || '-' || x.source_id END), lambda x: x IS NOT NULL))) AS alias FROM m),

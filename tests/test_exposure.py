@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
-from stormledger.operators import experiments, exposure, policy, refresh, tracks
+from stormledger.operators import experiments, exposure, identity, policy, refresh, tracks
 
 RINGS = "rings array<array<struct<x double, y double>>>"
 
@@ -122,3 +122,12 @@ def test_choices(spark):
     assert [r.id for r in experiments.prospective(e, F.lit(now), 10.0, 24.0, 5).collect()] == ["b", "a"]
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     assert {tuple(r) for r in experiments.universe_faults(ids("a", "b"), ids("b", "c", "c"), "id").collect()} == {("a", "missing"), ("c", "unlisted")} and experiments.universe_faults(ids("a"), ids("a"), "id").count() == 0
+
+
+def test_merge_rules_of_a_proximity_group(spark):
+    at = lambda d: dt.datetime(2026, 9, d)
+    rows = [("g", 1, at(5), "short", 10.0, "s1", None), ("g", 2, at(5), "longer", None, None, "d2"), ("g", 3, at(5), "tie-up", 30.0, "s3", None), ("g", 4, at(4), "the longest one", 20.0, "s4", "d4"), ("h", 5, at(4), None, None, None, None), ("h", 6, at(3), "", None, "s6", "d6")]
+    df = spark.createDataFrame(rows, "g string, id long, at timestamp, summary string, burned_area_ha double, event_start string, last_detection string")
+    got = {r.g: tuple(r)[1:] for r in identity.proximity_merged(df, "g", "id", "at", ("event_start", "last_detection")).collect()}
+    assert got == {"g": (4, "the longest one", 30.0, "s3", "d2"), "h": (2, None, None, None, None)}
+    assert identity.proximity_merged(df.where("id < 4"), "g", "id", "at", ()).first().summary == "longer"
