@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stormledger.functions import parsing
+from stormledger.operators.exposure import promoted
+
 #: How a metric of the source itself came about, and one of the fallback (fixed values).
 REPORTED, DERIVED = "source_reported_current_episode", "spatial_fallback"
 PROVENANCE = "map<string,struct<source:string,field:string,method:string,derived:boolean,episode:bigint>>"
@@ -76,5 +79,49 @@ def coarser(cells: DataFrame, times: int, value: str, *group: str) -> DataFrame:
 
 def best_file(names: DataFrame, group: str, name: str, wanted: str) -> DataFrame:
     """group and name of the file to take of each listing: one with the wanted word before others, then the shortest name, then the lesser."""
-    rank = F.struct((~F.upper(name).contains(wanted.upper())).alias("other"), F.length(name).alias("n"), F.col(name))
-    return names.groupBy(group).agg(F.min(rank).alias("x")).select(group, F.col(f"x.{name}").alias(name))
+    rank = F.struct((~F.upper(name).contains(wanted.upper())).alias("other"), F.length(name).alias("length"), F.col(name).alias("file"))
+    return names.groupBy(group).agg(F.min(rank).alias("x")).select(group, F.col("x.file").alias(name))
+
+
+#: The metric that a drought's own text tells, and how (fixed values).
+DROUGHT_KM2, TOLD = "agricultural_drought_impact_area_km2", "source_published_event_severity_text"
+
+
+def source_semantics(events: DataFrame) -> DataFrame:
+    """events (type, summary, priority, alert_level, source) with what their own texts say: the alert's level, the priority that it raises, and a drought's impact area with its provenance.
+
+    metrics and provenance are maps, null where the text tells no area.
+    """
+    level = parsing.alert_level(F.col("alert_level"), F.concat_ws(" ", "source", "summary"))
+    km2 = F.when(F.col("type") == "Drought", parsing.drought_area_km2(F.col("summary")))
+    told = F.create_map(F.lit(DROUGHT_KM2), provenance("GDACS / Global Drought Observatory", F.lit("summary"), TOLD, False, F.lit(None))).cast(PROVENANCE)
+    rows = events.withColumn("__level", F.nullif(level, F.lit("")))
+    return rows.withColumns({
+        "priority": promoted(F.col("priority"), F.col("__level")), "alert_level": F.coalesce("__level", "alert_level"),
+        "metrics": F.when(km2.isNotNull(), F.create_map(F.lit(DROUGHT_KM2), km2)), "provenance": F.when(km2.isNotNull(), told),
+    }).drop("__level")
+
+
+def patched_views(canonical: DataFrame, display: DataFrame, key: str) -> DataFrame:
+    """The display view with the alert level and metrics of the canonical event of the same key, then with what its own texts say where it has none; both after source_semantics()."""
+    of = canonical.select(F.col(key).alias("__k"), F.col("alert_level").alias("__level"), F.col("metrics").alias("__metrics"), F.col("provenance").alias("__provenance"))
+    both = display.join(of, F.col(key) == F.col("__k"), "left").withColumn("alert_level", F.coalesce("__level", "alert_level"))
+    both = both.withColumn("metrics", F.coalesce("__metrics", "metrics")).withColumn("provenance", F.coalesce("__provenance", "provenance"))
+    return both.drop("__k", "__level", "__metrics", "__provenance").withColumn("priority", promoted(F.col("priority"), F.col("alert_level")))
+
+
+def climate_documents(events: DataFrame, key: str, periods: DataFrame) -> DataFrame:
+    """key, status and doc (JSON) of each event: where it is, the cell that stands for it, and a record for each period with the variables that it has.
+
+    events (key, type, lat, lon, row, col, km), row null without a cell; periods (key, period, variable, value). A record without a value is unavailable; a document is
+    complete if no record is, partial if one is, and unavailable without a cell. Periods and variables are a few.
+    """
+    values = periods.groupBy(key, "period").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("variable", "value"))))).alias("values"))
+    record = F.struct("period", F.when(F.size("values") > 0, "ready").otherwise("unavailable").alias("status"), F.when(F.size("values") > 0, F.col("values")).alias("values"))
+    listed = values.groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(record), lambda r, s: F.when(r["period"] < s["period"], -1).otherwise(1)).alias("records"))  # periods differ, maps have no order
+    both = events.join(listed, F.col(key) == F.col("__k"), "left")
+    records = F.coalesce("records", F.array().cast("array<struct<period:string,status:string,values:map<string,double>>>"))
+    placed, ready = F.col("row").isNotNull(), F.forall("records", lambda r: r["status"] == "ready") & (F.size("records") > 0)
+    both = both.withColumn("records", records).withColumn("status", F.when(~placed, "unavailable").when(ready, "complete").otherwise("partial"))
+    doc = F.struct(F.col(key).alias("event_id"), "type", "status", F.struct("lat", "lon").alias("reported_location"), F.when(placed, F.struct("row", "col", F.round("km", 1).alias("km"))).alias("comparison_location"), F.when(placed, F.col("records")).alias("periods"))
+    return both.select(key, "status", F.to_json(doc).alias("doc"))

@@ -10,6 +10,8 @@ from .components import checkpointed
 
 #: Ranges of values or hashes that a group is dealt to, so that no group is one task.
 RANGES = 256
+#: Different values of a group that one task may order.
+FIT = 1 << 17
 
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, every: int = 3, salt: str = "split-v1") -> DataFrame:
@@ -55,7 +57,8 @@ def exact_quantiles(values: DataFrame, group: str, value: str, shares: dict[str,
     Equal values are one row with a count. A group's span is cut into RANGES; counts tell which ranges hold the wanted
     ranks, and only their rows go on, cut again over the span that they really have. What is left is ordered, each range
     apart. So no aggregate keeps a group's values, and neither ties nor a few far values leave them in one range. What one
-    level leaves for the next is written, as the plan would double with each.
+    level leaves for the next is written, as the plan would double with each. Where no group has more than FIT different values,
+    which is counted, they are ordered as they are.
     """
     v = values.select(group, F.col(value).cast("double").alias("v")).where(f"{group} is not null and v is not null and not isnan(v)")
     rows = checkpointed(v.groupBy(group, "v").agg(F.count("*").alias("c")))
@@ -64,6 +67,8 @@ def exact_quantiles(values: DataFrame, group: str, value: str, shares: dict[str,
     ranks = sizes.select(group, F.explode(names).alias("x")).select(group, "x.name", "x.at")
     wanted = ranks.select(group, "name", "at", F.lit(0).cast("long").alias("before"), F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
     keys = [group]
+    most = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0  # one number
+    levels = levels if most > FIT else 0
     for level in range(levels):
         part = f"part{level}"
         span = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
 from stormledger.functions.columns import alert_rank
-from stormledger.operators import documents, episodes, experiments
+from stormledger.operators import documents, episodes, experiments, tracks
 from stormledger.operators.identity import ordered_distinct
-from stormledger.plans.catalogue import query
+from stormledger.plans.catalogue import KM, query
 from stormledger.plans.experiments import SKILL, skill_of
 from stormledger.plans.shapes import foot, footprints
-from stormledger.sources.hazard import HAZARD, hazard_events, table
+from stormledger.sources.hazard import GRID, HAZARD, hazard_events, population_grid, table
 
 EPISODES = """CASE event_id % 5 WHEN 0 THEN NULL ELSE '{"episodes":[{"episodeid":1,"ha":"' || (100 + event_id % 50) || '","fromdate":"2024-01-01","todate":"2024-01-03"},{"episodeid":"2","ha":' || (event_id % 70) || ',"fromdate":"2024-01-02"' || CASE WHEN event_id % 3 = 0 THEN ',"days":"5"' ELSE '' END || '}]}' END"""
 
@@ -31,12 +31,39 @@ def episode_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.aligned(heads, "event_id", told).withColumn("burned_area_ha", F.round("burned_area_ha", 4))
 
 
-@query(HAZARD + """SELECT event_id, CASE WHEN type = 'Drought' THEN '{"id":"' || id || '","type":"Drought","semantics":"risk","area":' || coalesce(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 'null') || '}' ELSE '{"id":"' || id || '","type":"' || type || '"' || CASE WHEN alert IS NULL THEN '' ELSE ',"context":{"alert":"' || alert || '"}' END || '}' END AS doc FROM hazard""")
+SAYS = "CASE event_id % 5 WHEN 0 THEN 'Medium impact for agricultural drought in 1,' || (100 + event_id % 900) || ' km2. Alert level: Orange.' WHEN 1 THEN 'A red alert over ' || event_id || ' km2' WHEN 2 THEN NULL ELSE 'Nothing of note' END"
+
+
+@query(HAZARD + f""", e AS (SELECT *, {SAYS} AS s, CASE event_id % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Standard' END AS p FROM hazard), c AS (SELECT *, coalesce(CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 3 = 0 THEN 'Red' ELSE 'Orange' END WHEN 1 THEN 'Red' ELSE CASE WHEN event_id % 3 = 0 THEN 'Red' END END, NULL) AS level FROM e),
+v AS (SELECT *, event_id % 2 = 0 AS known FROM c), d AS (SELECT event_id, CASE WHEN known THEN level END AS l, CASE WHEN type = 'Drought' AND event_id % 5 = 0 THEN 1000.0 + 100 + event_id % 900 END AS km2, p, known FROM v)
+SELECT event_id, CASE WHEN l = 'Red' THEN 'High' WHEN l = 'Orange' AND p IS DISTINCT FROM 'High' THEN 'Medium' ELSE p END AS priority, l AS alert_level, CASE WHEN known THEN km2 END AS km2, CASE WHEN known AND km2 IS NOT NULL THEN 'source_published_event_severity_text' END AS method FROM d""")
+def source_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A display view with the alerts and drought areas that the canonical events' texts tell."""
+    n = F.col("event_id")
+    h = hazard_events(spark, sf_dir).select("event_id", "type", F.expr(SAYS).alias("summary"), F.when(n % 4 == 0, "High").when(n % 4 == 1, "Standard").alias("priority"), F.when(n % 3 == 0, "Red").alias("alert_level"), F.lit("feed").alias("source"))
+    shown = h.withColumns({"summary": F.lit(None).cast("string"), "alert_level": F.lit(None).cast("string")})  # the display view has no text of its own
+    got = episodes.patched_views(episodes.source_semantics(h.where(n % 2 == 0)), episodes.source_semantics(shown), "event_id")
+    key = episodes.DROUGHT_KM2
+    return got.select("event_id", "priority", "alert_level", F.col("metrics")[key].alias("km2"), F.col("provenance")[key]["method"].alias("method"))
+
+
+@query(HAZARD + ", " + GRID + """, e AS (SELECT event_id, type, lat, lon, CAST(floor((lat + 21.75) / 0.5 + 0.5) AS INT) AS y, CAST(floor((lon + 0.75) / 0.5 + 0.5) AS INT) AS x FROM hazard WHERE alert = 'Red' AND type IN ('Drought', 'Wildfire')), p AS (SELECT e.*, g.row, g.col, round(""" + KM.format(a="e", b="g") + """, 1) AS km FROM e LEFT JOIN (SELECT *, lat_c AS lat, lon_c AS lon FROM grid WHERE people >= 40) g ON g.row = y AND g.col = x),
+m AS (SELECT type, CAST(floor(avg(value) FILTER (WHERE day < DATE '2024-01-10')) AS BIGINT) AS early, CAST(floor(avg(value) FILTER (WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20')) AS BIGINT) AS modern FROM hazard GROUP BY type)
+SELECT event_id, CASE WHEN row IS NULL THEN 'unavailable' WHEN event_id % 3 = 0 THEN 'partial' ELSE 'complete' END AS status, row, CASE WHEN row IS NOT NULL THEN km END AS km, CASE WHEN row IS NOT NULL THEN 3 END AS periods, CASE WHEN row IS NOT NULL THEN CAST(early AS DOUBLE) END AS early, CASE WHEN row IS NOT NULL THEN CAST(modern AS DOUBLE) END AS modern, CASE WHEN row IS NOT NULL THEN CASE WHEN event_id % 3 = 0 THEN 'unavailable' ELSE 'ready' END END AS recent FROM p JOIN m USING (type)""")
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the parts that an event has, droughts with their own semantics."""
-    drought = F.col("type") == "Drought"
-    doc = F.struct("id", "type", F.when(drought, "risk").alias("semantics"), F.when(drought, F.floor("value")).alias("area"), F.when(~drought & F.col("alert").isNotNull(), F.struct("alert")).alias("context"))
-    return hazard_events(spark, sf_dir).select("event_id", F.to_json(doc).alias("doc"))
+    """Climate documents of events: the cell that stands for each and a record a period, where there is one; read back from their JSON."""
+    h, n = hazard_events(spark, sf_dir), F.col("event_id")
+    e = h.where("alert = 'Red' and type in ('Drought', 'Wildfire')").select("event_id", "type", "lat", "lon")
+    cell = tracks.ring_cells(e.select("event_id", "lat", "lon"), "event_id", population_grid(spark).where("people >= 40"), 0.5, -21.75, -0.75, rings=0)
+    mean = lambda where: F.floor(F.avg(F.when(F.expr(where), F.col("value")))).cast("double")
+    by_type = h.groupBy("type").agg(mean("day < date'2024-01-10'").alias("1_early"), mean("day between date'2024-01-10' and date'2024-01-20'").alias("2_modern"))
+    rows = e.join(by_type, "type").withColumn("3_recent", F.when(n % 3 != 0, 1.0))
+    periods = rows.select("event_id", F.explode(F.array(*[F.struct(F.lit(c).alias("period"), F.lit("tmp").alias("variable"), F.col(c).alias("value")) for c in ("1_early", "2_modern", "3_recent")])).alias("x")).select("event_id", "x.*")
+    docs = episodes.climate_documents(e.join(cell.drop("ring"), "event_id"), "event_id", periods)
+    read = F.from_json("doc", "comparison_location struct<row int, col int, km double>, periods array<struct<period string, status string, values map<string,double>>>").alias("d")
+    at = lambda k, f: F.get("d.periods", F.lit(k))[f]
+    d = docs.select("event_id", "status", read)
+    return d.select("event_id", "status", F.col("d.comparison_location.row").alias("row"), F.col("d.comparison_location.km").alias("km"), F.when(F.col("d.periods").isNotNull(), F.size("d.periods")).alias("periods"), at(0, "values")["tmp"].alias("early"), at(1, "values")["tmp"].alias("modern"), at(2, "status").alias("recent"))
 
 
 @query(SKILL + """, f AS (SELECT event % 10 AS fold, config, quantile_cont(csi, 0.5) AS m FROM k GROUP BY ALL), b AS (SELECT event, first(config ORDER BY coalesce(csi, '-inf'::DOUBLE) DESC, config) AS config FROM k GROUP BY event), c AS (SELECT event % 10 AS fold, config, count(*) AS n FROM b GROUP BY ALL)

@@ -1,10 +1,11 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
-from stormledger.operators import experiments, exposure, identity, policy, refresh, tracks
+from stormledger.operators import episodes, experiments, exposure, identity, policy, refresh, tracks
 
 RINGS = "rings array<array<struct<x double, y double>>>"
 
@@ -131,3 +132,49 @@ def test_merge_rules_of_a_proximity_group(spark):
     got = {r.g: tuple(r)[1:] for r in identity.proximity_merged(df, "g", "id", "at", ("event_start", "last_detection")).collect()}
     assert got == {"g": (4, "the longest one", 30.0, "s3", "d2"), "h": (2, None, None, None, None)}
     assert identity.proximity_merged(df.where("id < 4"), "g", "id", "at", ()).first().summary == "longer"
+
+
+def test_source_first_metrics(spark):
+    rows = [(1, 5.0, 7.0, 3), (2, None, 7.0, None), (3, None, None, 1), (4, 0.0, None, 2)]
+    df = spark.createDataFrame(rows, "id long, told double, found double, episode long")
+    got = {r.id: r for r in episodes.source_first(df, {"people": ("told", "found")}, "feed", "episode").collect()}
+    assert {i: r.metrics for i, r in got.items()} == {1: {"people": 5.0}, 2: {"people": 7.0}, 3: {}, 4: {"people": 0.0}}
+    assert tuple(got[1].provenance["people"]) == ("feed", "told", episodes.REPORTED, False, 3) and tuple(got[2].provenance["people"]) == ("footprint", "found", episodes.DERIVED, True, None) and got[3].provenance == {}
+
+
+def test_headlines_take_their_own_episode(spark):
+    facts = "burned_area_ha double, start_date string, last_detection string, duration_days long"
+    events = spark.createDataFrame([(1, 1, 9.0, "a", None, None), (2, 2, 9.0, None, None, None), (3, 5, 9.0, None, None, None), (4, None, 9.0, None, None, None)], f"id long, headline long, {facts}")
+    told = spark.createDataFrame([(i, e, 10.0 * e, None, "z", 4) for i in (1, 2, 3) for e in (1, 2)], f"id long, episode long, {facts}")
+    got = {r.id: (r.burned_area_ha, r.start_date, r.last_detection, r.duration_days, r.note) for r in episodes.aligned(events, "id", told).collect()}
+    assert got == {1: (10.0, "a", "z", 4, "newer_episode_pending"), 2: (20.0, None, "z", 4, "current"), 3: (9.0, None, None, None, "episode_unknown"), 4: (9.0, None, None, None, "no_episode")}
+
+
+def test_texts_patch_both_views(spark):
+    rows = [(1, "Drought", "Impact for agricultural drought in 1,412,468 km2", "Standard", None, "GDACS · Orange"), (2, "Flood", "impact of drought 5 km2", "High", "green", ""), (3, "Drought", None, None, None, None)]
+    df = episodes.source_semantics(spark.createDataFrame(rows, "id long, type string, summary string, priority string, alert_level string, source string"))
+    got = {r.id: r for r in df.collect()}
+    assert got[1].metrics == {episodes.DROUGHT_KM2: 1412468.0} and (got[1].priority, got[1].alert_level) == ("Medium", "Orange") and got[1].provenance[episodes.DROUGHT_KM2].method == episodes.TOLD
+    assert (got[2].metrics, got[2].priority, got[2].alert_level) == (None, "High", "Green") and (got[3].alert_level, got[3].priority) == (None, None)
+    view = df.withColumns({"alert_level": F.lit(None).cast("string"), "metrics": F.lit(None).cast("map<string,double>")})
+    both = {r.id: r for r in episodes.patched_views(df.where("id < 3"), view, "id").collect()}
+    assert both[1].alert_level == "Orange" and both[1].metrics == got[1].metrics and len(both) == 3
+
+
+def test_climate_documents(spark):
+    events = spark.createDataFrame([(1, "Flood", 1.0, 2.0, 3, 4, 5.25), (2, "Flood", 1.0, 2.0, None, None, None), (3, "Heat", 1.0, 2.0, 3, 4, 0.0)], "id long, type string, lat double, lon double, row int, col int, km double")
+    periods = spark.createDataFrame([(1, "b", "tmp", 2.5), (1, "b", "pre", None), (1, "a", "tmp", None), (2, "a", "tmp", 1.0)], "id long, period string, variable string, value double")
+    got = {r.id: (r.status, json.loads(r.doc)) for r in episodes.climate_documents(events, "id", periods).collect()}
+    assert [got[i][0] for i in (1, 2, 3)] == ["partial", "unavailable", "partial"] and "periods" not in got[2][1] and "comparison_location" not in got[2][1] and got[3][1]["periods"] == []
+    assert got[1][1]["periods"] == [{"period": "a", "status": "unavailable"}, {"period": "b", "status": "ready", "values": {"tmp": 2.5}}]
+
+
+def test_small_maps_grids_and_listings(spark):
+    df = spark.createDataFrame([("g", "b"), ("g", "a"), ("g", "b"), ("g", None), ("h", None)], "g string, c string")
+    assert {r.g: (r.n, r.counts) for r in episodes.frequencies(df, "g", "c").collect()} == {"g": (3, {"a": 1, "b": 2})}
+    grid = episodes.config_grid(spark.createDataFrame([("x", 1), ("x", 1), ("y", 2)], "a string, b int"), ["a", "b"]).collect()
+    assert {(r.config, r.n) for r in grid} == {("x_1", 2), ("x_2", 0), ("y_1", 0), ("y_2", 1)}
+    names = spark.createDataFrame([("l", "long_pop.tif"), ("l", "a.tif"), ("l", "POP.tif"), ("m", "bb"), ("m", "ba")], "l string, n string")
+    assert {r.l: r.n for r in episodes.best_file(names, "l", "n", "pop").collect()} == {"l": "POP.tif", "m": "ba"}
+    cells = spark.createDataFrame([(-1, 0, 5), (0, 0, 1), (1, 1, 2), (2, 3, 4)], "row long, col long, people long")
+    assert {(r.row, r.col): r.people for r in episodes.coarser(cells, 2, "people").collect()} == {(-1, 0): 5, (0, 0): 3, (1, 1): 4}

@@ -72,7 +72,9 @@ def test_as_of_joins_with_ties(spark):
     assert {x.rid for x in joins.nearest_in_time(l, r.where("false"), "k", 3).collect()} == {None}
 
 
-def test_quantiles_fronts_and_splits_with_ties(spark):
+@pytest.mark.parametrize("fit", [0, evaluation.FIT])
+def test_quantiles_fronts_and_splits_with_ties(spark, monkeypatch, fit):
+    monkeypatch.setattr(evaluation, "FIT", fit)
     rng = random.Random(4)
     rows = [(rng.choice("abc"), rng.choice([None, float("nan"), 1.0, 2.0, rng.uniform(-5, 9), 1e9])) for _ in range(300)] + [("one", 3.0), ("void", None)]
     df = spark.createDataFrame(rows, "g string, v double")
