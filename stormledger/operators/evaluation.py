@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,21 +120,23 @@ def greedy_dedupe(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """event_id and anchor: events scanned from the latest on, each attached to the first anchor that a pair links it to, else an anchor itself.
 
     pairs: (event_id_a, event_id_b). The scan's outcome is found in rounds: an undecided event without an undecided partner
-    before it is an anchor, its later partners are none. A round is joins of written tables; no component is one group.
+    before it is an anchor, its later partners are none. A round is joins of written tables, three of them; no component is one
+    group. Rounds follow the longest chain of events that depend on each other, each within reach of the one before.
     """
     order = events.select("event_id", F.struct((-F.unix_micros("ts")).alias("us"), "event_id").alias("key"))
     ends = [order.select(F.col("event_id").alias(f"event_id_{x}"), F.col("key").alias(x)) for x in "ab"]
     both = pairs.select("event_id_a", "event_id_b").join(ends[0], "event_id_a").join(ends[1], "event_id_b")
     links = checkpointed(both.select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier")).distinct())
     left, open_ = links, checkpointed(links.select(F.col("later").alias("key")).unionByName(links.select(F.col("earlier").alias("key"))).distinct())
-    anchors = None
-    while anchors is None or open_.limit(1).count():
+    rounds = []
+    while not open_.isEmpty():
         new = checkpointed(open_.join(left.select(F.col("later").alias("key")), "key", "left_anti"))
-        anchors = new if anchors is None else checkpointed(anchors.unionByName(new))
+        rounds.append(new)
         near = left.join(new.withColumnRenamed("key", "earlier"), "earlier", "left_semi").select(F.col("later").alias("key"))
-        gone = checkpointed(new.unionByName(near).distinct())
-        open_ = checkpointed(open_.join(gone, "key", "left_anti"))
-        left = checkpointed(left.join(gone.withColumnRenamed("key", "later"), "later", "left_anti").join(gone.withColumnRenamed("key", "earlier"), "earlier", "left_anti"))
+        gone = new.unionByName(near).distinct()
+        rest = left.join(gone.withColumnRenamed("key", "later"), "later", "left_anti").join(gone.withColumnRenamed("key", "earlier"), "earlier", "left_anti")
+        open_, left = checkpointed(open_.join(gone, "key", "left_anti")), checkpointed(rest)
+    anchors = reduce(DataFrame.unionByName, rounds) if rounds else open_
     first = links.join(anchors.withColumnRenamed("key", "earlier"), "earlier", "left_semi").groupBy("later").agg(F.min("earlier").alias("first"))
     # an anchor has no anchor before it, so it has no row in first
     attached = first.select(F.col("later.event_id").alias("event_id"), F.col("first.event_id").alias("anchor"))
