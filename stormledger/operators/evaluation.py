@@ -97,6 +97,18 @@ def top_cells(scores: DataFrame, group: str, cell: str, score: str, k: int) -> D
     return ranked.where(F.col("rank") <= k)
 
 
+def cells_of_area(scores: DataFrame, group: str, cell: str, score: str, area: str, cell_area: float, least: float = 0.8) -> DataFrame:
+    """The best cells of each group, as many as its area holds (rounded half to even, one at least, no more than it has), with `rank` and `wanted`.
+
+    A null score is masked. A group whose cells with a score are fewer than `least` of those wanted has no rows: too much of it is masked.
+    """
+    sizes = scores.groupBy(group).agg(F.count("*").alias("__all"), F.count(score).alias("__seen"), F.max(area).alias("__area"))
+    wanted = F.least(F.greatest(F.lit(1), F.rint(F.col("__area") / cell_area)), F.col("__all")).cast("long")
+    fit = sizes.withColumn("wanted", wanted).where(F.col("__seen") >= F.greatest(F.lit(1), F.floor(least * F.col("wanted")))).select(F.col(group).alias("__group"), "wanted")
+    ranked = scores.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.desc(cell))))
+    return ranked.join(fit, F.col(group) == F.col("__group")).where(F.col("rank") <= F.col("wanted")).drop("__group")
+
+
 def paired_bootstrap(pairs: DataFrame, group: str, key: str, a: str, b: str, resamples: int = 5000, seed: int = 20260914) -> DataFrame:
     """group, n, the median of the differences a - b and the 2.5 % and 97.5 % quantiles of that median over resamples with replacement.
 

@@ -212,20 +212,32 @@ near AS (SELECT user_id, row, col, people, w * exp(-(pow((lat_c - lat) * 111, 2)
 score AS (SELECT user_id, row, col, row * 1000 + col AS cell, any_value(people) AS people, round(sum(s), 9) AS score FROM near GROUP BY user_id, row, col) """
 
 
+def transport_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = hazard_events(spark, sf_dir).where("alert = 'Red' and type = 'Storm'")
+    nodes = n.select("user_id", "lat", "lon", (F.exp(-(F.col("event_id") % 5) * 3 / 12.0) * F.sqrt(F.greatest(F.lit(0.05), F.col("value") / 50.0))).alias("w"))
+    near = joins.cells_within(nodes, population_grid(spark), 1.5)
+    d2 = F.pow((F.col("lat_c") - F.col("lat")) * 111, 2) + F.pow((F.col("lon_c") - F.col("lon")) * 111, 2)
+    return near.groupBy("user_id", "row", "col").agg(F.any_value("people").alias("people"), F.round(F.sum(F.col("w") * F.exp(-d2 / (2 * 35.0 * 35.0))), 9).alias("score"))
+
+
 @query(NODES + "SELECT user_id, row, col, people, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, cell DESC) AS rank FROM score) WHERE rank <= 4")
 def topk_cells_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best cells of each source's tracks by transport score: over all nodes, weight of lead and strength times a Gaussian of the distance.
 
     An area of four cells is asked for, as the area over a cell's area says; the score of a cell is a partial sum.
     """
-    n = hazard_events(spark, sf_dir).where("alert = 'Red' and type = 'Storm'")
-    nodes = n.select("user_id", "lat", "lon", (F.exp(-(F.col("event_id") % 5) * 3 / 12.0) * F.sqrt(F.greatest(F.lit(0.05), F.col("value") / 50.0))).alias("w"))
-    near = joins.cells_within(nodes, population_grid(spark), 1.5)
-    d2 = F.pow((F.col("lat_c") - F.col("lat")) * 111, 2) + F.pow((F.col("lon_c") - F.col("lon")) * 111, 2)
-    score = near.groupBy("user_id", "row", "col").agg(F.any_value("people").alias("people"), F.round(F.sum(F.col("w") * F.exp(-d2 / (2 * 35.0 * 35.0))), 9).alias("score"))
+    score = transport_scores(spark, sf_dir)
     return evaluation.top_cells(score.withColumn("cell", F.col("row") * 1000 + F.col("col")), "user_id", "cell", "score", 4).select("user_id", "row", "col", "people", "score", "rank")
 
 
+@query(NODES + """, m AS (SELECT user_id, row, col, cell, CASE WHEN people % 5 > 0 THEN score END AS score, 9000.0 * (1 + user_id % 5) AS area FROM score), z AS (SELECT user_id, least(greatest(1, CAST(round_even(max(area) / 3000.0, 0) AS BIGINT)), count(*)) AS wanted, count(score) AS seen FROM m GROUP BY user_id)
+SELECT user_id, row, col, score, rank, wanted FROM (SELECT m.*, wanted, seen, row_number() OVER (PARTITION BY m.user_id ORDER BY score DESC, cell DESC) AS rank FROM m JOIN z USING (user_id) WHERE score IS NOT NULL) WHERE rank <= wanted AND seen >= greatest(1, floor(0.8 * wanted))""")
+def cells_of_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many of each source's best cells as a corridor's area holds, unless too many are masked."""
+    score = transport_scores(spark, sf_dir).withColumns({"cell": F.col("row") * 1000 + F.col("col"), "area": 9000.0 * (1 + F.col("user_id") % 5), "score": F.when(F.col("people") % 5 > 0, F.col("score"))})
+    return evaluation.cells_of_area(score, "user_id", "cell", "score", "area", 3000.0).select("user_id", "row", "col", "score", "rank", "wanted")
+
+
 @query(HAZARD + """, p AS (SELECT h.id, h.ts, h.type, g.event_id AS rid, abs(epoch_us(h.ts) - epoch_us(g.ts)) AS gap FROM hazard h LEFT JOIN hazard g ON g.type = h.type AND g.origin = 'gdacs' AND abs(epoch_us(h.ts) - epoch_us(g.ts)) <= 64800000000 WHERE h.origin = 'cems')
 SELECT id, type, arg_min(rid, struct_pack(gap := gap, rid := rid)) AS rid, min(gap) / 1e6 AS gap_s FROM p GROUP BY id, type""")
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,3 +253,10 @@ def test_contrasts_need_two_controls(spark):
     got = {r.e: r for r in experiments.contrasts(spark.createDataFrame(rows, "e long, orientation string, value double, area double"), "e").collect()}
     assert (got[1].difference, got[1].rank, got[1].is_max) == (3.0, 1, True) and not got[2].eligible and got[2].difference is None
     assert (got[3].difference, got[3].rank) == (0.0, 1)
+
+
+def test_cells_of_an_area_unless_too_many_are_masked(spark):
+    rows = [("a", c, float(c), 50.0) for c in range(9)] + [("b", c, float(c) if c < 2 else None, 50.0) for c in range(9)] + [("c", 1, 1.0, 900.0), ("d", 1, 1.0, 1.0), ("d", 2, 1.0, 1.0), ("e", 1, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, c long, s double, area double")
+    got = sorted((r.g, r.c, r.rank, r.wanted) for r in evaluation.cells_of_area(df, "g", "c", "s", "area", 10.0).collect())
+    assert got == [("a", 8 - k, k + 1, 5) for k in range(5)][::-1] + [("c", 1, 1, 1), ("d", 2, 1, 1)]
