@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_u32, give_back, written
-from .tokens import CACHE, encoder_of, slices
+from .tokens import encoder_of, slices
 
 CAPACITY = 2048
 #: Patterns that are tried for each first length, steps of a least-squares fit, and fits at most, each of what the last one left.
@@ -27,29 +27,35 @@ PER_LENGTH, STEPS, REFITS = 6, 300, 6
 SCALES = (1.0, 0.75, 0.5, 0.25)
 #: Buckets of doc_id in which ranks are counted, at least.
 BUCKETS = 64
+#: Bytes of text that are encoded at a time, and distinct chunks that a worker remembers: what a worker needs beyond its batch follows both.
+SLICE, KNOWN = 1 << 20, 150_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
     """docs (doc_id, text) as token pieces of at most capacity ids (blank-free tokenizer); with_ids keeps the ids."""
 
+    def cut(encoder, batch):
+        ids, n = encoder.encode(batch.column(1), end)
+        per = -(-n // capacity)
+        doc = np.repeat(np.arange(len(n)), per)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+        start = piece * capacity
+        length = np.minimum(capacity, n[doc] - start)
+        ends = np.cumsum(length)
+        parts = [ids[a:b] for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+        cells = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([crc32_u32(x) for x in parts], pa.int64())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if with_ids:
+            cells, names = [*cells, pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))], [*names, "ids"]
+        return pa.RecordBatch.from_arrays(cells, names=names)
+
     def run(batches):
-        encoder = encoder_of(tokenizer, False, CACHE // 2)
+        encoder = encoder_of(tokenizer, False, KNOWN)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                ids, n = encoder.encode(batch.column(1), end)
-                per = -(-n // capacity)
-                doc = np.repeat(np.arange(len(n)), per)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-                start = piece * capacity
-                length = np.minimum(capacity, n[doc] - start)
-                ends = np.cumsum(length)
-                parts = [ids[a:b] for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
-                cells = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([crc32_u32(x) for x in parts], pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    cells, names = [*cells, pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(cells, names=names)
+            for batch in slices(whole, "text", SLICE):
+                yield cut(encoder, batch)
+            whole = batch = None  # not held while the next one is read, nor when memory is given back
         encoder.drop_pieces()
         give_back()
 

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -12,6 +15,7 @@ from stormledger.llm import huffman_ids, packing
 from stormledger.llm.queries import op3_huffman_ids, op10_pattern_packing
 from stormledger.llm.tokens import ChunkEncoder
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ENCODERS = {p: (ChunkEncoder(p, blanks), Tokenizer.from_file(p)) for p, blanks in ((BYTE, True), (WORD, False))}
 
@@ -118,3 +122,42 @@ def test_plan_holds_the_histogram(lengths):
             back[x] += m
     assert back == Counter(lengths)
     assert sum(m for _, m in planned) <= sum(m for _, m in packing.best_fit(hist))
+
+
+#: A worker's part of the packing stage, run on batches of many distinct words; prints by how many MB they raise the peak.
+WORKER = """
+import random, re, sys
+from unittest.mock import MagicMock
+import pyarrow as pa
+from stormledger.llm import packing
+
+packing.F = MagicMock()  # columns want a session
+
+class Docs:  # hands out the function that workers run
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, run, schema: run
+
+def mb(what):
+    return int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+random.seed(1)
+words = ["".join(random.choices("abcdefghij", k=8)) for _ in range(400_000)]
+def batches():
+    for _ in range(2):
+        texts = [" ".join(random.choices(words[:2000], k=450) + random.choices(words, k=50)) for _ in range(5000)]
+        yield pa.record_batch({"doc_id": pa.array(range(5000), pa.int64()), "text": pa.array(texts, pa.string())})
+given = list(batches())
+run = packing.pieces_of(Docs(), sys.argv[1])
+list(run(iter([given[0].slice(0, 1)])))
+del words
+packing.give_back()
+open("/proc/self/clear_refs", "w").write("5")  # the peak counts from here
+before = mb("VmRSS")
+assert sum(x.num_rows for x in run(iter(given))) >= 10_000
+print(mb("VmHWM") - before)
+"""
+
+
+def test_packing_workers_memory_is_bounded():
+    got = subprocess.run([sys.executable, "-c", WORKER, WORD], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": ROOT}, timeout=120)
+    assert float(got.stdout.split()[-1]) < 100, got.stdout
