@@ -28,11 +28,13 @@ SCALES = (1.0, 0.75, 0.5, 0.25)
 #: Buckets of doc_id in which ranks are counted, at least.
 BUCKETS = 64
 #: Bytes of text that are encoded at a time, and distinct chunks that a worker remembers: what a worker needs beyond its batch follows both.
-SLICE, KNOWN = 1 << 20, 150_000
+SLICE, KNOWN = 4 << 20, 300_000
+#: The same where other stages share the executor: less memory for more CPU time.
+SMALL = {"slice_bytes": 1 << 20, "known": 150_000}
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, slice_bytes: int = SLICE, known: int = KNOWN) -> DataFrame:
     """docs (doc_id, text) as token pieces of at most capacity ids (blank-free tokenizer); with_ids keeps the ids."""
 
     def cut(encoder, batch):
@@ -51,9 +53,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
         return pa.RecordBatch.from_arrays(cells, names=names)
 
     def run(batches):
-        encoder = encoder_of(tokenizer, False, KNOWN)
+        encoder = encoder_of(tokenizer, False, known)
         for whole in batches:
-            for batch in slices(whole, "text", SLICE):
+            for batch in slices(whole, "text", slice_bytes):
                 yield cut(encoder, batch)
             whole = batch = None  # not held while the next one is read, nor when memory is given back
         encoder.drop_pieces()
@@ -237,6 +239,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return found.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, **bounds: int) -> DataFrame:
     """The pieces of docs and their places, as few sequences as the plan finds."""
-    return pack(written(pieces_of(docs, tokenizer, capacity, with_ids=with_ids), "pieces"), capacity)
+    return pack(written(pieces_of(docs, tokenizer, capacity, with_ids=with_ids, **bounds), "pieces"), capacity)

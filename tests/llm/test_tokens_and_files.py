@@ -147,7 +147,7 @@ def batches():
         texts = [" ".join(random.choices(words[:2000], k=450) + random.choices(words, k=50)) for _ in range(5000)]
         yield pa.record_batch({"doc_id": pa.array(range(5000), pa.int64()), "text": pa.array(texts, pa.string())})
 given = list(batches())
-run = packing.pieces_of(Docs(), sys.argv[1])
+run = packing.pieces_of(Docs(), sys.argv[1], **getattr(packing, "SMALL", {}))
 list(run(iter([given[0].slice(0, 1)])))
 del words
 packing.give_back()
