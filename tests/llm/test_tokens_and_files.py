@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -39,6 +41,30 @@ def test_blanks_after_a_line_end():
     assert ids.tolist() == [i for t in texts for i in ids_of(BYTE, t)]
 
 
+def test_dropped_blanks_case_and_marks_leave_few_chunks():
+    own = ChunkEncoder(WORD, False)
+    texts = ["Alpha beta.\nalpha, Beta!", "ALPHA\tbeta.\r\n\nbeta", "", "beta."]
+    ids, n = own.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in ids_of(WORD, t)] and n.tolist() == [len(ids_of(WORD, t)) for t in texts]
+    assert sorted(own.known.to_pylist()) == sorted(["alpha", "beta", ".", ",", "!"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["W", "w", "I", "K", "s", "'", "'S", ".", "-", "=", "\u030a", "\u0307", "\u0338", " ", "\n", "\x1c", "\x85", "É", "Σ", "7", "<|", "|>", "<|endoftext|>", "<|ENDofText|>"]), max_size=12).map("".join), max_size=4))
+def test_case_and_marks_are_cut_as_the_library_does(texts):
+    own = ENCODERS[WORD][0]
+    column = pa.array(["before.", *texts, "<|EndOfText|>"])
+    for part, part_texts in ((column, ["before.", *texts, "<|EndOfText|>"]), (column.slice(1, len(texts)), texts)):
+        ids, n = own.encode(part)
+        assert ids.tolist() == [i for t in part_texts for i in ids_of(WORD, t)]
+        assert n.tolist() == [len(ids_of(WORD, t)) for t in part_texts]
+
+
+def test_only_the_known_normalizer_is_shortened():
+    with pytest.raises(ValueError):
+        ChunkEncoder(BYTE, False)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
