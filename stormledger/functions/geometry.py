@@ -92,6 +92,15 @@ def distance_km(rings: Column, x: Column, y: Column) -> Column:
     return F.when(covers(rings, x, y), 0.0).otherwise(haversine_km(y, x, near["py"], near["px"]))
 
 
+def leg_km(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
+    """distance_km of a straight leg from a to b, without arrays."""
+    scale, turn = F.cos(F.radians(y)), F.round(((ax + bx) / 2 - x) / 360) * 360
+    dx, dy = (bx - ax) * scale, by - ay
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x + turn - ax) * scale * dx + (y - ay) * dy) / square))).otherwise(0.0)
+    return haversine_km(y, x, ay + t * dy, ax - turn + t * (bx - ax))
+
+
 def rounded(rings: Column, digits: int = 4) -> Column:
     return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y"))))
 

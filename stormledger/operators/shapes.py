@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormledger.functions import geometry as G
+from stormledger.operators.components import spread
 from stormledger.operators.joins import around_the_date_line
 
 #: Words of a feature's properties that speak for it, and for mere context (fixed values); how far a polygon may be from its event, and from where it is very large.
@@ -35,6 +36,35 @@ def cells_in(footprints: DataFrame, grid: DataFrame, rings: str = "rings", tile:
     return dealt.join(g, ["ty", "tx"]).where(in_box & near).drop("ty", "tx", "__turn")
 
 
+def cells_along(legs: DataFrame, grid: DataFrame, reach_km: float, tile: float = 2.0) -> DataFrame:
+    """(leg, cell) with `km` for the cells whose centre is within reach_km of a straight leg (ax, ay, bx, by), across the date line too.
+
+    A leg is followed in steps of a tile at most and meets the cells of the tiles that its steps' boxes reach, each tile once: candidates
+    grow with its length, not with its box. Legs are few bytes and much work, so they are spread first.
+    """
+    pad = reach_km / 111.0
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / tile)).cast("int")
+
+    def tiles(k: Column) -> Column:
+        of = lambda start, d: (start + k / n * d, start + (k + 1) / n * d)
+        (x0, x1), (y0, y1) = ((F.least(a, b), F.greatest(a, b)) for a, b in (of(F.col("ax"), dx), of(F.col("ay"), dy)))
+        wide = pad / F.greatest(F.lit(0.05), F.cos(F.radians(F.greatest(F.abs(y0), F.abs(y1)) + pad)))
+        rows = F.sequence(F.floor((y0 - pad) / tile), F.floor((y1 + pad) / tile))
+        columns = F.flatten(F.transform(around_the_date_line(x0, wide, x1 - x0 + wide), lambda x: F.sequence(F.floor((x - wide) / tile), F.floor((x + x1 - x0 + wide) / tile))))
+        return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: tile_of(r, c))))
+
+    met = spread(legs).withColumn("__tile", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), tiles)))))
+    g = grid.withColumn("__tile", tile_of(F.floor(F.col("lat_c") / tile), F.floor(F.col("lon_c") / tile)))
+    km = G.leg_km(*map(F.col, ("ax", "ay", "bx", "by", "lon_c", "lat_c")))
+    return met.join(g, "__tile").drop("__tile").withColumn("km", km).where(F.col("km") <= reach_km)
+
+
+def tile_of(row: Column, column: Column) -> Column:
+    """One number for a tile."""
+    return row * 1_000_000 + column
+
+
 def valid_sum(value: Column, most: float | None = None) -> Column:
     """The sum of values that are finite, not negative and below most."""
     ok = value.isNotNull() & ~F.isnan(value.cast("double")) & (value >= 0)

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormledger.functions import geometry as G
 from stormledger.operators import evaluation, experiments, policy, refresh, shapes
 from stormledger.plans.catalogue import KM, query
 from stormledger.plans.policies import METHOD, WIND
@@ -206,9 +205,8 @@ def corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hazard_events(spark, sf_dir).where("type = 'Storm' and alert = 'Red'")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     legs = h.select("user_id", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.lead("lon").over(w).alias("bx"), F.lead("lat").over(w).alias("by")).where("bx is not null")
-    legs = legs.withColumn("rings", G.polygon([(F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))]))  # a ring of two points is a line
-    near = shapes.cells_in(legs, population_grid(spark), reach_km=200.0)
-    cells = near.groupBy("user_id", "row", "col").agg(F.min(G.distance_km(F.col("rings"), F.col("lon_c"), F.col("lat_c"))).alias("km"))
+    near = shapes.cells_along(legs, population_grid(spark), reach_km=200.0)
+    cells = near.groupBy("user_id", "row", "col").agg(F.min("km").alias("km"))
     counts = cells.groupBy("user_id").agg(F.count_if(F.col("km") <= 60).alias("corridor"), F.count_if((F.col("km") > 75) & (F.col("km") <= 200)).alias("ring"), F.count("*").alias("n")).where("n >= 12")
     matched = cells.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("km"))).where("r = 12").select("user_id", F.round("km", 6).alias("matched_km"))
     return counts.drop("n").join(matched, "user_id")

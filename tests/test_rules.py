@@ -260,3 +260,19 @@ def test_cells_of_an_area_unless_too_many_are_masked(spark):
     df = spark.createDataFrame(rows, "g string, c long, s double, area double")
     got = sorted((r.g, r.c, r.rank, r.wanted) for r in evaluation.cells_of_area(df, "g", "c", "s", "area", 10.0).collect())
     assert got == [("a", 8 - k, k + 1, 5) for k in range(5)][::-1] + [("c", 1, 1, 1), ("d", 2, 1, 1)]
+
+
+def test_cells_along_legs_are_those_of_all_pairs(spark):
+    grid = spark.range(90 * 40).selectExpr("(id % 90) * 4 - 178.0 AS lon_c", "floor(id / 90) * 3 - 58.5 AS lat_c")
+    legs = [(1, -20.0, -15.0, 41.0, 25.0), (2, 176.0, 50.0, 186.0, 58.0), (3, -179.0, 3.0, -184.0, -4.0), (4, 10.0, 0.0, 10.0, 0.0), (5, 0.0, 5.0, 90.0, 5.0), (6, None, 1.0, 2.0, 3.0), (7, 30.0, -58.0, 30.0, 58.0)]
+    legs = spark.createDataFrame(legs, "id long, ax double, ay double, bx double, by double")
+    every = legs.where("ax is not null").crossJoin(grid).withColumn("rings", G.polygon([(F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))]))
+    want = {(r.id, r.lon_c, r.lat_c): r.km for r in every.withColumn("km", G.distance_km(F.col("rings"), F.col("lon_c"), F.col("lat_c"))).where("km <= 450").collect()}
+    found = shapes.cells_along(legs, grid, 450.0)
+    got = {(r.id, r.lon_c, r.lat_c): r.km for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got) and {k[0] for k in got} == {1, 2, 3, 4, 5, 7}
+    assert found.count() == len(got)
+    # sides as arrays are walked a pair at a time, which corridors had no time for
+    from stormledger.plans.products import corridors
+
+    assert "zip_with" not in corridors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
