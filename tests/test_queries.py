@@ -71,3 +71,11 @@ def test_greedy_dedupe_has_no_group_of_a_component(spark):
         want[e] = e if at is None else at
     assert {r.event_id: r.anchor for r in df.collect()} == want
     assert "InPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_near_pairs_broadcast_neither_side(spark, sf):
+    from stormledger.operators.joins import near_pairs
+    from stormledger.sources.hazard import hazard_events
+
+    plan = near_pairs(hazard_events(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
