@@ -79,3 +79,26 @@ def test_near_pairs_broadcast_neither_side(spark, sf):
 
     plan = near_pairs(hazard_events(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_greedy_dedupe_takes_times_with_the_pairs(spark, sf):
+    from stormledger.operators.evaluation import greedy_dedupe
+    from stormledger.operators.joins import near_pairs
+    from stormledger.sources.hazard import hazard_events
+
+    h = hazard_events(spark, sf).where("type <> 'Wildfire'")
+    pairs = near_pairs(h, times=True)
+    when = {r.event_id: r.us for r in h.selectExpr("event_id", "unix_micros(ts) AS us").collect()}
+    assert all((r.us_a, r.us_b) == (when[r.event_id_a], when[r.event_id_b]) for r in pairs.collect())
+    got = {r.event_id: r.anchor for r in greedy_dedupe(pairs.unionByName(pairs), h.select("event_id")).collect()}
+    assert got == {r.event_id: r.anchor for r in greedy_dedupe(near_pairs(h), h).collect()} and len(set(got.values())) < len(got)
+
+
+@pytest.mark.parametrize("name", ["dedupe_greedy", "dedupe_merge", "thinned_points"])
+def test_scans_broadcast_no_events_for_pairs(spark, sf, name, monkeypatch):
+    from stormledger.operators import evaluation
+
+    seen = []
+    monkeypatch.setattr(evaluation, "checkpointed", lambda df, f=evaluation.checkpointed: seen.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    QUERIES[name](spark, sf)
+    assert "SortMergeJoin" in seen[0] and "Broadcast" not in seen[0]
