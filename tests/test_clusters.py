@@ -43,6 +43,17 @@ def test_blocks_are_those_of_joining_one_pair_at_a_time(spark, tie, most):
     assert len(set(got.values())) < 40
 
 
+def test_rounds_of_joins_leave_planning_as_short_as_it_is(spark, monkeypatch):
+    lon = list(itertools.accumulate([2.0 * 0.85**k for k in range(15)], initial=0.0))  # each point is nearest to the next: a round a point
+    points = {i: (0.0, x) for i, x in enumerate(lon)} | {50: (20.0, 0.0)}
+    digits, isempty = [], type(spark.range(1)).isEmpty
+    size = lambda df: len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    monkeypatch.setattr(type(spark.range(1)), "isEmpty", lambda df: digits.append(size(df)) or digits[-1] > 200 or isempty(df))
+    got = {r.id: r.block for r in clusters.complete_link(spark.createDataFrame([(i, *p) for i, p in points.items()], "id long, lat double, lon double"), "id", 1500.0).collect()}
+    assert got == one_at_a_time(points, 1500.0, "hash")
+    assert len(digits) > 12 and max(digits) < 200
+
+
 def test_keys_keep_blocks_apart(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, "a"), (2, 0.0, 0.1, "b"), (3, 0.0, 0.2, "a")], "id long, lat double, lon double, kind string")
     assert {r.id: r.block for r in clusters.complete_link(df, "id", 500.0, df["kind"]).collect()} == {1: 1, 2: 2, 3: 1}
