@@ -102,3 +102,9 @@ def test_scans_broadcast_no_events_for_pairs(spark, sf, name, monkeypatch):
     monkeypatch.setattr(evaluation, "checkpointed", lambda df, f=evaluation.checkpointed: seen.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
     QUERIES[name](spark, sf)
     assert "SortMergeJoin" in seen[0] and "Broadcast" not in seen[0]
+
+
+@pytest.mark.parametrize("name", ["asof_nearest"])
+def test_asof_windows_reach_back_only(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
