@@ -104,7 +104,7 @@ def test_scans_broadcast_no_events_for_pairs(spark, sf, name, monkeypatch):
     assert "SortMergeJoin" in seen[0] and "Broadcast" not in seen[0]
 
 
-@pytest.mark.parametrize("name", ["asof_nearest"])
+@pytest.mark.parametrize("name", ["asof_nearest", "frozen_cycles"])
 def test_asof_windows_reach_back_only(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().lower()
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
