@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +57,15 @@ def ring_cells(points: DataFrame, key: str, grid: DataFrame, step: float, south:
 
 
 def step_of(lat: Column, lon: Column, u: Column, v: Column, seconds: float) -> tuple[Column, Column]:
-    """Where a wind of u and v m/s takes a point: the cosine of the latitude is 0.05 at least, longitudes wrap at 180, latitudes end at 89.9."""
+    """Where a wind of u and v m/s takes a point: the cosine of the latitude is 0.05 at least, longitudes wrap at 180, latitudes end at 89.9.
+
+    Degrees are radians times 180, then over pi: a wind there and back may end on a cell's border or a bit beside it, as the order of steps says.
+    """
     cos = F.greatest(F.lit(0.05), F.abs(F.cos(F.radians(lat))))
-    x = lon + F.degrees(u * seconds / (EARTH_KM * 1000 * cos))
+    degrees = lambda arc: arc * 180.0 / F.lit(math.pi)
+    x = lon + degrees(u * seconds / (EARTH_KM * 1000 * cos))
     wrapped = F.when(x > 180, x - 360).when(x < -180, x + 360).otherwise(x)
-    return F.greatest(F.lit(-89.9), F.least(F.lit(89.9), lat + F.degrees(v * seconds / (EARTH_KM * 1000)))), wrapped
+    return F.greatest(F.lit(-89.9), F.least(F.lit(89.9), lat + degrees(v * seconds / (EARTH_KM * 1000)))), wrapped
 
 
 def advected(seeds: DataFrame, wind: DataFrame, leads: int, hours: float, step: float = 0.5, south: float = -22.0, west: float = -1.0) -> DataFrame:

@@ -276,3 +276,15 @@ def test_cells_along_legs_are_those_of_all_pairs(spark):
     from stormledger.plans.products import corridors
 
     assert "zip_with" not in corridors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_step_there_and_back_ends_where_sql_says(spark):
+    import math
+
+    rows = [(x / 2, u) for x in range(120) for u in (4.0, 8.0, 12.0, 16.0)]
+    df, lat = spark.createDataFrame(rows, "x double, u double"), F.lit(-19.75)
+    _, there = tracks.step_of(lat, F.col("x"), F.col("u"), F.lit(0.0), 10800)
+    _, back = tracks.step_of(lat, F.col("there"), -F.col("u"), F.lit(0.0), 10800)
+    got = [(r.x, r.u, r.back) for r in df.withColumn("there", there).withColumn("back", back).collect()]
+    step = lambda x, u: x + u * 10800 / (6371000.0 * math.cos(math.radians(-19.75))) * 180.0 / math.pi
+    assert got == [(x, u, step(step(x, u), -u)) for x, u in rows]  # to the last bit: cells' borders are among them
