@@ -92,3 +92,32 @@ def test_distances_to_the_truly_nearest_point(spark):
     both = spark.createDataFrame([([box(1.5, 55, 3, 65), ring((0, 61), (0.5, 61), (0.25, 62))],)], RINGS)
     assert both.select(G.distance_km(r, *at(0, 60))).first()[0] == pytest.approx(83.4, abs=0.1)
     assert df.select(G.distance_km(r, *at(179.9, 0.5))).collect()[2][0] == pytest.approx(math.radians(0.1) * 6371, rel=1e-3)
+
+
+@pytest.mark.parametrize("most", [24, 192])
+def test_tiles_that_one_polygon_covers_are_as_much_as_their_slabs(spark, monkeypatch, most):
+    monkeypatch.setattr(overlay, "MOST", most)
+    monkeypatch.setattr(overlay, "DEEPEST", 3)
+    rng = random.Random(5)
+    at = lambda: (rng.randrange(0, 24) / 4, rng.randrange(0, 24) / 4)
+    polygons = []
+    for k in range(30):  # boxes on the tiles' borders, some with a hole; slanted ones; far apart from all a box alone
+        (x, y), w, h = at(), rng.randrange(2, 9) / 4, rng.randrange(2, 9) / 4
+        polygons.append([box(x, y, x + w, y + h)] + ([box(x + 0.25, y + 0.25, x + w - 0.25, y + h - 0.25)] if k % 3 == 0 and min(w, h) > 0.5 else []))
+        polygons.append([ring((x + 0.1, y), (x + w, y + h / 3), (x + w / 2, y + h), (x - 0.2, y + h / 2))])
+    polygons.append([box(40, 40, 45.5, 43)])
+    df = spark.createDataFrame([(k % 2, k, p) for k, p in enumerate(polygons)], f"group int, member int, {RINGS}").withColumn("layer", F.lit(0)).withColumn("window", F.lit(None).cast(overlay.BOX))
+    areas = lambda union: {r.group: r.area for r in overlay.measured(df, F.col("depth0") > 0, sphere=False, tile=1.0, union=union).collect()}
+    whole, slabs = areas(True), areas(False)
+    assert whole.keys() == slabs.keys() == {0, 1} and all(whole[g] == pytest.approx(slabs[g], rel=1e-12) for g in whole)
+
+
+def test_sides_inside_a_deep_union_are_not_dealt(spark):
+    rng = random.Random(6)
+    polygons = [[ring(*[(x + 1.5 * math.cos(a), y + 1.5 * math.sin(a)) for a in (0.1, 1.4, 2.6, 3.9, 5.2)])] for x, y in ((rng.uniform(0, 6), rng.uniform(0, 6)) for _ in range(150))]
+    df = spark.createDataFrame([("g", k, p) for k, p in enumerate(polygons)], f"group string, member int, {RINGS}").withColumn("layer", F.lit(0)).withColumn("window", F.lit(None).cast(overlay.BOX))
+    every = overlay.sided(df, False)  # each side is in a tile or more
+    left, done = overlay.dealt(overlay.sided(df, False, True), 1.0, overlay.covered_parts(df, False, 1.0))
+    assert left.count() < 3 * every.count() and done.first().area > 36
+    rows = left.select("level", "tx", "ty").collect()
+    assert not any(1 < (r.tx + 0.5) / 2**r.level < 5 and 1 < (r.ty + 0.5) / 2**r.level < 5 for r in rows)
