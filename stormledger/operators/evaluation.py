@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import checkpointed
+from .components import checkpointed, spread
 
 
 #: Ranges of values or hashes that a group is dealt to, so that no group is one task.
 RANGES = 256
 #: Different values of a group that one task may order.
 FIT = 1 << 17
+#: Rows of a bootstrap's values that are broadcast at most, and how far about a group's middle draws are counted by rank, in roots of its size (20 standard deviations).
+LOOKUP, WIDE = 1_000_000, 10.0
 
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, every: int = 3, salt: str = "split-v1") -> DataFrame:
@@ -113,16 +115,30 @@ def paired_bootstrap(pairs: DataFrame, group: str, key: str, a: str, b: str, res
     """group, n, the median of the differences a - b and the 2.5 % and 97.5 % quantiles of that median over resamples with replacement.
 
     A draw is a hash of seed, resample and place, so it does not depend on partitions. Pairs are numbered by key in each
-    group; rows without both values do not count. Resamples are made in one table of (group, resample, draw), dealt by both.
+    group; rows without both values do not count. Resamples are spread over all tasks before their draws are made, and a draw is
+    looked up as the rank of its value, in a table that is broadcast up to LOOKUP rows (counted). No draw is kept: each resample counts
+    them by rank about its group's middle and by side beyond. Should a median lie beyond, its resample alone is counted by rank throughout.
     """
-    d = pairs.select(group, key, (F.col(a) - F.col(b)).alias("d")).where("d is not null and not isnan(d)")
-    d = d.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1)
-    sizes = d.groupBy(group).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    d = pairs.select(group, key, (F.col(a) - F.col(b)).alias("d")).where(f"d is not null and not isnan(d) and {group} is not null")
+    d = checkpointed(d.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy("d", "i")) - 1))
+    sizes = checkpointed(d.groupBy(group).agg(F.count("*").alias("n")))
+    ranks = d.select(group, "i", "r")
+    ranks = F.broadcast(ranks) if d.count() <= LOOKUP else ranks.hint("merge")
     i = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "b", "j"), 256), 1, 12), 16, 10).cast("long") % F.col("n")
-    drawn = draws.withColumn("i", i).join(d.select(group, "i", "d"), [group, "i"])
-    # a resample is as large as its group of paired experiments
-    medians = drawn.groupBy(group, "n", "b").agg(F.percentile("d", 0.5).alias("m"))
+
+    def middles(samples: DataFrame, width: Column) -> DataFrame:
+        """group, n, b and the two ranks `r` about the median of samples (group, n, b): -1 or n where it is not within width of the group's middle."""
+        draws = spread(samples).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("i", i)
+        r = F.when(F.col("r") < F.col("n") / 2 - width, -1).when(F.col("r") > F.col("n") / 2 + width, F.col("n")).otherwise(F.col("r"))
+        counts = draws.join(ranks, [group, "i"]).groupBy(group, "n", "b", r.alias("r")).agg(F.count("*").alias("c"))
+        upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(group, "b").orderBy("r"))).withColumn("at", F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))))
+        return checkpointed(upto.where((F.col("at") >= F.col("upto") - F.col("c")) & (F.col("at") < F.col("upto"))).select(group, "n", "b", "r"))
+
+    found = middles(sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))), WIDE * F.sqrt("n"))
+    beyond = found.where("r = -1 or r = n").select(group, "n", "b").distinct()
+    if not beyond.isEmpty():
+        found = found.join(beyond, [group, "b"], "left_anti").unionByName(middles(beyond, F.col("n")))
+    medians = found.join(d.select(group, F.col("r").cast("long").alias("r"), "d"), [group, "r"]).groupBy(group, "b").agg(F.sum(F.col("d") * 0.5).alias("m"))
     ci = exact_quantiles(medians, group, "m", {"low": 0.025, "high": 0.975}).drop("n")
     own = exact_quantiles(d, group, "d", {"median": 0.5})
     return own.join(ci, group)

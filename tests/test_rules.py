@@ -288,3 +288,24 @@ def test_a_step_there_and_back_ends_where_sql_says(spark):
     got = [(r.x, r.u, r.back) for r in df.withColumn("there", there).withColumn("back", back).collect()]
     step = lambda x, u: x + u * 10800 / (6371000.0 * math.cos(math.radians(-19.75))) * 180.0 / math.pi
     assert got == [(x, u, step(step(x, u), -u)) for x, u in rows]  # to the last bit: cells' borders are among them
+
+
+@pytest.mark.parametrize("wide, lookup", [(10.0, 1000), (0.0, 1000), (0.05, 0)])
+def test_medians_of_resamples_by_counted_ranks(spark, monkeypatch, wide, lookup):
+    import hashlib
+    import statistics
+
+    from stormledger.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "WIDE", wide)
+    monkeypatch.setattr(evaluation, "LOOKUP", lookup)
+    rows = [("a", k, (k * 37 % 101) / 4, 1.0) for k in range(101)] + [("b", k, float(k % 3), 0.0) for k in range(40)] + [("c", 1, 2.5, 0.0), ("d", 1, None, 0.0)]
+    got = {r.g: r for r in evaluation.paired_bootstrap(spark.createDataFrame(rows, "g string, k long, x double, y double"), "g", "k", "x", "y", 30).collect()}
+    assert got.keys() == {"a", "b", "c"}
+    for g in got:
+        d = [x - y for h, _, x, y in rows if h == g]
+        draw = lambda b, j: int(hashlib.sha256(f"20260914|{b}|{j}".encode()).hexdigest()[:12], 16) % len(d)
+        medians = sorted(statistics.median(d[draw(b, j)] for j in range(1, len(d) + 1)) for b in range(1, 31))
+        at = lambda q: medians[int(q * 29)] + (q * 29 - int(q * 29)) * (medians[min(29, int(q * 29) + 1)] - medians[int(q * 29)])
+        assert (got[g].n, got[g]["median"]) == (len(d), statistics.median(d))
+        assert got[g].low == pytest.approx(at(0.025)) and got[g].high == pytest.approx(at(0.975))
