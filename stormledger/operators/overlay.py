@@ -104,8 +104,12 @@ def covered_parts(polygons: DataFrame, sphere: bool, tile: float) -> DataFrame:
     return parts.groupBy("group", F.floor(F.col("px") / n).alias("tx"), F.floor(F.col("py") / n).alias("ty")).agg(F.bit_or(bit).alias("mask"))
 
 
-def covered_tiles(rows: DataFrame, tile: float) -> DataFrame:
-    """The tiles of rows (sides with their tiles, level ones too) that one member covers whole: none of its sides comes near the inside, and an odd number is to the west of its middle."""
+def settled(rows: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows (sides with their tiles, level ones too) the tiles that one member covers whole, and the (tile, member) that still count elsewhere.
+
+    A member none of whose sides comes near a tile's inside covers all of it or nothing, as an odd or even number of them is to the
+    west of its middle. Such sides would else be dealt to every quarter to the east of them.
+    """
     x0, x1, y0, y1 = edges_of(tile)
     near = (x1 - x0) * 1e-9
     low, high = F.greatest("y1", y0), F.least("y2", y1)
@@ -114,7 +118,9 @@ def covered_tiles(rows: DataFrame, tile: float) -> DataFrame:
     middle = (y0 + y1) / 2
     west = (F.col("y1") <= middle) & (middle < F.col("y2")) & (x_at(middle) < (x0 + x1) / 2)
     members = rows.select(*AT, "member", inside.alias("inside"), F.when(west, 1).otherwise(0).alias("west")).groupBy(*AT, "member").agg(F.max("inside").alias("inside"), F.sum("west").alias("west"))
-    return members.where("not inside and west % 2 = 1").select(*AT).distinct()
+    members = checkpointed(members.where("inside or west % 2 = 1"))
+    whole = checkpointed(members.where("not inside").select(*AT).distinct())
+    return whole, members.where("inside").select(*AT, "member").join(whole, [*AT], "left_anti")
 
 
 def dealt(sides: DataFrame, tile: float, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -137,6 +143,10 @@ def dealt(sides: DataFrame, tile: float, parts: DataFrame | None = None) -> tupl
         times = F.pow(F.lit(2), F.col("p.level")).cast("long")
         rows = rows.withColumns({"level": F.col("p.level"), "tx": F.col("tx") * times + F.col("p.i"), "ty": F.col("ty") * times + F.col("p.j")}).drop("p", "mask").where((F.col("level") == 0) | meets_tile(tile))
     while True:
+        if parts is not None:
+            whole, kept = settled(rows, tile)
+            done.append(whole.select("group", F.pow(F.lit(tile) / F.pow(F.lit(2.0), F.col("level")), F.lit(2.0)).alias("area")))
+            rows = rows.join(kept.hint("merge"), [*AT, "member"], "left_semi")
         rows = checkpointed(rows)
         full = checkpointed(rows.groupBy(*AT).count().where((F.col("count") > most) & (F.col("level") < DEEPEST)).drop("count"))
         if full.isEmpty():
@@ -145,10 +155,6 @@ def dealt(sides: DataFrame, tile: float, parts: DataFrame | None = None) -> tupl
         part = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
         inner = rows.join(full, [*AT], "left_semi").withColumn("p", part).withColumn("level", F.col("level") + 1).withColumn("tx", F.col("tx") * 2 + F.col("p.i")).withColumn("ty", F.col("ty") * 2 + F.col("p.j")).drop("p")
         rows = inner.where(meets_tile(tile))
-        if parts is not None:
-            whole = checkpointed(covered_tiles(rows, tile))
-            done.append(whole.select("group", F.pow(F.lit(tile) / F.pow(F.lit(2.0), F.col("level")), F.lit(2.0)).alias("area")))
-            rows = rows.join(whole, [*AT], "left_anti")
     return reduce(DataFrame.unionByName, leaves, rows), reduce(DataFrame.unionByName, done).groupBy("group").agg(F.sum("area").alias("area")) if done else None
 
 

@@ -121,3 +121,11 @@ def test_sides_inside_a_deep_union_are_not_dealt(spark):
     assert left.count() < 3 * every.count() and done.first().area > 36
     rows = left.select("level", "tx", "ty").collect()
     assert not any(1 < (r.tx + 0.5) / 2**r.level < 5 and 1 < (r.ty + 0.5) / 2**r.level < 5 for r in rows)
+
+
+def test_sides_are_not_dealt_to_where_their_polygon_has_none(spark):
+    notched = [[ring((0, 0), (8, 0), (8, 1), (1, 1), (1, 7), (8, 7), (8, 8), (0, 8))]]
+    df = spark.createDataFrame([("g", k, p) for k, p in enumerate(notched)], f"group string, member int, {RINGS}").withColumn("layer", F.lit(0)).withColumn("window", F.lit(None).cast(overlay.BOX))
+    left, _ = overlay.dealt(overlay.sided(df, False, True), 1.0, overlay.covered_parts(df, False, 1.0))
+    assert not [r for r in left.collect() if 2 <= r.tx / 2**r.level < 8 and 2 <= r.ty / 2**r.level < 6]
+    assert overlay.measured(df, F.col("depth0") > 0, sphere=False, tile=1.0, union=True).first().area == pytest.approx(64 - 42)
